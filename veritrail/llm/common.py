@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but these six bytes.
 SPACES = b" \t\n\x0b\x0c\r"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,10 +35,22 @@ def work_path(spark: SparkSession, name: str) -> str:
 def write_out(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a written table, which cuts its lineage and survives lost executors; and its path."""
     spark, path = df.sparkSession, work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries that run within give back their shuffle files as they end; nothing else would read them."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def drop_paths(spark: SparkSession, *paths: str) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for p in paths:

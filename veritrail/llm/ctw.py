@@ -29,7 +29,7 @@ DEPTH, EDGE = 5, 0xFF
 #: Contexts up to this depth are one table (at most 2**24 rows, whatever the corpus); deeper ones are dealt out by their last bytes.
 TOP = 2
 #: Stored MB of a block of documents, and bytes handled in one vectorised step.
-BLOCK_MB, CHUNK = 8, 6 << 20
+BLOCK_MB, CHUNK = 8, 2 << 20
 KEYS = "k1 long, k2 long, block int, n long"
 
 
@@ -41,15 +41,13 @@ def codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     shift = np.repeat(np.arange(n, dtype=np.int64) * (DEPTH + 1) + DEPTH, size)
     flat[np.arange(len(data)) + shift] = data
     begin = at[:-1] + np.arange(n) * (DEPTH + 1)
-    out = np.zeros(len(flat), np.uint64)
-    wide = flat.astype(np.uint64)
-    out |= wide
+    out = flat.astype(np.uint64)
     for d in range(1, DEPTH + 1):
-        out[d:] |= wide[:-d] << np.uint64(8 * (DEPTH + 1 - d))
+        out[d:] |= flat[:-d].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - d))
     keep = np.ones(len(flat), bool)
     for d in range(DEPTH):
         keep[begin + d] = False
-    return out[keep], np.repeat(np.arange(n), size + 1)
+    return out[keep], np.repeat(np.arange(n, dtype=np.int32), size + 1)
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
@@ -63,7 +61,7 @@ def block_counts(table: pa.Table) -> pa.Table:
     """Strings and words of a block with their counts in its training texts (0: only in others)."""
     data, at = text_parts(table.column("text"))
     low, trains = lower_table()[data], table.column("trains").to_numpy(zero_copy_only=False)
-    strings, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    parts, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     words, others = Counter(), set()
     for i, j in slices(at, CHUNK):
         part, cut = low[at[i] : at[j]], at[i : j + 1] - at[i]
@@ -74,11 +72,13 @@ def block_counts(table: pa.Table) -> pa.Table:
         n = np.diff(np.append(np.flatnonzero(first), len(c)))
         c = c[first]
         n[(c & np.uint64(1)) == 1] = 0
-        strings, counts = np.concatenate([strings, c >> np.uint64(1)]), np.concatenate([counts, n])
+        parts.append(c >> np.uint64(1))
+        sizes.append(n)
         flat = part.tobytes()
         for k, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
             (words.update if trains[i + k] else others.update)(flat[s:e].split())
-    order = np.argsort(strings, kind="stable")
+    strings, counts = np.concatenate(parts), np.concatenate(sizes)
+    order = np.argsort(strings)
     strings, counts = strings[order], counts[order]
     starts = np.flatnonzero(np.concatenate([[True], strings[1:] != strings[:-1]])) if len(strings) else np.zeros(0, np.int64)
     counts = np.add.reduceat(counts, starts) if len(starts) else counts
