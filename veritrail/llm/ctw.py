@@ -12,6 +12,7 @@ unigram base, go the same way. Neither table is ever held in one place; both gro
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from math import lgamma
 
@@ -30,6 +31,9 @@ DEPTH, EDGE = 5, 0xFF
 TOP = 2
 #: Stored MB of a block of documents, and bytes handled in one vectorised step.
 BLOCK_MB, CHUNK = 8, 2 << 20
+#: Parts that keys are dealt into, at most; as many blocks as LOT times the parts are answered together, so that one task
+#: holds what LOT blocks hold, with the part's values.
+PARTS, LOT = 4096, 4
 KEYS = "k1 long, k2 long, block int, n long"
 
 
@@ -93,6 +97,74 @@ def block_counts(table: pa.Table) -> pa.Table:
     return pa.table({"k1": k1, "k2": k2, "block": block, "n": n})
 
 
+def distinct_of(low: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Distinct strings, in order, and distinct words, in the order of their hashes, with these, of lower-case texts."""
+    parts, words = [np.zeros(0, np.uint64)], set()
+    for i, j in slices(at, CHUNK):
+        part, cut = low[at[i] : at[j]], at[i : j + 1] - at[i]
+        c, _ = codes(part, cut)
+        c.sort()
+        parts.append(c[np.concatenate([[True], c[1:] != c[:-1]])])
+        flat = part.tobytes()
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            words.update(flat[s:e].split())
+    strings = np.concatenate(parts)
+    strings.sort()
+    if len(strings):
+        strings = strings[np.concatenate([[True], strings[1:] != strings[:-1]])]
+    all_words = list(words)
+    k = word_keys(all_words)
+    order = np.lexsort((k[:, 1], k[:, 0]))
+    return strings, [all_words[i] for i in order.tolist()], k[order]
+
+
+def part_of(k1: np.ndarray, parts: int) -> np.ndarray:
+    """pmod(xxhash64(k1), parts) as Spark computes it: XXH64 of eight bytes with seed 42."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    h = (np.uint64(42 + 8) + p5) ^ (turn(k1.view(np.uint64) * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64) % parts
+
+
+def asks(table: pa.Table, parts: int) -> pa.Table:
+    """What a block wants to know of each part: its strings, as packed differences, and its words' hashes."""
+    data, at = text_parts(table.column("text"))
+    strings, _, words = distinct_of(lower_table()[data], at)
+    block = table.column("block")[0].as_py()
+    of_string, of_word = part_of(strings.view(np.int64), parts), part_of(words[:, 0], parts)
+    by_string, by_word = np.argsort(of_string, kind="stable"), np.argsort(of_word, kind="stable")
+    cut_s, cut_w = (np.searchsorted(x, np.arange(parts + 1)) for x in (of_string[by_string], of_word[by_word]))
+    some = np.flatnonzero((np.diff(cut_s) > 0) | (np.diff(cut_w) > 0)).tolist()
+    keys = [zlib.compress(np.diff(strings[by_string[cut_s[p] : cut_s[p + 1]]], prepend=np.uint64(0)).tobytes(), 1) for p in some]
+    hashes = [words[by_word[cut_w[p] : cut_w[p + 1]]].tobytes() for p in some]
+    return pa.table({"part": pa.array(some, pa.int32()), "lot": pa.array([block // (LOT * parts)] * len(some), pa.int32()), "block": pa.array([block] * len(some), pa.int32()), "keys": pa.array(keys, pa.binary()), "words": pa.array(hashes, pa.binary())})
+
+
+def answers(asked: pa.Table, values: pa.Table) -> pa.Table:
+    """For each block's list of keys of this part, their values in the same order."""
+    k1, k2, value = (values.column(c).to_numpy() for c in ("k1", "k2", "value"))
+    is_string = k2 == 0
+    strings, cost = k1[is_string], value[is_string].astype(np.float32)
+    order = np.argsort(strings)
+    strings, cost = strings[order].view(np.uint64), cost[order]
+    word = np.flatnonzero(~is_string)
+    word = word[np.lexsort((k2[word], k1[word]))]
+    w1, w2, count = k1[word], k2[word], value[word].astype(np.int64)
+    costs, counts = [], []
+    for keys, hashes in zip(asked.column("keys").to_pylist(), asked.column("words").to_pylist()):
+        wanted = np.cumsum(np.frombuffer(zlib.decompress(keys), np.uint64))
+        costs.append(zlib.compress(cost[np.searchsorted(strings, wanted)].tobytes(), 1))
+        h = np.frombuffer(hashes, np.int64).reshape(-1, 2)
+        at = np.searchsorted(w1, h[:, 0])
+        while len(at) and (off := w2[at] != h[:, 1]).any():  # equal first halves: the next
+            at = at + off
+        counts.append(zlib.compress(count[at].tobytes(), 1))
+    return pa.table({"block": asked.column("block"), "part": asked.column("part"), "costs": pa.array(costs, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+
 _lgamma = np.frompyfunc(lgamma, 1, 1)
 
 
@@ -250,28 +322,30 @@ def score_texts(docs: DataFrame, trains) -> DataFrame:
     raw = blocked.groupBy("block").applyInArrow(block_counts, KEYS)
     keys, _ = write_out(raw.groupBy("k1", "k2").agg(F.sum("n").alias("n")), "keys")
     ends = docs.where(trains).count()
-    sums = keys.where("k2 <> 0 and n > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    sums = keys.where("k2 <> 0").agg(F.count("*").alias("all"), F.count_if(F.col("n") > 0).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     tokens, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
     least = np.log10(tokens + distinct + 1.0)
     costs = string_costs(keys.where("k2 = 0").select("k1", "n"))
     values = keys.where("k2 <> 0").select("k1", "k2", F.col("n").cast("double").alias("value")).unionByName(costs.select("k1", F.lit(0).cast("long").alias("k2"), "value"))
-    back = raw.select("k1", "k2", "block").join(values.hint("shuffle_hash"), ["k1", "k2"]).select("block", "k1", "k2", "value").repartition(n, "block")
+    parts = min(max(shuffle_parts(spark), n), PARTS)
+    lots = -(-n // (LOT * parts))
+    dealt = values.select(F.pmod(F.xxhash64("k1"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"), "k1", "k2", "value")
+    asked = blocked.groupBy("block").applyInArrow(lambda t: asks(t, parts), "part int, lot int, block int, keys binary, words binary")
+    back = asked.groupBy("part", "lot").cogroup(dealt.groupBy("part", "lot")).applyInArrow(answers, "block int, part int, costs binary, counts binary")
     end_cost = float(np.log10(ends + 1.0) - least)
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
         data, at = text_parts(texts.column("text"))
         low, m = lower_table()[data], texts.num_rows
-        k1, k2, value = (known.column(c).to_numpy() for c in ("k1", "k2", "value"))
-        is_string = k2 == 0
-        strings, cost = k1[is_string], value[is_string]
-        order = np.argsort(strings)
-        strings, cost = strings[order].astype(np.uint64), cost[order]
-        word = np.flatnonzero(~is_string)
-        flat_keys = np.stack([k1[word], k2[word]], 1).tobytes()
-        count = dict(zip([flat_keys[i : i + 16] for i in range(0, len(flat_keys), 16)], value[word].tolist()))
+        strings, words, word_hash = distinct_of(low, at)
+        cost, count = np.zeros(len(strings)), np.zeros(len(words))
+        of_string, of_word = part_of(strings.view(np.int64), parts), part_of(word_hash[:, 0], parts)
+        for part, a, b in zip(*(known.column(c).to_pylist() for c in ("part", "costs", "counts"))):
+            cost[of_string == part] = np.frombuffer(zlib.decompress(a), np.float32)
+            count[of_word == part] = np.frombuffer(zlib.decompress(b), np.int64)
+        costs_of = dict(zip(words, (np.log10(count + 1) - least).tolist()))
+        unseen = {words[i] for i in np.flatnonzero(count == 0).tolist()}
         total, base, n_tokens, n_known = np.zeros(m), np.zeros(m), np.zeros(m, np.int64), np.zeros(m, np.int64)
-        costs_of: dict[bytes, float] = {}
-        seen: dict[bytes, int] = {}
         for i, j in slices(at, CHUNK):
             for i2 in range(i, j, 1 << 16):
                 j2 = min(j, i2 + (1 << 16))
@@ -284,16 +358,11 @@ def score_texts(docs: DataFrame, trains) -> DataFrame:
                 each = np.repeat(cost[np.searchsorted(strings, s[first])], np.diff(np.append(first, len(s))))
                 total[i2:j2] = np.bincount((c & np.uint64(0xFFFF)).astype(np.int64), each, j2 - i2)
                 flat = part.tobytes()
-                lots = [flat[a:b].split() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                new = [w for w in set().union(*lots) if w not in costs_of]
-                digest = word_keys(new).tobytes()
-                for w, k in zip(new, range(0, len(digest), 16)):
-                    x = count[digest[k : k + 16]]
-                    costs_of[w], seen[w] = np.log10(x + 1) - least, int(x > 0)
-                for k, words in enumerate(lots, i2):
-                    n_tokens[k] = len(words) + 1
-                    base[k] = sum(map(costs_of.__getitem__, words)) + end_cost
-                    n_known[k] = sum(map(seen.__getitem__, words)) + (ends > 0)
+                for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist()), i2):
+                    own = flat[a:b].split()
+                    n_tokens[k] = len(own) + 1
+                    base[k] = sum(map(costs_of.__getitem__, own)) + end_cost
+                    n_known[k] = len(own) - (sum(map(unseen.__contains__, own)) if unseen else 0) + (ends > 0)
         held = pa.array(~texts.column("trains").to_numpy(zero_copy_only=False))
         return pa.table([texts.column("doc_id"), held, pa.array(n_tokens), pa.array(n_known), pa.array(np.full(m, tokens, np.int64)), pa.array(base), pa.array(total)], names=OUT)
 
