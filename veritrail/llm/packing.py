@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import drop_paths, slices, text_parts, work_path
+from veritrail.llm.common import text_parts, work_path
 from veritrail.llm.tokens import WordEncoder, vocabulary_path
 
 #: Tokens in a sequence; the id after each document; pieces packed together in one task.
@@ -122,20 +122,17 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         width = 4 * capacity
         for b in batches:
             data, at = text_parts(b.column("text"))
-            for i, j in slices(at, 8 << 20):
-                flat = data[at[i] : at[j]].tobytes()
-                cuts = (at[i : j + 1] - at[i]).tolist()
-                row, piece, length, crc = [], [], [], []
-                for k, ids in enumerate(encoder.encode([flat[s:e] for s, e in zip(cuts, cuts[1:])])):
-                    ids += end
-                    for n, s in enumerate(range(0, len(ids), width)):
-                        part = ids[s : s + width]
-                        row.append(i + k)
-                        piece.append(n)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                nth = np.array(piece, np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(nth), pa.array(nth.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            row, piece, length, crc = [], [], [], []
+            for k, ids in enumerate(encoder.encode(data, at)):
+                ids += end
+                for n, s in enumerate(range(0, len(ids), width)):
+                    part = ids[s : s + width]
+                    row.append(k)
+                    piece.append(n)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+            nth = np.array(piece, np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(nth), pa.array(nth.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return some.mapInArrow(cut, some.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long"))
 

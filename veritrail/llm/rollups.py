@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import drop_paths, slices, text_parts, work_path, write_out
+from veritrail.llm.common import drop_paths, text_parts, work_path, write_out
 from veritrail.llm.tokens import WordEncoder, vocabulary_path
 
 KEYS = ("source", "lang", "tokenizer_version")
@@ -113,12 +113,9 @@ def counted(docs: DataFrame, path: str) -> DataFrame:
         encoder = WordEncoder(path)
         for b in batches:
             data, at = text_parts(b.column("text"))
-            words, ids = [], []
-            for i, j in slices(at, 8 << 20):
-                flat, cuts = data[at[i] : at[j]].tobytes(), (at[i : j + 1] - at[i]).tolist()
-                texts = [flat[s:e] for s, e in zip(cuts, cuts[1:])]
-                words += [len(t.split()) for t in texts]
-                ids += [len(x) // 4 for x in encoder.encode(texts)]
+            flat, cuts = data.tobytes(), at.tolist()
+            words = [len(flat[s:e].split()) for s, e in zip(cuts, cuts[1:])]
+            ids = [len(x) // 4 for x in encoder.encode(data, at)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "source", "lang")], pa.array(words, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "source", "lang", "n_words", "n_tokens"])
 
     return some.mapInArrow(count, some.drop("text").schema.add("n_words", "long").add("n_tokens", "long"))

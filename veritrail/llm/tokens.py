@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
-#: Words remembered by a worker; when full the memory is emptied, which changes no result.
-MEMORY = 400_000
+from veritrail.llm.common import lower_table, slices
+
+#: Units remembered by a worker; when full the memory is emptied, which changes no result. Units encoded in one call.
+MEMORY, CALL = 300_000, 20_000
+#: Bytes of text to split in one go.
+LOT = 2 << 20
+#: A letter before a full stop or comma: where any vocabulary that tells letters from marks cuts. Letters are a-z and
+#: those of Latin-1, in UTF-8.
+CUT = re.compile(rb"([a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])(?=[.,])")
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -14,11 +24,19 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones for themselves, others from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(rest) if b != 32}
+
+
 class WordEncoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes.
 
-    For vocabularies whose pieces never reach over white space: a text's ids are its words' ids in a row, so each
-    distinct word is encoded once. Words are cut at ASCII white space; what a word holds besides goes to the tokenizer.
+    For vocabularies in lower case whose pieces never reach over white space, nor over the border of a letter and a
+    mark: a text's ids are its units' ids in a row, a unit being what lies between two such places. So each
+    distinct unit is encoded once. Units of letters alone go straight to the merges where that gives the same.
     """
 
     def __init__(self, path: str):
@@ -26,21 +44,43 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.bytes = self.tokenizer.model, byte_letters()
+        self.packed = [np.array(i, "<u4").tobytes() for i in range(max(self.tokenizer.get_vocab(True).values()) + 1)]
         self.known: dict[bytes, bytes] = {}
+        probe = [b"abc", b"the", "\u00e9t\u00c9".encode(), b"xqzjkv"]
+        self.one_by_one(probe)
+        self.plain = [self.known[p] for p in probe] == self.pieces(probe)
+        self.known.clear()
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
+    def pieces(self, units: list[bytes]) -> list[bytes]:
+        """Of units of letters, straight from the merges: no rule before them changes more than their case."""
+        words = b" ".join(units).decode().lower().encode().decode("latin-1").translate(self.bytes).split(" ")
+        split, packed = self.model.tokenize, self.packed
+        return [b"".join([packed[x.id] for x in split(w)]) for w in words]
+
+    def learn(self, units: set[bytes]) -> None:
+        new = units.difference(self.known)
         if len(self.known) + len(new) > MEMORY:
             self.known.clear()
-            new = list(words)
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            encoded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, encoded))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Texts should come in lots of a few MB: a lot's distinct words are held at once."""
-        lots = [t.split() for t in texts]
-        self.learn(set().union(*lots))
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in lots]
+            new = units
+        plain = [u for u in new if LETTERS.fullmatch(u)] if self.plain else []
+        if plain:
+            self.known.update(zip(plain, self.pieces(plain)))
+        odd = [u for u in new if u not in self.known]
+        for i in range(0, len(odd), CALL):
+            self.one_by_one(odd[i : i + CALL])
+
+    def one_by_one(self, units: list[bytes]) -> None:
+        encoded = self.tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)
+        self.known.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(units, encoded))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray):
+        """Ids of each text, in order."""
+        lower = lower_table()
+        for i, j in slices(offsets, LOT):
+            flat, at = lower[data[offsets[i] : offsets[j]]].tobytes(), (offsets[i : j + 1] - offsets[i]).tolist()
+            texts = [CUT.sub(rb"\1 ", flat[s:e]).split() for s, e in zip(at, at[1:])]
+            self.learn(set().union(*texts))
+            get = self.known.__getitem__
+            for units in texts:
+                yield b"".join(map(get, units))
