@@ -9,7 +9,7 @@ import numpy as np
 from veritrail.llm.common import lower_table, slices
 
 #: Units remembered by a worker; when full the memory is emptied, which changes no result. Units encoded in one call.
-MEMORY, CALL = 300_000, 20_000
+MEMORY, CALL = 600_000, 20_000
 #: Bytes of text to split in one go.
 LOT = 2 << 20
 #: A letter before a full stop or comma: where any vocabulary that tells letters from marks cuts. Letters are a-z and
@@ -54,7 +54,8 @@ class WordEncoder:
 
     def pieces(self, units: list[bytes]) -> list[bytes]:
         """Of units of letters, straight from the merges: no rule before them changes more than their case."""
-        words = b" ".join(units).decode().lower().encode().decode("latin-1").translate(self.bytes).split(" ")
+        joined = b" ".join(units)
+        words = (joined.decode() if joined.isascii() else joined.decode().lower().encode().decode("latin-1").translate(self.bytes)).split(" ")
         split, packed = self.model.tokenize, self.packed
         return [b"".join([packed[x.id] for x in split(w)]) for w in words]
 
@@ -64,8 +65,10 @@ class WordEncoder:
             self.known.clear()
             new = units
         plain = [u for u in new if LETTERS.fullmatch(u)] if self.plain else []
-        if plain:
-            self.known.update(zip(plain, self.pieces(plain)))
+        wide = [u for u in plain if not u.isascii()]
+        for some in (wide, [u for u in plain if u.isascii()]):
+            if some:
+                self.known.update(zip(some, self.pieces(some)))
         odd = [u for u in new if u not in self.known]
         for i in range(0, len(odd), CALL):
             self.one_by_one(odd[i : i + CALL])
