@@ -1,8 +1,8 @@
 """Line deduplication by MinHash: character shingles, one-permutation signatures, bands, exact Jaccard, union-find.
 
 Lines are compared without case and with white space collapsed. Equal lines are one line throughout; its signature
-bands key buckets, buckets with the same members are one bucket, and inside a bucket pairs are verified on the sets
-of shingles themselves. Only a spanning forest of a bucket's links leaves it.
+bands key buckets, buckets with the same smallest member are one family, and inside a family pairs are verified on
+the sets of shingles themselves. Only a spanning forest of a family's links leaves it.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ CROWD = 4096
 MEMORY = 500_000
 #: Bits of the filter of candidate lines: 4 MB, whatever the corpus. A full filter only lets more lines through to the join.
 FILTER_BITS = 25
-CHUNK = 4 << 20
+CHUNK = 1 << 19
 MIX, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
 
@@ -35,28 +35,35 @@ def normal(line: bytes) -> bytes:
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * MIX
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    h = h ^ (h >> np.uint64(31))
+    h *= MIX
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def band_keys(lines: list[bytes]) -> np.ndarray:
     """BANDS keys of each line (rows); lines of under SHINGLE characters have none (all zeros)."""
     points = np.frombuffer(b"\n".join(lines).decode("utf-8", "replace").encode("utf-32-le") + b"\n\0\0\0" * (SHINGLE + 1), np.uint32).astype(np.uint64)
-    breaks = points == 10
-    before = np.concatenate([[0], np.cumsum(breaks)])
+    ends = np.flatnonzero(points == 10)[: len(lines)]
     h, power, w = points, BASE, 1
     while w < SHINGLE:
         h = h[:-w] * power + h[w:]
         power = np.uint64(int(power) ** 2 & (2**64 - 1))
         w *= 2
-    at = np.flatnonzero(before[SHINGLE : SHINGLE + len(h)] == before[: len(h)])
-    v = mix(h[at])
+    inside = np.ones(len(h), bool)  # windows that reach no line's end
+    for d in range(SHINGLE):
+        inside[np.maximum(0, ends - d)] = False
+    inside[ends[-1] :] = False
     m = BANDS * ROWS
-    slot = before[at] * m + (((v >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
+    v = mix(h[inside])
+    slot = np.repeat(np.arange(len(lines)) * m, np.maximum(0, np.diff(ends, prepend=-1) - SHINGLE))
+    slot += (((v >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).view(np.int64)
     empty = np.uint64(2**64 - 1)
     flat = np.full(len(lines) * m, empty, np.uint64)
-    np.minimum.at(flat, slot, v & np.uint64(0xFFFFFFFF))
+    v &= np.uint64(0xFFFFFFFF)
+    np.minimum.at(flat, slot, v)
     sig = flat.reshape(len(lines), m)
     holes = sig == empty
     some = holes.any(1) & ~holes.all(1)
@@ -160,8 +167,9 @@ def over_runs(batches, keys: list[str], names: list[str], settle):
         yield from settle(carry)
 
 
-def buckets(lines: DataFrame) -> DataFrame:
-    """(bhi, blo, hi, lo): members of every bucket of two or more different lines, equal buckets once."""
+def families(lines: DataFrame) -> DataFrame:
+    """(bhi, blo, hi, lo): each bucket's members under its smallest one, (bhi, blo); buckets of the same smallest line,
+    as one group of copies makes in many bands, are one family. Only buckets of two or more different lines count."""
     rows = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("key"), "hi", "lo")
     rows = rows.repartition(shuffle_parts(lines.sparkSession), "key").sortWithinPartitions("key", "hi", "lo")
     names = ["bhi", "blo", "hi", "lo"]
@@ -181,7 +189,7 @@ def buckets(lines: DataFrame) -> DataFrame:
                     if x == y and len(chunks) > 1:
                         continue
                     part = chunks[x] if x == y else np.concatenate([chunks[x], chunks[y]])
-                    ids.append(np.repeat(np.frombuffer(xxhash.xxh3_128_digest(part.tobytes()), np.int64)[None], len(part), 0))
+                    ids.append(np.repeat(part[:1], len(part), 0))
                     members.append(part)
             if len(members) > 20_000:
                 yield batch(ids, members)
@@ -261,7 +269,7 @@ def name(hi: str = "hi", lo: str = "lo"):
 
 def line_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Edges (a, b) between names of different lines that are near copies."""
-    members, _ = write_out(buckets(lines), "buckets")
+    members, _ = write_out(families(lines), "families")
     texts = candidate_texts(docs, members.select("hi"))
     rows = members.join(texts, ["hi", "lo"]).repartition(shuffle_parts(docs.sparkSession), "bhi", "blo").sortWithinPartitions("bhi", "blo", "hi", "lo")
 
