@@ -238,9 +238,32 @@ def shingles(line: str, k: int = SHINGLE) -> set[str]:
     return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
 
 
-def forest(members: list[set], similar: float) -> list[tuple[int, int]]:
+def packed(line: str) -> np.ndarray | None:
+    """The set of shingles in order, eight Latin-1 characters being one number; None for other lines."""
+    try:
+        b = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    if len(b) < SHINGLE or SHINGLE != 8:
+        return None
+    u = np.sort(np.ndarray((len(b) - 7,), "<u8", b, strides=(1,)))
+    return u[np.concatenate([[True], u[1:] != u[:-1]])]
+
+
+def overlap(a, b, x: str, y: str) -> tuple[int, int, int]:
+    """Sizes of two sets of shingles and of their intersection."""
+    if a is not None and b is not None:
+        both = np.concatenate([a, b])
+        both.sort()
+        return len(a), len(b), int(np.count_nonzero(both[1:] == both[:-1]))
+    s, t = shingles(x), shingles(y)
+    return len(s), len(t), len(s & t)
+
+
+def forest(lines: list[str], similar: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose Jaccard similarity is at least `similar`."""
-    parent, kept = list(range(len(members))), []
+    parent, kept = list(range(len(lines))), []
+    sets = [packed(x) for x in lines]
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -248,16 +271,16 @@ def forest(members: list[set], similar: float) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    for j, b in enumerate(members):
+    for j in range(len(lines)):
         for i in range(j):
             x, y = find(i), find(j)
             if x == y:
                 continue
-            a = members[i]
-            if min(len(a), len(b)) < similar * max(len(a), len(b)):
+            a, b = sets[i], sets[j]
+            if a is not None and b is not None and min(len(a), len(b)) < similar * max(len(a), len(b)):
                 continue
-            common = len(a & b)
-            if common >= similar * (len(a) + len(b) - common):
+            n, m, common = overlap(a, b, lines[i], lines[j])
+            if common >= similar * (n + m - common):
                 parent[max(x, y)] = min(x, y)
                 kept.append((i, j))
     return kept
@@ -280,7 +303,7 @@ def line_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> D
         text = t.column("line")
         for s, e in zip(at.tolist(), at[1:].tolist()):
             if e - s > 1:
-                out += [(s + i, s + j) for i, j in forest([shingles(x) for x in text.slice(s, e - s).to_pylist()], similar)]
+                out += [(s + i, s + j) for i, j in forest(text.slice(s, e - s).to_pylist(), similar)]
         if out:
             x = np.array(out)
             yield pa.RecordBatch.from_arrays([pa.array(c[k]) for k in (x[:, 0], x[:, 1]) for c in (hi, lo)], ["ahi", "alo", "bhi", "blo"])
