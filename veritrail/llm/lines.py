@@ -321,7 +321,7 @@ def duplicate_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
     lines, _ = write_out(signed_lines(docs), "lines")
     comps = components(line_links(docs, lines, similar))
-    named = lines.select("doc_id", "line_no", name().alias("node")).join(comps, "node", "left").select("doc_id", "line_no", F.coalesce("root", "node").alias("component"))
+    named, _ = write_out(lines.select("doc_id", "line_no", name().alias("node")).join(comps, "node", "left").select("doc_id", "line_no", F.coalesce("root", "node").alias("component")), "named")
     first = named.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     out = named.join(first, "component")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
