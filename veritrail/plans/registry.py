@@ -192,10 +192,10 @@ def agg_coverage(spark, d):
     return table(spark, d, "documents").rollup("lang", "source").agg(F.count("*").alias("total"), F.count_if(F.contains("text", F.lit("License"))).alias("in_text"))
 
 
-@query("select conv_id, turn, sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding)::bigint as start from conversations")
+@query("select conv_id, turn, coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as start from conversations")
 def win_token_starts(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.sum(F.length("text")).over(w).alias("start"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).alias("start"))
 
 
 @query("select user_id, event_id, ts from (select *, row_number() over (partition by user_id order by ts, event_id) as r from events) where r = 1")
