@@ -72,13 +72,9 @@ def blocks_for(df: DataFrame, mb: int) -> int:
     return int(max(shuffle_parts(df.sparkSession), min(math.ceil(plan_bytes(df) / (mb << 20)), 1 << 20)))
 
 
-def crc_mod(doc_id: str | Column, m: int) -> Column:
-    """crc32(doc_id as text) mod m; null ids count as the text ''."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")) % m
-
-
 def fold(doc_id: str, m: int) -> Column:
-    return F.coalesce(crc_mod(doc_id, m), F.lit(0))
+    """crc32(doc_id as text) mod m; 0 for null ids."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % m, F.lit(0))
 
 
 def text_parts(column) -> tuple[np.ndarray, np.ndarray]:

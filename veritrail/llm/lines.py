@@ -331,12 +331,13 @@ def duplicate_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def dedup_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs without the lines that duplicate_lines does not keep; n_chars follows, if there. Documents that lose every
     line that isn't blank go; documents without text stay as they are."""
-    gone = duplicate_lines(docs, similar).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    out = docs.join(gone.withColumnRenamed("doc_id", "_id"), docs["doc_id"] == F.col("_id"), "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest))
-    out = out.where("_gone is null or text rlike '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]'")
-    cols = [F.length("text").cast(f.dataType).alias("n_chars") if f.name == "n_chars" else F.col(f"`{f.name}`") for f in docs.schema]
-    return out.select(*cols)
+    gone = duplicate_lines(docs, similar).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name of ours meets theirs
+    rest = F.array_join(F.filter(F.split("row.text", "\n"), lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    out = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left").select("row", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(rest).alias("text"), F.col("gone").isNull().alias("whole"))
+    out = out.where("whole or text rlike '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]'")
+    col = lambda f: F.col("text") if f.name == "text" else F.when(F.col("whole"), F.col("row.n_chars")).otherwise(F.length("text").cast(f.dataType)) if f.name == "n_chars" else F.col(f"row.`{f.name}`")
+    return out.select(*[col(f).alias(f.name) for f in docs.schema])
 
 
 def op10_lines(spark, sf_dir: str) -> DataFrame:

@@ -62,17 +62,18 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     The table of sources is joined by the planner, which broadcasts it only under its size limit; else the
     documents' side is salted by the hash of the id, 16 ways, so that a source with a third of the rows is no hot key.
     """
-    parts, salts, names = parts or shuffle_parts(docs.sparkSession), 16, docs.columns
-    rates = source_rates(docs, weights, alpha, epochs).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt_r"))
-    left = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(salts)).cast("int"))
-    drawn = left.join(rates, left["source"].eqNullSafe(rates["_source"]) & (left["_salt"] == rates["_salt_r"]))
-    drawn = drawn.withColumn("_k", poisson(unit(F.lit(f"{seed}-count"), F.col("doc_id")), F.col("_rate"))).where("_k > 0")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))) if "copy" not in names else drawn.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    copy = F.col("copy" if "copy" not in names else "_copy")
-    copies = copies.withColumn("_key", unit(F.lit(f"{seed}-order"), F.col("doc_id"), copy))
-    dealt = copies.repartitionById(parts, F.least((F.col("_key") * parts).cast("int"), F.lit(parts - 1))).sortWithinPartitions("_key", "doc_id", copy)
-    extra = [copy.alias("copy"), F.col("_rate").alias("rate"), F.col("_key").alias("shuffle_key")] if annotate else []
-    return dealt.select(*[F.col(f"`{c}`") for c in names], *extra)
+    parts, salts = parts or shuffle_parts(docs.sparkSession), 16
+    rates = source_rates(docs, weights, alpha, epochs).select(F.col("source").alias("of"), "rate", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("lot"))
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name of ours meets theirs
+    left = left.select("row", F.pmod(F.xxhash64("row.doc_id", F.length("row.text")), F.lit(salts)).cast("int").alias("salt"))
+    # the row number, never negative, keeps the optimizer from moving the draw into the join's condition
+    drawn = left.join(rates, F.col("row.source").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("lot"))).select("row", "rate", F.monotonically_increasing_id().alias("nth"))
+    drawn = drawn.select("row", "rate", F.when(F.col("nth") >= 0, poisson(unit(F.lit(f"{seed}-count"), F.col("row.doc_id")), F.col("rate"))).alias("k")).where("k > 0")
+    copies = drawn.select("row", "rate", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("copy"))
+    copies = copies.withColumn("key", unit(F.lit(f"{seed}-order"), F.col("row.doc_id"), F.col("copy")))
+    dealt = copies.repartitionById(parts, F.least((F.col("key") * parts).cast("int"), F.lit(parts - 1))).sortWithinPartitions("key", "row.doc_id", "copy")
+    extra = [F.col("copy"), F.col("rate"), F.col("key").alias("shuffle_key")] if annotate else []
+    return dealt.select(*[F.col(f"row.`{c}`") for c in docs.columns], *extra)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

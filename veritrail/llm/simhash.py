@@ -21,6 +21,7 @@ from veritrail.llm.common import lower_table, runs, shuffle_parts, text_parts, w
 from veritrail.llm.components import components
 
 DISTANCE, SEED, PIVOTS = 3, 42, 16
+PRINT = "__fingerprint"
 #: Five blocks of 13, 13, 13, 13 and 12 bits; the second table cuts the bits that a crowded bucket leaves open.
 BLOCKS, REFINE = 5, 7
 #: A bucket with more fingerprints is cut again by further blocks, without loss.
@@ -50,12 +51,12 @@ def fingerprint(text: bytes, k: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """docs' doc_id with fp (signed 64-bit). Null and empty texts have fingerprint zero. One pass, no shuffle."""
-    return fingerprint_rows(docs.select("doc_id", "text"), k).select("doc_id", "fp")
+    return fingerprint_rows(docs.select("doc_id", "text"), k).select("doc_id", F.col(PRINT).alias("fp"))
 
 
 def fingerprint_rows(docs: DataFrame, k: int = 3) -> DataFrame:
-    """docs with fp, in place of any column of that name."""
-    keep = [c for c in docs.columns if c != "fp"]
+    """docs with their fingerprints as the column PRINT."""
+    keep = docs.columns
     lower = lower_table()
 
     def make(batches):
@@ -63,9 +64,9 @@ def fingerprint_rows(docs: DataFrame, k: int = 3) -> DataFrame:
             data, at = text_parts(b.column("text"))
             flat = lower[data].tobytes()
             fp = np.array([fingerprint(flat[s:e], k) for s, e in zip(at[:-1].tolist(), at[1:].tolist())], np.uint64)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(fp.view(np.int64))], [*keep, "fp"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(fp.view(np.int64))], [*keep, PRINT])
 
-    return docs.select(*keep).mapInArrow(make, docs.select(*keep).schema.add("fp", "long"))
+    return docs.mapInArrow(make, docs.select("*").schema.add(PRINT, "long"))
 
 
 def masks(bits: list[int], blocks: int, agree: int) -> list[int]:
@@ -203,13 +204,11 @@ def keep_first(docs: DataFrame, distance: int = DISTANCE, k: int = 3) -> DataFra
     """docs with one document of each component, that of the smallest id; of rows with that id, one. Documents with a
     null id have no place in that order: they stay unless another of their component does."""
     classes = near_duplicates(docs, distance, k)
-    first = classes.where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    lone = docs.where("doc_id is null")
-    out = docs.join(first, docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    alone = classes.where("component_id is null").select("fp").distinct()
+    first = classes.where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    out = docs.join(first, docs["doc_id"] == first["first"], "left_semi").dropDuplicates(["doc_id"])
+    alone = classes.where("component_id is null").select(F.col("fp").alias(PRINT)).distinct()
     if not alone.isEmpty():
-        marked = fingerprint_rows(lone, k).join(alone, "fp", "left_semi").dropDuplicates(["fp"]).select(*docs.columns)
-        out = out.unionByName(marked)
+        out = out.unionByName(fingerprint_rows(docs.where("doc_id is null"), k).join(alone, PRINT, "left_semi").dropDuplicates([PRINT]).select(*docs.columns))
     return out
 
 
