@@ -68,8 +68,11 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def blocks_for(df: DataFrame, mb: int) -> int:
-    """How many blocks of about mb MB (as stored) df makes; at least the session's shuffle partitions."""
-    return int(max(shuffle_parts(df.sparkSession), min(math.ceil(plan_bytes(df) / (mb << 20)), 1 << 20)))
+    """How many blocks of about mb MB (as stored) df makes, or as many as it has partitions where its size isn't known;
+    at least the session's shuffle partitions."""
+    size = plan_bytes(df)
+    blocks = math.ceil(size / (mb << 20)) if size < 1 << 56 else df.rdd.getNumPartitions()
+    return max(shuffle_parts(df.sparkSession), blocks)
 
 
 def fold(doc_id: str, m: int) -> Column:

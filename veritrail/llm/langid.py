@@ -70,15 +70,16 @@ class CrossParser:
         tables, roots, base = [], [], 0
         for k in self.langs:
             go = suffix_automaton(texts[k])
-            t = np.full((len(go), self.width), -1, np.int64)
+            t = np.full((len(go) + 1, self.width), -1, np.int64)  # the last row: after a byte that the sample lacks
             for s, edges in enumerate(go):
                 for b, to in edges.items():
                     t[s, order[b]] = to
-            dead, root = t < 0, np.where(t[0] < 0, 0, t[0])
-            t = (np.where(dead, root, t) + base) * self.width * 2 + dead
-            tables.append(t.ravel())
+            dead, first = t < 0, np.where(t[0] < 0, len(go), t[0])
+            begins = dead.copy()
+            begins[0] = False  # the root stands only before a segment, whose first phrase is counted at its end
+            tables.append(((np.where(dead, first, t) + base) * self.width * 2 + begins).ravel())
             roots.append(base * self.width)
-            base += len(go)
+            base += len(t)
         self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
         self.roots = np.array(roots, np.int32)
         #: Bits that name a place in the language's sample: what a phrase costs.
