@@ -21,6 +21,15 @@ CHUNK = 4 << 20
 REJECT_BELOW = 0.3
 
 
+def letters_only() -> np.ndarray:
+    """Bytes as they are parsed: ASCII letters in lower case, bytes beyond ASCII as they are, all else a space, so that
+    no mark or digit that one sample has by chance speaks for its language."""
+    t = lower_table()
+    t[:97] = t[123:128] = 32
+    t[65:91] = np.arange(97, 123)
+    return t
+
+
 def suffix_automaton(text: bytes) -> list[dict[int, int]]:
     """Transitions of the smallest automaton that accepts every substring of text; state 0 is the root."""
     go: list[dict[int, int]] = [{}]
@@ -59,7 +68,7 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, bytes]):
         self.langs = sorted(samples)
-        lower = lower_table()
+        lower = letters_only()
         texts = {k: lower[np.frombuffer(samples[k], np.uint8)].tobytes() for k in self.langs}
         seen = [b for b, _ in Counter(b"".join(texts.values())).most_common()]
         order = np.zeros(256, np.int32)
