@@ -16,7 +16,7 @@ SAMPLE_DOCS, SAMPLE_BYTES, LANGS = 48, 24_000, 64
 #: Texts are parsed in segments of this many bytes, each from the root; all segments of a text count.
 SEGMENT = 1024
 #: Bytes parsed in one vectorised step.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Below this share of the evidence the pipeline's language stage rejects a document.
 REJECT_BELOW = 0.3
 

@@ -9,7 +9,7 @@ import numpy as np
 from veritrail.llm.common import lower_table, slices
 
 #: Units remembered by a worker; when full the memory is emptied, which changes no result. Units encoded in one call.
-MEMORY, CALL = 600_000, 20_000
+MEMORY, CALL = 500_000, 20_000
 #: Bytes of text to split in one go.
 LOT = 2 << 20
 #: A letter before a full stop or comma: where any vocabulary that tells letters from marks cuts. Letters are a-z and
