@@ -148,6 +148,12 @@ def fn_norm_span(spark, d):
     return table(spark, d, "documents").select("doc_id", X.norm_span(F.substring("text", 1, 80)).alias("span"))
 
 
+@query("select doc_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[ .,;:]+$', '') as span from documents")
+def fn_norm_span_whole(spark, d):
+    """fn_norm_span on whole texts: that query and its SQL see 80 characters of each."""
+    return table(spark, d, "documents").select("doc_id", X.norm_span(F.col("text")).alias("span"))
+
+
 @query("""with a as (select c_custkey, [lower(c_mktsegment), 'x'] as a, case when c_custkey % 2 = 0 then ['X', c_mktsegment] else [c_name] end as b from customer)
 select c_custkey, list_sort(list_distinct(list_transform(a, lambda x: lower(x)))) = list_sort(list_distinct(list_transform(b, lambda x: lower(x)))) as same from a""")
 def set_array_eq(spark, d):
