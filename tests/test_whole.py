@@ -1,5 +1,9 @@
 """Queries that do the whole job, against plain versions on small tables."""
 
+import numpy as np
+import pytest
+
+from veritrail.operators import spans
 from veritrail.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -10,3 +14,27 @@ def test_spans_are_normalised_beyond_80_characters(spark):
     got = {r["doc_id"]: r["span"] for r in registry.queries()["fn_norm_span_whole"](spark, DATA).collect()}
     assert got == {k: None if t is None else " ".join(t.split()).rstrip(" .,;:") for k, t in texts.items()}
     assert any(len(s or "") > 1000 for s in got.values())
+
+
+def test_reductions_of_spans(spark):
+    r = np.random.default_rng(1)
+    layers = {(0, 0): r.normal(size=(5, 3)), (0, 1): r.normal(size=(4, 3)), (1, 0): r.normal(size=(1, 3))}
+    asked = [(0, 0, 1, 3, 5), (0, 1, -4, 2, 5), (0, 2, 4, 9, 5), (0, 3, 2, 2, 5), (0, 4, 70, 80, 5), (1, 0, 3, 9, 2), (2, 0, 0, 1, 1)]
+    tokens = spark.createDataFrame([(d, la, i, [float(x) for x in v]) for (d, la), m in layers.items() for i, v in enumerate(m)], "doc int, layer int, step int, vec array<double>")
+    df = spark.createDataFrame(asked, "doc int, span int, first int, past int, generated int")
+    want = {how: {} for how in spans.HOW}
+    for d, s, first, past, n in asked:
+        lo = max(0, min(first, n - 1))
+        hi = max(lo + 1, min(past, n))
+        for (doc, la), m in layers.items():
+            a, b = min(lo, len(m) - 1), min(hi, len(m))
+            if doc == d and b > a:
+                for i in range(3):
+                    want["last"][d, s, la, b - 1, i] = m[b - 1, i]
+                    want["mean"][d, s, la, None, i] = m[a:b, i].mean()
+                    want["all"] |= {(d, s, la, t, i): m[t, i] for t in range(a, b)}
+    for how in spans.HOW:
+        got = {tuple(x)[:5]: x["value"] for x in spans.reduce_spans(df, tokens, how).collect()}
+        assert got == pytest.approx(want[how]) and got
+    with pytest.raises(ValueError):
+        spans.reduce_spans(df, tokens, "first")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions import expressions as X
-from veritrail.operators import metrics, policies, probes, trees
+from veritrail.operators import metrics, policies, probes, spans, trees
 
 _made: dict = {}
 _sql: dict[str, str] = {}
@@ -267,6 +267,26 @@ def agg_span_reduce(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "value")).select("vec_id", "pos", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
+@query("""with t as (select vec_id // 16 as doc, layer, vec_id % 16 as step, embedding[1 + 32 * layer : 32 + 32 * layer] as vec from embeddings, range(0, 2) l(layer)),
+a as (select doc, layer, max(step) + 1 as have from t group by all), g as (select doc, max(have) + 1 as generated from a group by doc),
+s as (select doc, span, (7 * doc + 5 * span) % 20 - 2 as first, (7 * doc + 5 * span) % 20 - 2 + 4 * span as past, generated from g, range(0, 3) r(span)),
+c as (select *, greatest(0, least(first, generated - 1)) as lo from s), b as (select *, greatest(lo + 1, least(past, generated)) as hi from c),
+w as (select b.doc, layer, span, least(lo, have - 1) as lo, least(hi, have) as hi from b join a on a.doc = b.doc),
+v as (select w.doc, span, w.layer, step, hi, unnest(range(0, len(vec))) as pos, unnest(vec)::double as value from w join t on t.doc = w.doc and t.layer = w.layer and step >= lo and step < hi)
+select doc, span, layer::integer as layer, 'all' as how, step, pos, round(value, 6) as value from v
+union all select doc, span, layer::integer, 'last', step, pos, round(value, 6) from v where step = hi - 1
+union all select doc, span, layer::integer, 'mean', null, pos, round(avg(value), 6) from v group by doc, span, layer, pos""")
+def agg_span_vectors(spark, d):
+    """Last, mean and all of the token vectors of three spans a document, some of them beyond its tokens; agg_span_reduce only takes vectors apart."""
+    e = table(spark, d, "embeddings").select(F.expr("vec_id div 16").alias("doc"), (F.col("vec_id") % 16).alias("step"), "embedding")
+    tokens = e.select("doc", "step", F.explode(F.array(*[F.struct(F.lit(i).alias("layer"), F.slice("embedding", 1 + 32 * i, 32).alias("vec")) for i in range(2)])).alias("x")).select("doc", "x.layer", "step", "x.vec")
+    first = (7 * F.col("doc") + 5 * F.col("span")) % 20 - 2
+    marks = e.groupBy("doc").agg((F.max("step") + 2).alias("generated")).withColumn("span", F.explode(F.array(*map(F.lit, range(3)))))
+    marks = marks.select("doc", "span", first.alias("first"), (first + 4 * F.col("span")).alias("past"), "generated")
+    each = [spans.reduce_spans(marks, tokens, how).withColumn("how", F.lit(how)) for how in spans.HOW]
+    return rounded(each[0].unionByName(each[1]).unionByName(each[2]), "value", digits=6)
+
+
 @query("select event_type, min(k) as low, max(k) as high, count(distinct k) as kinds from (select event_type, (props ->> '$.k')::int as k from events) group by event_type")
 def src_artifacts(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
