@@ -1,9 +1,11 @@
 """Queries that do the whole job, against plain versions on small tables."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from veritrail.operators import spans
+from veritrail.operators import probes, spans
 from veritrail.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -38,3 +40,63 @@ def test_reductions_of_spans(spark):
         assert got == pytest.approx(want[how]) and got
     with pytest.raises(ValueError):
         spans.reduce_spans(df, tokens, "first")
+
+
+def auroc(y, p):
+    d = np.subtract.outer(p[y == 1], p[y == 0])
+    return None if not d.size else float(((d > 0) + (d == 0) / 2).mean())
+
+
+def layered(seed=3, folds=5, n=14):
+    """Two layers, each better in some folds; the last fold is of one class."""
+    r = np.random.default_rng(seed)
+    fold = np.repeat(np.arange(folds), n)
+    y = np.where(fold == folds - 1, 0, r.integers(0, 2, len(fold)))
+    x = {k: r.normal(size=(len(y), 3)) + 0.6 * y[:, None] * (fold % 2 == k)[:, None] for k in (0, 1)}
+    return fold, y, x
+
+
+def frame(spark, fold, y, x):
+    return spark.createDataFrame([(i, int(fold[i]), int(y[i]), k, [float(z) for z in x[k][i]]) for k in x for i in range(len(y))], "id int, fold int, y int, layer int, vec array<double>")
+
+
+def score(x, y, train, test):
+    beta, bias = probes.fit_logistic(x[train], y[train])
+    return 1 / (1 + np.exp(-(x[test] @ beta + bias)))
+
+
+def test_nested_folds_are_pooled_over_layers(spark):
+    fold, y, x = layered()
+    p, each, chosen = np.full(len(y), np.nan), [], []
+    for f in range(4):
+        best = {}
+        for k in x:
+            found = [auroc(y[fold == g], score(x[k], y, (fold != f) & (fold != g), fold == g)) for g in range(5) if g != f]
+            best[k] = np.mean([a for a in found if a is not None])
+        chosen.append(max(sorted(best), key=best.get))
+        p[fold == f] = score(x[chosen[-1]], y, fold != f, fold == f)
+        each.append(auroc(y[fold == f], p[fold == f]))
+    assert len(set(chosen)) == 2
+    (got,) = probes.nested_ranking(frame(spark, fold, y, x)).collect()
+    assert got["n"] == 56 and got["n_folds"] == 4 and got["auroc"] == pytest.approx(auroc(y[fold < 4], p[fold < 4]))
+    assert (got["auroc_mean"], got["auroc_std"]) == pytest.approx((np.mean(each), np.std(each)))
+    assert [tuple(z) for z in got["layers"]] == sorted(Counter(chosen).items())
+
+
+def test_conflict_against_the_baseline(spark):
+    fold, y, x = layered()
+
+    def held_out(v):
+        p = np.zeros(len(y))
+        for f in range(5):
+            p[fold == f] = score(v, y, fold != f, fold == f)
+        return p
+
+    p = {k: held_out(x[k]) for k in x}
+    best = max(sorted(p), key=lambda k: auroc(y, p[k]))
+    both = np.column_stack([x[best], np.std([p[0], p[1]], axis=0)])
+    (got,) = probes.conflict_ranking(frame(spark, fold, y, x)).collect()
+    a, b = auroc(y, held_out(x[best])), auroc(y, held_out(both))
+    assert (got["best_layer"], got["n"], got["n_pos"]) == (best, 70, y.sum())
+    assert (got["auroc_baseline"], got["auroc_conflict"], got["delta"]) == pytest.approx((a, b, b - a))
+    assert probes.conflict_ranking(frame(spark, fold, y * 0, x)).count() == 0

@@ -56,10 +56,12 @@ def training_rows(rows: DataFrame, bound: int = SAMPLE) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= bound).drop("_r")
 
 
-def fit_groups(rows: DataFrame, keys: list[str], c: float) -> DataFrame:
-    """keys, beta, bias, n_train for each group of at most SAMPLE rows."""
+def fit_groups(rows: DataFrame, keys: list[str], c: float, both: bool = False) -> DataFrame:
+    """keys, beta, bias, n_train for each group of at most SAMPLE rows; with `both`, of groups of both classes only."""
 
     def fit(group: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        if both and f["y"].min() == f["y"].max():
+            return pd.DataFrame([], columns=[*keys, "beta", "bias", "n_train"])
         beta, bias = fit_logistic(np.stack(f["vec"].to_numpy()), f["y"].to_numpy(), c)
         return pd.DataFrame([(*group, beta.tolist(), bias, len(f))], columns=[*keys, "beta", "bias", "n_train"])
 
@@ -71,16 +73,16 @@ def scored(rows: DataFrame, weights: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(weights, on).withColumn("p", sigmoid(dot(F.col("vec"), F.col("beta")) + F.col("bias"))).drop("beta", "bias")
 
 
-def held_out_weights(rows: DataFrame, c: float = 1.0) -> DataFrame:
+def held_out_weights(rows: DataFrame, c: float = 1.0, both: bool = False) -> DataFrame:
     """(hold, layer, weights) fitted without the rows of fold `hold`. A row goes to every fold but its own."""
     folds = rows.select("fold").distinct().agg(F.collect_list("fold").alias("folds"))  # bounded: folds are few by design
     train = training_rows(rows).join(F.broadcast(folds)).withColumn("hold", F.explode("folds")).where("hold <> fold")
-    return fit_groups(train, ["hold", "layer"], c)
+    return fit_groups(train, ["hold", "layer"], c, both)
 
 
-def held_out_scores(rows: DataFrame, c: float = 1.0) -> DataFrame:
-    """rows with p, each by the probe that never saw its fold."""
-    return scored(rows, held_out_weights(rows, c).withColumnRenamed("hold", "fold"), ["fold", "layer"])
+def held_out_scores(rows: DataFrame, c: float = 1.0, both: bool = False) -> DataFrame:
+    """rows with p, each by the probe that never saw its fold; with `both`, without rows whose probe would see one class."""
+    return scored(rows, held_out_weights(rows, c, both).withColumnRenamed("hold", "fold"), ["fold", "layer"])
 
 
 def held_out_ranking(rows: DataFrame, c: float = 1.0) -> DataFrame:
@@ -91,16 +93,30 @@ def held_out_ranking(rows: DataFrame, c: float = 1.0) -> DataFrame:
 
 
 def nested_scores(rows: DataFrame, c: float = 1.0) -> DataFrame:
-    """Outer fold rows scored at the layer that inner held-out folds rank best (first layer on ties)."""
+    """Outer fold rows scored at the layer that inner held-out folds rank best (first layer on ties). Outer folds of one
+    class are left out, and so are those without an inner fold that can be ranked."""
     folds = F.broadcast(rows.select("fold").distinct().agg(F.collect_list("fold").alias("folds")))
+    mixed = rows.groupBy("fold").agg(F.min("y").alias("low"), F.max("y").alias("high")).where("low < high").select("fold")
     train = training_rows(rows).join(folds).withColumn("outer", F.explode("folds")).withColumn("inner", F.explode("folds")).where("outer <> inner and fold <> outer and fold <> inner").drop("folds")
-    weights = fit_groups(train, ["outer", "inner", "layer"], c).withColumnRenamed("inner", "fold")
-    inner = ranking(scored(rows, weights, ["fold", "layer"]), ["outer", "layer", "fold"], "p").groupBy("outer", "layer").agg(F.avg("auroc").alias("auroc"))
-    best = Window.partitionBy("outer").orderBy(F.desc(F.coalesce("auroc", F.lit(-1.0))), "layer")
-    chosen = inner.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("outer").alias("fold"), "layer")
+    weights = fit_groups(train, ["outer", "inner", "layer"], c, both=True).withColumnRenamed("inner", "fold")
+    inner = ranking(scored(rows, weights, ["fold", "layer"]), ["outer", "layer", "fold"], "p").groupBy("outer", "layer").agg(F.avg("auroc").alias("auroc")).where("auroc is not null")
+    best = Window.partitionBy("outer").orderBy(F.desc("auroc"), "layer")
+    chosen = inner.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("outer").alias("fold"), "layer").join(mixed, "fold")
     return scored(rows.join(chosen, ["fold", "layer"]), held_out_weights(rows, c).withColumnRenamed("hold", "fold"), ["fold", "layer"])
 
 
+def nested_ranking(rows: DataFrame, c: float = 1.0) -> DataFrame:
+    """One row: mean and population deviation of the outer folds' AUROC, AUROC and AP pooled over the rows of all outer
+    folds whatever layer each chose, and how many folds chose each layer."""
+    p = nested_scores(rows, c)
+    each = ranking(p, ["fold", "layer"], "p").groupBy("layer").agg(F.collect_list("auroc").alias("found"), F.count("*").alias("n_folds"))
+    each = each.agg(F.flatten(F.collect_list("found")).alias("found"), F.array_sort(F.collect_list(F.struct("layer", "n_folds"))).alias("layers"))  # bounded: folds are few
+    mean = F.aggregate("found", F.lit(0.0), lambda s, x: s + x) / F.size("found")
+    std = F.sqrt(F.aggregate("found", F.lit(0.0), lambda s, x: s + F.pow(x - F.col("auroc_mean"), 2)) / F.size("found"))
+    each = each.where(F.size("found") > 0).withColumn("auroc_mean", mean).withColumn("auroc_std", std)
+    return each.select(F.size("found").alias("n_folds"), "auroc_mean", "auroc_std", "layers").join(ranking(p, [], "p"))
+
+
 def transfer_scores(train: DataFrame, test: DataFrame, c: float = 1.0, normalise: bool = False) -> DataFrame:
     """test rows with p by probes fitted on train, by layer; vectors as they are or at length one."""
     unit = (lambda d: d.withColumn("vec", l2_norm(F.col("vec")))) if normalise else (lambda d: d)
@@ -112,6 +128,21 @@ def conflict(p: DataFrame) -> DataFrame:
     return p.groupBy("id").agg(F.stddev_pop("p").alias("conflict"), F.max(F.isnan("p").cast("int")).alias("_nan")).where("_nan = 0").drop("_nan")
 
 
+def conflict_ranking(rows: DataFrame, c: float = 1.0) -> DataFrame:
+    """One row: the layer of the best held-out AUROC (first on ties), and the pooled held-out AUROC of its vectors alone and with
+    the conflict appended, over the rows that every layer scores. No row where no layer can be ranked."""
+    p = held_out_scores(rows, c, both=True)
+    found = [(-r["auroc"], r["layer"]) for r in ranking(p, ["layer"], "p").where("auroc is not null").collect()]  # one a layer
+    best = min(found)[1] if found else None
+    ids = p.groupBy("id").agg(F.count("p").alias("n")).join(rows.agg(F.count_distinct("layer").alias("of"))).where("n = of").select("id")
+    some = rows.where(F.col("layer") == F.lit(best)).join(conflict(p).join(ids, "id"), "id")
+    some = some.withColumn("vec", F.col("vec").cast("array<double>"))
+    with_it = some.withColumn("vec", F.concat("vec", F.array("conflict")))
+    rank = lambda r, name: ranking(held_out_scores(r, c, both=True), [], "p").select("n", "n_pos", F.col("auroc").alias(name))
+    out = rank(some, "auroc_baseline").join(rank(with_it, "auroc_conflict").select("auroc_conflict"))
+    return out.where("n > 0").select(F.lit(best).cast(rows.schema["layer"].dataType).alias("best_layer"), "n", "n_pos", "auroc_baseline", "auroc_conflict", (F.col("auroc_conflict") - F.col("auroc_baseline")).alias("delta"))
+
+
 def stacked_scores(rows: DataFrame, signals: list[str], c: float = 1.0) -> DataFrame:
     """Held-out scores of a logistic model over z-scored signal columns (deviations below 1e-8 count as one)."""
     stats = rows.agg(*[f(s).alias(f"{s}_{n}") for s in signals for n, f in (("m", F.avg), ("d", F.stddev_pop))]).first()

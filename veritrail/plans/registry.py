@@ -324,7 +324,7 @@ def stat_lodo(spark, d):
 
 @query()
 def stat_nested(spark, d):
-    return rounded(metrics.ranking(probes.nested_scores(vectors(spark, d)), ["layer"], "p"), "auroc", "ap", digits=6)
+    return rounded(probes.nested_ranking(vectors(spark, d)), "auroc_mean", "auroc_std", "auroc", "ap", digits=6)
 
 
 @query()
@@ -334,10 +334,15 @@ def stat_transfer(spark, d):
 
 
 @query()
-def stat_conflict(spark, d):
+def agg_conflict(spark, d):
     return rounded(probes.conflict(probes.held_out_scores(vectors(spark, d))), "conflict", digits=6)
 
 
+@query()
+def stat_conflict(spark, d):
+    return rounded(probes.conflict_ranking(vectors(spark, d)), "auroc_baseline", "auroc_conflict", "delta", digits=6)
+
+
 @query()
 def stat_three(spark, d):
     p = probes.held_out_scores(vectors(spark, d))
