@@ -29,7 +29,7 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(docs)
+    return lines.dedup_lines(docs, short=True)
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,8 +92,8 @@ def digests(lines: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), ">i8").astype(np.int64).reshape(-1, 2)
 
 
-def comparable(data: np.ndarray, at: np.ndarray):
-    """For lots of rows: (first row, rows' index, line number, normal line) of every line with at least SHINGLE bytes."""
+def comparable(data: np.ndarray, at: np.ndarray, least: int = SHINGLE):
+    """For lots of rows: (rows' index, line number, normal line) of every line with at least `least` bytes."""
     lower = lower_table()
     for i, j in slices(at, CHUNK):
         flat = lower[data[at[i] : at[j]]].tobytes()
@@ -101,24 +101,25 @@ def comparable(data: np.ndarray, at: np.ndarray):
         for k in range(i, j):
             for n, line in enumerate(flat[at[k] - at[i] : at[k + 1] - at[i]].split(b"\n")):
                 line = normal(line)
-                if len(line) >= SHINGLE:
+                if len(line) >= least:
                     row.append(k)
                     number.append(n)
                     lines.append(line)
         yield row, number, lines
 
 
-def signed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, hi, lo, bands) of every comparable line; bands only where the task had not met the line before."""
+def signed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """(doc_id, line_no, hi, lo, bands) of every comparable line; bands only where the task had not met the line before.
+    short: also of lines of under SHINGLE bytes, which have no bands: equal ones share their digest."""
     some = docs.select("doc_id", "text")
 
     def sign(batches):
         seen: set[bytes] = set()
         for b in batches:
-            for row, number, lines in comparable(*text_parts(b.column("text"))):
+            for row, number, lines in comparable(*text_parts(b.column("text")), 1 if short else SHINGLE):
                 new = []
                 for k, line in enumerate(lines):
-                    if (d := xxhash.xxh3_64_digest(line)) not in seen:
+                    if len(line) >= SHINGLE and (d := xxhash.xxh3_64_digest(line)) not in seen:
                         seen.add(d)
                         new.append(k)
                 if len(seen) > MEMORY:
@@ -312,14 +313,14 @@ def line_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> D
     return found.select(name("ahi", "alo").alias("a"), name("bhi", "blo").alias("b"))
 
 
-def duplicate_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def duplicate_lines(docs: DataFrame, similar: float = SIMILAR, short: bool = False) -> DataFrame:
     """(doc_id, line_no, component, first_doc, first_line, kept) of every line of at least SHINGLE bytes, blanks collapsed.
 
-    A component is named after its smallest line hash; its line of the smallest (doc_id, line_no) is kept. Shorter and
-    blank lines are not compared and not listed: they stay. Null and empty texts have no lines. Rows with the same
+    A component is named after its smallest line hash; its line of the smallest (doc_id, line_no) is kept. Shorter
+    lines are listed with `short`, and equal ones are a component; else they stay. Blank lines are not listed: they stay. Null and empty texts have no lines. Rows with the same
     doc_id are taken for the same document. An empty table gives no rows.
     """
-    lines, _ = write_out(signed_lines(docs), "lines")
+    lines, _ = write_out(signed_lines(docs, short), "lines")
     comps = components(line_links(docs, lines, similar))
     named, _ = write_out(lines.select("doc_id", "line_no", name().alias("node")).join(comps, "node", "left").select("doc_id", "line_no", F.coalesce("root", "node").alias("component")), "named")
     first = named.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
@@ -328,10 +329,10 @@ def duplicate_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return out.select("doc_id", "line_no", "component", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), kept.alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def dedup_lines(docs: DataFrame, similar: float = SIMILAR, short: bool = False) -> DataFrame:
     """docs without the lines that duplicate_lines does not keep; n_chars follows, if there. Documents that lose every
     line that isn't blank go; documents without text stay as they are."""
-    gone = duplicate_lines(docs, similar).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    gone = duplicate_lines(docs, similar, short).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name of ours meets theirs
     rest = F.array_join(F.filter(F.split("row.text", "\n"), lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
     out = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left").select("row", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(rest).alias("text"), F.col("gone").isNull().alias("whole"))
@@ -341,5 +342,5 @@ def dedup_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def op10_lines(spark, sf_dir: str) -> DataFrame:
-    """Every comparable line of every document, with its component and whether it stays."""
-    return duplicate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Every line of every document that isn't blank, with its component and whether it stays."""
+    return duplicate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), short=True)
