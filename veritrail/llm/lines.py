@@ -170,7 +170,8 @@ def over_runs(batches, keys: list[str], names: list[str], settle):
 
 def families(lines: DataFrame) -> DataFrame:
     """(bhi, blo, hi, lo): each bucket's members under its smallest one, (bhi, blo); buckets of the same smallest line,
-    as one group of copies makes in many bands, are one family. Only buckets of two or more different lines count."""
+    as one group of copies makes in many bands, are one family. Pairs of chunks of a larger bucket are named by the hash
+    of their members instead, so that none grows beyond two chunks. Only buckets of two or more different lines count."""
     rows = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("key"), "hi", "lo")
     rows = rows.repartition(shuffle_parts(lines.sparkSession), "key").sortWithinPartitions("key", "hi", "lo")
     names = ["bhi", "blo", "hi", "lo"]
@@ -190,7 +191,8 @@ def families(lines: DataFrame) -> DataFrame:
                     if x == y and len(chunks) > 1:
                         continue
                     part = chunks[x] if x == y else np.concatenate([chunks[x], chunks[y]])
-                    ids.append(np.repeat(part[:1], len(part), 0))
+                    own = part[:1] if x == y else digests([part.tobytes()])
+                    ids.append(np.repeat(own, len(part), 0))
                     members.append(part)
             if len(members) > 20_000:
                 yield batch(ids, members)
