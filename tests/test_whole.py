@@ -113,13 +113,3 @@ def test_short_lines_that_are_equal_are_one_component(spark, tmp_path):
     assert got == own | {(2, 0): (1, 0, False), (3, 0): (1, 0, False), (4, 0): (3, 1, False), (5, 0): (1, 2, False)}
     rest = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert rest == {1: "Home\n\nShare\na line of its own", 2: " \nReply", 3: "\u00e9\u00e9\u00e9\u00e9", 4: "x", 6: None}
-
-
-def test_families_hold_two_chunks_at_most(spark, monkeypatch):
-    monkeypatch.setattr(lines, "CROWD", 4)
-    rows = spark.createDataFrame([(i, -i, [7, 8]) for i in range(30)], "hi long, lo long, bands array<long>")
-    held = {}
-    for r in lines.families(rows).collect():
-        held.setdefault((r["bhi"], r["blo"]), set()).add(r["hi"])
-    assert max(map(len, held.values())) == 8 and len(held) == 28
-    assert {(a, b) for m in held.values() for a in m for b in m} == {(a, b) for a in range(30) for b in range(30)}
