@@ -18,18 +18,48 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own in local mode
+    (tests), else an error: a folder of one machine is nothing that executors elsewhere can read."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="veritrail-")
-        if not set_before.isDefined():
+        if set_before.isDefined():
+            where = set_before.get()
+        elif spark.sparkContext.master.startswith("local"):
+            where = tempfile.mkdtemp(prefix="veritrail-")
             spark.sparkContext.setCheckpointDir(where)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return where.rstrip("/")
 
 
+_owned: set[str] = set()
+_scratch: list[list[str]] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's folder, which the JVM deletes when it ends; inside `scratch`, earlier."""
+    home = f"{shared_dir(spark)}/veritrail-{spark.sparkContext.applicationId}"
+    if home not in _owned:
+        path = spark._jvm.org.apache.hadoop.fs.Path(home)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _owned.add(home)
+    out = f"{home}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(out)
+    return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are made within are deleted at its end: what is to outlive it has to be written elsewhere by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        drop_paths(spark, *_scratch.pop())
 
 
 def write_out(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -58,6 +88,30 @@ def drop_paths(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def join_few(rows: DataFrame, few: DataFrame, key: str, most: int = 10_000, salts: int = 16) -> DataFrame:
+    """rows joined (inner) with the written table `few`, of one row a key: broadcast if it has at most `most` rows by count,
+    else with the rows of a key dealt to `salts` tasks, so that a key with a third of all rows is no hot one."""
+    if few.count() <= most:
+        return rows.join(F.broadcast(few), key)
+    dealt = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    return salted.join(dealt, [key, "_salt"]).drop("_salt")
+
+
+def join_hot(rows: DataFrame, classes: DataFrame, keys: list[str], n: str, least: int = 10_000) -> DataFrame:
+    """rows joined (inner) with the written table `classes`, of one row a key, whose column n says how many rows the key has.
+
+    Keys with over a thousandth of all rows (and over `least`), fewer than 1000 by that bound, are broadcast; rows of all
+    other keys are shuffled. Null keys meet nothing."""
+    total = classes.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    limit = max(least, total // 1000)
+    if total <= limit:
+        return rows.join(classes, keys)
+    hot = classes.where(F.col(n) > limit)
+    cool = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(classes.where(F.col(n) <= limit), keys)
+    return cool.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
