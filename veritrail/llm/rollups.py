@@ -39,8 +39,11 @@ class Rollup:
     """Totals kept as one small table of sums a batch under `path`, a folder that all machines share.
 
     commit() writes the batch aside and renames it into place, so a batch is there whole or not at all; repeating a
-    commit, after a crash or by a second sender, changes nothing. compact() folds old batches into one, whose list of
-    ids keeps them from being applied again. Sums are made before the shuffle, so a hot source is no hot key.
+    commit, after a crash or by a second sender, changes nothing. compact() folds all batches into one numbered fold, put
+    in place by one rename too: from then on the newest fold counts instead of older folds and of every batch whose
+    id it lists, whether or not their folders have been deleted yet, so that a crash at any step loses and doubles
+    nothing. Sums are made before the shuffle, so a hot source is no hot key. The file system's rename must be atomic,
+    as HDFS's and POSIX's are; plain object stores' are not.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -50,49 +53,58 @@ class Rollup:
         self._fs.mkdirs(self._fs_path(f"{self.path}/batches"))
 
     def _folder(self, batch: str) -> str:
-        if not batch or not all(c.isalnum() or c in "-_." for c in batch) or batch[0] in "._":
+        if not batch or not all(c.isalnum() or c in "-_." for c in batch) or batch[0] in "._" or batch.startswith("folded-"):
             raise ValueError(f"not a batch id: {batch!r}")
         return f"{self.path}/batches/{batch}"
 
-    def _names(self) -> list[str]:
+    def _listed(self) -> list[str]:
         at = self._fs_path(f"{self.path}/batches")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at) if not s.getPath().getName().startswith("_"))
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at))
+
+    def _state(self) -> tuple[str | None, set[str], list[str], list[str]]:
+        """The newest fold, the ids it covers, batches that stand beside it, and what is covered but not yet deleted."""
+        names = self._listed()
+        folds = [n for n in names if n.startswith("folded-")]
+        fold = folds[-1] if folds else None
+        ids = {r[0] for r in self.spark.read.parquet(f"{self.path}/batches/{fold}/ids").collect()} if fold else set()
+        beside = [n for n in names if not n.startswith("folded-") and n not in ids]
+        return fold, ids, beside, [n for n in names if n != fold and n not in beside]
 
     def batches(self) -> set[str]:
         """Ids of all batches applied, folded ones included."""
-        out: set[str] = set()
-        for name in self._names():
-            if name.startswith("folded-"):
-                out |= {r[0] for r in self.spark.read.parquet(f"{self.path}/batches/{name}/ids").collect()}
-            else:
-                out.add(name)
-        return out
+        _, ids, beside, _ = self._state()
+        return ids | set(beside)
+
+    def _into_place(self, aside: str, target: str) -> bool:
+        """Renames; False if the target was there already, where some file systems move into it instead."""
+        inner = f"{target}/{aside.rsplit('/', 1)[-1]}"
+        done = not self._fs.exists(self._fs_path(target)) and self._fs.rename(self._fs_path(aside), self._fs_path(target))
+        if not done or self._fs.exists(self._fs_path(inner)):
+            drop_paths(self.spark, inner, aside)
+            return False
+        return True
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Applies the batch once; False if it had been applied before."""
-        target = self._fs_path(self._folder(batch))
+        target = self._folder(batch)
         if batch in self.batches():
             return False
         aside = work_path(self.spark, "batch")
         sums = changes.groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
         sums.coalesce(1).write.parquet(f"{aside}/sums")
-        done = self._fs.rename(self._fs_path(aside), target)
-        if not done or self._fs.exists(self._fs_path(f"{self._folder(batch)}/{self._fs_path(aside).getName()}")):
-            drop_paths(self.spark, f"{self._folder(batch)}/{self._fs_path(aside).getName()}", aside)
-            return False  # another sender was first
-        return True
+        return self._into_place(aside, target)
 
-    def compact(self) -> str:
-        """Folds every batch that is there now into one; returns its name. One compaction runs at a time."""
-        names, ids = self._names(), sorted(self.batches())
+    def compact(self) -> str | None:
+        """Folds every batch that is there now into one; its name, or None if another compaction was first."""
+        fold, ids, beside, stale = self._state()
+        number = int(fold.removeprefix("folded-")) + 1 if fold else 1
         aside = work_path(self.spark, "fold")
-        self._sum(names).coalesce(1).write.parquet(f"{aside}/sums")
-        self.spark.createDataFrame([(i,) for i in ids], "id string").coalesce(1).write.parquet(f"{aside}/ids")
-        name = "folded-" + self._fs_path(aside).getName()
-        for old in names:  # moved, not deleted, until the fold stands
-            self._fs.rename(self._fs_path(f"{self.path}/batches/{old}"), self._fs_path(f"{self.path}/batches/_{old}"))
-        self._fs.rename(self._fs_path(aside), self._fs_path(f"{self.path}/batches/{name}"))
-        drop_paths(self.spark, *[f"{self.path}/batches/_{old}" for old in names])
+        self._sum(([fold] if fold else []) + beside).coalesce(1).write.parquet(f"{aside}/sums")
+        self.spark.createDataFrame([(i,) for i in sorted(ids | set(beside))], "id string").coalesce(1).write.parquet(f"{aside}/ids")
+        name = f"folded-{number:012d}"
+        if not self._into_place(aside, f"{self.path}/batches/{name}"):
+            return None
+        drop_paths(self.spark, *[f"{self.path}/batches/{old}" for old in [*stale, *beside, *([fold] if fold else [])]])
         return name
 
     def _sum(self, names: list[str]) -> DataFrame:
@@ -102,11 +114,13 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer_version, n_docs, n_tokens); nulls are values of their own; emptied groups are left out."""
-        return self._sum(self._names()).where("n_docs <> 0 or n_tokens <> 0")
+        fold, _, beside, _ = self._state()
+        return self._sum(([fold] if fold else []) + beside).where("n_docs <> 0 or n_tokens <> 0")
 
 
 def counted(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, source, lang, n_words and n_tokens of every whole text (null: none); one pass, no shuffle."""
+    """doc_id, source, lang, n_words and n_tokens of every whole text (null: none); one pass, no shuffle. Null ids, sources
+    and languages are kept; repeated rows are counted each; an empty table gives no rows; other columns are left out."""
     some = docs.select("doc_id", "source", "lang", "text")
 
     def count(batches):
