@@ -42,8 +42,10 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # units are in lower case, where a spelling may look special that isn't
+        special = [re.escape(t.content.encode()) for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(special)) if special else None
         self.model, self.bytes = self.tokenizer.model, byte_letters()
         self.packed = [np.array(i, "<u4").tobytes() for i in range(max(self.tokenizer.get_vocab(True).values()) + 1)]
         self.known: dict[bytes, bytes] = {}
@@ -82,8 +84,14 @@ class WordEncoder:
         lower = lower_table()
         for i, j in slices(offsets, LOT):
             flat, at = lower[data[offsets[i] : offsets[j]]].tobytes(), (offsets[i : j + 1] - offsets[i]).tolist()
-            texts = [CUT.sub(rb"\1 ", flat[s:e]).split() for s, e in zip(at, at[1:])]
+            raw = data[offsets[i] : offsets[j]].tobytes()
+            marked = {k for k, (s, e) in enumerate(zip(at, at[1:])) if self.special.search(raw, s, e)} if self.special and self.special.search(raw) else ()
+            texts = [CUT.sub(rb"\1 ", flat[s:e]).split() if k not in marked else [] for k, (s, e) in enumerate(zip(at, at[1:]))]
             self.learn(set().union(*texts))
             get = self.known.__getitem__
-            for units in texts:
-                yield b"".join(map(get, units))
+            for k, units in enumerate(texts):
+                if k in marked:  # a special token's spelling, which the vocabulary reads before all else
+                    text = raw[at[k] : at[k + 1]].decode("utf-8", "replace")
+                    yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                else:
+                    yield b"".join(map(get, units))
