@@ -8,6 +8,8 @@ put into one global order by another hash.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from veritrail.llm.common import shuffle_parts, write_out
 
 #: Hash digits to a number: 13 hexadecimal digits are 52 bits, exact in a double.
 DIGITS = 13
+#: Rates up to this are summed from zero; exp(-745) is the least double.
+FAR = 600.0
 
 
 def unit(*parts: Column) -> Column:
@@ -23,12 +27,24 @@ def unit(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, DIGITS), 16, 10).cast("long") / F.lit(float(16**DIGITS))
 
 
+def log_factorial(k: Column) -> Column:
+    """ln k! by Stirling's series; good to 1e-13 of it from k = 20 on."""
+    x = k.cast("double") + 1
+    return (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+
 def poisson(u: Column, rate: Column) -> Column:
-    """Smallest k with P(X <= k) > u, by adding terms until u is passed or terms no longer change the sum."""
-    last = (rate + F.sqrt(rate) * 12 + 40).cast("int")
-    step = lambda s, k: F.struct((s.p * rate / k).alias("p"), (s.c + s.p * rate / k).alias("c"), F.when(s.c <= u, k).otherwise(s.n).cast("int").alias("n"))
-    first = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).cast("int").alias("n"))
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), first, step, lambda s: s.n)).otherwise(0)
+    """Smallest k with P(X <= k) > u, by adding terms over all k within twelve deviations (and 40) of the rate.
+
+    Up to a rate of FAR terms begin at k = 0; beyond, where exp(-rate) would vanish, at that lower end, whose term
+    comes from logarithms and below which less than 1e-30 lies.
+    """
+    reach = F.sqrt(rate) * 12 + 40
+    low = F.when(rate <= FAR, 0).otherwise(rate - reach).cast("long")
+    p = F.when(rate <= FAR, F.exp(-rate)).otherwise(F.exp(low * F.log(rate) - rate - log_factorial(low)))
+    step = lambda s, k: F.struct((s.p * rate / k).alias("p"), (s.c + s.p * rate / k).alias("c"), F.when(s.c <= u, k).otherwise(s.n).alias("n"))
+    first = F.struct(p.alias("p"), p.alias("c"), low.alias("n"))
+    return F.when(rate > 0, F.aggregate(F.sequence(low + 1, (rate + reach).cast("long")), first, step, lambda s: s.n)).otherwise(0).cast("int")
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, epochs: float = 1.0) -> DataFrame:
@@ -92,7 +108,7 @@ d as (select doc_id, text, lang, d.source, rate,
   ('0x' || substr(md5('7-count|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double as u
   from documents d join rates r on d.source is not distinct from r.source where rate > 0),
 terms as (select rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) over (partition by rate order by k) as cdf
-  from (select distinct rate from d), range(0, 400) g(k) where k <= rate + sqrt(rate) * 12 + 40),
+  from (select rate, unnest(range(0, (rate + sqrt(rate) * 12 + 41)::bigint)) as k from (select distinct rate from d))),
 n as (select d.*, (select count(*) from terms t where t.rate = d.rate and t.cdf <= d.u) as k from d),
 c as (select n.*, unnest(range(0, k)) as copy from n where k > 0)
 select doc_id, copy::integer as copy, source, lang, text, round(rate, 6) as rate,
