@@ -13,14 +13,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import lower_table, runs, shuffle_parts, slices, text_parts, write_out
+from veritrail.llm.common import join_hot, lower_table, runs, shuffle_parts, slices, text_parts, write_out
 from veritrail.llm.components import components
 
 #: Characters of a shingle (a power of two), bands and rows of the signature, and the similarity of near copies.
 #: At similarity 0.8 a pair meets in a band with chance 1 - (1 - 0.8**4)**12 = 0.998.
 SHINGLE, BANDS, ROWS, SIMILAR = 8, 12, 4, 0.8
-#: Larger buckets are verified by pairs of chunks of this many lines, so that no task holds more; none is left out.
-CROWD = 4096
+#: Larger buckets are verified by pairs of chunks of this many lines, each pair a family of its own; none is left out.
+CROWD = 2048
+#: Families of up to this many lines are walked pair by pair, larger ones by vectorised rows of pairs.
+SMALL = 6
 #: Lines remembered by a task so as to sign each once; when full the memory is emptied, which changes no result.
 MEMORY = 500_000
 #: Bits of the filter of candidate lines: 4 MB, whatever the corpus. A full filter only lets more lines through to the join.
@@ -169,11 +171,13 @@ def over_runs(batches, keys: list[str], names: list[str], settle):
 
 
 def families(lines: DataFrame) -> DataFrame:
-    """(bhi, blo, hi, lo): each bucket's members under its smallest one, (bhi, blo); buckets of the same smallest line,
-    as one group of copies makes in many bands, are one family. Only buckets of two or more different lines count."""
+    """(bhi, blo, pair, hi, lo): each bucket's members under its smallest one, (bhi, blo); buckets of the same smallest line,
+    as one group of copies makes in many bands, are one family, and pair is 0. Of a bucket of over CROWD lines every pair
+    of chunks is a family, by a hash of the bucket and both chunks' numbers, so that none holds more than two chunks. Only
+    buckets of two or more different lines count."""
     rows = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("key"), "hi", "lo")
     rows = rows.repartition(shuffle_parts(lines.sparkSession), "key").sortWithinPartitions("key", "hi", "lo")
-    names = ["bhi", "blo", "hi", "lo"]
+    names = ["bhi", "blo", "pair", "hi", "lo"]
 
     def settle(t):
         key, hi, lo = (t.column(c).to_numpy() for c in ("key", "hi", "lo"))
@@ -181,28 +185,22 @@ def families(lines: DataFrame) -> DataFrame:
         new[1:] = (key[1:] != key[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
         key, both = key[new], np.stack([hi[new], lo[new]], 1)
         at = runs(key)
-        ids, members = [], []
-        for k in np.flatnonzero(np.diff(at) > 1).tolist():
-            group = both[at[k] : at[k + 1]]
-            chunks = [group[c : c + CROWD] for c in range(0, len(group), CROWD)]
-            for x in range(len(chunks)):
-                for y in range(x, len(chunks)):
-                    if x == y and len(chunks) > 1:
-                        continue
-                    part = chunks[x] if x == y else np.concatenate([chunks[x], chunks[y]])
-                    ids.append(np.repeat(part[:1], len(part), 0))
-                    members.append(part)
-            if len(members) > 20_000:
-                yield batch(ids, members)
-                ids, members = [], []
-        if members:
-            yield batch(ids, members)
-
-    def batch(ids, members):
-        a, b = np.concatenate(ids), np.concatenate(members)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (a[:, 0], a[:, 1], b[:, 0], b[:, 1])], names)
-
-    return rows.mapInArrow(lambda batches: over_runs(batches, ["key"], names, settle), "bhi long, blo long, hi long, lo long").distinct()
+        size = np.diff(at)
+        some = np.repeat((size > 1) & (size <= CROWD), size)
+        if some.any():
+            yield batch(np.repeat(both[at[:-1]], size, 0)[some], np.zeros(some.sum(), np.int64), both[some])
+        for k in np.flatnonzero(size > CROWD).tolist():
+            chunks = np.array_split(both[at[k] : at[k + 1]], -(-size[k] // CROWD))
+            for x, one in enumerate(chunks):
+                for y, other in enumerate(chunks[x + 1 :], x + 1):
+                    part = np.concatenate([one, other])
+                    pair = xxhash.xxh64_intdigest(f"{key[at[k]]} {x} {y}") >> 1 | 1
+                    yield batch(np.repeat(part[:1], len(part), 0), np.full(len(part), pair, np.int64), part)
+
+    def batch(a, pair, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (a[:, 0], a[:, 1], pair, b[:, 0], b[:, 1])], names)
+
+    return rows.mapInArrow(lambda batches: over_runs(batches, ["key"], names, settle), "bhi long, blo long, pair long, hi long, lo long").distinct()
 
 
 def candidate_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -263,6 +261,8 @@ def overlap(a, b, x: str, y: str) -> tuple[int, int, int]:
 
 def forest(lines: list[str], similar: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose Jaccard similarity is at least `similar`."""
+    if len(lines) > SMALL:
+        return wide_forest(lines, similar)
     parent, kept = list(range(len(lines))), []
     sets = [packed(x) for x in lines]
 
@@ -287,6 +287,46 @@ def forest(lines: list[str], similar: float) -> list[tuple[int, int]]:
     return kept
 
 
+def wide_forest(lines: list[str], similar: float) -> list[tuple[int, int]]:
+    """As forest: from a line to all lines like it that no tree holds yet, and on from those. A line is compared with
+    those left over only, all at once, so copies of one template cost one row of pairs."""
+    sets = [packed(x) for x in lines]
+    if any(x is None for x in sets):
+        number: dict[str, int] = {}
+        sets = [np.array([number.setdefault(g, len(number)) for g in shingles(x)]) for x in lines]
+    sizes = np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    mark = np.zeros(int(ids.max()) + 1, bool)
+    left, kept = np.arange(len(lines)), []
+    flat, begins, size = ids, ends - sizes, sizes  # of the lines that are left
+    while len(left):
+        trees = [int(left[0])]
+        keep = np.ones(len(left), bool)
+        keep[0] = False
+        while trees and len(left):
+            if not keep.all():
+                flat = flat[np.repeat(keep, size)]
+                left, size = left[keep], size[keep]
+                begins = np.cumsum(size) - size
+                if not len(left):
+                    break
+            x = trees.pop()
+            own = ids[ends[x] - sizes[x] : ends[x]]
+            mark[own] = True
+            common = np.add.reduceat(mark[flat], begins, dtype=np.int64)
+            mark[own] = False
+            near = common >= similar * (sizes[x] + size - common)
+            kept += [(x, y) for y in left[near].tolist()]
+            trees += left[near].tolist()
+            keep = ~near
+        if len(left) and not keep.all():
+            flat = flat[np.repeat(keep, size)]
+            left, size = left[keep], size[keep]
+            begins = np.cumsum(size) - size
+    return kept
+
+
 def name(hi: str = "hi", lo: str = "lo"):
     return F.concat(F.lpad(F.hex(hi), 16, "0"), F.lpad(F.hex(lo), 16, "0"))
 
@@ -295,11 +335,11 @@ def line_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> D
     """Edges (a, b) between names of different lines that are near copies."""
     members, _ = write_out(families(lines), "families")
     texts = candidate_texts(docs, members.select("hi"))
-    rows = members.join(texts, ["hi", "lo"]).repartition(shuffle_parts(docs.sparkSession), "bhi", "blo").sortWithinPartitions("bhi", "blo", "hi", "lo")
+    rows = members.join(texts, ["hi", "lo"]).repartition(shuffle_parts(docs.sparkSession), "bhi", "blo", "pair").sortWithinPartitions("bhi", "blo", "pair", "hi", "lo")
 
     def settle(t):
-        bhi, blo, hi, lo = (t.column(c).to_numpy() for c in ("bhi", "blo", "hi", "lo"))
-        at = np.union1d(runs(bhi), runs(blo))
+        bhi, blo, pair, hi, lo = (t.column(c).to_numpy() for c in ("bhi", "blo", "pair", "hi", "lo"))
+        at = np.union1d(np.union1d(runs(bhi), runs(blo)), runs(pair))
         out = []
         text = t.column("line")
         for s, e in zip(at.tolist(), at[1:].tolist()):
@@ -309,7 +349,7 @@ def line_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> D
             x = np.array(out)
             yield pa.RecordBatch.from_arrays([pa.array(c[k]) for k in (x[:, 0], x[:, 1]) for c in (hi, lo)], ["ahi", "alo", "bhi", "blo"])
 
-    found = rows.mapInArrow(lambda batches: over_runs(batches, ["bhi", "blo"], [], settle), "ahi long, alo long, bhi long, blo long")
+    found = rows.mapInArrow(lambda batches: over_runs(batches, ["bhi", "blo", "pair"], [], settle), "ahi long, alo long, bhi long, blo long")
     return found.select(name("ahi", "alo").alias("a"), name("bhi", "blo").alias("b"))
 
 
@@ -317,21 +357,31 @@ def duplicate_lines(docs: DataFrame, similar: float = SIMILAR, short: bool = Fal
     """(doc_id, line_no, component, first_doc, first_line, kept) of every line of at least SHINGLE bytes, blanks collapsed.
 
     A component is named after its smallest line hash; its line of the smallest (doc_id, line_no) is kept. Shorter
-    lines are listed with `short`, and equal ones are a component; else they stay. Blank lines are not listed: they stay. Null and empty texts have no lines. Rows with the same
-    doc_id are taken for the same document. An empty table gives no rows.
+    lines are listed with `short`, and equal ones are a component; else they stay. Blank lines are not listed: they
+    stay. Null and empty texts have no lines. Null ids come first. Rows with the same doc_id are taken for the same document.
+    Other columns are left out. An empty table gives no rows.
+
+    What is said of a line is worked out once for each different line, from counts and firsts combined before the
+    shuffle; lines that are very common then get it by broadcast.
     """
     lines, _ = write_out(signed_lines(docs, short), "lines")
     comps = components(line_links(docs, lines, similar))
-    named, _ = write_out(lines.select("doc_id", "line_no", name().alias("node")).join(comps, "node", "left").select("doc_id", "line_no", F.coalesce("root", "node").alias("component")), "named")
-    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    out = named.join(first, "component")
+    each = lines.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"))
+    each, _ = write_out(each.withColumn("node", name()).join(comps, "node", "left"), "each")
+    linked = each.where("root is not null").groupBy("root").agg(F.min("first").alias("low"), F.count("*").alias("m"))
+    linked, _ = write_out(linked, "firsts")
+    alone = each.where("root is null").select("hi", "lo", "n", F.col("node").alias("component"), "first")
+    shared = join_hot(each.where("root is not null"), linked, ["root"], "m").select("hi", "lo", "n", F.col("root").alias("component"), F.col("low").alias("first"))
+    classes, _ = write_out(alone.unionByName(shared), "classes")
+    out = join_hot(lines.select("doc_id", "line_no", "hi", "lo"), classes, ["hi", "lo"], "n")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
     return out.select("doc_id", "line_no", "component", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), kept.alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, similar: float = SIMILAR, short: bool = False) -> DataFrame:
     """docs without the lines that duplicate_lines does not keep; n_chars follows, if there. Documents that lose every
-    line that isn't blank go; documents without text stay as they are."""
+    line that isn't blank go; documents without text stay as they are. Null ids are one document's; repeated rows lose
+    the same lines; other columns are carried along whatever their names. An empty table gives an empty one."""
     gone = duplicate_lines(docs, similar, short).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name of ours meets theirs
     rest = F.array_join(F.filter(F.split("row.text", "\n"), lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
