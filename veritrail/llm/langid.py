@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from veritrail.llm.common import fold, lower_table, slices, text_parts
 
-#: Bounds of the labelled sample that the automata are built of: documents and bytes a language, and languages.
-SAMPLE_DOCS, SAMPLE_BYTES, LANGS = 48, 24_000, 64
+#: Bounds of the labelled sample that the automata are built of: documents and bytes a language, and bytes in all, which
+#: languages share where they are many. Every language that has a label is learned.
+SAMPLE_DOCS, SAMPLE_BYTES, TOTAL_BYTES = 48, 24_000, 4_000_000
+#: Bytes of the tables that a worker holds at once; languages beyond are parsed in groups, one after another.
+TABLE_BYTES = 48 << 20
 #: Texts are parsed in segments of this many bytes, each from the root; all segments of a text count.
 SEGMENT = 1024
 #: Bytes parsed in one vectorised step.
@@ -60,9 +63,10 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """Tables that count, for many texts at once, the phrases of their greedy parses against each language's sample.
+    """Counts, for many texts at once, the phrases of their greedy parses against each language's sample.
 
-    A phrase is the longest match of the language's sample at its place, or one byte that the sample lacks.
+    A phrase is the longest match of the language's sample at its place, or one byte that the sample lacks. Automata are
+    kept as lists of transitions, and spread out to tables for a group of languages at a time.
     table[state + class]: the next state's row times two, plus one if a phrase begins there.
     """
 
@@ -71,32 +75,57 @@ class CrossParser:
         lower = letters_only()
         texts = {k: lower[np.frombuffer(samples[k], np.uint8)].tobytes() for k in self.langs}
         seen = [b for b, _ in Counter(b"".join(texts.values())).most_common()]
-        order = np.zeros(256, np.int32)
+        order = np.zeros(256, np.uint8)
         for i, b in enumerate(seen, 1):
-            order[b] = i
+            order[b] = min(i, 255)  # letters_only leaves under 200 bytes apart
         self.width = len(seen) + 1
-        self.classes = order[lower]
-        tables, roots, base = [], [], 0
+        self.classes = order[lower].astype(np.int32)
+        #: Of each language: its number of states; and (from, class, to) of every transition.
+        self.states, self.edges = [], []
         for k in self.langs:
             go = suffix_automaton(texts[k])
-            t = np.full((len(go) + 1, self.width), -1, np.int64)  # the last row: after a byte that the sample lacks
-            for s, edges in enumerate(go):
-                for b, to in edges.items():
-                    t[s, order[b]] = to
-            dead, first = t < 0, np.where(t[0] < 0, len(go), t[0])
-            begins = dead.copy()
-            begins[0] = False  # the root stands only before a segment, whose first phrase is counted at its end
-            tables.append(((np.where(dead, first, t) + base) * self.width * 2 + begins).ravel())
-            roots.append(base * self.width)
-            base += len(t)
-        self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
-        self.roots = np.array(roots, np.int32)
+            self.states.append(len(go))
+            self.edges.append(np.array([(s, order[b], to) for s, e in enumerate(go) for b, to in e.items()], np.int32).reshape(-1, 3))
         #: Bits that name a place in the language's sample: what a phrase costs.
         self.cost = np.array([np.log2(max(2, len(texts[k]))) for k in self.langs])
+        self.groups, room = [], 0
+        for i, n in enumerate(self.states):
+            room += 4 * (n + 1) * self.width
+            if not self.groups or room > TABLE_BYTES:
+                self.groups.append([])
+                room = 4 * (n + 1) * self.width
+            self.groups[-1].append(i)
+        self._held = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_held": None}
+
+    def spread(self, group: int) -> tuple[np.ndarray, np.ndarray]:
+        """The table of a group of languages and the rows of their roots."""
+        if self._held is None or self._held[0] != group:
+            tables, roots, base = [], [], 0
+            for i in self.groups[group]:
+                n = self.states[i]
+                t = np.full((n + 1, self.width), -1, np.int32)  # the last row: after a byte that the sample lacks
+                t[self.edges[i][:, 0], self.edges[i][:, 1]] = self.edges[i][:, 2]
+                dead, first = t < 0, np.where(t[0] < 0, n, t[0])
+                begins = dead.copy()
+                begins[0] = False  # the root stands only before a segment, whose first phrase is counted at its end
+                tables.append(((np.where(dead, first, t) + base) * np.int32(self.width * 2) + begins).astype(np.int32).ravel())
+                roots.append(base * self.width)
+                base += len(t)
+            self._held = group, np.concatenate(tables), np.array(roots, np.int32)
+        return self._held[1:]
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) by each language (columns)."""
-        n, k = len(offsets) - 1, len(self.langs)
+        out = np.zeros((len(offsets) - 1, len(self.langs)), np.int64)
+        for g, some in enumerate(self.groups):
+            out[:, some] = self.group_phrases(data, offsets, *self.spread(g))
+        return out
+
+    def group_phrases(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, roots: np.ndarray) -> np.ndarray:
+        n, k = len(offsets) - 1, len(roots)
         out = np.zeros((n, k), np.int64)
         for i, j in slices(offsets, CHUNK):
             size = np.diff(offsets[i : j + 1])
@@ -113,14 +142,14 @@ class CrossParser:
             codes = self.classes[data[lo:hi]]
             steps = int(length[0])
             live = np.searchsorted(-length, -np.arange(steps), "left")
-            state = np.repeat((self.roots * 2)[:, None], len(owner), 1)
+            state = np.repeat((roots * 2)[:, None], len(owner), 1)
             count = np.zeros((k, len(owner)), np.int32)
             at = begin - lo
             for step in range(steps):
                 m = live[step]
                 now = state[:, :m] >> 1
                 now += codes[at[:m] + step]
-                got = self.table.take(now, mode="clip")
+                got = table.take(now, mode="clip")
                 state[:, :m] = got
                 got &= 1
                 count[:, :m] += got
@@ -155,20 +184,25 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def sample(labelled: DataFrame, docs_a_lang: int = SAMPLE_DOCS, bytes_a_lang: int = SAMPLE_BYTES, langs: int = LANGS) -> dict[str, bytes]:
-    """Up to docs_a_lang documents of each language, in the order of a hash of their ids, middling ones before longer, cut to bytes_a_lang."""
+def sample(labelled: DataFrame, docs_a_lang: int = SAMPLE_DOCS, bytes_a_lang: int = SAMPLE_BYTES, total: int = TOTAL_BYTES) -> dict[str, bytes]:
+    """Up to docs_a_lang documents of each language, in the order of a hash of their ids, middling ones before longer, cut to
+    bytes_a_lang, or to an equal share of `total` where languages are many. No language is left out."""
     each = labelled.where("lang is not null and text is not null and text <> ''")
-    known = [r["lang"] for r in each.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()]
     keyed = each.select("doc_id", "lang", F.when(F.length("text").between(200, 20_000), 0).otherwise(1).alias("odd"), F.xxhash64("doc_id").alias("h"))
     w = Window.partitionBy("lang").orderBy("odd", "h", "doc_id")
-    ids = keyed.where(F.col("lang").isin(known)).withColumn("r", F.row_number().over(w)).where(F.col("r") <= docs_a_lang).select("doc_id", "lang", "r").collect()
-    wanted = {r["doc_id"]: (r["r"], r["lang"]) for r in ids}
-    rows = each.where(F.col("doc_id").isin(list(wanted))).select("doc_id", "lang", F.substring("text", 1, 20_000).alias("text")).dropDuplicates(["doc_id", "lang"]).collect()
-    by: dict[str, list] = {}
-    for r in rows:
-        if r["lang"] == wanted[r["doc_id"]][1]:
-            by.setdefault(r["lang"], []).append((wanted[r["doc_id"]][0], r["text"].encode()))
-    return {k: interleave([t for _, t in sorted(v)], bytes_a_lang) for k, v in by.items()}
+    ids = keyed.withColumn("r", F.row_number().over(w)).where(F.col("r") <= docs_a_lang).select("doc_id", "lang", "r").collect()
+    if not ids:
+        return {}
+    found = Counter(r["lang"] for r in ids)
+    most = min(bytes_a_lang, max(64, total // len(found)))
+    rows = [(r["doc_id"], r["lang"], r["r"], min(20_000, 4 * most // found[r["lang"]])) for r in ids]
+    wanted = labelled.sparkSession.createDataFrame(rows, keyed.select("doc_id", "lang").schema.add("r", "integer").add("most", "integer"))
+    same = each["doc_id"].eqNullSafe(F.col("w.doc_id")) & (each["lang"] == F.col("w.lang"))
+    rows = each.join(F.broadcast(wanted.alias("w")), same).select(each["lang"], "r", F.substring("text", F.lit(1), F.col("most")).alias("text")).collect()
+    by: dict[str, dict] = {}
+    for r in sorted(rows, key=lambda x: (x["r"], x["text"])):
+        by.setdefault(r["lang"], {}).setdefault(r["r"], r["text"].encode())
+    return {k: interleave(list(v.values()), most) for k, v in by.items()}
 
 
 def interleave(texts: list[bytes], most: int) -> bytes:
@@ -182,25 +216,30 @@ def interleave(texts: list[bytes], most: int) -> bytes:
     return out[:most]
 
 
-def predict_languages(docs: DataFrame, parser: CrossParser) -> DataFrame:
-    """docs with lang_pred and score. One pass over the texts; no shuffle.
-
-    Null texts and texts without a letter are 'und' with score 0; so is all if nothing was learned. Equal counts
-    go to the first language in order. Whole texts count, however long. Repeated rows are judged alike. Columns
-    named lang_pred or score are replaced.
-    """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    held = docs.sparkSession.sparkContext.broadcast(parser)  # bounded: LANGS automata of SAMPLE_BYTES
+def judged_rows(docs: DataFrame, parser: CrossParser) -> DataFrame:
+    """(row, lang_pred, score): docs' columns as one struct, so that no name of theirs meets ours."""
+    held = docs.sparkSession.sparkContext.broadcast(parser)  # bounded by TOTAL_BYTES of sample
 
     def judge(batches):
         p = held.value
+        names = pa.array([*p.langs, "und"])
         for b in batches:
             best, score = p.judge(*text_parts(b.column("text")))
-            names = pa.array([*p.langs, "und"]).take(pa.array(best % (len(p.langs) + 1)))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], names, pa.array(score)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), names.take(pa.array(best % (len(p.langs) + 1))), pa.array(score)], ["row", "lang_pred", "score"])
 
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep).mapInArrow(judge, schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+    return rows.mapInArrow(judge, rows.select("row").schema.add("lang_pred", "string").add("score", "double"))
+
+
+def predict_languages(docs: DataFrame, parser: CrossParser) -> DataFrame:
+    """docs with lang_pred and score. One pass over the texts; no shuffle.
+
+    Null texts and texts without a letter are 'und' with score 0; so is all if nothing was learned. Equal counts
+    go to the first language in order. Whole texts count, however long. Repeated rows are judged alike. Columns
+    named lang_pred or score, in any case, are replaced; judged_rows keeps them. An empty table gives an empty one.
+    """
+    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return judged_rows(docs, parser).select(*[F.col(f"row.`{c}`") for c in keep], "lang_pred", "score")
 
 
 def learn(docs: DataFrame) -> CrossParser:
