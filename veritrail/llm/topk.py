@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.llm.common import shuffle_parts, write_out
@@ -70,7 +70,8 @@ class Index:
         self.top2, self.pivots = top2, pivots
         self.lift = np.sqrt(np.maximum(0, top2 - (pivots**2).sum(1)))
         self.width = 2 * np.sqrt(top2) / RINGS if top2 > 0 else 1.0
-        self.rings: dict[tuple[int, int], int] = {}
+        #: Rows and blocks of each (pivot, ring) that has any.
+        self.rings: dict[tuple[int, int], tuple[int, int]] = {}
 
     def distances(self, x: np.ndarray, lifted: bool) -> np.ndarray:
         """Of rows to pivots in lifted space; queries lie at height 0."""
@@ -88,129 +89,133 @@ class Index:
         return np.maximum(0, np.maximum(d[:, p] - (inner + self.width), inner - d[:, p]) - slack)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k largest scores, ties to smaller ids."""
+def best(scores: np.ndarray, ids: np.ndarray, k: int, nth: np.ndarray) -> np.ndarray:
+    """Positions of the k largest scores, ties to smaller ids, then to earlier rows."""
     if len(scores) > 4 * k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
         near = np.flatnonzero(scores >= least)
-        return near[np.lexsort((ids[near], -scores[near]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
+        return near[np.lexsort((nth[near], ids[near], -scores[near]))[:k]]
+    return np.lexsort((nth, ids, -scores))[:k]
 
 
-def meet(blocks: DataFrame, asks: DataFrame, k: int, dim: int, exact: bool) -> DataFrame:
-    """(query_id, vec_id, score): each query's k best rows of each block that it opens. exact: by doubles, else by Python's integers."""
-    lots = asks.groupBy("ring", "salt").agg(F.count("*").alias("n")).select("ring", "salt", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / LOT).cast("int"))).alias("lot"))
-    left = blocks.join(lots, ["ring", "salt"]).select("ring", "salt", "lot", "id", "v")
-    size = asks.groupBy("ring", "salt").agg(F.floor((F.count("*") - 1) / LOT + 1).cast("int").alias("of"))
-    right = asks.join(size, ["ring", "salt"]).select("ring", "salt", F.pmod(F.xxhash64("id"), F.col("of")).cast("int").alias("lot"), "id", "v")
+FOUND = "q long, query_id long, nth long, vec_id long, score long"
+
+
+def meet(blocks: DataFrame, asks: DataFrame, k: int) -> DataFrame:
+    """FOUND: each query's k best rows of each block that it opens; by doubles where these are exact, else by Python's integers."""
+    keys = ["dim", "ring", "salt"]
+    lots = asks.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / LOT).cast("int"))).alias("lot"))
+    left = blocks.join(lots, keys).select(*keys, "lot", "nth", "id", "v")
+    size = asks.groupBy(*keys).agg(F.floor((F.count("*") - 1) / LOT + 1).cast("int").alias("of"))
+    right = asks.join(size, keys).select(*keys, F.pmod(F.xxhash64("q"), F.col("of")).cast("int").alias("lot"), "q", "id", "v")
 
     def run(key, rows, queries):
+        dim = key[0].as_py()
         n, m = rows.num_rows, queries.num_rows
-        out_q, out_v, out_s = [], [], []
+        out: list[list] = [[], [], [], [], []]
         if n and m:
             x, q = matrix(rows.column("v"), dim), matrix(queries.column("v"), dim)
-            ids, qs = rows.column("id").to_numpy(), queries.column("id").to_numpy()
+            nth, ids, asked, qs = (t.column(c).to_numpy() for t, c in ((rows, "nth"), (rows, "id"), (queries, "q"), (queries, "id")))
+            exact = dim <= 1 << 13 and max(int(abs(x).max(initial=0)), int(abs(q).max(initial=0))) <= EXACT
             x, q = (x.astype(np.float64), q.astype(np.float64)) if exact else (x.astype(object), q.astype(object))
             for s in range(0, m, 256):
-                scores = q[s : s + 256] @ x.T
+                scores = q[s : s + 256] @ x.T if dim else np.zeros((len(q[s : s + 256]), n))
                 for j in range(len(scores)):
                     own = np.flatnonzero(ids != qs[s + j])
-                    row = scores[j][own] if exact else np.array([int(y) for y in scores[j][own]], object)
                     if exact:
-                        top = own[best(row, ids[own], k)]
+                        top = own[best(scores[j][own], ids[own], k, nth[own])]
                     else:
-                        top = own[np.array(sorted(range(len(own)), key=lambda t: (-row[t], ids[own[t]]))[:k], np.int64)]
-                    out_q += [int(qs[s + j])] * len(top)
-                    out_v += ids[top].tolist()
-                    out_s += [int(y) for y in scores[j][top]]
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.int64())})
+                        top = np.array(sorted(own.tolist(), key=lambda t: (-int(scores[j][t]), ids[t], nth[t]))[:k], np.int64)
+                    for column, values in zip(out, ([int(asked[s + j])] * len(top), [int(qs[s + j])] * len(top), nth[top].tolist(), ids[top].tolist(), [int(y) for y in scores[j][top]])):
+                        column += values
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=[f.split()[0] for f in FOUND.split(", ")])
 
-    return left.groupBy("ring", "salt", "lot").cogroup(right.groupBy("ring", "salt", "lot")).applyInArrow(run, "query_id long, vec_id long, score long")
+    return left.groupBy(*keys, "lot").cogroup(right.groupBy(*keys, "lot")).applyInArrow(run, FOUND)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """Each query's k best; ties to smaller ids. A group holds at most k rows a block, combined before the shuffle."""
-    from pyspark.sql import Window
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "nth")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
 
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def by_length(dims: np.ndarray):
+    """Each vector length of a batch and the rows that have it."""
+    return [(int(d), np.flatnonzero(dims == d)) for d in np.unique(dims)]
 
 
 def top_k(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that `queries` (a condition on id) holds of, the k other rows of
     the largest integer inner products, all if fewer; ties to smaller ids.
 
-    Exact. Null vectors and such as hold null or non-finite components take no part, nor do null ids. Vectors of
-    another length than the commonest (the smaller on ties) take no part. Repeated rows count once, equal ids with
-    different vectors as a row each; a query's own id is never among its answers. Empty tables give no rows. Components are
-    computed exactly, beyond doubles too; scores must fit a long.
+    Exact. Null vectors and such as hold null or non-finite components take no part, nor do null ids. Vectors meet those
+    of their own length alone, each length having an index of its own; empty vectors score 0. Repeated rows are candidates
+    each; repeated rows among the queries are one query, equal ids with different vectors one each; a query's own id is
+    never among its answers. Other columns are left out. Empty tables give no rows. Components are computed exactly,
+    beyond doubles too; scores must fit a long.
     """
     spark = vectors.sparkSession
-    rows, _ = write_out(integers(vectors, id_col, vec_col).dropDuplicates(["id", "v"]), "vectors")
-    shape = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm2").alias("top2"), F.max("most").alias("most")).orderBy(F.desc("n"), "dim").first()
-    if shape is None or shape["dim"] == 0:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim, exact = shape["dim"], shape["most"] <= EXACT and shape["dim"] <= 1 << 13
-    rows = rows.where(F.col("dim") == dim)
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").collect()
-    index = Index(np.unique(np.array([r["v"] for r in picked], np.float64), axis=0), shape["top2"])
-    held = spark.sparkContext.broadcast(index)
+    rows, _ = write_out(integers(vectors, id_col, vec_col).withColumn("nth", F.monotonically_increasing_id()), "vectors")
+    tops = {r["dim"]: r["top2"] for r in rows.groupBy("dim").agg(F.max("norm2").alias("top2")).collect()}  # one a length
+    w = Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id", "nth")
+    picked = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= PIVOTS).select("dim", "v").collect()
+    indexes = {d: Index(np.unique(np.array([r["v"] for r in picked if r["dim"] == d], np.float64), axis=0) if d else np.zeros((1, 0)), top2) for d, top2 in tops.items()}
+    held = spark.sparkContext.broadcast(indexes)
 
     def place(batches):
-        x = held.value
         for b in batches:
-            d = x.distances(matrix(b.column("v"), dim).astype(np.float64), True)
-            p = d.argmin(1)
-            ring = np.minimum(RINGS - 1, (d[np.arange(len(p)), p] / x.width).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(p * RINGS + ring)], ["id", "v", "ring"])
-
-    keyed, _ = write_out(rows.select("id", "v").mapInArrow(place, "id long, v array<long>, ring long"), "index")
-    counts = {r["ring"]: r["count"] for r in keyed.groupBy("ring").count().collect()}  # at most PIVOTS * RINGS
-    index.rings = {(r // RINGS, r % RINGS): n for r, n in sorted(counts.items())}
-    cuts = {r: -(-n // BLOCK) for r, n in counts.items()}
-    held = spark.sparkContext.broadcast((index, cuts))
-    salt = F.lit(1)
-    if max(cuts.values()) > 1:
-        salt = F.create_map(*[F.lit(x) for r, c in cuts.items() if c > 1 for x in (r, c)])[F.col("ring")]
-    blocks = keyed.withColumn("salt", F.pmod(F.xxhash64("id", "v"), F.coalesce(salt, F.lit(1))).cast("int")).repartition(shuffle_parts(spark), "ring", "salt")
+            for d, some in by_length(b.column("dim").to_numpy()):
+                x, part = held.value[d], b.take(pa.array(some))
+                far = x.distances(matrix(part.column("v"), d).astype(np.float64), True)
+                p = far.argmin(1)
+                ring = np.minimum(RINGS - 1, (far[np.arange(len(p)), p] / x.width).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("dim", "nth", "id", "v")], pa.array(p * RINGS + ring)], ["dim", "nth", "id", "v", "ring"])
+
+    keyed, _ = write_out(rows.select("dim", "nth", "id", "v").mapInArrow(place, "dim int, nth long, id long, v array<long>, ring long"), "index")
+    sizes = keyed.groupBy("dim", "ring").count().withColumn("cut", F.ceil(F.col("count") / BLOCK).cast("int"))
+    for r in sizes.orderBy("dim", "ring").collect():  # at most PIVOTS * RINGS a length
+        indexes[r["dim"]].rings[r["ring"] // RINGS, r["ring"] % RINGS] = r["count"], r["cut"]
+    held = spark.sparkContext.broadcast(indexes)
+    blocks = keyed.join(F.broadcast(sizes.select("dim", "ring", "cut")), ["dim", "ring"]).withColumn("salt", F.pmod(F.xxhash64("nth"), F.col("cut")).cast("int")).drop("cut").repartition(shuffle_parts(spark), "dim", "ring", "salt")
 
     def open_rings(asks: DataFrame, first: bool) -> DataFrame:
-        """(ring, salt, id, v): the first rings of each query, up to twice k rows; or after those, all that may beat its bound."""
+        """(dim, ring, salt, q, id, v): the first rings of each query, up to twice k rows; or after those, all that may beat its bound."""
 
         def run(batches):
-            x, cut = held.value
-            keys = np.array([p * RINGS + r for p, r in x.rings], np.int64)
-            held_rows = np.array(list(x.rings.values()))
-            many = np.array([cut[r] for r in keys.tolist()])
             for b in batches:
-                v = matrix(b.column("v"), dim).astype(np.float64)
-                for s in range(0, len(v), 4096):
-                    q = v[s : s + 4096]
-                    low = x.bounds(q)
-                    order = np.argsort(low, axis=1, kind="stable")
-                    rows_before = np.cumsum(held_rows[order], axis=1) - held_rows[order]
-                    early = np.zeros(low.shape, bool)
-                    np.put_along_axis(early, order, rows_before < 2 * k + 1, 1)
-                    if not first:
-                        need = np.array([-np.inf if y is None else float(y) for y in b.column("bound").slice(s, 4096).to_pylist()])
-                        most = ((q**2).sum(1)[:, None] + x.top2 - low**2) / 2
-                        early = ~early & (most * (1 + 1e-9) + 1e-3 * abs(most) * 1e-6 + 1 >= need[:, None])
-                    a, c = np.nonzero(early)
-                    a, c = np.repeat(a, many[c]), np.concatenate([[0], c])[1:].repeat(many[c])
-                    if not len(a):
-                        continue
-                    starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
-                    nth = np.arange(len(a)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(a)]])))
-                    who = pa.array(a + s)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[c]), pa.array(nth.astype(np.int32)), b.column("id").take(who), b.column("v").take(who)], ["ring", "salt", "id", "v"])
-
-        return asks.mapInArrow(run, "ring long, salt int, id long, v array<long>")
-
-    asks = keyed.where(queries(F.col("id"))).select("id", "v")
-    early, _ = write_out(ranked(meet(blocks, open_rings(asks, True), k, dim, exact), k), "early")
-    bound = early.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
-    late = meet(blocks, open_rings(asks.join(bound, "id", "left"), False), k, dim, exact)
-    return ranked(early.select("query_id", "vec_id", "score").union(late), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                for d, some in by_length(b.column("dim").to_numpy()):
+                    for s in range(0, len(some), 4096):
+                        yield from opened(held.value[d], d, b.take(pa.array(some[s : s + 4096])))
+
+        def opened(x, d, part):
+            keys = np.array([p * RINGS + r for p, r in x.rings], np.int64)
+            held_rows, many = (np.array(c) for c in zip(*x.rings.values()))
+            q = matrix(part.column("v"), d).astype(np.float64)
+            low = x.bounds(q)
+            order = np.argsort(low, axis=1, kind="stable")
+            rows_before = np.cumsum(held_rows[order], axis=1) - held_rows[order]
+            early = np.zeros(low.shape, bool)
+            np.put_along_axis(early, order, rows_before < 2 * k + 1, 1)
+            if not first:
+                need = np.array([-np.inf if y is None else float(y) for y in part.column("bound").to_pylist()])
+                most = ((q**2).sum(1)[:, None] + x.top2 - low**2) / 2
+                early = ~early & (most * (1 + 1e-9) + 1e-3 * abs(most) * 1e-6 + 1 >= need[:, None])
+            a, c = np.nonzero(early)
+            a, c = np.repeat(a, many[c]), np.repeat(c, many[c])
+            if not len(a):
+                return
+            starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
+            nth = np.arange(len(a)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(a)]])))
+            whole = part.take(pa.array(a))
+            yield pa.RecordBatch.from_arrays([whole.column("dim"), pa.array(keys[c]), pa.array(nth.astype(np.int32)), *[whole.column(n) for n in ("q", "id", "v")]], ["dim", "ring", "salt", "q", "id", "v"])
+
+        return asks.mapInArrow(run, "dim int, ring long, salt int, q long, id long, v array<long>")
+
+    asks = keyed.where(queries(F.col("id"))).groupBy("dim", "id", "v").agg(F.min("nth").alias("q"))
+    early, _ = write_out(ranked(meet(blocks, open_rings(asks, True), k), k), "early")
+    bound = early.where(F.col("rank") == k).select("q", F.col("score").alias("bound"))
+    late = meet(blocks, open_rings(asks.join(bound, "q", "left"), False), k)
+    return ranked(early.drop("rank").unionByName(late), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op8_topk(spark, sf_dir: str) -> DataFrame:
@@ -220,10 +225,11 @@ def op8_topk(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
-  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id,
-  list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::bigint as score
-  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+q as (select *, row_number() over (order by vec_id, e) as q from (select distinct vec_id, e from v where vec_id % 100 = 0)),
+s as (select q, q.vec_id as query_id, c.vec_id,
+  coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 0)::bigint as score
+  from q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e)),
+r as (select *, row_number() over (partition by q order by score desc, vec_id) as rank from s)
 select query_id, rank::integer as rank, vec_id, score from r where rank <= 10
 """
