@@ -1,9 +1,16 @@
-"""Packing token sequences: best fit by decreasing length, then local search by moves and swaps between underfull bins."""
+"""Packing token sequences: next fit in order of arrival, then local search by moves and swaps that empties bins.
+
+The search owns the result: next fit leaves a third of the bins to be emptied. A step takes pieces out of an emptier bin
+into a fuller one, which keeps them (a move) or hands a shorter piece back (one for one, or one for two), and so
+raises the sum of squared fills, which can't go on for ever. Among the bins that could take a piece, the one left with the
+least room is found through a list of offers by what they can take, so no place is tried in vain.
+"""
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from bisect import insort
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -15,96 +22,175 @@ from veritrail.llm.tokens import WordEncoder, vocabulary_path
 
 #: Tokens in a sequence; the id after each document; pieces packed together in one task.
 CAPACITY, END, SHARD = 2048, 0, 24_000
-#: Passes of the local search, and places tried for a piece in each.
-PASSES, TRIES = 6, 24
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins of positions: longest first, each into the fullest bin that takes it."""
+def next_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins of positions in order of arrival; a piece that the last bin can't take opens another."""
     bins: list[list[int]] = []
-    free: list[list[int]] = [[] for _ in range(capacity + 1)]
-    mask = 0  # bit f: some bin has f free
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[i])
-        rest = mask >> n
-        if rest:
-            f = n + ((rest & -rest).bit_length() - 1)
-            b = free[f].pop()
-            if not free[f]:
-                mask &= ~(1 << f)
-            bins[b].append(i)
-        else:
-            f, b = capacity, len(bins)
-            bins.append([i])
-        f -= n
-        free[f].append(b)
-        mask |= 1 << f
+    room = 0
+    for i, n in enumerate(lengths.tolist()):
+        if n > room:
+            bins.append([])
+            room = capacity
+        bins[-1].append(i)
+        room -= n
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, passes: int = PASSES, tries: int = TRIES) -> list[list[int]]:
-    """Empties bins by moves, one-for-one and two-for-one exchanges, each of which raises the sum of squared fills.
+class LocalSearch:
+    """Bins of lengths that underfull bins exchange until no step raises the sum of squared fills.
 
-    The emptiest bins give: a piece (or two) of theirs goes to a fuller bin, which keeps it or hands a shorter one
-    back. A fuller bin that gains what an emptier one loses raises the sum, so the search ends. Full bins take no part.
+    offers[t]: (bin, pieces back, version) such that the bin can take t tokens if it hands those pieces over: none, one or
+    two. An offer stands while its bin's version does; others are thrown away when met. mask has bit t set if
+    offers[t] may have any, so that the least t that is enough is found by one look.
     """
-    size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    for _ in range(passes):
-        open_bins = [b for b in range(len(bins)) if bins[b] and fill[b] < capacity]
-        if len(open_bins) < 2 or sum(fill[b] for b in open_bins) > (len(open_bins) - 1) * capacity:
-            break  # no bin can be emptied
-        # a bin with f free takes a piece of up to f + n for one of n; n = 0: for nothing
-        offers = sorted({(capacity - fill[b] + n, n, b) for b in open_bins for n in {0, *(size[i] for i in bins[b])}})
-        reach = [o[0] for o in offers]
-        changed = False
-
-        def place(giver: int, items: list[int]) -> bool:
-            n = sum(size[i] for i in items)
-            at = bisect_left(reach, n)
-            for most, back, b in offers[at : at + tries]:
-                if b == giver or back >= n or not bins[b] or fill[b] + n - back > capacity or fill[b] + (n - back) <= fill[giver]:
-                    continue
-                swap = next((i for i in bins[b] if size[i] == back), None) if back else None
-                if back and swap is None:
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
+        self.capacity, self.steps = capacity, Counter()
+        self.size = lengths.tolist()
+        self.bins = [sorted(b, key=self.size.__getitem__) for b in bins]
+        self.fill = [sum(self.size[i] for i in b) for b in self.bins]
+        self.version = [0] * len(bins)
+        self.offers: list[list[tuple[int, tuple[int, ...], int]]] = [[] for _ in range(2 * capacity + 1)]
+        self.mask = 0
+        for b in range(len(bins)):
+            self.offer(b)
+
+    def kinds(self, b: int) -> dict[int, int]:
+        """A piece of each size of the bin, longest first."""
+        out: dict[int, int] = {}
+        for i in reversed(self.bins[b]):
+            out.setdefault(self.size[i], i)
+        return out
+
+    def pairs(self, b: int) -> dict[int, tuple[int, int]]:
+        """Two pieces of the bin for each sum that two have."""
+        own, out = self.bins[b], {}
+        kinds = list(self.kinds(b).items())
+        for x, (n, i) in enumerate(kinds):
+            for m, j in kinds[x + 1 :]:
+                out.setdefault(n + m, (i, j))
+        for i, j in zip(own, own[1:]):
+            if self.size[i] == self.size[j]:
+                out.setdefault(2 * self.size[i], (i, j))
+        return out
+
+    def offer(self, b: int) -> None:
+        self.version[b] += 1
+        room, version = self.capacity - self.fill[b], self.version[b]
+        if room and self.bins[b]:
+            self.put(room, (b, (), version))
+            for n, i in self.kinds(b).items():
+                self.put(room + n, (b, (i,), version))
+            for n, items in self.pairs(b).items():
+                self.put(room + n, (b, items, version))
+
+    def put(self, t: int, offer: tuple[int, tuple[int, ...], int]) -> None:
+        self.offers[t].append(offer)
+        self.mask |= 1 << t
+
+    def find(self, giver: int, n: int, most: int) -> tuple[int, tuple[int, ...], int] | None:
+        """The offer with the least room left after n tokens of the giver's, with at most `most` pieces back; less comes
+        back than went, and the bin ends up fuller than the giver was."""
+        rest = self.mask >> n << n
+        while rest:
+            t = (rest & -rest).bit_length() - 1
+            some, aside = self.offers[t], []
+            found = None
+            while some:
+                b, items, version = some[-1]
+                if self.version[b] != version:
+                    some.pop()
                     continue
-                for i in items:
-                    bins[giver].remove(i)
-                bins[b].extend(items)
-                if swap is not None:
-                    bins[b].remove(swap)
-                    bins[giver].append(swap)
-                fill[b] += n - back
-                fill[giver] -= n - back
+                back = t - (self.capacity - self.fill[b])
+                if b == giver or len(items) > most or back >= n or self.fill[b] + n - back <= self.fill[giver]:
+                    aside.append(some.pop())
+                else:
+                    found = b, items, back
+                    break
+            some += aside
+            if found:
+                return found
+            if not some:
+                self.mask &= ~(1 << t)
+            rest &= ~(1 << t)
+        return None
+
+    def step(self, giver: int, items: tuple[int, ...], to: tuple[int, tuple[int, ...], int]) -> None:
+        b, returned, back = to
+        n = sum(self.size[i] for i in items)
+        for i in returned:
+            self.bins[b].remove(i)
+            insort(self.bins[giver], i, key=self.size.__getitem__)
+        for i in items:
+            self.bins[giver].remove(i)
+            insort(self.bins[b], i, key=self.size.__getitem__)
+        self.fill[b] += n - back
+        self.fill[giver] -= n - back
+        self.offer(b)
+        self.steps[f"{len(items)} for {len(returned)}"] += 1
+
+    def improve(self, giver: int) -> bool:
+        """Takes one step out of the giver: a piece, longest first, for up to two shorter ones, else two pieces for one."""
+        for n, i in self.kinds(giver).items():
+            if (to := self.find(giver, n, 2)) is not None:
+                self.step(giver, (i,), to)
                 return True
-            return False
-
-        for giver in sorted(open_bins, key=lambda b: fill[b]):
-            moving = True
-            while moving and bins[giver]:
-                moving = False
-                own = sorted(bins[giver], key=lambda i: -size[i])
-                for x, i in enumerate(own):
-                    if place(giver, [i]):
-                        moving = changed = True
+        for n, items in sorted(self.pairs(giver).items(), reverse=True):
+            if n <= 2 * self.capacity and (to := self.find(giver, n, 1)) is not None:
+                self.step(giver, items, to)
+                return True
+        return False
+
+    def split(self, open_bins: list[int]) -> bool:
+        """Even exchanges with full bins: a piece of an underfull bin for two shorter ones of the same sum. Fills stay as they
+        are, but shorter pieces are there to go on with; full bins come to hold longer ones, so this ends too."""
+        sums: dict[int, list[tuple[int, tuple[int, int]]]] = {}
+        for b, items in enumerate(self.bins):
+            if self.fill[b] == self.capacity and len(items) > 1:
+                for n, two in self.pairs(b).items():
+                    sums.setdefault(n, []).append((b, two))
+        done = False
+        for giver in open_bins:
+            for n, i in self.kinds(giver).items():
+                some = sums.get(n, [])
+                while some:
+                    b, two = some.pop()
+                    if all(x in self.bins[b] for x in two):
+                        self.step(giver, (i,), (b, two, n))
+                        self.offer(giver)
+                        done = True
                         break
-                else:
-                    for x, i in enumerate(own[:12]):
-                        if any(place(giver, [i, j]) for j in own[x + 1 : 12]):
-                            moving = changed = True
-                            break
-        if not changed:
-            break
-    return [b for b in bins if b]
+        return done
+
+    def run(self) -> list[list[int]]:
+        """Goes over the bins, emptiest first, until a whole pass takes no step or what is left can't need a bin less."""
+        changed = True
+        while changed:
+            changed = False
+            open_bins = [b for b in range(len(self.bins)) if self.bins[b] and self.fill[b] < self.capacity]
+            if sum(self.fill[b] for b in open_bins) > (len(open_bins) - 1) * self.capacity:
+                break  # no bin can be emptied
+            for giver in sorted(open_bins, key=self.fill.__getitem__):
+                if self.fill[giver] == self.capacity:
+                    continue
+                stepped = False
+                while self.bins[giver] and self.improve(giver):
+                    stepped = True
+                if stepped:
+                    self.offer(giver)
+                    changed = True
+            changed = changed or self.split([b for b in open_bins if self.bins[b] and self.fill[b] < self.capacity])
+        return [b for b in self.bins if b]
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """Bin number and offset of each piece; no piece may be longer than capacity."""
-    bins = local_search(best_fit(lengths, capacity), lengths, capacity)
+    bins = LocalSearch(next_fit(lengths, capacity), lengths, capacity).run()
     which, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for b, items in enumerate(bins):
         at = 0
-        for i in items:
+        for i in sorted(items):
             which[i], offset[i] = b, at
             at += int(lengths[i])
     return which, offset
@@ -141,8 +227,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     """Every piece of every document with its sequence and offset; sequences hold at most capacity tokens.
 
     Pieces, without their ids, are written once, then dealt evenly by row number into shards of about `shard`
-    pieces that are packed apart; each shard can leave a bin or two less full, one in thousands. Repeated rows
-    are packed as often as they come; null ids are kept. An empty table gives no rows.
+    pieces that are packed apart; each shard can leave a bin less full, one in thousands. Null texts are empty. Repeated
+    rows are packed as often as they come; null ids are kept; other columns are left out. An empty table gives no rows.
     """
     spark, where = docs.sparkSession, work_path(docs.sparkSession, "pieces")
     pieces(docs, path or vocabulary_path(), capacity).withColumn("row", F.monotonically_increasing_id()).write.parquet(where)
