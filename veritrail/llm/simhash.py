@@ -9,6 +9,7 @@ shares one of ten keys of two blocks each. Within a bucket, pairs go through the
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -17,17 +18,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import lower_table, runs, shuffle_parts, text_parts, write_out
+from veritrail.llm.common import join_hot, lower_table, runs, shuffle_parts, text_parts, write_out
 from veritrail.llm.components import components
 
 DISTANCE, SEED, PIVOTS = 3, 42, 16
-PRINT = "__fingerprint"
 #: Five blocks of 13, 13, 13, 13 and 12 bits; the second table cuts the bits that a crowded bucket leaves open.
 BLOCKS, REFINE = 5, 7
 #: A bucket with more fingerprints is cut again by further blocks, without loss.
 CROWDED = 4096
 #: Pairs whose table rows are compared in one vectorised step.
 STEP = 1 << 20
+#: Groups of over this many fingerprints are probed for neighbours where that is less work than their pairs.
+PROBED = 1024
 
 
 def fingerprint(text: bytes, k: int = 3) -> int:
@@ -51,12 +53,11 @@ def fingerprint(text: bytes, k: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """docs' doc_id with fp (signed 64-bit). Null and empty texts have fingerprint zero. One pass, no shuffle."""
-    return fingerprint_rows(docs.select("doc_id", "text"), k).select("doc_id", F.col(PRINT).alias("fp"))
+    return fingerprint_rows(docs.select("doc_id", "text"), ["doc_id"], k).select("row.doc_id", "fp")
 
 
-def fingerprint_rows(docs: DataFrame, k: int = 3) -> DataFrame:
-    """docs with their fingerprints as the column PRINT."""
-    keep = docs.columns
+def fingerprint_rows(docs: DataFrame, keep: list[str], k: int = 3) -> DataFrame:
+    """(row, fp): the columns to keep as a struct, so that no name clashes, and the text's fingerprint."""
     lower = lower_table()
 
     def make(batches):
@@ -64,9 +65,10 @@ def fingerprint_rows(docs: DataFrame, k: int = 3) -> DataFrame:
             data, at = text_parts(b.column("text"))
             flat = lower[data].tobytes()
             fp = np.array([fingerprint(flat[s:e], k) for s, e in zip(at[:-1].tolist(), at[1:].tolist())], np.uint64)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(fp.view(np.int64))], [*keep, PRINT])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(fp.view(np.int64))], ["row", "fp"])
 
-    return docs.mapInArrow(make, docs.select("*").schema.add(PRINT, "long"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias("text"))
+    return rows.mapInArrow(make, rows.select("row").schema.add("fp", "long"))
 
 
 def masks(bits: list[int], blocks: int, agree: int) -> list[int]:
@@ -98,14 +100,39 @@ def references(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(20240229).integers(0, 2**64, n, dtype=np.uint64)
 
 
+def flips(bits: list[int], distance: int) -> list[int]:
+    """All masks of one to `distance` of the bits."""
+    return [sum(1 << b for b in c) for d in range(1, distance + 1) for c in combinations(bits, d)]
+
+
 def near_pairs(fp: np.ndarray, group: np.ndarray, distance: int, pivots: np.ndarray):
-    """Linked pairs (positions) among fingerprints in order of their group, in lots."""
-    table = np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
+    """Linked pairs (positions) among fingerprints in order of their group, in lots.
+
+    Pairs of a group go through the table: one coordinate after another discards those whose distances to a pivot
+    differ by more than `distance`; the rest are verified. In a large group whose members differ in few bits only, the
+    neighbours of each are looked up instead, which is linear in the group.
+    """
     at = runs(group)
-    size = np.repeat(np.diff(at), np.diff(at))
-    left = size - (np.arange(len(fp)) - np.repeat(at[:-1], np.diff(at)))  # members from here on
+    size = np.diff(at)
+    probed = np.zeros(len(size), bool)
+    for g in np.flatnonzero(size > PROBED).tolist():
+        some = fp[at[g] : at[g + 1]]
+        vary = int(np.bitwise_or.reduce(some ^ some[0]))
+        bits = [b for b in range(64) if vary >> b & 1]
+        if sum(math.comb(len(bits), d) for d in range(1, distance + 1)) < len(some) // 2:
+            probed[g] = True
+            order = np.argsort(some)
+            ranked = some[order]
+            for mask in flips(bits, distance):
+                other = ranked ^ np.uint64(mask)
+                where = np.minimum(np.searchsorted(ranked, other), len(ranked) - 1)
+                hit = np.flatnonzero((ranked[where] == other) & (ranked < other))
+                if len(hit):
+                    yield at[g] + order[hit], at[g] + order[where[hit]]
+    table = np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
+    left = np.repeat(np.where(probed, 0, size), size) - (np.arange(len(fp)) - np.repeat(at[:-1], size))  # members from here on
     i = np.arange(len(fp))
-    for shift in range(1, int(size.max(initial=1))):
+    for shift in range(1, int(np.where(probed, 0, size).max(initial=1))):
         i = i[left[i] > shift]
         for c in range(0, len(i), STEP):
             a = i[c : c + STEP]
@@ -184,16 +211,16 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, k: int = 3) -> Da
 
     Exact: equal fingerprints are linked, copies are collapsed to one fingerprint before any comparison, links
     among the rest lose none. Null and empty texts share fingerprint zero and are linked like any other. Null
-    ids are kept; a component of nulls alone has a null component_id. Repeated rows come back repeated.
+    ids are kept; a component of nulls alone has a null component_id. Repeated rows come back repeated; other
+    columns are left out. An empty table gives no rows.
     """
     fps, _ = write_out(fingerprints(docs, k), "fingerprints")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    least, _ = write_out(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "least")
     comp = components(links(least.select("fp"), distance))
-    rooted = least.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    rooted, _ = write_out(rooted, "rooted")
-    low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = rooted.join(low, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    rooted, _ = write_out(least.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    low, _ = write_out(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("m")), "low")
+    classes, _ = write_out(join_hot(rooted, low, ["root"], "m").select("fp", "n", "component_id"), "classes")
+    return join_hot(fps, classes, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: str = "fp"):
@@ -201,15 +228,19 @@ def hex16(fp: str = "fp"):
 
 
 def keep_first(docs: DataFrame, distance: int = DISTANCE, k: int = 3) -> DataFrame:
-    """docs with one document of each component, that of the smallest id; of rows with that id, one. Documents with a
-    null id have no place in that order: they stay unless another of their component does."""
+    """docs with one document of each component, that of the smallest id; of rows with that id, the one whose text has the
+    least hash. Documents with a null id have no place in that order: they stay, one a component and fingerprint,
+    unless another of their component has an id. An empty table gives an empty one."""
     classes = near_duplicates(docs, distance, k)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     first = classes.where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
-    out = docs.join(first, docs["doc_id"] == first["first"], "left_semi").dropDuplicates(["doc_id"])
-    alone = classes.where("component_id is null").select(F.col("fp").alias(PRINT)).distinct()
+    rows = docs.select(row).withColumn("id", F.col("row.doc_id")).join(first, F.col("id") == F.col("first"), "left_semi")
+    out = rows.groupBy("id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row")
+    alone = classes.where("component_id is null").select("fp").distinct()
     if not alone.isEmpty():
-        out = out.unionByName(fingerprint_rows(docs.where("doc_id is null"), k).join(alone, PRINT, "left_semi").dropDuplicates([PRINT]).select(*docs.columns))
-    return out
+        null = fingerprint_rows(docs.where("doc_id is null"), docs.columns, k).join(alone, "fp", "left_semi")
+        out = out.unionByName(null.groupBy("fp").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row"))
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
