@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import SPACES, drop_paths, text_parts, write_out
+from veritrail.llm.common import SPACES, drop_paths, join_few, text_parts, write_out
 
 #: Fixed values of the base rules.
 SYMBOLS, MIN_WORDS, MAX_REPEAT_PERCENT = b"#*$%&|<>", 50, 50
-#: Share of a group that the estimate rests on, concentration steps, and rows below which groups are pooled.
-SHARE, STEPS, LEAST = 0.75, 4, 200
+#: Share of a group that the estimate rests on, and rows below which groups are pooled. Concentration steps end when no centre
+#: moves by more than SETTLED of its floor, at the latest after STEPS.
+SHARE, STEPS, LEAST, SETTLED = 0.75, 12, 200, 0.01
 #: Chance that a Gaussian document lies beyond the cutoff.
 TAIL = 1e-6
 #: Least standard deviation of each statistic, in its transformed scale: what can't matter for quality.
@@ -113,7 +114,8 @@ def grouped(stats: DataFrame, least: int) -> DataFrame:
     small, _ = write_out(small.select("lang", "source", "count", name.alias("grp")), "groups")
     rest = small.where("grp = '*'").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     small = small.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "grp")
-    out = stats.join(small, stats["lang"].eqNullSafe(small["_l"]) & stats["source"].eqNullSafe(small["_s"]), "left").drop("_l", "_s")
+    few = F.broadcast(small) if small.count() <= 10_000 else small  # else adaptive execution splits a hot pair
+    out = stats.join(few, stats["lang"].eqNullSafe(small["_l"]) & stats["source"].eqNullSafe(small["_s"]), "left").drop("_l", "_s")
     return out if rest >= 5 * len(STATS) else out.withColumn("grp", F.when(F.col("grp") != "*", F.col("grp")))
 
 
@@ -148,25 +150,35 @@ def fitted(moments: DataFrame, names: list[str], factor: float) -> DataFrame:
 
 
 def robust_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """(grp, mean, inv) by concentration steps from the medians and absolute deviations of each group's rows."""
+    """(grp, mean, inv) by concentration steps from the medians and absolute deviations of each group's rows, one start a
+    group: a start that half of the rows can't move. A step never raises the determinant but for the floors, so centres
+    settle; where a group's hasn't after `steps`, its last is taken. Centres are one row a group, and meet rows by
+    broadcast where few by count, else by salted keys."""
     names, spark = list(STATS), rows.sparkSession
     p = len(names)
-    mid = rows.groupBy("grp").agg(F.array(*[F.percentile_approx(c, 0.5, 1000) for c in names]).alias("mean"))
-    off = rows.join(mid, "grp").groupBy("grp").agg(F.array(*[F.percentile_approx(F.abs(F.col(c) - F.col("mean")[i]), 0.5, 1000) for i, c in enumerate(names)]).alias("mad"))
+    mid, first = write_out(rows.groupBy("grp").agg(F.array(*[F.percentile_approx(c, 0.5, 1000) for c in names]).alias("mean")), "medians")
+    off = join_few(rows, mid, "grp").groupBy("grp").agg(F.array(*[F.percentile_approx(F.abs(F.col(c) - F.col("mean")[i]), 0.5, 1000) for i, c in enumerate(names)]).alias("mad"))
     unit = lambda i, j, c: F.lit(0.0) if i != j else 1 / (F.pow(F.col("mad")[i] * 1.4826, 2) + STATS[c] ** 2)
     start = mid.join(off, "grp").select("grp", "mean", F.array(*[unit(i, j, c) for i, c in enumerate(names) for j in range(p)]).alias("inv"))
     now, path = write_out(start, "centres")
+    drop_paths(spark, first)
     factor = share / chi2_cdf(chi2_quantile(share, p), p + 2)
+    floors = F.array(*[F.lit(SETTLED * STATS[c]) for c in names])
     for _ in range(steps):
-        far = rows.join(now, "grp").withColumn("bin", F.floor(F.log(distance(names) + 1e-9) * BINS))
-        counts = far.groupBy("grp", "bin").count()
+        binned = join_few(rows, now, "grp").withColumn("bin", F.floor(F.log(distance(names) + 1e-9) * BINS)).drop("mean", "inv")
         w = Window.partitionBy("grp").orderBy("bin")
-        cut = counts.withColumn("below", F.sum("count").over(w) - F.col("count")).withColumn("all", F.sum("count").over(Window.partitionBy("grp"))).where(F.col("below") < F.col("all") * share).groupBy("grp").agg(F.max("bin").alias("cut"))
-        near = far.join(cut, "grp").where("bin <= cut")
-        moments = near.groupBy("grp").agg(F.count("*").alias("n"), F.array(*[F.sum(c) for c in names]).alias("s"), F.array(*[F.sum(F.col(names[i]) * F.col(names[j])) for i in range(p) for j in range(i, p)]).alias("ss"))
+        # moments of each bin, so that one pass over the rows gives counts, the cut, and what lies within it
+        sums = [F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(names)], *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)]]
+        bins = binned.groupBy("grp", "bin").agg(*sums)
+        near = bins.withColumn("below", F.sum("n").over(w) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("grp"))).where(F.col("below") < F.col("all") * share)
+        moments = near.groupBy("grp").agg(F.sum("n").alias("n"), F.array(*[F.sum(f"s{i}") for i in range(p)]).alias("s"), F.array(*[F.sum(f"q{i}_{j}") for i in range(p) for j in range(i, p)]).alias("ss"))
         after, new = write_out(fitted(moments, names, factor), "centres")
+        moved = F.exists(F.zip_with(F.zip_with("mean", "before", lambda x, y: F.abs(x - y)), floors, lambda d, f: d > f), lambda x: x)
+        settled = after.join(now.select("grp", F.col("mean").alias("before")), "grp").where(moved).isEmpty()
         drop_paths(spark, path)
         now, path = after, new
+        if settled:
+            break
     return now
 
 
@@ -175,14 +187,17 @@ def judge_quality(docs: DataFrame, tail: float = TAIL, least: int = LEAST) -> Da
 
     Null and empty texts have no words, so fail the base rules, as does any text under 50 words. Documents of
     groups too small even when all pooled have no distance and are kept. Repeated rows are judged alike; estimates
-    rest on all rows that pass the base rules.
+    rest on all rows that pass the base rules. Null ids are kept; other columns are left out. An empty table gives no rows.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     stats, _ = write_out(with_statistics(docs).withColumn("base_failed", failed), "statistics")
-    rows = grouped(stats, least)
+    rows, _ = write_out(grouped(stats, least), "grouped")
     centres = robust_estimates(rows.where("grp is not null and not base_failed"))
     limit = chi2_quantile(1 - tail, len(STATS))
-    out = rows.join(centres, "grp", "left").withColumn("distance2", distance(list(STATS))).drop("mean", "inv")
+    known = centres.select("grp").withColumn("known", F.lit(True))
+    judged = join_few(rows, centres, "grp").withColumn("distance2", distance(list(STATS))).drop("mean", "inv")
+    rest = rows.join(F.broadcast(known) if known.count() <= 10_000 else known, "grp", "left_anti").withColumn("distance2", F.lit(None).cast("double"))
+    out = judged.select(*rest.columns).unionByName(rest)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= limit, F.lit(True)))
 
 
