@@ -22,18 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import blocks_for, fold, lower_table, shuffle_parts, slices, text_parts, write_out
+from veritrail.llm.common import blocks_for, fold, lower_table, runs, shuffle_parts, slices, text_parts, write_out
 from veritrail.llm.lines import over_runs
 
 #: Context bytes; a byte that UTF-8 never has stands before and after every text.
 DEPTH, EDGE = 5, 0xFF
-#: Contexts up to this depth are one table (at most 2**24 rows, whatever the corpus); deeper ones are dealt out by their last bytes.
-TOP = 2
+#: Nodes deeper than MIDDLE are worked out by contexts of one byte more, those above by contexts of two bytes, and those of
+#: depths up to TOP on the driver: at most 65,536 pairs of bytes, whatever the corpus.
+MIDDLE, TOP = 3, 1
 #: Stored MB of a block of documents, and bytes handled in one vectorised step.
 BLOCK_MB, CHUNK = 8, 2 << 20
-#: Parts that keys are dealt into, at most; as many blocks as LOT times the parts are answered together, so that one task
-#: holds what LOT blocks hold, with the part's values.
-PARTS, LOT = 4096, 4
+#: Parts that keys are dealt into: as many as blocks, up to PARTS, or more where a part would hold over PART_KEYS of them.
+PARTS, PART_KEYS = 4096, 8_000_000
 KEYS = "k1 long, k2 long, block int, n long"
 
 
@@ -140,29 +140,49 @@ def asks(table: pa.Table, parts: int) -> pa.Table:
     some = np.flatnonzero((np.diff(cut_s) > 0) | (np.diff(cut_w) > 0)).tolist()
     keys = [zlib.compress(np.diff(strings[by_string[cut_s[p] : cut_s[p + 1]]], prepend=np.uint64(0)).tobytes(), 1) for p in some]
     hashes = [words[by_word[cut_w[p] : cut_w[p + 1]]].tobytes() for p in some]
-    return pa.table({"part": pa.array(some, pa.int32()), "lot": pa.array([block // (LOT * parts)] * len(some), pa.int32()), "block": pa.array([block] * len(some), pa.int32()), "keys": pa.array(keys, pa.binary()), "words": pa.array(hashes, pa.binary())})
+    return pa.table({"part": pa.array(some, pa.int32()), "block": pa.array([block] * len(some), pa.int32()), "keys": pa.array(keys, pa.binary()), "words": pa.array(hashes, pa.binary())})
 
 
-def answers(asked: pa.Table, values: pa.Table) -> pa.Table:
-    """For each block's list of keys of this part, their values in the same order."""
-    k1, k2, value = (values.column(c).to_numpy() for c in ("k1", "k2", "value"))
-    is_string = k2 == 0
-    strings, cost = k1[is_string], value[is_string].astype(np.float32)
-    order = np.argsort(strings)
-    strings, cost = strings[order].view(np.uint64), cost[order]
-    word = np.flatnonzero(~is_string)
-    word = word[np.lexsort((k2[word], k1[word]))]
-    w1, w2, count = k1[word], k2[word], value[word].astype(np.int64)
-    costs, counts = [], []
-    for keys, hashes in zip(asked.column("keys").to_pylist(), asked.column("words").to_pylist()):
+class Answers:
+    """The values of one part, in memory, and blocks' lists of keys as they stream by."""
+
+    def __init__(self, values: pa.Table):
+        k1, k2, value = (values.column(c).to_numpy() for c in ("k1", "k2", "value"))
+        is_string = k2 == 0
+        strings, cost = k1[is_string], value[is_string].astype(np.float32)
+        order = np.argsort(strings)
+        self.strings, self.cost = strings[order].view(np.uint64), cost[order]
+        word = np.flatnonzero(~is_string)
+        word = word[np.lexsort((k2[word], k1[word]))]
+        self.w1, self.w2, self.count = k1[word], k2[word], value[word].astype(np.int64)
+
+    def of(self, keys: bytes, hashes: bytes) -> tuple[bytes, bytes]:
+        """Values of a block's keys of this part, in the same order."""
         wanted = np.cumsum(np.frombuffer(zlib.decompress(keys), np.uint64))
-        costs.append(zlib.compress(cost[np.searchsorted(strings, wanted)].tobytes(), 1))
         h = np.frombuffer(hashes, np.int64).reshape(-1, 2)
-        at = np.searchsorted(w1, h[:, 0])
-        while len(at) and (off := w2[at] != h[:, 1]).any():  # equal first halves: the next
+        at = np.searchsorted(self.w1, h[:, 0])
+        while len(at) and (off := self.w2[at] != h[:, 1]).any():  # equal first halves: the next
             at = at + off
-        counts.append(zlib.compress(count[at].tobytes(), 1))
-    return pa.table({"block": asked.column("block"), "part": asked.column("part"), "costs": pa.array(costs, pa.binary()), "counts": pa.array(counts, pa.binary())})
+        return zlib.compress(self.cost[np.searchsorted(self.strings, wanted)].tobytes(), 1), zlib.compress(self.count[at].tobytes(), 1)
+
+
+def answered(batches):
+    """From rows sorted by part, a part's values before its blocks' lists: (block, part, costs, counts)."""
+    part, held, ready = None, [], None
+    for b in batches:
+        kinds, parts = b.column("kind").to_numpy(), b.column("part").to_numpy()
+        at = np.union1d(runs(kinds), runs(parts)).tolist()
+        for s, e in zip(at, at[1:]):
+            if parts[s] != part:
+                part, held, ready = parts[s], [], None
+            some = b.slice(s, e - s)
+            if kinds[s] == 0:
+                held.append(some.select(["k1", "k2", "value"]))
+                continue
+            if ready is None:
+                ready, held = Answers(pa.Table.from_batches(held)), []
+            got = [ready.of(k, h) for k, h in zip(some.column("keys").to_pylist(), some.column("words").to_pylist())]
+            yield pa.RecordBatch.from_arrays([some.column("block"), some.column("part"), *[pa.array(c, pa.binary()) for c in zip(*got)]], ["block", "part", "costs", "counts"])
 
 
 _lgamma = np.frompyfunc(lgamma, 1, 1)
@@ -202,110 +222,111 @@ def deeper(grams: np.ndarray, n: np.ndarray):
     return u, np.bincount(inv, n, len(u)).astype(np.int64), inv
 
 
-def mixed(pe, w, child, n):
-    """A node's probability: its own estimate and what is deeper, by weight; as deep as training went."""
-    return np.where(n > 0, np.where(np.isnan(child), pe, w * pe + (1 - w) * child), np.nan)
-
-
-def subtrees(grams: np.ndarray, n: np.ndarray):
-    """For sorted strings whose contexts are whole subtrees below depth TOP: each string's probability of each of its
-    bits by those depths alone (nan: never reached); and log Pw of the subtrees' roots, summed by their parents' nodes."""
+def tree_levels(grams: np.ndarray, n: np.ndarray, deep: int, low: int, given: tuple[np.ndarray, np.ndarray] | None = None):
+    """Of sorted grams (deep context bytes and a byte) whose contexts are whole subtrees from depth `low` on: add, times and
+    fill, such that each bit's probability by those depths is add + times * (that of deeper ones, or fill where training
+    reached none; fill is nan where it reached not even depth `low`); and log Pw of the nodes at depth `low`, summed by
+    their parents. given: ids and sums of the nodes at depth `deep`, from a call for what is deeper."""
     chain, maps = [(grams, n)], [np.arange(len(grams))]
-    for _ in range(DEPTH, TOP + 1, -1):
+    for _ in range(deep, low, -1):
         u, c, inv = deeper(*chain[-1])
         chain.append((u, c))
         maps.append(inv[maps[-1]])
-    prob = np.full((len(grams), 8), np.nan)
-    up_nodes, up_values = [], []
-    for t in range(8):
-        below_nodes = below = None
-        for (g, c), where in zip(chain, maps):
-            nodes, of, n0, n1 = level(g, c, t)
-            pe = kt(n0, n1)
-            total = n0 + n1
-            if below is None:
-                pw, w = pe, np.ones(len(nodes))
-            else:
-                s = parent_sums(below_nodes, below, nodes, t)
-                pw = np.logaddexp(pe, s) - np.log(2)
-                w = 1 / (1 + np.exp(np.clip(s - pe, -700, 700)))
-            bit = ((grams >> (7 - t)) & 1).astype(bool)
-            at = of[where]
-            own = (np.where(bit, n1[at], n0[at]) + 0.5) / (total[at] + 1)
-            prob[:, t] = mixed(own, w[at], prob[:, t], total[at])
-            below_nodes, below = nodes, pw
-        parent = ((below_nodes >> (t + 8)) << t) | (below_nodes & ((1 << t) - 1))
-        u, inv = np.unique(parent, return_inverse=True)
-        up_nodes.append((u << 3) | t)
-        up_values.append(np.bincount(inv, below, len(u)))
-    return prob, np.concatenate(up_nodes), np.concatenate(up_values)
-
-
-def top_table(grams: np.ndarray, n: np.ndarray, nodes: np.ndarray, sums: np.ndarray):
-    """Of (last TOP bytes, byte) grams: add, times and fill such that a bit's probability is add + times * (that of the
-    subtrees, or fill where they have none). nodes, sums: what subtrees() gives, added up."""
     add, times, fill = (np.zeros((len(grams), 8)) for _ in range(3))
-    chain, maps = [(grams, n)], [np.arange(len(grams))]
-    for _ in range(TOP):
-        u, c, inv = deeper(*chain[-1])
-        chain.append((u, c))
-        maps.append(inv[maps[-1]])
+    up_nodes, up_values = [np.zeros(0, np.int64)], [np.zeros(0)]
     for t in range(8):
-        mine = (nodes & 7) == t
-        order = np.argsort(nodes[mine])
-        given_nodes, given = (nodes[mine] >> 3)[order], sums[mine][order]
         below_nodes = below = None
         stack = []
         for (g, c), where in zip(chain, maps):
             node, of, n0, n1 = level(g, c, t)
             pe, total = kt(n0, n1), n0 + n1
-            s = given[np.searchsorted(given_nodes, node)] if below is None else parent_sums(below_nodes, below, node, t)
-            pw = np.logaddexp(pe, s) - np.log(2)
-            w = 1 / (1 + np.exp(np.clip(s - pe, -700, 700)))
-            bit = ((grams >> (7 - t)) & 1).astype(bool)
+            if below is not None:
+                s = parent_sums(below_nodes, below, node, t)
+            elif given is not None:
+                mine = (given[0] & 7) == t
+                order = np.argsort(given[0][mine])
+                s = given[1][mine][order][np.searchsorted(given[0][mine][order] >> 3, node)]
+            else:
+                s = None
+            pw = pe if s is None else np.logaddexp(pe, s) - np.log(2)
+            w = np.ones(len(node)) if s is None else 1 / (1 + np.exp(np.clip(s - pe, -700, 700)))
             at = of[where]
-            stack.append(((np.where(bit, n1[at], n0[at]) + 0.5) / (total[at] + 1), w[at], total[at]))
+            bit = ((grams >> (7 - t)) & 1).astype(bool)
+            stack.append(((np.where(bit, n1[at], n0[at]) + 0.5) / (total[at] + 1), w[at], total[at] > 0))
             below_nodes, below = node, pw
-        a, b = np.zeros(len(grams)), np.ones(len(grams))
-        for own, w, total in reversed(stack):  # from the root down
-            live = total > 0
-            a, b = np.where(live, a + b * w * own, a), np.where(live, b * (1 - w), b)
-            last = np.where(live, own, 0.5 if own is stack[-1][0] else last)
+        a, b, last = np.zeros(len(grams)), np.ones(len(grams)), np.full(len(grams), np.nan)
+        for own, w, live in reversed(stack):  # from the root down
+            a, b, last = np.where(live, a + b * w * own, a), np.where(live, b * (1 - w), b), np.where(live, own, last)
         add[:, t], times[:, t], fill[:, t] = a, b, last
-    return add, times, fill
+        if low:
+            u, inv = np.unique(((below_nodes >> (t + 8)) << t) | (below_nodes & ((1 << t) - 1)), return_inverse=True)
+            up_nodes.append((u << 3) | t)
+            up_values.append(np.bincount(inv, below, len(u)))
+    return add, times, fill, np.concatenate(up_nodes), np.concatenate(up_values)
+
+
+def level_rows(grams: np.ndarray, n: np.ndarray, rows: np.ndarray, nodes: np.ndarray, sums: np.ndarray, deep: int, low: int) -> pa.RecordBatch:
+    """(kind, k1, n, p): 0, grams with their rows; 1, parents' nodes with sums; 2, grams of low - 1 context bytes with counts."""
+    short = ((grams >> (8 * (deep - low + 2))) << 8) | (grams & 255)
+    u, inv = np.unique(short, return_inverse=True)
+    sizes = [len(grams), len(nodes), len(u)]
+    ends = np.concatenate([[0], np.cumsum(np.repeat([rows.shape[1], 1, 0], sizes))]).astype(np.int32)
+    p = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([rows.ravel(), sums])))
+    counts = np.concatenate([np.zeros(len(grams) + len(nodes), np.int64), np.bincount(inv, n, len(u)).astype(np.int64)])
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([0, 1, 2], np.int8), sizes)), pa.array(np.concatenate([grams, nodes, u])), pa.array(counts), p], ["kind", "k1", "n", "p"])
+
+
+LEVELS = "kind byte, k1 long, n long, p array<double>"
 
 
 def string_costs(strings: DataFrame) -> DataFrame:
     """(k1, value): log10 of each string's last byte's probability after the others, from (k1, n)."""
     spark = strings.sparkSession
-    dealt = strings.select("k1", "n", F.shiftright("k1", 8 * (DEPTH - TOP)).alias("ctx")).repartition(shuffle_parts(spark), "ctx").sortWithinPartitions("ctx", "k1")
-    names = ["kind", "k1", "n", "p"]
+    parts = shuffle_parts(spark)
 
-    def settle(t):
+    def deepest(t):
         g, n = t.column("k1").to_numpy(), t.column("n").to_numpy()
-        prob, nodes, sums = subtrees(g, n)
-        pairs = ((g >> (8 * (DEPTH - TOP + 1))) << 8) | (g & 255)
-        u, inv = np.unique(pairs, return_inverse=True)
-        c = np.bincount(inv, n, len(u)).astype(np.int64)
-        kinds = np.repeat(np.array([0, 1, 2], np.int8), [len(g), len(nodes), len(u)])
-        flat = np.concatenate([prob.astype(np.float32).astype(np.float64).ravel(), sums])
-        ends = np.concatenate([[0], np.cumsum(np.repeat([8, 1, 0], [len(g), len(nodes), len(u)]))]).astype(np.int32)
-        p = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        n = np.concatenate([n, np.zeros(len(nodes), np.int64), c])
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([g, nodes, u])), pa.array(n), p], names)
-
-    made, _ = write_out(dealt.mapInArrow(lambda batches: over_runs(batches, ["ctx"], [], settle), "kind byte, k1 long, n long, p array<double>"), "subtrees")
-    pairs = made.where("kind = 2").groupBy("k1").agg(F.sum("n").alias("n")).toArrow().sort_by("k1")  # at most 2**24 rows
-    nodes = made.where("kind = 1").groupBy("k1").agg(F.sum(F.col("p")[0]).alias("s")).toArrow()
+        add, times, fill, nodes, sums = tree_levels(g, n, DEPTH, MIDDLE + 1)
+        prob = (add + times * fill).astype(np.float32).astype(np.float64)  # nan where training reached nothing
+        yield level_rows(g, n, prob, nodes, sums, DEPTH, MIDDLE + 1)
+
+    dealt = strings.select("k1", "n", F.shiftright("k1", 8 * (DEPTH - MIDDLE)).alias("ctx")).repartition(parts, "ctx").sortWithinPartitions("ctx", "k1")
+    made, _ = write_out(dealt.mapInArrow(lambda batches: over_runs(batches, ["ctx"], [], deepest), LEVELS), "subtrees")
+
+    def middle(t):
+        kind, k1 = t.column("kind").to_numpy(), t.column("k1").to_numpy()
+        g, n = k1[kind == 2], t.column("n").to_numpy()[kind == 2]
+        add, times, fill, nodes, sums = tree_levels(g, n, MIDDLE, TOP + 1, (k1[kind == 1], t.column("s").to_numpy()[kind == 1]))
+        yield level_rows(g, n, np.concatenate([add, times, fill], 1), nodes, sums, MIDDLE, TOP + 1)
+
+    grams = made.where("kind = 2").groupBy("k1").agg(F.sum("n").alias("n")).select(F.shiftright("k1", 8 * (MIDDLE - TOP)).alias("ctx"), F.lit(2).alias("kind"), "k1", "n", F.lit(0.0).alias("s"))
+    nodes = made.where("kind = 1").groupBy("k1").agg(F.sum(F.col("p")[0]).alias("s")).select(F.expr(f"shiftright(shiftright(k1, 3), cast(k1 & 7 as int) + {8 * (MIDDLE - TOP - 1)})").alias("ctx"), F.lit(1).alias("kind"), "k1", F.lit(0).cast("long").alias("n"), "s")
+    dealt = grams.unionByName(nodes).repartition(parts, "ctx").sortWithinPartitions("ctx", "kind", "k1")
+    mid, _ = write_out(dealt.mapInArrow(lambda batches: over_runs(batches, ["ctx"], [], middle), LEVELS), "middle")
+    pairs = mid.where("kind = 2").groupBy("k1").agg(F.sum("n").alias("n")).toArrow().sort_by("k1")  # at most 2**16 rows
+    tops = mid.where("kind = 1").groupBy("k1").agg(F.sum(F.col("p")[0]).alias("s")).toArrow()  # at most 2**16 rows
     g = pairs.column("k1").to_numpy()
     if not len(g):
         return spark.createDataFrame([], "k1 long, value double")
-    tables = top_table(g, pairs.column("n").to_numpy(), nodes.column("k1").to_numpy(), nodes.column("s").to_numpy())
-    flat = pa.table({"pair": g, **{f"{c}{t}": x[:, t] for c, x in zip("atf", tables) for t in range(8)}})
-    top = spark.createDataFrame(flat)
-    pair = F.shiftleft(F.shiftright("k1", 8 * (DEPTH - TOP + 1)), 8).bitwiseOR(F.col("k1").bitwiseAND(255))
-    rows = made.where("kind = 0").select("k1", "p", pair.alias("pair")).join(top, "pair")
-    value = sum((F.log10(F.col(f"a{t}") + F.col(f"t{t}") * F.when(F.isnan(F.col("p")[t]), F.col(f"f{t}")).otherwise(F.col("p")[t])) for t in range(8)), F.lit(0.0))
+    top = (g, *tree_levels(g, pairs.column("n").to_numpy(), TOP, 0, (tops.column("k1").to_numpy(), tops.column("s").to_numpy()))[:3])
+
+    def compose(batches):
+        pairs, a0, t0, f0 = top
+        f0 = np.where(np.isnan(f0), 0.5, f0)
+        for b in batches:
+            k1 = b.column("k1").to_numpy()
+            if not len(k1):
+                continue
+            at = np.searchsorted(pairs, ((k1 >> (8 * (MIDDLE - TOP + 1))) << 8) | (k1 & 255))
+            a, t, f = b.column("p").flatten().to_numpy().reshape(-1, 3, 8).transpose(1, 0, 2)
+            none = np.isnan(f)
+            a, t, f = np.where(none, a0[at] + t0[at] * f0[at], a0[at] + t0[at] * a), np.where(none, 0, t0[at] * t), np.where(none, 0, f)
+            yield pa.RecordBatch.from_arrays([b.column("k1"), *[pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 8).cast(pa.list_(pa.float64())) for x in (a, t, f)]], ["pair", "a", "t", "f"])
+
+    whole = mid.where("kind = 0").select("k1", "p").mapInArrow(compose, "pair long, a array<double>, t array<double>, f array<double>")
+    pair = F.shiftleft(F.shiftright("k1", 8 * (DEPTH - MIDDLE + 1)), 8).bitwiseOR(F.col("k1").bitwiseAND(255))
+    rows = made.where("kind = 0").select("k1", "p", pair.alias("pair")).join(whole, "pair")
+    value = sum((F.log10(F.col("a")[t] + F.col("t")[t] * F.when(F.isnan(F.col("p")[t]), F.col("f")[t]).otherwise(F.col("p")[t])) for t in range(8)), F.lit(0.0))
     return rows.select("k1", value.alias("value"))
 
 
@@ -314,7 +335,8 @@ def score_texts(docs: DataFrame, trains) -> DataFrame:
     learned from the documents that `trains` (a condition) holds of.
 
     Texts are in lower case (A-Z); a null text is empty, and an empty one is an end alone. Without training texts,
-    every decision has probability one half. Null ids are kept; repeated rows are counted, and scored, each.
+    every decision has probability one half. Null ids are kept; repeated rows are counted, and scored, each. Other columns
+    are left out. An empty table gives no rows.
     """
     spark = docs.sparkSession
     n = blocks_for(docs, BLOCK_MB)
@@ -322,16 +344,18 @@ def score_texts(docs: DataFrame, trains) -> DataFrame:
     raw = blocked.groupBy("block").applyInArrow(block_counts, KEYS)
     keys, _ = write_out(raw.groupBy("k1", "k2").agg(F.sum("n").alias("n")), "keys")
     ends = docs.where(trains).count()
-    sums = keys.where("k2 <> 0").agg(F.count("*").alias("all"), F.count_if(F.col("n") > 0).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    word = F.col("k2") != 0
+    sums = keys.agg(F.count("*").alias("keys"), F.count_if(word & (F.col("n") > 0)).alias("v"), F.coalesce(F.sum(F.when(word, F.col("n"))), F.lit(0)).alias("n")).first()
     tokens, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
     least = np.log10(tokens + distinct + 1.0)
     costs = string_costs(keys.where("k2 = 0").select("k1", "n"))
     values = keys.where("k2 <> 0").select("k1", "k2", F.col("n").cast("double").alias("value")).unionByName(costs.select("k1", F.lit(0).cast("long").alias("k2"), "value"))
-    parts = min(max(shuffle_parts(spark), n), PARTS)
-    lots = -(-n // (LOT * parts))
-    dealt = values.select(F.pmod(F.xxhash64("k1"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"), "k1", "k2", "value")
-    asked = blocked.groupBy("block").applyInArrow(lambda t: asks(t, parts), "part int, lot int, block int, keys binary, words binary")
-    back = asked.groupBy("part", "lot").cogroup(dealt.groupBy("part", "lot")).applyInArrow(answers, "block int, part int, costs binary, counts binary")
+    parts = max(min(max(shuffle_parts(spark), n), PARTS), -(-sums["keys"] // PART_KEYS))
+    asked = blocked.groupBy("block").applyInArrow(lambda t: asks(t, parts), "part int, block int, keys binary, words binary")
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    dealt = values.select(F.pmod(F.xxhash64("k1"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), F.lit(-1).alias("block"), "k1", "k2", "value", *none("binary", "keys", "words"))
+    dealt = dealt.union(asked.select("part", F.lit(1).alias("kind"), "block", *none("long", "k1", "k2"), *none("double", "value"), "keys", "words"))
+    back = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "kind", "block").mapInArrow(answered, "block int, part int, costs binary, counts binary")
     end_cost = float(np.log10(ends + 1.0) - least)
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
@@ -340,9 +364,11 @@ def score_texts(docs: DataFrame, trains) -> DataFrame:
         strings, words, word_hash = distinct_of(low, at)
         cost, count = np.zeros(len(strings)), np.zeros(len(words))
         of_string, of_word = part_of(strings.view(np.int64), parts), part_of(word_hash[:, 0], parts)
+        by_string, by_word = np.argsort(of_string, kind="stable"), np.argsort(of_word, kind="stable")
+        cut_s, cut_w = (np.searchsorted(x, np.arange(parts + 1)) for x in (of_string[by_string], of_word[by_word]))
         for part, a, b in zip(*(known.column(c).to_pylist() for c in ("part", "costs", "counts"))):
-            cost[of_string == part] = np.frombuffer(zlib.decompress(a), np.float32)
-            count[of_word == part] = np.frombuffer(zlib.decompress(b), np.int64)
+            cost[by_string[cut_s[part] : cut_s[part + 1]]] = np.frombuffer(zlib.decompress(a), np.float32)
+            count[by_word[cut_w[part] : cut_w[part + 1]]] = np.frombuffer(zlib.decompress(b), np.int64)
         costs_of = dict(zip(words, (np.log10(count + 1) - least).tolist()))
         unseen = {words[i] for i in np.flatnonzero(count == 0).tolist()}
         total, base, n_tokens, n_known = np.zeros(m), np.zeros(m), np.zeros(m, np.int64), np.zeros(m, np.int64)
