@@ -6,7 +6,8 @@
     mixing     op 1   repeats documents to the sources' target weights, in a global random order
     packing    op 7   packs token pieces into sequences
 
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents. Each stage's docstring says what becomes of nulls, empty texts and
+repeated rows; an empty table runs through to an empty one.
 """
 
 from __future__ import annotations
@@ -15,33 +16,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm import langid, lines, mixing, packing, simhash
-from veritrail.llm.common import fold, work_path
+from veritrail.llm.common import drop_paths, fold, scratch, work_path
 
 #: SQL can't express suffix automata, signatures or bin packing; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from labelled documents whose crc32 mod 4 is not 2; rejects 'und' and shares of evidence below the operator's limit."""
+    """Learns from labelled documents whose crc32 mod 4 is not 2; rejects 'und', which null, empty and letterless texts are,
+    and shares of evidence below the operator's limit. Columns stay as they are, whatever their names."""
     parser = langid.learn(docs.where(fold("doc_id", 4) != 2))
-    out = langid.predict_languages(docs, parser)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= langid.REJECT_BELOW)).select(*docs.columns)
+    out = langid.judged_rows(docs, parser).where((F.col("lang_pred") != "und") & (F.col("score") >= langid.REJECT_BELOW))
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of each component of equal or near-equal lines stays; documents that lose every line with a word go, those
+    without text stay. Rows of one id (or of none) are taken for one document."""
     return lines.dedup_lines(docs, short=True)
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component stays."""
+    """The document of the smallest id of each component stays, and of rows with that id one; null and empty texts are one
+    component."""
     return simhash.keep_first(docs)
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents to shares in proportion to size ** 0.7, over one epoch; sources without text give nothing."""
     return mixing.mix_sources(docs)
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every token piece of every row in sequences of 2048; null and empty texts are an end alone."""
     return packing.pack_documents(docs)
 
 
@@ -49,9 +56,13 @@ STAGES = [("language", language), ("lines", line_dedup), ("near", near_dedup), (
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Rows of the last stage. What a stage writes on its way, and the table it read, are deleted once its own stands."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = work_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop_paths(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
