@@ -5,7 +5,6 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from veritrail.llm import lines
 from veritrail.operators import probes, spans
 from veritrail.plans import registry
 
@@ -101,15 +100,3 @@ def test_conflict_against_the_baseline(spark):
     assert (got["best_layer"], got["n"], got["n_pos"]) == (best, 70, y.sum())
     assert (got["auroc_baseline"], got["auroc_conflict"], got["delta"]) == pytest.approx((a, b, b - a))
     assert probes.conflict_ranking(frame(spark, fold, y * 0, x)).count() == 0
-
-
-def test_short_lines_that_are_equal_are_one_component(spark, tmp_path):
-    import corpus_pipeline
-
-    docs = spark.createDataFrame([(1, "Home\n\nShare\na line of its own"), (2, "HOME \n \nReply"), (3, "home\n\u00e9\u00e9\u00e9\u00e9"), (4, "\u00e9\u00e9\u00e9\u00e9\nx"), (5, "share"), (6, None)], "doc_id long, text string")
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r["doc_id"], r["line_no"]): (r["first_doc"], r["first_line"], r["kept"]) for r in lines.op10_lines(spark, str(tmp_path)).collect()}
-    own = {k: (*k, True) for k in [(1, 0), (1, 2), (1, 3), (2, 2), (3, 1), (4, 1)]}
-    assert got == own | {(2, 0): (1, 0, False), (3, 0): (1, 0, False), (4, 0): (3, 1, False), (5, 0): (1, 2, False)}
-    rest = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
-    assert rest == {1: "Home\n\nShare\na line of its own", 2: " \nReply", 3: "\u00e9\u00e9\u00e9\u00e9", 4: "x", 6: None}
