@@ -71,12 +71,19 @@ def test_poisson_at_any_rate(spark, rate):
     assert abs(got[0] - rate) < 5 * math.sqrt(rate / n) and abs(got[1] / rate - 1) < 5 * math.sqrt((2 + 1 / rate) / n)
 
 
-def test_families_hold_two_chunks_at_most(spark, monkeypatch):
+def test_tasks_of_crowded_families_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(lines, "CROWD", 4)
+    sizes = []
+    plain = lines.verified
+
+    def watched(rows, texts, similar):
+        sizes.append(rows.groupBy("bhi", "blo", "chunk", "part").count().agg(F.max("count")).first()[0])
+        return plain(rows, texts, similar)
+
+    monkeypatch.setattr(lines, "verified", watched)
     df = spark.createDataFrame([(i, f"the same template of a line that is fairly long, but for number {i:03d}") for i in range(60)], "doc_id long, text string")
-    members = lines.families(lines.signed_lines(df)).where("pair <> 0")
-    assert members.groupBy("bhi", "blo", "pair").count().agg(F.max("count")).first()[0] <= 8
     assert lines.duplicate_lines(df).select("component").distinct().count() == 1
+    assert len(sizes) == 1 and sizes[0] <= 14  # chunks by hash, four lines each on average, with the pivot
 
 
 def test_common_lines_meet_their_class_by_broadcast(spark, monkeypatch):

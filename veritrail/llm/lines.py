@@ -13,14 +13,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import join_hot, lower_table, runs, shuffle_parts, slices, text_parts, write_out
+from veritrail.llm.common import join_hot, lower_table, runs, slices, text_parts, write_out
 from veritrail.llm.components import components
 
 #: Characters of a shingle (a power of two), bands and rows of the signature, and the similarity of near copies.
 #: At similarity 0.8 a pair meets in a band with chance 1 - (1 - 0.8**4)**12 = 0.998.
 SHINGLE, BANDS, ROWS, SIMILAR = 8, 12, 4, 0.8
-#: Larger buckets are verified by pairs of chunks of this many lines, each pair a family of its own; none is left out.
-CROWD = 2048
+#: Larger families are verified by chunks of about this many lines and bytes; none is left out.
+CROWD, CROWD_BYTES = 4096, 2 << 20
 #: Families of up to this many lines are walked pair by pair, larger ones by vectorised rows of pairs.
 SMALL = 6
 #: Lines remembered by a task so as to sign each once; when full the memory is emptied, which changes no result.
@@ -111,7 +111,7 @@ def comparable(data: np.ndarray, at: np.ndarray, least: int = SHINGLE):
 
 
 def signed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(doc_id, line_no, hi, lo, bands) of every comparable line; bands only where the task had not met the line before.
+    """(doc_id, line_no, hi, lo, size, bands) of every comparable line; size is its bytes; bands only where the task had not met the line before.
     short: also of lines of under SHINGLE bytes, which have no bands: equal ones share their digest."""
     some = docs.select("doc_id", "text")
 
@@ -134,9 +134,9 @@ def signed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)
                 h = digests(lines)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), bands], ["doc_id", "line_no", "hi", "lo", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(list(map(len, lines)), pa.int32()), bands], ["doc_id", "line_no", "hi", "lo", "size", "bands"])
 
-    return some.mapInArrow(sign, some.select("doc_id").schema.add("line_no", "integer").add("hi", "long").add("lo", "long").add("bands", ARRAY_OF_LONG))
+    return some.mapInArrow(sign, some.select("doc_id").schema.add("line_no", "integer").add("hi", "long").add("lo", "long").add("size", "integer").add("bands", ARRAY_OF_LONG))
 
 
 def _array_of_long():
@@ -171,36 +171,25 @@ def over_runs(batches, keys: list[str], names: list[str], settle):
 
 
 def families(lines: DataFrame) -> DataFrame:
-    """(bhi, blo, pair, hi, lo): each bucket's members under its smallest one, (bhi, blo); buckets of the same smallest line,
-    as one group of copies makes in many bands, are one family, and pair is 0. Of a bucket of over CROWD lines every pair
-    of chunks is a family, by a hash of the bucket and both chunks' numbers, so that none holds more than two chunks. Only
-    buckets of two or more different lines count."""
-    rows = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("key"), "hi", "lo")
-    rows = rows.repartition(shuffle_parts(lines.sparkSession), "key").sortWithinPartitions("key", "hi", "lo")
-    names = ["bhi", "blo", "pair", "hi", "lo"]
+    """(bhi, blo, hi, lo, size): each bucket's members under its smallest one, (bhi, blo), the family's pivot; buckets of the
+    same pivot, as one group of copies makes in many bands, are one family. Only buckets of two or more different
+    lines count. A bucket's task sees hashes alone, sorted by the shuffle."""
+    rows = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("key"), "hi", "lo", "size")
+    rows = rows.repartition("key").sortWithinPartitions("key", "hi", "lo")
+    names = ["bhi", "blo", "hi", "lo", "size"]
 
     def settle(t):
-        key, hi, lo = (t.column(c).to_numpy() for c in ("key", "hi", "lo"))
+        key, hi, lo, length = (t.column(c).to_numpy() for c in ("key", "hi", "lo", "size"))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-        key, both = key[new], np.stack([hi[new], lo[new]], 1)
+        key, hi, lo, length = key[new], hi[new], lo[new], length[new]
         at = runs(key)
         size = np.diff(at)
-        some = np.repeat((size > 1) & (size <= CROWD), size)
+        some, pivot = np.repeat(size > 1, size), np.repeat(at[:-1], size)
         if some.any():
-            yield batch(np.repeat(both[at[:-1]], size, 0)[some], np.zeros(some.sum(), np.int64), both[some])
-        for k in np.flatnonzero(size > CROWD).tolist():
-            chunks = np.array_split(both[at[k] : at[k + 1]], -(-size[k] // CROWD))
-            for x, one in enumerate(chunks):
-                for y, other in enumerate(chunks[x + 1 :], x + 1):
-                    part = np.concatenate([one, other])
-                    pair = xxhash.xxh64_intdigest(f"{key[at[k]]} {x} {y}") >> 1 | 1
-                    yield batch(np.repeat(part[:1], len(part), 0), np.full(len(part), pair, np.int64), part)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hi[pivot][some], lo[pivot][some], hi[some], lo[some], length[some])], names)
 
-    def batch(a, pair, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (a[:, 0], a[:, 1], pair, b[:, 0], b[:, 1])], names)
-
-    return rows.mapInArrow(lambda batches: over_runs(batches, ["key"], names, settle), "bhi long, blo long, pair long, hi long, lo long").distinct()
+    return rows.mapInArrow(lambda batches: over_runs(batches, ["key"], names, settle), "bhi long, blo long, hi long, lo long, size int").distinct()
 
 
 def candidate_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -295,7 +284,7 @@ def wide_forest(lines: list[str], similar: float) -> list[tuple[int, int]]:
         number: dict[str, int] = {}
         sets = [np.array([number.setdefault(g, len(number)) for g in shingles(x)]) for x in lines]
     sizes = np.array([len(x) for x in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     ends = np.cumsum(sizes)
     mark = np.zeros(int(ids.max()) + 1, bool)
     left, kept = np.arange(len(lines)), []
@@ -331,17 +320,31 @@ def name(hi: str = "hi", lo: str = "lo"):
     return F.concat(F.lpad(F.hex(hi), 16, "0"), F.lpad(F.hex(lo), 16, "0"))
 
 
-def line_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Edges (a, b) between names of different lines that are near copies."""
-    members, _ = write_out(families(lines), "families")
-    texts = candidate_texts(docs, members.select("hi"))
-    rows = members.join(texts, ["hi", "lo"]).repartition(shuffle_parts(docs.sparkSession), "bhi", "blo", "pair").sortWithinPartitions("bhi", "blo", "pair", "hi", "lo")
+PIVOT = ["bhi", "blo"]
+
+
+def chunked(members: DataFrame, crowded: DataFrame, column: str, salt: int) -> DataFrame:
+    """members of crowded families, dealt to as many chunks as the family's column says."""
+    rows = members.join(F.broadcast(crowded) if crowded.count() <= 100_000 else crowded, PIVOT)
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("hi", "lo", F.lit(salt)), F.col(column)).cast("int"))
+
+
+def crowds(members: DataFrame, name: str) -> DataFrame:
+    """(pivot, name): the chunks that families of over CROWD lines or CROWD_BYTES are cut to; written."""
+    parts = F.ceil(F.greatest(F.count("*") / CROWD, F.sum("size") / CROWD_BYTES)).cast("int")
+    return write_out(members.groupBy(*PIVOT).agg(parts.alias(name)).where(F.col(name) > 1), "crowded")[0]
+
+
+def verified(rows: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """(ahi, alo, bhi, blo): links of a spanning forest of every (pivot, chunk, part) of rows; a pivot's come from itself."""
+    keys = [*PIVOT, "chunk", "part"]
+    rows = rows.select(*keys, "hi", "lo").join(texts, ["hi", "lo"]).repartition(*keys).sortWithinPartitions(*keys, "hi", "lo")
 
     def settle(t):
-        bhi, blo, pair, hi, lo = (t.column(c).to_numpy() for c in ("bhi", "blo", "pair", "hi", "lo"))
-        at = np.union1d(np.union1d(runs(bhi), runs(blo)), runs(pair))
-        out = []
-        text = t.column("line")
+        at = t.column("bhi").to_numpy()[:0]
+        for c in keys:
+            at = np.union1d(at, runs(t.column(c).to_numpy())).astype(np.int64)
+        hi, lo, text, out = t.column("hi").to_numpy(), t.column("lo").to_numpy(), t.column("line"), []
         for s, e in zip(at.tolist(), at[1:].tolist()):
             if e - s > 1:
                 out += [(s + i, s + j) for i, j in forest(text.slice(s, e - s).to_pylist(), similar)]
@@ -349,8 +352,39 @@ def line_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> D
             x = np.array(out)
             yield pa.RecordBatch.from_arrays([pa.array(c[k]) for k in (x[:, 0], x[:, 1]) for c in (hi, lo)], ["ahi", "alo", "bhi", "blo"])
 
-    found = rows.mapInArrow(lambda batches: over_runs(batches, ["bhi", "blo", "pair"], [], settle), "ahi long, alo long, bhi long, blo long")
-    return found.select(name("ahi", "alo").alias("a"), name("bhi", "blo").alias("b"))
+    return rows.mapInArrow(lambda batches: over_runs(batches, keys, [], settle), "ahi long, alo long, bhi long, blo long")
+
+
+def line_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Edges (a, b) between names of different lines that are near copies.
+
+    Of a crowded family each chunk is verified with the pivot in it. Two lines of different chunks that are both like the
+    pivot are linked through it; so only lines that are not like it remain to be verified with the chunks they are not
+    in. They are dealt to chunks themselves, and each pair of chunks is a task's work of bounded size.
+    """
+    members, _ = write_out(families(lines), "families")
+    texts = candidate_texts(docs, members.select("hi"))
+    crowded = crowds(members, "chunks")
+    zero = F.lit(0).alias("part")
+    named = lambda x: x.select(name("ahi", "alo").alias("a"), name("bhi", "blo").alias("b"))
+    if crowded.isEmpty():
+        return named(verified(members.withColumn("chunk", F.lit(0)).select("*", zero), texts, similar))
+    texts, _ = write_out(texts, "texts")
+    small = members.join(crowded, PIVOT, "left_anti").select(*PIVOT, F.lit(0).alias("chunk"), zero, "hi", "lo")
+    others = chunked(members.where("hi <> bhi or lo <> blo"), crowded, "chunks", 0)
+    pivots = crowded.select(*PIVOT, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), zero, F.col("bhi").alias("hi"), F.col("blo").alias("lo"))
+    stars, _ = write_out(verified(small.unionByName(others.select(*PIVOT, "chunk", zero, "hi", "lo")).unionByName(pivots), texts, similar), "links")
+    like = stars.select(F.col("ahi").alias("_h"), F.col("alo").alias("_l"), F.col("bhi").alias("hi"), F.col("blo").alias("lo")).distinct()
+    apart = others.join(like, (others["bhi"] == F.col("_h")) & (others["blo"] == F.col("_l")) & (others["hi"] == like["hi"]) & (others["lo"] == like["lo"]), "left_anti")
+    apart, _ = write_out(apart.select(*PIVOT, "chunks", "hi", "lo", "size"), "apart")
+    if apart.isEmpty():
+        return named(stars)
+    parts = F.ceil(F.greatest(F.count("*") / CROWD, F.sum("size") / CROWD_BYTES)).cast("int")
+    dealt, _ = write_out(apart.groupBy(*PIVOT).agg(parts.alias("parts")), "parts")
+    part = F.pmod(F.xxhash64("hi", "lo", F.lit(1)), F.col("parts")).cast("int")
+    mine = apart.join(dealt, PIVOT).select(*PIVOT, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), part.alias("part"), "hi", "lo")
+    theirs = others.join(dealt, PIVOT).select(*PIVOT, "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "hi", "lo")
+    return named(stars.unionByName(verified(mine.unionByName(theirs).distinct(), texts, similar)))
 
 
 def duplicate_lines(docs: DataFrame, similar: float = SIMILAR, short: bool = False) -> DataFrame:

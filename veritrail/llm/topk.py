@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import shuffle_parts, write_out
+from veritrail.llm.common import write_out
 
 #: Pivots: a bounded sample of rows, by a hash of their ids. Annuli of a pivot; rows of a block; queries that meet a block at once.
 PIVOTS, RINGS, BLOCK, LOT = 64, 24, 8192, 8192
@@ -176,7 +176,7 @@ def top_k(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vec_
     for r in sizes.orderBy("dim", "ring").collect():  # at most PIVOTS * RINGS a length
         indexes[r["dim"]].rings[r["ring"] // RINGS, r["ring"] % RINGS] = r["count"], r["cut"]
     held = spark.sparkContext.broadcast(indexes)
-    blocks = keyed.join(F.broadcast(sizes.select("dim", "ring", "cut")), ["dim", "ring"]).withColumn("salt", F.pmod(F.xxhash64("nth"), F.col("cut")).cast("int")).drop("cut").repartition(shuffle_parts(spark), "dim", "ring", "salt")
+    blocks = keyed.join(F.broadcast(sizes.select("dim", "ring", "cut")), ["dim", "ring"]).withColumn("salt", F.pmod(F.xxhash64("nth"), F.col("cut")).cast("int")).drop("cut").repartition("dim", "ring", "salt")
 
     def open_rings(asks: DataFrame, first: bool) -> DataFrame:
         """(dim, ring, salt, q, id, v): the first rings of each query, up to twice k rows; or after those, all that may beat its bound."""
