@@ -47,6 +47,7 @@ class LocalSearch:
 
     def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
         self.capacity, self.steps = capacity, Counter()
+        self.twos = False  # whether two pieces go back too: asked for once single ones have done what they can
         self.size = lengths.tolist()
         self.bins = [sorted(b, key=self.size.__getitem__) for b in bins]
         self.fill = [sum(self.size[i] for i in b) for b in self.bins]
@@ -82,7 +83,7 @@ class LocalSearch:
             self.put(room, (b, (), version))
             for n, i in self.kinds(b).items():
                 self.put(room + n, (b, (i,), version))
-            for n, items in self.pairs(b).items():
+            for n, items in self.pairs(b).items() if self.twos else ():
                 self.put(room + n, (b, items, version))
 
     def put(self, t: int, offer: tuple[int, tuple[int, ...], int]) -> None:
@@ -91,8 +92,8 @@ class LocalSearch:
 
     def find(self, giver: int, n: int, most: int) -> tuple[int, tuple[int, ...], int] | None:
         """The offer with the least room left after n tokens of the giver's, with at most `most` pieces back; less comes
-        back than went, and the bin ends up fuller than the giver was."""
-        rest = self.mask >> n << n
+        back than went, and the bin ends up fuller than the giver was, so with less room than the giver has."""
+        rest = (self.mask >> n & (1 << self.capacity - self.fill[giver]) - 1) << n
         while rest:
             t = (rest & -rest).bit_length() - 1
             some, aside = self.offers[t], []
@@ -103,7 +104,7 @@ class LocalSearch:
                     some.pop()
                     continue
                 back = t - (self.capacity - self.fill[b])
-                if b == giver or len(items) > most or back >= n or self.fill[b] + n - back <= self.fill[giver]:
+                if b == giver or len(items) > most or back >= n:
                     aside.append(some.pop())
                 else:
                     found = b, items, back
@@ -131,7 +132,7 @@ class LocalSearch:
         self.steps[f"{len(items)} for {len(returned)}"] += 1
 
     def improve(self, giver: int) -> bool:
-        """Takes one step out of the giver: a piece, longest first, for up to two shorter ones, else two pieces for one."""
+        """Takes one step out of the giver: a piece, longest first, for up to two shorter ones, else two pieces for at most one."""
         for n, i in self.kinds(giver).items():
             if (to := self.find(giver, n, 2)) is not None:
                 self.step(giver, (i,), to)
@@ -180,7 +181,12 @@ class LocalSearch:
                 if stepped:
                     self.offer(giver)
                     changed = True
-            changed = changed or self.split([b for b in open_bins if self.bins[b] and self.fill[b] < self.capacity])
+            open_bins = [b for b in open_bins if self.bins[b] and self.fill[b] < self.capacity]
+            if not changed and not self.twos:
+                self.twos = changed = True
+                for b in open_bins:
+                    self.offer(b)
+            changed = changed or self.split(open_bins)
         return [b for b in self.bins if b]
 
 
