@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrail.functions.expressions import dot, l2_norm, sigmoid
+from veritrail.functions.expressions import dot, l2_norm, last_or_mean, sigmoid
 from veritrail.operators.metrics import ranking
 
 SAMPLE = 20_000
@@ -87,9 +87,7 @@ def held_out_scores(rows: DataFrame, c: float = 1.0, both: bool = False) -> Data
 
 def held_out_ranking(rows: DataFrame, c: float = 1.0) -> DataFrame:
     """Mean and population deviation over folds of both classes, and the pooled AUROC and AP, by layer."""
-    p = held_out_scores(rows, c)
-    each = ranking(p, ["layer", "fold"], "p").where("auroc is not null").groupBy("layer").agg(F.count("*").alias("n_folds"), F.avg("auroc").alias("auroc_mean"), F.stddev_pop("auroc").alias("auroc_std"))
-    return each.join(ranking(p, ["layer"], "p"), "layer")
+    return fold_ranking(held_out_scores(rows, c))
 
 
 def nested_scores(rows: DataFrame, c: float = 1.0) -> DataFrame:
@@ -143,8 +141,156 @@ def conflict_ranking(rows: DataFrame, c: float = 1.0) -> DataFrame:
     return out.where("n > 0").select(F.lit(best).cast(rows.schema["layer"].dataType).alias("best_layer"), "n", "n_pos", "auroc_baseline", "auroc_conflict", (F.col("auroc_conflict") - F.col("auroc_baseline")).alias("delta"))
 
 
-def stacked_scores(rows: DataFrame, signals: list[str], c: float = 1.0) -> DataFrame:
-    """Held-out scores of a logistic model over z-scored signal columns (deviations below 1e-8 count as one)."""
-    stats = rows.agg(*[f(s).alias(f"{s}_{n}") for s in signals for n, f in (("m", F.avg), ("d", F.stddev_pop))]).first()
-    z = [(F.col(s) - F.lit(stats[f"{s}_m"])) / F.lit(stats[f"{s}_d"] if (stats[f"{s}_d"] or 0) >= 1e-8 else 1.0) for s in signals]
-    return held_out_scores(rows.withColumn("vec", F.array(*z)).withColumn("layer", F.lit(0)), c)
+def full_set_scores(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """rows (id, layer, vec) scored by saved weights (layer, beta, bias), the rows they were fitted on included."""
+    return scored(rows, weights.select("layer", "beta", "bias"), ["layer"])
+
+
+def field_scores(labels: DataFrame, activations: DataFrame, weights: DataFrame, layer: int) -> DataFrame:
+    """(doc_id, path_str, probe_score) of every label with an activation at the layer, extracted or not; of token vectors
+    (tokens) the last counts."""
+    vec = F.element_at("tokens", -1) if "tokens" in activations.columns else F.col("vec")
+    some = activations.where(F.col("layer") == layer).select("doc_id", "path_str", "layer", vec.alias("vec"))
+    p = scored(labels.select("doc_id", "path_str").join(some, ["doc_id", "path_str"]), weights.select("layer", "beta", "bias"), ["layer"])
+    return p.select("doc_id", "path_str", F.col("p").alias("probe_score"))
+
+
+def standardised(rows: DataFrame, columns: list[str], by: DataFrame | None = None, eps: float = 1e-8, add: bool = False) -> DataFrame:
+    """z_<column>: by the mean and population deviation of the rows of `by` (default: all); a deviation below eps counts as
+    one, or with `add` eps is added to each."""
+    stats = (rows if by is None else by).agg(*[f(c).alias(f"_{c}_{n}") for c in columns for n, f in (("m", F.avg), ("d", F.stddev_pop))])
+    off = lambda c: F.col(f"_{c}_d") + eps if add else F.when(F.col(f"_{c}_d") < eps, F.lit(1.0)).otherwise(F.col(f"_{c}_d"))
+    out = rows.crossJoin(F.broadcast(stats))
+    return out.select(*rows.columns, *[((F.col(c) - F.col(f"_{c}_m")) / off(c)).alias(f"z_{c}") for c in columns])
+
+
+def span_scores(rows: DataFrame, how: str, c: float = 1.0) -> DataFrame:
+    """(id, fold, layer, y, p): held-out scores of fields with token vectors (tokens). last and mean make one vector of them;
+    max fits on every token, with its field's label, and takes a field's largest score."""
+    base = ["id", "fold", "layer", "y"]
+    if how != "max":
+        return held_out_scores(rows.select(*base, last_or_mean(F.col("tokens"), how).alias("vec")), c, both=True).select(*base, "p")
+    tokens = rows.select(*base, F.posexplode("tokens").alias("_t", "vec"))
+    keyed = tokens.withColumn("_field", F.col("id")).withColumn("id", F.concat_ws("#", F.col("id").cast("string"), F.col("_t").cast("string")))
+    p = held_out_scores(keyed, c, both=True)
+    return p.groupBy(F.col("_field").alias("id"), "fold", "layer").agg(F.first("y").alias("y"), F.max("p").alias("p")).select(*base, "p")
+
+
+def fold_ranking(p: DataFrame) -> DataFrame:
+    """(layer, n_folds, auroc_mean, auroc_std, n, n_pos, auroc, ap) of held-out scores: over folds of both classes, and pooled."""
+    each = ranking(p, ["layer", "fold"], "p").where("auroc is not null").groupBy("layer").agg(F.count("*").alias("n_folds"), F.avg("auroc").alias("auroc_mean"), F.stddev_pop("auroc").alias("auroc_std"))
+    return each.join(ranking(p, ["layer"], "p"), "layer")
+
+
+def with_features(rows: DataFrame, *features: str) -> DataFrame:
+    """rows whose vectors go on with the named numbers."""
+    return rows.withColumn("vec", F.concat(F.col("vec").cast("array<double>"), F.array(*[F.col(f).cast("double") for f in features])))
+
+
+def stacked(rows: DataFrame, signals: list[str], c: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Two tables: (id, fold, y, p), held-out scores of a logistic model over the probe's score and the signals, and (hold, signal,
+    coefficient).
+
+    For each held-out fold a probe is fitted on the other folds' vectors; its scores of those rows and their signals, all
+    standardised by the other folds alone, train the second model. Rows with a NaN or null signal are left out; folds
+    whose training rows have one class are not scored. A row goes to every fold once."""
+    ok = rows
+    for s in signals:
+        ok = ok.where(F.col(s).isNotNull() & ~F.isnan(s))
+    folds = ok.select("fold").distinct().agg(F.collect_list("fold").alias("folds"))  # bounded: folds are few by design
+    each = training_rows(ok).join(F.broadcast(folds)).withColumn("hold", F.explode("folds")).drop("folds")
+    names = ["probe", *signals]
+
+    def run(group: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        train = (f["fold"] != group[0]).to_numpy()
+        y = f["y"].to_numpy()
+        out = pd.DataFrame([], columns=OUT)
+        if not train.any() or y[train].min() == y[train].max():
+            return out
+        x = np.stack(f["vec"].to_numpy()).astype(float)
+        beta, bias = fit_logistic(x[train], y[train], c)
+        z = np.column_stack([1 / (1 + np.exp(-np.clip(x @ beta + bias, -500, 500))), f[signals].to_numpy(float)])
+        deviation = z[train].std(0)
+        z = (z - z[train].mean(0)) / np.where(deviation < 1e-8, 1.0, deviation)
+        beta, bias = fit_logistic(z[train], y[train], c)
+        p = 1 / (1 + np.exp(-np.clip(z[~train] @ beta + bias, -500, 500)))
+        out = pd.DataFrame({"id": f["id"][~train], "fold": f["fold"][~train], "y": y[~train], "p": p})
+        out["hold"], out["coefficients"] = group[0], [beta.tolist()] * len(out)
+        return out[OUT]
+
+    OUT = ["hold", "id", "fold", "y", "p", "coefficients"]
+    kind = lambda n: rows.schema[n].dataType.simpleString()
+    made = each.select("hold", "id", "fold", "y", "vec", *signals).groupBy("hold").applyInPandas(run, f"hold {kind('fold')}, id {kind('id')}, fold {kind('fold')}, y {kind('y')}, p double, coefficients array<double>")
+    weights = made.groupBy("hold").agg(F.first("coefficients").alias("c")).select("hold", F.posexplode("c").alias("_i", "coefficient"))
+    weights = weights.withColumn("signal", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1)).select("hold", "signal", "coefficient")
+    return made.select("id", "fold", "y", "p"), weights
+
+
+def three_signal_ranking(rows: DataFrame, signals: list[str], c: float = 1.0) -> DataFrame:
+    """One row: n, n_pos, mean and deviation of the folds' AUROC, pooled AUROC and AP, and the signals' mean coefficients with
+    deviations."""
+    p, weights = stacked(rows, signals, c)
+    coefs = weights.groupBy("signal").agg(F.avg("coefficient").alias("mean"), F.stddev_pop("coefficient").alias("std")).agg(F.array_sort(F.collect_list(F.struct("signal", "mean", "std"))).alias("coefficients"))
+    return fold_ranking(p.withColumn("layer", F.lit(0))).drop("layer").crossJoin(coefs)
+
+
+def drawn(seed: int):
+    """A row's place in a random order: md5 of the seed and its id."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")).cast("binary"))
+
+
+def shares(rows: DataFrame, parts: int, seed: int, column: str = "part") -> DataFrame:
+    """rows with a part from 0 to parts - 1, of equal size a class (and layer) but for one row, in the order of a hash of the id."""
+    w = Window.partitionBy("layer", "y").orderBy(drawn(seed), "id")
+    return rows.withColumn(column, ((F.row_number().over(w) - 1) % parts).cast("int"))
+
+
+def train_probes(rows: DataFrame, c: float = 1.0, parts: int = 5, test_share: float = 0.2, seed: int = 42) -> DataFrame:
+    """A probe for each layer of at most SAMPLE rows, with how well such probes do: layer, beta, bias, n_train (fitted on all);
+    fold_auroc, of `parts` stratified parts held out in turn, empty where a class has fewer rows than parts; and of one
+    test set of max(1, round(test_share * n)) rows drawn by hash: n_test, n_test_errors, auroc, ap, brier, accuracy,
+    threshold_at_50. Null where one class makes a measure undefined."""
+    some = training_rows(rows)
+    base = rows.schema["layer"].dataType.simpleString()
+
+    def run(group: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["_h", "id"], kind="stable")
+        x, y, part = np.stack(f["vec"].to_numpy()).astype(float), f["y"].to_numpy(), f["part"].to_numpy()
+        n, pos = len(y), int(y.sum())
+        score = lambda train, test: 1 / (1 + np.exp(-np.clip(x[test] @ (w := fit_logistic(x[train], y[train], c))[0] + w[1], -500, 500)))
+        found = []
+        if min(pos, n - pos) >= parts:
+            found = [auroc(y[part == k], score(part != k, part == k)) for k in range(parts)]
+        test = np.arange(n) < max(1, round(test_share * n))
+        out = {"layer": group[0], "n_test": int(test.sum()), "n_test_errors": int(y[test].sum()), "fold_auroc": [a for a in found if a is not None], "n_train": n}
+        one = not test.all() and 0 < y[~test].sum() < (~test).sum()
+        p = score(~test, test) if one else np.full(test.sum(), np.nan)
+        out |= measures(y[test], p) if one else dict.fromkeys(("auroc", "ap", "brier", "accuracy", "threshold_at_50"))
+        beta, bias = fit_logistic(x, y, c)
+        return pd.DataFrame([out | {"beta": beta.tolist(), "bias": bias}])[COLUMNS]
+
+    COLUMNS = ["layer", "beta", "bias", "n_train", "fold_auroc", "n_test", "n_test_errors", "auroc", "ap", "brier", "accuracy", "threshold_at_50"]
+    schema = f"layer {base}, {WEIGHTS}, fold_auroc array<double>, n_test long, n_test_errors long, auroc double, ap double, brier double, accuracy double, threshold_at_50 double"
+    dealt = shares(some, parts, seed).withColumn("_h", drawn(seed + 1))
+    return dealt.select("layer", "id", "y", "vec", "part", "_h").groupBy("layer").applyInPandas(run, schema)
+
+
+def auroc(y: np.ndarray, p: np.ndarray) -> float | None:
+    """Ties count half; None with one class."""
+    pos, n = int(y.sum()), len(y)
+    if not 0 < pos < n:
+        return None
+    s, at, size = np.unique(p, return_inverse=True, return_counts=True)
+    rank = np.cumsum(size) - (size - 1) / 2
+    return float((rank[at][y == 1].sum() - pos * (pos + 1) / 2) / (pos * (n - pos)))
+
+
+def measures(y: np.ndarray, p: np.ndarray) -> dict:
+    """auroc, ap, brier, accuracy at one half, and the score of the positive that makes half of them."""
+    order = np.argsort(-p, kind="stable")
+    ys, ps, pos = y[order], p[order], int(y.sum())
+    last = np.append(ps[1:] != ps[:-1], True)
+    tp, seen = np.cumsum(ys)[last], (np.arange(len(ys)) + 1)[last]
+    ap = float((np.diff(tp, prepend=0) * tp / seen).sum() / pos) if 0 < pos < len(y) else None
+    half = float(np.sort(p[y == 1])[::-1][int(np.ceil(0.5 * pos)) - 1]) if pos else None
+    return {"auroc": auroc(y, p), "ap": ap, "brier": float(((p - y) ** 2).mean()), "accuracy": float(((p > 0.5) == y).mean()), "threshold_at_50": half}

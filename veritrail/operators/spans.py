@@ -5,7 +5,7 @@ Spans are (doc, span, first, past, generated), half-open in generated tokens; to
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOW = ("last", "mean", "all")
@@ -20,6 +20,12 @@ def clamped(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     return cut.select("doc", "layer", "span", F.least(F.col("lo"), F.col("have") - 1).alias("lo"), F.least("hi", "have").alias("hi")).where("lo < hi")
 
 
+def starts(pieces: DataFrame, group: list[str], order: str, text: str = "text") -> DataFrame:
+    """pieces with start: where each begins in the text that its group's pieces make in their order."""
+    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.withColumn("start", F.coalesce(F.sum(F.length(text)).over(w), F.lit(0)))
+
+
 def reduce_spans(spans: DataFrame, tokens: DataFrame, how: str) -> DataFrame:
     """(doc, span, layer, step, pos, value) of every span and layer; step is null for means."""
     if how not in HOW:

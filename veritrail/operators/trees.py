@@ -6,7 +6,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from veritrail.functions.values import FUZZY_THRESHOLD, NUMBER_TOLERANCE, compare, folded
 
@@ -53,11 +57,28 @@ def key_paths(tree) -> set[str]:
     return out
 
 
+def schema_paths(schema) -> set[str]:
+    """Key paths that a schema's properties and items imply, written as key_paths writes them."""
+    out, stack = set(), [("", schema)]
+    while stack:
+        at, node = stack.pop()
+        for k, sub in (node.get("properties", {}) if isinstance(node, dict) else {}).items():
+            path = f"{at}.{k}" if at else k
+            out.add(path)
+            if isinstance(sub, dict) and sub.get("type") == "object":
+                stack.append((path, sub))
+            elif isinstance(sub, dict) and sub.get("type") == "array" and isinstance(sub.get("items"), dict) and sub["items"].get("type") == "object":
+                stack.append((f"{path}[]", sub["items"]))
+    return out
+
+
 class Labeller:
-    """Rows that say, field by field, how an extracted tree departs from gold under a schema."""
+    """Rows that say, field by field, how an extracted tree departs from gold under a schema. unmatched: paths of gold elements
+    that no element of an array matched by membership equals, of the last tree labelled."""
 
     def __init__(self, fuzzy_threshold: float = FUZZY_THRESHOLD, number_tolerance: float = NUMBER_TOLERANCE):
         self.limits = {"fuzzy_threshold": fuzzy_threshold, "number_tolerance": number_tolerance}
+        self.unmatched: list[str] = []
 
     @staticmethod
     def row(path, gold, extracted, verdict, strategy, has_gold, has_extracted) -> dict:
@@ -83,6 +104,7 @@ class Labeller:
 
     def label(self, schema, gold, extracted) -> Iterator[dict]:
         """Children of objects come in the order of their keys, of arrays by place."""
+        self.unmatched = []
         stack = [(schema, gold, extracted, [], 0)]
         while stack:
             node, g, e, path, depth = stack.pop()
@@ -147,11 +169,14 @@ class Labeller:
     def members(self, items, g: list, e: list, path):
         """A row for each extracted element: whether any gold element equals it."""
         how = self.strategy(items, "case_insensitive")
-        real = [x for x in g if present(x)]
+        real = [(n, x) for n, x in enumerate(g) if present(x)]
+        met = set()
         for i, x in enumerate(e):
-            hit = next(([y] for y in real if compare(y, x, how, **self.limits)), None) if present(x) else None
+            hit = next(((n, y) for n, y in real if compare(y, x, how, **self.limits)), None) if present(x) else None
+            met |= {hit[0]} if hit else set()
             word = "omission" if not present(x) else "match" if hit else "value_mismatch" if real else "hallucination"
-            yield self.row([*path, i], hit[0] if hit else None, x, word, f"set_membership_{how}", bool(real), present(x))
+            yield self.row([*path, i], hit[1] if hit else None, x, word, f"set_membership_{how}", bool(real), present(x))
+        self.unmatched += [".".join(map(str, [*path, f"gold{n}"])) for n, _ in real if n not in met]
 
 
 def parsed(text):
@@ -161,26 +186,71 @@ def parsed(text):
         return None
 
 
+def walked(pairs: DataFrame, schema, rows, fuzzy_threshold: float, number_tolerance: float) -> DataFrame:
+    """Columns of `rows(labeller, schema, gold, extracted)`, a list of tuples, with the doc_id, for every pair. Schemas repeat, so
+    each text is parsed once a task."""
+
+    def run(batches):
+        labeller, trees = Labeller(fuzzy_threshold, number_tolerance), {}
+        for b in batches:
+            who, out = [], []
+            for i, (text, gold, extracted) in enumerate(zip(*(b.column(c).to_pylist() for c in ("schema", "gold", "extracted")))):
+                if text not in trees:
+                    trees = {**trees, text: parsed(text)} if len(trees) < 1000 else {text: parsed(text)}
+                made = rows(labeller, trees[text], parsed(gold), parsed(extracted))
+                who += [i] * len(made)
+                out += made
+            columns = list(zip(*out)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(who, pa.int64())), *[pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema)]], ["doc_id", *schema.names])
+
+    some = pairs.select("doc_id", "schema", "gold", "extracted")
+    whole = some.select("doc_id").schema
+    for f in schema:
+        whole = whole.add(f)
+    return some.mapInArrow(run, whole)
+
+
 def label_trees(pairs: DataFrame, fuzzy_threshold: float = FUZZY_THRESHOLD, number_tolerance: float = NUMBER_TOLERANCE) -> DataFrame:
-    """Labels of pairs(doc_id, schema, gold, extracted), the last three JSON texts; no shuffle. Texts that are no JSON count as null."""
+    """Labels of pairs(doc_id, schema, gold, extracted), the last three JSON texts; no shuffle. Texts that are no JSON count as null.
+    Counts a document come from reports.label_counts, gold elements without an equal from unmatched_gold."""
+    schema = StructType.fromDDL(LABEL)
+    rows = lambda walker, s, g, e: [tuple(r[n] for n in schema.names) for r in walker.label(s, g, e)]
+    return walked(pairs, schema, rows, fuzzy_threshold, number_tolerance)
+
 
-    def run(frames):
-        walker = Labeller(fuzzy_threshold, number_tolerance)
-        for f in frames:
-            rows = [{"doc_id": r.doc_id, **x} for r in f.itertuples() for x in walker.label(parsed(r.schema), parsed(r.gold), parsed(r.extracted))]
-            yield pd.DataFrame(rows, columns=["doc_id", *[c.split()[0] for c in LABEL.split(", ")]])
+def unmatched_gold(pairs: DataFrame, fuzzy_threshold: float = FUZZY_THRESHOLD, number_tolerance: float = NUMBER_TOLERANCE) -> DataFrame:
+    """(doc_id, path_str): gold elements of arrays matched by membership that no extracted element equals."""
 
-    kind = pairs.schema["doc_id"].dataType.simpleString()
-    return pairs.select("doc_id", "schema", "gold", "extracted").mapInPandas(run, f"doc_id {kind}, {LABEL}")
+    def rows(walker, s, g, e):
+        for _ in walker.label(s, g, e):
+            pass
+        return [(p,) for p in walker.unmatched]
+
+    return walked(pairs, StructType.fromDDL("path_str string"), rows, fuzzy_threshold, number_tolerance)
 
 
 def tree_leaves(docs: DataFrame, column: str) -> DataFrame:
-    """(doc_id, pos, path_str, kind, value) of every leaf of a JSON column."""
+    """(doc_id, pos, path_str, kind, value) of every leaf of a JSON column; texts as Python writes the values."""
+
+    def run(batches):
+        for b in batches:
+            who, out = [], []
+            for i, text in enumerate(b.column(column).to_pylist()):
+                made = [(n, ".".join(map(str, p)), JSON_TYPES[type(v)], None if v is None else str(v)) for n, (p, v) in enumerate(leaves(parsed(text)) if text else ())]
+                who += [i] * len(made)
+                out += made
+            pos, path, kind, value = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(who, pa.int64())), pa.array(pos, pa.int32()), *[pa.array(c, pa.string()) for c in (path, kind, value)]], ["doc_id", "pos", "path_str", "kind", "value"])
+
+    some = docs.select("doc_id", column)
+    return some.mapInArrow(run, some.select("doc_id").schema.add("pos", "integer").add("path_str", "string").add("kind", "string").add("value", "string"))
+
+
+def key_path_arrays(docs: DataFrame, column: str, schema: bool = False) -> DataFrame:
+    """(doc_id, keys) of a JSON column's key paths, sorted; of those its schema implies where the column holds schemas."""
 
-    def run(frames):
-        for f in frames:
-            rows = [(r[0], i, ".".join(map(str, p)), JSON_TYPES[type(v)], None if v is None else str(v)) for r in f.itertuples(index=False) for i, (p, v) in enumerate(leaves(parsed(r[1])) if r[1] else ())]
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "path_str", "kind", "value"])
+    @F.pandas_udf("array<string>")
+    def paths(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted((schema_paths if schema else key_paths)(parsed(t))))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", column).mapInPandas(run, f"doc_id {kind}, pos int, path_str string, kind string, value string")
+    return docs.select("doc_id", paths(column).alias("keys"))
