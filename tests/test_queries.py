@@ -25,8 +25,17 @@ def db():
     return c
 
 
+def bare(v):
+    """Nulls and NaN alike, rows and lists as lists."""
+    if isinstance(v, (list, tuple)):
+        return [bare(x) for x in v]
+    if isinstance(v, dict):
+        return [bare(x) for x in v.values()]
+    return "" if v is None or isinstance(v, float) and math.isnan(v) else v
+
+
 def plain(rows):
-    return sorted(repr(["" if v is None or isinstance(v, float) and math.isnan(v) else v for v in r]) for r in rows)
+    return sorted(repr(bare(r)) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -45,6 +54,19 @@ def test_runs(spark, name):
     assert registry.queries()[name](spark, DATA).count() > 0
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 64])
+def test_pooled_ranking_does_not_depend_on_ranges(spark, monkeypatch, ranges):
+    monkeypatch.setattr(metrics, "RANGES", ranges)
+    r = np.random.default_rng(5)
+    y, p = r.integers(0, 2, 400), r.integers(0, 40, 400) / 40.0
+    rows = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)], "score double, y int")
+    got = metrics.ranking(rows, []).first()
+    assert got["auroc"] == pytest.approx(probes.auroc(y, p)) and got["ap"] == pytest.approx(probes.measures(y, p)["ap"])
+    found = metrics.threshold_for_recall(rows, [], 0.3).first()["threshold"]
+    assert found == np.sort(p[y == 1])[::-1][int(np.ceil(0.3 * y.sum())) - 1]
+    assert metrics.threshold_for_recall(rows.where("y = 0"), [], 0.3).count() == 0 and metrics.ranking(rows.limit(0), []).first()["auroc"] is None
+
+
 def test_ranking_of_ties_and_single_classes(spark):
     rows = spark.createDataFrame([(1, 0.9, 1), (1, 0.9, 0), (1, 0.4, 1), (1, 0.1, 0), (1, 0.2, 0), (2, 0.5, 1), (3, float("nan"), 1), (3, 0.1, 0)], "g int, score double, y int")
     got = {r["g"]: r for r in metrics.ranking(rows, ["g"]).collect()}

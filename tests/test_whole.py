@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 
 def test_spans_are_normalised_beyond_80_characters(spark):
     texts = {r["doc_id"]: r["text"] for r in registry.table(spark, DATA, "documents").select("doc_id", "text").collect()}
-    got = {r["doc_id"]: r["span"] for r in registry.queries()["fn_norm_span_whole"](spark, DATA).collect()}
+    got = {r["doc_id"]: r["span"] for r in registry.queries()["fn_norm_span"](spark, DATA).collect()}
     assert got == {k: None if t is None else " ".join(t.split()).rstrip(" .,;:") for k, t in texts.items()}
     assert any(len(s or "") > 1000 for s in got.values())
 

@@ -2,40 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions import expressions as X
-from veritrail.operators import metrics, policies, probes, spans, trees
-
-_made: dict = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        _made[f.__name__.rstrip("_")] = f
-        if sql:
-            _sql[f.__name__.rstrip("_")] = sql
-        return f
-
-    return keep
-
-
-def table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def events(spark, sf_dir: str) -> DataFrame:
-    """Events as scored fields: an error's score is its value."""
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.col("value").alias("score"), (F.col("event_type") == "error").cast("int").alias("y"), (F.col("event_type") == "click").cast("int").alias("still"))
-
-
-EVENTS = "e as (select event_id, user_id, value as score, (event_type = 'error')::int as y, (event_type = 'click')::int as still from events)"
-
-
-def rounded(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+from veritrail.operators import fields, metrics, policies, spans
+from veritrail.plans.base import EVENTS, events, query, rounded, table
 
 
 def ranking_sql(group: str) -> str:
@@ -71,10 +43,10 @@ def stat_thr(spark, d):
     return metrics.threshold_for_recall(events(spark, d), ["user_id"], 0.8)
 
 
-@query(f"with {EVENTS} select user_id, event_id, row_number() over w as cost, sum(y - still) over w::bigint as net from e window w as (partition by user_id order by score desc, event_id rows unbounded preceding)")
+@query(f"with {EVENTS} select user_id, row_number() over w::int as cost, sum(y - still) over w::bigint as net from e window w as (partition by user_id order by score desc, event_id rows unbounded preceding) union all select distinct user_id, 0, 0 from e")
 def win_curve(spark, d):
     rows = events(spark, d).withColumn("delta", F.col("y") - F.col("still"))
-    return policies.curve(rows, [F.desc("score"), F.col("event_id")], ["user_id"]).select("user_id", "event_id", F.col("cost").cast("long").alias("cost"), "net")
+    return policies.curve(rows, [F.desc("score"), F.col("event_id")], ["user_id"], origin=True)
 
 
 @query(f"""with {EVENTS}, c as (select user_id, row_number() over w as cost, sum(y - still) over w::bigint as net from e window w as (partition by user_id order by score desc, event_id rows unbounded preceding)),
@@ -88,20 +60,31 @@ def win_budget(spark, d):
 TAUS = "(select round(0.05 * i, 2)::double as tau from range(0, 20) r(i)) t"
 
 
-@query(f"""with {EVENTS}, g as (select tau, count(*) as n_override, count(*) filter (y > still) as fixed, count(*) filter (y < still) as broke from e join {TAUS} on score / 500.0 >= tau group by tau)
-select tau, n_override, fixed, broke, fixed - broke as net, round(fixed::double / nullif(fixed + broke, 0), 9) as precision from g""")
+@query(f"""with {EVENTS}, g as (select tau, count(*) filter (score / 500.0 >= tau) as n_override, count(*) as n, count(*) filter (score / 500.0 >= tau and y > still) as fixed, count(*) filter (score / 500.0 >= tau and y < still) as broke from e, {TAUS} group by tau)
+select tau, n_override, round(n_override::double / n, 9) as rate, fixed, broke, fixed - broke as net, round(fixed::double / nullif(fixed + broke, 0), 9) as precision from g""")
 def pol_gate(spark, d):
     rows = events(spark, d).select((F.col("score") / 500.0).alias("p"), (F.col("y") - F.col("still")).alias("delta"))
-    return rounded(policies.gate(rows, []), "precision")
+    return rounded(policies.gate(rows, []), "rate", "precision")
 
 
-@query(f"""with {EVENTS}, f as (select distinct user_id from e), o as (select user_id, tau, sum(y - still) as net from e join {TAUS} on score / 500.0 >= tau group by all),
-x as (select f.user_id, t.tau, coalesce(net, 0) as net from f cross join {TAUS} left join o on o.user_id = f.user_id and o.tau = t.tau), z as (select *, sum(net) over (partition by tau) - net as others from x)
-select user_id, tau, net::bigint as net from (select *, row_number() over (partition by user_id order by others desc, tau) as r from z) where r = 1""")
-def pol_heldout(spark, d):
+HELD = f"""with {EVENTS}, o as (select user_id, tau, count(*) filter (score / 500.0 >= tau and y > still) as fixed, count(*) filter (score / 500.0 >= tau and y < still) as broke from e, {TAUS} group by all),
+z as (select *, fixed - broke as net, sum(fixed - broke) over (partition by tau) - (fixed - broke) as others from o), h as (select user_id, tau, fixed, broke, net from (select *, row_number() over (partition by user_id order by others desc, tau) as r from z) where r = 1)"""
+
+
+def held_out(spark, d):
     return policies.held_out_gate(events(spark, d).select("user_id", (F.col("score") / 500.0).alias("p"), (F.col("y") - F.col("still")).alias("delta")), "user_id")
 
 
+@query(HELD + " select * from h")
+def pol_heldout(spark, d):
+    return held_out(spark, d)
+
+
+@query(HELD + ", t as (select tau, count(*) as n from h group by tau) select count(*) as n_folds, sum(fixed)::bigint as fixed, sum(broke)::bigint as broke, sum(net)::bigint as net, (select list({'tau': tau, 'n': n} order by tau) from t) as taus from h")
+def pol_heldout_sum(spark, d):
+    return policies.held_out_summary(held_out(spark, d))
+
+
 @query("""with c as (select l_orderkey as key, l_linenumber as idx, l_discount as p from lineitem), b as (select key, min((p, idx)) as b, 0.15::double as orig_p from c group by key)
 select key, b[2] as idx, b[1] as p, orig_p, margin, b[1] <= orig_p - margin as taken from b, (values (0.0::double), (0.05), (0.1), (0.15), (0.2), (0.3)) m(margin)""")
 def pol_select(spark, d):
@@ -114,14 +97,20 @@ def fn_url(spark, d):
     return table(spark, d, "pages").select("page_id", X.url(F.col("url")).alias("url"))
 
 
-@query("select c_custkey, trim(lower(replace(c_name, '#', '@'))) as email from customer")
+@query("select c_custkey, case c_custkey % 3 when 0 then lower(replace(c_name, '#', '@')) when 1 then lower(replace(c_name, '#', '@')) else 'me@a.no' end as email from customer")
 def fn_email(spark, d):
-    return table(spark, d, "customer").select("c_custkey", X.email(F.concat(F.lit("mailto:"), F.replace("c_name", F.lit("#"), F.lit("@")))).alias("email"))
+    """After mailto:, in a link, and bare."""
+    k, plain = F.col("c_custkey") % 3, F.replace("c_name", F.lit("#"), F.lit("@"))
+    text = F.when(k == 0, F.concat(F.lit(" mailto:"), plain)).when(k == 1, F.concat(F.lit("["), plain, F.lit("](mailto:x@y.z)"))).otherwise(" Me@A.no ")
+    return table(spark, d, "customer").select("c_custkey", X.email(text).alias("email"))
 
 
-@query("select p_partkey, lower(p_name) = lower(p_name) and p_type = upper(p_type) as same from part")
+@query("select p_partkey, p_partkey % 4 in (0, 1) as same from part")
 def fn_ci(spark, d):
-    return table(spark, d, "part").select("p_partkey", (X.same_folded(F.concat(F.lit(" "), F.upper("p_name")), F.col("p_name")) & X.same_folded(F.lower("p_type"), F.col("p_type"))).alias("same"))
+    """Other case and blanks around; another word; a longer one."""
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    other = F.when(k == 0, F.concat(F.lit(" \t"), F.upper(name))).when(k == 1, F.concat(F.initcap(name), F.lit("\n"))).when(k == 2, F.concat(F.lit("x"), name)).otherwise(F.concat(name, F.lit(" .")))
+    return table(spark, d, "part").select("p_partkey", X.same_folded(name, other).alias("same"))
 
 
 @query("""with t as (select p_partkey, list_distinct(list_filter(string_split(lower(p_name || ' ' || p_brand), ' '), lambda x: x <> '')) as a, list_distinct(string_split(lower(p_name), ' ')) as b from part)
@@ -143,14 +132,8 @@ def fn_period(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.period(text).alias("period"))
 
 
-@query("select doc_id, regexp_replace(trim(regexp_replace(substr(text, 1, 80), '\\s+', ' ', 'g')), '[ .,;:]+$', '') as span from documents")
-def fn_norm_span(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.norm_span(F.substring("text", 1, 80)).alias("span"))
-
-
 @query("select doc_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[ .,;:]+$', '') as span from documents")
-def fn_norm_span_whole(spark, d):
-    """fn_norm_span on whole texts: that query and its SQL see 80 characters of each."""
+def fn_norm_span(spark, d):
     return table(spark, d, "documents").select("doc_id", X.norm_span(F.col("text")).alias("span"))
 
 
@@ -161,18 +144,11 @@ def set_array_eq(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.same_set(a, b).alias("same"))
 
 
-@query("""with v as (select doc_id, case when doc_id % 3 = 0 then 'of the' when doc_id % 3 = 1 then lower(substr(text, 1, 12)) else '' end as v, regexp_replace(regexp_replace(lower(text), '[,$]', '', 'g'), '\\s+', ' ', 'g') as t from documents),
-n as (select doc_id, t, trim(regexp_replace(regexp_replace(v, '[,$]', '', 'g'), '\\s+', ' ', 'g')) as v from v)
-select doc_id, case when v = '' then 'empty_gold' when contains(t, v) then 'substring' else 'none' end as method from n""")
-def fn_value_in_text(spark, d):
-    k = F.col("doc_id") % 3
-    v = F.when(k == 0, "of the").when(k == 1, F.substring("text", 1, 12)).otherwise("")
-    return table(spark, d, "documents").select("doc_id", X.value_in_text(X.norm_text(v), X.norm_text(F.col("text"))).alias("method"))
-
-
-@query("select p_partkey, length(p_name) as n_chars, len(string_split(p_name, ' ')) as n_words, regexp_matches(p_name, '[0-9]')::int as has_digit, regexp_matches(p_name, '[A-Z]')::int as has_upper, 0 as n_commas, 3 as depth, 8 as path_chars from part")
+@query("""with v as (select p_partkey, case when p_partkey % 7 > 0 then p_name || case when p_partkey % 2 = 0 then ', A 1,' else '' end end as v from part), c as (select *, coalesce(v, '') as t from v)
+select p_partkey, length(t) as n_chars, case when t = '' then 0 else len(string_split(t, ' ')) end as n_words, regexp_matches(t, '[0-9]')::int as has_digit, regexp_matches(t, '[A-Z]')::int as has_upper, (length(t) - length(replace(t, ',', '')))::int as n_commas, 2 as depth, 8 as path_chars from c""")
 def fn_handcrafted(spark, d):
-    return table(spark, d, "part").select("p_partkey", *[c.alias(k) for k, c in X.handcrafted(F.col("p_name"), F.lit("part.0.n")).items()])
+    v = F.when(F.col("p_partkey") % 7 > 0, F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, ", A 1,").otherwise("")))
+    return table(spark, d, "part").select("p_partkey", *[c.alias(k) for k, c in X.handcrafted(v, F.lit("part.0.n")).items()])
 
 
 @query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as norm, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as first from embeddings")
@@ -187,84 +163,31 @@ def fn_sigmoid(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(X.sigmoid(X.dot(v, F.transform(v, lambda _: F.lit(1.0)))), 6).alias("p"))
 
 
-@query("select source, lang, count(*) as n_total, count(*) filter (toxic = 1)::bigint as n_errors, round(avg(toxic), 9) as error_rate from documents join labels using (doc_id) group by all")
-def agg_label_counts(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source", "lang").join(table(spark, d, "labels"), "doc_id")
-    return rounded(rows.groupBy("source", "lang").agg(F.count("*").alias("n_total"), F.count_if(F.col("toxic") == 1).alias("n_errors"), F.avg("toxic").alias("error_rate")), "error_rate")
-
-
-@query("select lang, source, count(*) as total, count(*) filter (contains(text, 'License'))::bigint as in_text from documents group by rollup (lang, source)")
-def agg_coverage(spark, d):
-    return table(spark, d, "documents").rollup("lang", "source").agg(F.count("*").alias("total"), F.count_if(F.contains("text", F.lit("License"))).alias("in_text"))
-
-
 @query("select conv_id, turn, coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as start from conversations")
 def win_token_starts(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).alias("start"))
+    return spans.starts(table(spark, d, "conversations"), ["conv_id"], "turn").select("conv_id", "turn", "start")
 
 
 @query("select user_id, event_id, ts from (select *, row_number() over (partition by user_id order by ts, event_id) as r from events) where r = 1")
 def win_dedup_first(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("f")).select("user_id", F.col("f.event_id").alias("event_id"), F.col("f.ts").alias("ts"))
+    return fields.first_of(table(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], "ts", "event_id")
 
 
 @query("select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders) where r = 1")
 def top_candidate(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.min(F.struct((-F.col("o_totalprice")).alias("k"), "o_orderkey", "o_totalprice")).alias("b")).select("o_custkey", "b.o_orderkey", "b.o_totalprice")
+    return fields.best_of(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_totalprice", "o_orderkey")
 
 
 @query("select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderkey) as r from orders) where r <= 3")
 def lim_groups(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("r")).where("r <= 3").drop("r")
-
-
-@query("select doc_id from documents where lang = 'en' intersect select doc_id from labels where quality = 1")
-def set_intersect(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id").intersect(table(spark, d, "labels").where("quality = 1").select("doc_id"))
-
-
-@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
-def set_except(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
+    return fields.at_most(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], 3, "o_orderkey")
 
 
-@query("select c_custkey as key, 'customer' as origin from customer union all select s_suppkey, 'supplier' from supplier")
-def set_union(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.lit("customer").alias("origin")).unionByName(table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.lit("supplier").alias("origin")))
-
-
-@query("select doc_id, lang, coalesce(quality, -1) as quality from documents left join labels using (doc_id)")
+@query("select doc_id, lang as path_str, coalesce(quality, -1.0)::double as p_err from documents left join labels using (doc_id)")
 def join_pscore(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("quality", F.coalesce("quality", F.lit(-1)))
-
-
-@query("select doc_id from labels where toxic = 1 and doc_id in (select doc_id from documents where source = 'src0')")
-def join_fixable(spark, d):
-    return table(spark, d, "labels").where("toxic = 1").select("doc_id").join(table(spark, d, "documents").where("source = 'src0'").select("doc_id"), "doc_id", "left_semi")
-
-
-@query("""with a as (select conv_id, turn, role from conversations where role = 'user'), b as (select conv_id, turn - 1 as turn, role as reply from conversations where role = 'assistant')
-select coalesce(a.conv_id, b.conv_id) as conv_id, coalesce(a.turn, b.turn) as turn, role, reply from a full join b on a.conv_id = b.conv_id and a.turn = b.turn""")
-def join_positional(spark, d):
-    c = table(spark, d, "conversations")
-    a = c.where("role = 'user'").select("conv_id", "turn", "role")
-    b = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("reply"))
-    return a.join(b, ["conv_id", "turn"], "full_outer")
-
-
-@query("select n_name, r_name, sum(o_totalprice)::decimal(20, 2)::varchar as total, count(*) as n from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all")
-def join_gold(spark, d):
-    t = lambda n: table(spark, d, n)
-    per = t("orders").select("o_custkey", "o_totalprice").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum("o_totalprice").alias("s"), F.count("*").alias("n"))
-    places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return per.join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "r_name", F.col("s").cast("decimal(20,2)").cast("string").alias("total"), "n")
-
-
-@query("select vec_id, pos - 1 as pos, round(value::double, 6) as value from (select vec_id, unnest(embedding) as value, generate_subscripts(embedding, 1) as pos from embeddings)")
-def agg_span_reduce(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "value")).select("vec_id", "pos", F.round(F.col("value").cast("double"), 6).alias("value"))
+    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("path_str"))
+    scores = table(spark, d, "labels").join(rows, "doc_id").select("doc_id", "path_str", F.col("quality").cast("double").alias("probe_score"))
+    return fields.with_probe_score(rows, scores, -1.0)
 
 
 @query("""with t as (select vec_id // 16 as doc, layer, vec_id % 16 as step, embedding[1 + 32 * layer : 32 + 32 * layer] as vec from embeddings, range(0, 2) l(layer)),
@@ -276,8 +199,8 @@ v as (select w.doc, span, w.layer, step, hi, unnest(range(0, len(vec))) as pos,
 select doc, span, layer::integer as layer, 'all' as how, step, pos, round(value, 6) as value from v
 union all select doc, span, layer::integer, 'last', step, pos, round(value, 6) from v where step = hi - 1
 union all select doc, span, layer::integer, 'mean', null, pos, round(avg(value), 6) from v group by doc, span, layer, pos""")
-def agg_span_vectors(spark, d):
-    """Last, mean and all of the token vectors of three spans a document, some of them beyond its tokens; agg_span_reduce only takes vectors apart."""
+def agg_span_reduce(spark, d):
+    """Last, mean and all of the token vectors of three spans a document, some of them beyond its tokens."""
     e = table(spark, d, "embeddings").select(F.expr("vec_id div 16").alias("doc"), (F.col("vec_id") % 16).alias("step"), "embedding")
     tokens = e.select("doc", "step", F.explode(F.array(*[F.struct(F.lit(i).alias("layer"), F.slice("embedding", 1 + 32 * i, 32).alias("vec")) for i in range(2)])).alias("x")).select("doc", "x.layer", "step", "x.vec")
     first = (7 * F.col("doc") + 5 * F.col("span")) % 20 - 2
@@ -287,72 +210,5 @@ def agg_span_vectors(spark, d):
     return rounded(each[0].unionByName(each[1]).unionByName(each[2]), "value", digits=6)
 
 
-@query("select event_type, min(k) as low, max(k) as high, count(distinct k) as kinds from (select event_type, (props ->> '$.k')::int as k from events) group by event_type")
-def src_artifacts(spark, d):
-    k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, d, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count_distinct("k").alias("kinds"))
-
-
-@query("select event_id, 'k' as path_str, (props ->> '$.k') as value from events")
-def tree_leaves(spark, d):
-    e = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), "props")
-    return trees.tree_leaves(e, "props").select(F.col("doc_id").alias("event_id"), "path_str", "value")
-
-
-@query("""with p as (select o_orderkey as doc_id, o_orderstatus as g, case when o_orderkey % 5 = 0 then null when o_orderkey % 5 = 1 then 'Z' else o_orderstatus end as e from orders)
-select doc_id, 'status' as path_str, case when e is null then 'omission' when e = g then 'match' else 'value_mismatch' end as error_type from p
-union all select doc_id, 'tags', case when doc_id % 2 = 0 then 'match' else 'hallucination' end from p""")
-def tree_match(spark, d):
-    k = F.col("o_orderkey")
-    got = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, "Z").otherwise(F.col("o_orderstatus"))
-    tags = F.when(k % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x")))
-    rows = table(spark, d, "orders").select(k.alias("doc_id"), F.lit('{"properties": {"status": {"evaluation_config": "string_exact"}, "tags": {"items": {"type": "string"}}}}').alias("schema"),
-        F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.array().cast("array<string>").alias("tags"))).alias("gold"), F.to_json(F.struct(got.alias("status"), tags.alias("tags"))).alias("extracted"))
-    return trees.label_trees(rows).select("doc_id", "path_str", "error_type")
-
-
-def vectors(spark, d) -> DataFrame:
-    """Embeddings as two layers of activations; documents are folds."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 6).cast("int").alias("fold"), (F.col("label") == 1).cast("int").alias("y"), "embedding")
-    return e.select("id", "fold", "y", F.explode(F.array(*[F.struct(F.lit(i).alias("layer"), F.slice("embedding", 1 + 32 * i, 32).alias("vec")) for i in range(2)])).alias("x")).select("id", "fold", "y", "x.layer", "x.vec")
-
-
-@query()
-def stat_lodo(spark, d):
-    return rounded(probes.held_out_ranking(vectors(spark, d)), "auroc_mean", "auroc_std", "auroc", "ap", digits=6)
-
-
-@query()
-def stat_nested(spark, d):
-    return rounded(probes.nested_ranking(vectors(spark, d)), "auroc_mean", "auroc_std", "auroc", "ap", digits=6)
-
-
-@query()
-def stat_transfer(spark, d):
-    v = vectors(spark, d)
-    return rounded(metrics.ranking(probes.transfer_scores(v.where("fold < 3"), v.where("fold >= 3"), normalise=True), ["layer"], "p"), "auroc", "ap", digits=6)
-
-
-@query()
-def agg_conflict(spark, d):
-    return rounded(probes.conflict(probes.held_out_scores(vectors(spark, d))), "conflict", digits=6)
-
-
-@query()
-def stat_conflict(spark, d):
-    return rounded(probes.conflict_ranking(vectors(spark, d)), "auroc_baseline", "auroc_conflict", "delta", digits=6)
-
-
-@query()
-def stat_three(spark, d):
-    p = probes.held_out_scores(vectors(spark, d))
-    wide = p.groupBy("id", "fold", "y").agg(F.avg("p").alias("mean_p"), F.min("p").alias("min_p"), F.stddev_pop("p").alias("conflict"))
-    return rounded(metrics.ranking(probes.stacked_scores(wide, ["mean_p", "min_p", "conflict"]), [], "p"), "auroc", "ap", digits=6)
-
-
-def queries() -> dict:
-    return dict(_made)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+from veritrail.plans import audits, collections, fieldwork, functions, probing, trees as _trees, written  # noqa: E402, F401
+from veritrail.plans.base import oracle_sql, queries  # noqa: E402, F401
