@@ -12,12 +12,20 @@ from veritrail.llm.common import lower_table, slices
 MEMORY, CALL = 500_000, 20_000
 #: Bytes of text to split in one go.
 LOT = 2 << 20
-#: A letter before a full stop or comma: where any vocabulary that tells letters from marks cuts. Letters are a-z and
-#: those of Latin-1, in UTF-8.
-CUT = re.compile(rb"([a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])(?=[.,])")
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
+def cut_marks(low: np.ndarray, at: np.ndarray) -> tuple[bytes, list[int]]:
+    """Texts with a space before each full stop and comma that follows a letter, where any vocabulary that tells letters
+    from marks cuts; and where they begin and end now. Letters are a-z and those of Latin-1, in UTF-8."""
+    after = np.flatnonzero((low == 46) | (low == 44))
+    after = after[after > 0]
+    last, before = low[after - 1], low[np.maximum(after, 2) - 2]
+    wide = (before == 0xC3) & (after > 1) & (last >= 0x80) & (last <= 0xBF) & (last != 0x97) & (last != 0xB7)
+    after = after[(last >= 97) & (last <= 122) | wide]
+    return np.insert(low, after, 32).tobytes(), (at + np.searchsorted(after, at)).tolist()
+
+
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -42,9 +50,8 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # units are in lower case, where a spelling may look special that isn't
-        special = [re.escape(t.content.encode()) for t in self.whole.get_added_tokens_decoder().values()]
+        self.tokenizer = Tokenizer.from_file(path)
+        special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile(b"|".join(special)) if special else None
         self.model, self.bytes = self.tokenizer.model, byte_letters()
         self.packed = [np.array(i, "<u4").tobytes() for i in range(max(self.tokenizer.get_vocab(True).values()) + 1)]
@@ -76,6 +83,7 @@ class WordEncoder:
             self.one_by_one(odd[i : i + CALL])
 
     def one_by_one(self, units: list[bytes]) -> None:
+        self.tokenizer.encode_special_tokens = True  # units are in lower case, where a spelling may look special that isn't
         encoded = self.tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)
         self.known.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(units, encoded))
 
@@ -83,15 +91,23 @@ class WordEncoder:
         """Ids of each text, in order."""
         lower = lower_table()
         for i, j in slices(offsets, LOT):
-            flat, at = lower[data[offsets[i] : offsets[j]]].tobytes(), (offsets[i : j + 1] - offsets[i]).tolist()
-            raw = data[offsets[i] : offsets[j]].tobytes()
-            marked = {k for k, (s, e) in enumerate(zip(at, at[1:])) if self.special.search(raw, s, e)} if self.special and self.special.search(raw) else ()
-            texts = [CUT.sub(rb"\1 ", flat[s:e]).split() if k not in marked else [] for k, (s, e) in enumerate(zip(at, at[1:]))]
+            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            flat, cuts = cut_marks(lower[part], at)
+            texts = [flat[s:e].split() for s, e in zip(cuts, cuts[1:])]
+            marked = self.special_texts(part.tobytes(), at.tolist())
+            for k in marked:
+                texts[k] = []
             self.learn(set().union(*texts))
             get = self.known.__getitem__
             for k, units in enumerate(texts):
                 if k in marked:  # a special token's spelling, which the vocabulary reads before all else
-                    text = raw[at[k] : at[k + 1]].decode("utf-8", "replace")
-                    yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                    self.tokenizer.encode_special_tokens = False
+                    yield np.array(self.tokenizer.encode(marked[k], add_special_tokens=False).ids, "<u4").tobytes()
                 else:
                     yield b"".join(map(get, units))
+
+    def special_texts(self, raw: bytes, at: list[int]) -> dict[int, str]:
+        """Texts that hold a special token's spelling, by number."""
+        if not self.special or not self.special.search(raw):
+            return {}
+        return {k: raw[s:e].decode("utf-8", "replace") for k, (s, e) in enumerate(zip(at, at[1:])) if self.special.search(raw, s, e)}
