@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from veritrail.functions.expressions import dot, l2_norm, last_or_mean, sigmoid
 from veritrail.operators.metrics import ranking
 
-SAMPLE = 20_000
+#: Rows of a layer that a fit rests on, and folds that are fitted unless a caller allows more.
+SAMPLE, FOLDS = 20_000, 500
 WEIGHTS = "beta array<double>, bias double, n_train long"
 
 
@@ -73,13 +74,40 @@ def scored(rows: DataFrame, weights: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(weights, on).withColumn("p", sigmoid(dot(F.col("vec"), F.col("beta")) + F.col("bias"))).drop("beta", "bias")
 
 
-def held_out_weights(rows: DataFrame, c: float = 1.0, both: bool = False) -> DataFrame:
-    """(hold, layer, weights) fitted without the rows of fold `hold`. A row goes to every fold but its own."""
-    folds = rows.select("fold").distinct().agg(F.collect_list("fold").alias("folds"))  # bounded: folds are few by design
-    train = training_rows(rows).join(F.broadcast(folds)).withColumn("hold", F.explode("folds")).where("hold <> fold")
+def fold_list(rows: DataFrame, most: int) -> DataFrame:
+    """One row with all folds. More than `most` are an error, since every fold is a fit on (and a copy of) the bounded training
+    rows: put documents together to fewer folds, or raise `most`."""
+    folds = rows.select("fold").distinct().agg(F.array_sort(F.collect_set("fold")).alias("folds"))
+    many = F.raise_error(F.concat(F.size("folds").cast("string"), F.lit(f" folds; at most {most} are fitted"))).cast(folds.schema["folds"].dataType)
+    return F.broadcast(folds.select(F.when(F.size("folds") > most, many).otherwise(F.col("folds")).alias("folds")))
+
+
+def held_out_weights(rows: DataFrame, c: float = 1.0, both: bool = False, most_folds: int = FOLDS) -> DataFrame:
+    """(hold, layer, weights) fitted without the rows of fold `hold`. A training row goes to every fold but its own."""
+    train = training_rows(rows).crossJoin(fold_list(rows, most_folds)).withColumn("hold", F.explode("folds")).where("hold <> fold")
     return fit_groups(train, ["hold", "layer"], c, both)
 
 
+def inner_weights(rows: DataFrame, c: float = 1.0, most_folds: int = FOLDS) -> DataFrame:
+    """(outer, fold, layer, weights) fitted without the rows of either fold, where what is left has both classes. A training row goes
+    to every outer fold but its own; a task has one outer fold and layer and fits its inner folds one after another."""
+    train = training_rows(rows).crossJoin(fold_list(rows, most_folds)).withColumn("outer", F.explode("folds")).where("outer <> fold")
+
+    def fit(group: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        x, y, fold = np.stack(f["vec"].to_numpy()).astype(float), f["y"].to_numpy(), f["fold"].to_numpy()
+        out = []
+        for inner in pd.unique(f["fold"]):
+            rest = fold != inner
+            if rest.any() and y[rest].min() != y[rest].max():
+                beta, bias = fit_logistic(x[rest], y[rest], c)
+                out.append((group[0], inner, group[1], beta.tolist(), bias, int(rest.sum())))
+        return pd.DataFrame(out, columns=["outer", "fold", "layer", "beta", "bias", "n_train"])
+
+    kind = lambda n: rows.schema[n].dataType.simpleString()
+    some = train.select("outer", "fold", "layer", "y", "vec")
+    return some.groupBy("outer", "layer").applyInPandas(fit, f"outer {kind('fold')}, fold {kind('fold')}, layer {kind('layer')}, {WEIGHTS}")
+
+
 def held_out_scores(rows: DataFrame, c: float = 1.0, both: bool = False) -> DataFrame:
     """rows with p, each by the probe that never saw its fold; with `both`, without rows whose probe would see one class."""
     return scored(rows, held_out_weights(rows, c, both).withColumnRenamed("hold", "fold"), ["fold", "layer"])
@@ -93,10 +121,8 @@ def held_out_ranking(rows: DataFrame, c: float = 1.0) -> DataFrame:
 def nested_scores(rows: DataFrame, c: float = 1.0) -> DataFrame:
     """Outer fold rows scored at the layer that inner held-out folds rank best (first layer on ties). Outer folds of one
     class are left out, and so are those without an inner fold that can be ranked."""
-    folds = F.broadcast(rows.select("fold").distinct().agg(F.collect_list("fold").alias("folds")))
     mixed = rows.groupBy("fold").agg(F.min("y").alias("low"), F.max("y").alias("high")).where("low < high").select("fold")
-    train = training_rows(rows).join(folds).withColumn("outer", F.explode("folds")).withColumn("inner", F.explode("folds")).where("outer <> inner and fold <> outer and fold <> inner").drop("folds")
-    weights = fit_groups(train, ["outer", "inner", "layer"], c, both=True).withColumnRenamed("inner", "fold")
+    weights = inner_weights(rows, c)
     inner = ranking(scored(rows, weights, ["fold", "layer"]), ["outer", "layer", "fold"], "p").groupBy("outer", "layer").agg(F.avg("auroc").alias("auroc")).where("auroc is not null")
     best = Window.partitionBy("outer").orderBy(F.desc("auroc"), "layer")
     chosen = inner.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("outer").alias("fold"), "layer").join(mixed, "fold")
@@ -197,8 +223,7 @@ def stacked(rows: DataFrame, signals: list[str], c: float = 1.0) -> tuple[DataFr
     ok = rows
     for s in signals:
         ok = ok.where(F.col(s).isNotNull() & ~F.isnan(s))
-    folds = ok.select("fold").distinct().agg(F.collect_list("fold").alias("folds"))  # bounded: folds are few by design
-    each = training_rows(ok).join(F.broadcast(folds)).withColumn("hold", F.explode("folds")).drop("folds")
+    each = training_rows(ok).crossJoin(fold_list(ok, FOLDS)).withColumn("hold", F.explode("folds")).drop("folds")
     names = ["probe", *signals]
 
     def run(group: tuple, f: pd.DataFrame) -> pd.DataFrame:

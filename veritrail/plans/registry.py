@@ -210,5 +210,5 @@ def agg_span_reduce(spark, d):
     return rounded(each[0].unionByName(each[1]).unionByName(each[2]), "value", digits=6)
 
 
-from veritrail.plans import audits, collections, fieldwork, functions, probing, trees as _trees, written  # noqa: E402, F401
+from veritrail.plans import audits, collections, fieldwork, functions, models, probing, trees as _trees, written  # noqa: E402, F401
 from veritrail.plans.base import oracle_sql, queries  # noqa: E402, F401
