@@ -174,6 +174,26 @@ def test_vectors_of_mixed_lengths_and_repeats_against_sql(spark, tmp_path):
     assert sorted(tuple(x) for x in topk.op8_topk(spark, str(tmp_path)).collect()) == sorted(c.execute(topk.ORACLE).fetchall())
 
 
+def test_rings_are_left_closed_where_vectors_cluster():
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(32, 16)) * 1000
+    v = np.floor(np.repeat(centres, 40, 0) + r.normal(size=(1280, 16)) * 20)
+    index = topk.Index(centres, float((v**2).sum(1).max()))
+    far = index.distances(v, True)
+    p = far.argmin(1)
+    ring = np.minimum(topk.RINGS - 1, (far[np.arange(len(p)), p] / index.width).astype(int))
+    sizes = Counter(zip(p.tolist(), ring.tolist()))
+    index.rings = {k: (n, 1) for k, n in sorted(sizes.items())}
+    q = v[::40]
+    kth = np.sort(q @ v.T, 1)[:, -11]
+    opened = ((q**2).sum(1)[:, None] + index.top2 - index.bounds(q) ** 2) / 2 >= kth[:, None]
+    held = np.array([n for n, _ in index.rings.values()])
+    assert (opened * held).sum() < 0.5 * len(q) * len(v)
+    scores = q @ v.T
+    places = [list(index.rings).index(k) for k in zip(p.tolist(), ring.tolist())]
+    assert not (scores >= kth[:, None])[~opened[:, places]].any()  # no ring left closed holds an answer
+
+
 def test_neighbours_of_crowded_groups(monkeypatch):
     r = random.Random(6)
     base = r.getrandbits(64)

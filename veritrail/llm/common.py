@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but these six bytes.
 SPACES = b" \t\n\x0b\x0c\r"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+MERGE, MERGED = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,20 +66,24 @@ def scratch(spark: SparkSession):
 def write_out(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a written table, which cuts its lineage and survives lost executors; and its path."""
     spark, path = df.sparkSession, work_path(df.sparkSession, name)
-    with shuffles_dropped(spark):
+    with lean(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 @contextlib.contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Queries that run within give back their shuffle files as they end; nothing else would read them."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def lean(spark: SparkSession):
+    """Queries that run within give back their shuffle files as they end, as nothing else would read them, and adaptive execution
+    puts shuffled partitions together up to MERGED only, so that a task sorts little at a time."""
+    mine = {CLEANUP: "true", MERGE: MERGED}
+    before = {k: spark.conf.get(k, None) for k in mine}
+    for k, v in mine.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def drop_paths(spark: SparkSession, *paths: str) -> None:
@@ -150,6 +155,22 @@ def text_parts(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def as_rows(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(row): columns (default: all) as one struct, so that no name of theirs meets ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"))
+
+
+def from_rows(rows: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns], *more)
+
+
+def row_texts(batch) -> tuple[np.ndarray, np.ndarray]:
+    """text_parts of the rows' texts."""
+    row = batch.column("row")
+    names = [f.name for f in row.type]
+    return text_parts(row.field(next((i for i, n in enumerate(names) if n == "text"), [n.lower() for n in names].index("text"))))
+
+
 def lower_table() -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
     t[65:91] += 32

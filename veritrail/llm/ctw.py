@@ -289,7 +289,7 @@ def string_costs(strings: DataFrame) -> DataFrame:
         prob = (add + times * fill).astype(np.float32).astype(np.float64)  # nan where training reached nothing
         yield level_rows(g, n, prob, nodes, sums, DEPTH, MIDDLE + 1)
 
-    dealt = strings.select("k1", "n", F.shiftright("k1", 8 * (DEPTH - MIDDLE)).alias("ctx")).repartition("ctx").sortWithinPartitions("ctx", "k1")
+    dealt = strings.select("k1", "n", F.shiftright("k1", 8 * (DEPTH - MIDDLE)).alias("ctx")).repartition(shuffle_parts(spark), "ctx").sortWithinPartitions("ctx", "k1")
     made, _ = write_out(dealt.mapInArrow(lambda batches: over_runs(batches, ["ctx"], [], deepest), LEVELS), "subtrees")
 
     def middle(t):
@@ -300,7 +300,7 @@ def string_costs(strings: DataFrame) -> DataFrame:
 
     grams = made.where("kind = 2").groupBy("k1").agg(F.sum("n").alias("n")).select(F.shiftright("k1", 8 * (MIDDLE - TOP)).alias("ctx"), F.lit(2).alias("kind"), "k1", "n", F.lit(0.0).alias("s"))
     nodes = made.where("kind = 1").groupBy("k1").agg(F.sum(F.col("p")[0]).alias("s")).select(F.expr(f"shiftright(shiftright(k1, 3), cast(k1 & 7 as int) + {8 * (MIDDLE - TOP - 1)})").alias("ctx"), F.lit(1).alias("kind"), "k1", F.lit(0).cast("long").alias("n"), "s")
-    dealt = grams.unionByName(nodes).repartition("ctx").sortWithinPartitions("ctx", "kind", "k1")
+    dealt = grams.unionByName(nodes).repartition(shuffle_parts(spark), "ctx").sortWithinPartitions("ctx", "kind", "k1")
     mid, _ = write_out(dealt.mapInArrow(lambda batches: over_runs(batches, ["ctx"], [], middle), LEVELS), "middle")
     pairs = mid.where("kind = 2").groupBy("k1").agg(F.sum("n").alias("n")).toArrow().sort_by("k1")  # at most 2**16 rows
     tops = mid.where("kind = 1").groupBy("k1").agg(F.sum(F.col("p")[0]).alias("s")).toArrow()  # at most 2**16 rows

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import fold, lower_table, slices, text_parts
+from veritrail.llm.common import as_rows, fold, from_rows, lower_table, row_texts, slices
 
 #: Bounds of the labelled sample that the automata are built of: documents and bytes a language, and bytes in all, which
 #: languages share where they are many. Every language that has a label is learned.
@@ -108,10 +108,13 @@ class CrossParser:
                 n = self.states[i]
                 t = np.full((n + 1, self.width), -1, np.int32)  # the last row: after a byte that the sample lacks
                 t[self.edges[i][:, 0], self.edges[i][:, 1]] = self.edges[i][:, 2]
-                dead, first = t < 0, np.where(t[0] < 0, n, t[0])
-                begins = dead.copy()
-                begins[0] = False  # the root stands only before a segment, whose first phrase is counted at its end
-                tables.append(((np.where(dead, first, t) + base) * np.int32(self.width * 2) + begins).astype(np.int32).ravel())
+                dead, first = t < 0, np.where(t[0] < 0, n, t[0]).astype(np.int32)
+                np.copyto(t, first[None, :], where=dead)
+                dead[0] = False  # the root stands only before a segment, whose first phrase is counted at its end
+                t += base
+                t *= self.width * 2
+                t += dead
+                tables.append(t.ravel())
                 roots.append(base * self.width)
                 base += len(t)
             self._held = group, np.concatenate(tables), np.array(roots, np.int32)
@@ -175,10 +178,12 @@ class CrossParser:
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text has a letter (Unicode's, by str.isalpha)."""
-    ascii_letter = np.zeros(256, np.int64)
-    ascii_letter[65:91] = ascii_letter[97:123] = 1
-    total = np.concatenate([[0], np.cumsum(ascii_letter[data])])
-    found = total[offsets[1:]] > total[offsets[:-1]]
+    ascii_letter = np.zeros(256, bool)
+    ascii_letter[65:91] = ascii_letter[97:123] = True
+    some = np.flatnonzero(np.diff(offsets) > 0)
+    found = np.zeros(len(offsets) - 1, bool)
+    if len(some):
+        found[some] = np.logical_or.reduceat(ascii_letter[data], offsets[some])
     for i in np.flatnonzero(~found & (np.diff(offsets) > 0)):
         found[i] = any(map(str.isalpha, data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")))
     return found
@@ -224,10 +229,10 @@ def judged_rows(docs: DataFrame, parser: CrossParser) -> DataFrame:
         p = held.value
         names = pa.array([*p.langs, "und"])
         for b in batches:
-            best, score = p.judge(*text_parts(b.column("text")))
+            best, score = p.judge(*row_texts(b))
             yield pa.RecordBatch.from_arrays([b.column("row"), names.take(pa.array(best % (len(p.langs) + 1))), pa.array(score)], ["row", "lang_pred", "score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+    rows = as_rows(docs)
     return rows.mapInArrow(judge, rows.select("row").schema.add("lang_pred", "string").add("score", "double"))
 
 
@@ -239,7 +244,7 @@ def predict_languages(docs: DataFrame, parser: CrossParser) -> DataFrame:
     named lang_pred or score, in any case, are replaced; judged_rows keeps them. An empty table gives an empty one.
     """
     keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return judged_rows(docs, parser).select(*[F.col(f"row.`{c}`") for c in keep], "lang_pred", "score")
+    return from_rows(judged_rows(docs, parser), keep, "lang_pred", "score")
 
 
 def learn(docs: DataFrame) -> CrossParser:

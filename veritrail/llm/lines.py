@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import join_hot, lower_table, runs, slices, text_parts, write_out
+from veritrail.llm.common import join_hot, lower_table, runs, shuffle_parts, slices, text_parts, write_out
 from veritrail.llm.components import components
 
 #: Characters of a shingle (a power of two), bands and rows of the signature, and the similarity of near copies.
@@ -175,7 +175,7 @@ def families(lines: DataFrame) -> DataFrame:
     same pivot, as one group of copies makes in many bands, are one family. Only buckets of two or more different
     lines count. A bucket's task sees hashes alone, sorted by the shuffle."""
     rows = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("key"), "hi", "lo", "size")
-    rows = rows.repartition("key").sortWithinPartitions("key", "hi", "lo")
+    rows = rows.repartition(shuffle_parts(lines.sparkSession), "key").sortWithinPartitions("key", "hi", "lo")
     names = ["bhi", "blo", "hi", "lo", "size"]
 
     def settle(t):
@@ -338,7 +338,7 @@ def crowds(members: DataFrame, name: str) -> DataFrame:
 def verified(rows: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """(ahi, alo, bhi, blo): links of a spanning forest of every (pivot, chunk, part) of rows; a pivot's come from itself."""
     keys = [*PIVOT, "chunk", "part"]
-    rows = rows.select(*keys, "hi", "lo").join(texts, ["hi", "lo"]).repartition(*keys).sortWithinPartitions(*keys, "hi", "lo")
+    rows = rows.select(*keys, "hi", "lo").join(texts, ["hi", "lo"]).repartition(shuffle_parts(rows.sparkSession), *keys).sortWithinPartitions(*keys, "hi", "lo")
 
     def settle(t):
         at = t.column("bhi").to_numpy()[:0]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import join_hot, lower_table, runs, shuffle_parts, text_parts, write_out
+from veritrail.llm.common import as_rows, from_rows, join_hot, lower_table, row_texts, runs, shuffle_parts, text_parts, write_out
 from veritrail.llm.components import components
 
 DISTANCE, SEED, PIVOTS = 3, 42, 16
@@ -53,21 +53,28 @@ def fingerprint(text: bytes, k: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """docs' doc_id with fp (signed 64-bit). Null and empty texts have fingerprint zero. One pass, no shuffle."""
-    return fingerprint_rows(docs.select("doc_id", "text"), ["doc_id"], k).select("row.doc_id", "fp")
+    some, lower = docs.select("doc_id", "text"), lower_table()
+
+    def make(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), prints(*text_parts(b.column("text")), lower, k)], ["doc_id", "fp"])
+
+    return some.mapInArrow(make, some.select("doc_id").schema.add("fp", "long"))
+
+
+def prints(data: np.ndarray, at: np.ndarray, lower: np.ndarray, k: int) -> pa.Array:
+    flat = lower[data].tobytes()
+    return pa.array(np.array([fingerprint(flat[s:e], k) for s, e in zip(at[:-1].tolist(), at[1:].tolist())], np.uint64).view(np.int64))
 
 
-def fingerprint_rows(docs: DataFrame, keep: list[str], k: int = 3) -> DataFrame:
-    """(row, fp): the columns to keep as a struct, so that no name clashes, and the text's fingerprint."""
-    lower = lower_table()
+def fingerprint_rows(docs: DataFrame, k: int = 3) -> DataFrame:
+    """(row, fp): docs' columns as a struct, so that no name clashes, and the text's fingerprint."""
+    rows, lower = as_rows(docs), lower_table()
 
     def make(batches):
         for b in batches:
-            data, at = text_parts(b.column("text"))
-            flat = lower[data].tobytes()
-            fp = np.array([fingerprint(flat[s:e], k) for s, e in zip(at[:-1].tolist(), at[1:].tolist())], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(fp.view(np.int64))], ["row", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), prints(*row_texts(b), lower, k)], ["row", "fp"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias("text"))
     return rows.mapInArrow(make, rows.select("row").schema.add("fp", "long"))
 
 
@@ -232,15 +239,14 @@ def keep_first(docs: DataFrame, distance: int = DISTANCE, k: int = 3) -> DataFra
     least hash. Documents with a null id have no place in that order: they stay, one a component and fingerprint,
     unless another of their component has an id. An empty table gives an empty one."""
     classes = near_duplicates(docs, distance, k)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     first = classes.where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
-    rows = docs.select(row).withColumn("id", F.col("row.doc_id")).join(first, F.col("id") == F.col("first"), "left_semi")
+    rows = as_rows(docs).withColumn("id", F.col("row.doc_id")).join(first, F.col("id") == F.col("first"), "left_semi")
     out = rows.groupBy("id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row")
     alone = classes.where("component_id is null").select("fp").distinct()
     if not alone.isEmpty():
-        null = fingerprint_rows(docs.where("doc_id is null"), docs.columns, k).join(alone, "fp", "left_semi")
+        null = fingerprint_rows(docs.where("doc_id is null"), k).join(alone, "fp", "left_semi")
         out = out.unionByName(null.groupBy("fp").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row"))
-    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    return from_rows(out, docs.columns)
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

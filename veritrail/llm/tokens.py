@@ -11,7 +11,7 @@ from veritrail.llm.common import lower_table, slices
 #: Units remembered by a worker; when full the memory is emptied, which changes no result. Units encoded in one call.
 MEMORY, CALL = 500_000, 20_000
 #: Bytes of text to split in one go.
-LOT = 2 << 20
+LOT = 1 << 20
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
