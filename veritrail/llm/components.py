@@ -14,7 +14,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Ids may be of any orderable type. Loops and repeated edges do no harm, null ends are dropped, no
     edges give no rows. Large stars link every larger neighbour of a node to the smallest one near it,
     small stars do so for the smaller ones; when nothing moves, each component is a star on its
-    smallest node. Every round is written to the shared folder. Hubs are safe: the minimum of a hub
+    smallest node. Rounds grow with the logarithm of the longest path; after `rounds` without rest it raises
+    RuntimeError. Every round is written to the shared folder. Hubs are safe: the minimum of a hub
     is combined before the shuffle, and the join back has the form that adaptive execution splits.
     """
     spark = edges.sparkSession
