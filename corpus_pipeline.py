@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm import langid, lines, mixing, packing, simhash
-from veritrail.llm.common import drop_paths, fold, scratch, work_path
+from veritrail.llm.common import drop_paths, fold, from_rows, lean, scratch, work_path
 
 #: SQL can't express suffix automata, signatures or bin packing; tests hold the stages against plain versions.
 ORACLE_SQL = None
@@ -27,7 +27,7 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     and shares of evidence below the operator's limit. Columns stay as they are, whatever their names."""
     parser = langid.learn(docs.where(fold("doc_id", 4) != 2))
     out = langid.judged_rows(docs, parser).where((F.col("lang_pred") != "und") & (F.col("score") >= langid.REJECT_BELOW))
-    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    return from_rows(out, docs.columns)
 
 
 def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def run(spark, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = work_path(spark, f"stage-{name}")
-        with scratch(spark):
+        with scratch(spark), lean(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
         if before:
             drop_paths(spark, before)
