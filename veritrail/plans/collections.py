@@ -125,9 +125,10 @@ FIELDS = "fl as (select * from (values ('nda', 'L0', 'party'), ('nda', 'L1', 'da
 @query(f"""with {ROWS}, {FIELDS}, w as (select doc_id, domain, string_split(text, ' ')[1:9] as w from rf where pos % 11 > 1), e as (select doc_id, domain, unnest(w) as t, generate_subscripts(w, 1) - 1 as pos from w),
 n as (select doc_id, domain, pos, 'L' || (pos % 4) as label, regexp_replace(trim(regexp_replace(t || ' ' || chr(10) || '.,', '\\s+', ' ', 'g')), '[ .,;:]+$', '') as value from e), f as (select n.doc_id, field, pos, value from n join fl on fl.domain = n.domain and fl.label = n.label where value <> ''),
 o as (select *, row_number() over (partition by doc_id, field, lower(value) order by pos) as r from f), l as (select doc_id, field, list(value order by pos) as vs from o where r = 1 group by all)
-select g.doc_id, g.field, coalesce(vs, []::varchar[]) as values from (select distinct rf.doc_id, field from rf join fl using (domain)) g left join l using (doc_id, field)""")
+select g.doc_id, g.field, coalesce(array_to_string(vs, '|'), '') as found, coalesce(len(vs), 0)::int as n from (select distinct rf.doc_id, field from rf join fl using (domain)) g left join l using (doc_id, field)""")
 def src_realkie_gold(spark, d):
-    return collections.gold_of_spans(collections.span_records(rows(spark, d)), fields(spark))
+    out = collections.gold_of_spans(collections.span_records(rows(spark, d)), fields(spark))
+    return out.select("doc_id", "field", F.array_join("values", "|").alias("found"), F.size("values").alias("n"))
 
 
 @query(f"with {ROWS} select doc_id, domain, case when pos % 5 = 0 then 0 else length(text) end as n, case when pos % 5 = 0 then 'empty OCR text in RealKIE export' end as extraction_error, split, source as original_filename, document_path as source_path from rf")

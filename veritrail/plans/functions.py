@@ -165,10 +165,10 @@ def fn_search_str(spark, d):
 
 
 @query("""with t as (select p_partkey, string_split(p_name || ' ' || p_type || ' x', ' ') as tokens from part), s as (select *, list_transform(range(0, len(tokens)), lambda i: coalesce(list_sum(list_transform(tokens[1 : i], lambda x: length(x))), 0)) as starts from t)
-select p_partkey, list_transform(starts, lambda x: x::int) as starts, len(list_filter(starts, lambda x: x <= p_partkey % 23)) - 1 as token from s""")
+select p_partkey, array_to_string(list_transform(starts, lambda x: x::int::varchar), ',') as starts, len(list_filter(starts, lambda x: x <= p_partkey % 23)) - 1 as token from s""")
 def fn_char2tok(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.split(F.concat("p_name", F.lit(" "), "p_type", F.lit(" x")), " ").alias("tokens")).withColumn("starts", X.token_starts(F.col("tokens")))
-    return p.select("p_partkey", "starts", X.char_to_token(F.col("starts"), F.col("p_partkey") % 23).cast("long").alias("token"))
+    return p.select("p_partkey", F.array_join(F.col("starts").cast("array<string>"), ",").alias("starts"), X.char_to_token(F.col("starts"), F.col("p_partkey") % 23).cast("long").alias("token"))
 
 
 def trees(spark, d):

@@ -92,9 +92,11 @@ im as (select outr, layer, avg(auroc) as a from ia group by outr, layer having c
 mx as (select fold from v group by fold having min(y) < max(y)), {HELD}, po as (select pv.* from pv join ch using (fold, layer) join mx using (fold)), {auroc_sql('oe', 'po', 'fold, layer')}, {auroc_sql('op', 'po', '')}, ol as (select layer, count(*) as n_folds from oe group by layer)"""
 
 
-@query(f"with recursive {ROWS}, {NESTED} select (select count(auroc) from oe)::int as n_folds, round((select avg(auroc) from oe), 6) as auroc_mean, round((select stddev_pop(auroc) from oe), 6) as auroc_std, (select list({{'layer': layer, 'n_folds': n_folds}} order by layer) from ol) as layers, n, n_pos, round(auroc, 6) as auroc, round(ap, 6) as ap from op")
+@query(f"with recursive {ROWS}, {NESTED} select (select count(auroc) from oe)::int as n_folds, round((select avg(auroc) from oe), 6) as auroc_mean, round((select stddev_pop(auroc) from oe), 6) as auroc_std, (select string_agg(layer || ':' || n_folds, ' ' order by layer) from ol) as layers, n, n_pos, round(auroc, 6) as auroc, round(ap, 6) as ap from op")
 def stat_nested(spark, d):
-    return rounded(probes.nested_ranking(narrow(spark, d)), *RANKED, digits=6)
+    out = probes.nested_ranking(narrow(spark, d))
+    layers = F.array_join(F.transform("layers", lambda x: F.concat_ws(":", x["layer"].cast("string"), x["n_folds"].cast("string"))), " ")
+    return rounded(out.withColumn("layers", layers), *RANKED, digits=6)
 
 
 @query()
@@ -181,31 +183,33 @@ THREE = f"""sv as (select v.id, v.fold, v.y, 0 as layer, v.x, w.x as s1, abs(v.x
 sz as (select sh.*, {P} as p0 from sh join s0 using (hold)), sm as (select hold, avg(p0) as m0, stddev_pop(p0) as d0, avg(s1) as m1, stddev_pop(s1) as d1, avg(s2) as m2, stddev_pop(s2) as d2 from sz where hold <> fold group by hold),
 zz as (select hold, fold, id, y, (p0 - m0) / d0 as z0, (s1 - m1) / d1 as z1, (s2 - m2) / d2 as z2 from sz join sm using (hold)), zt as (select * from zz where hold <> fold), {newton('s3', 'zt', 'hold', ['z0', 'z1', 'z2'])},
 pv as (select zz.id, zz.fold, zz.y, 0 as layer, 1 / (1 + exp(-(b0 * z0 + b1 * z1 + b2 * z2 + c))) as p from zz join s3 using (hold) where zz.fold = hold), {FOLDS}, co as (select unnest([{{'signal': 'probe', 'v': b0}}, {{'signal': 's1', 'v': b1}}, {{'signal': 's2', 'v': b2}}]) as u from s3),
-cm as (select u.signal as signal, round(avg(u.v), 5) as mean, round(stddev_pop(u.v), 5) as std from co group by 1)"""
+cm as (select u.signal as signal, round(avg(u.v), 5) as weight, round(stddev_pop(u.v), 5) as weight_std from co group by 1)"""
 
 
-@query(f"with recursive {ROWS}, {THREE} select n_folds, round(auroc_mean, 5) as auroc_mean, round(auroc_std, 5) as auroc_std, n, n_pos, round(auroc, 5) as auroc, round(ap, 5) as ap, (select list({{'signal': signal, 'mean': mean, 'std': std}} order by signal) from cm) as coefficients from fm join pooled using (layer)")
+@query(f"with recursive {ROWS}, {THREE} select n_folds, round(auroc_mean, 5) as auroc_mean, round(auroc_std, 5) as auroc_std, n, n_pos, round(auroc, 5) as auroc, round(ap, 5) as ap, signal, weight, weight_std from fm join pooled using (layer), cm")
 def stat_three(spark, d):
     """A probe's held-out score with two signals, one of them not there for some rows."""
     v = narrow(spark, d)
     other = v.where("layer = 1").select("id", F.col("vec")[0].cast("double").alias("s1"))
     rows = v.where("layer = 0").join(other, "id").withColumn("s2", F.when(F.col("id") % 23 == 0, F.lit(float("nan"))).otherwise(F.abs(F.col("vec")[0].cast("double") - F.col("s1"))))
-    out = probes.three_signal_ranking(rows, ["s1", "s2"])
-    short = F.transform("coefficients", lambda x: F.struct(x["signal"].alias("signal"), F.round(x["mean"], 5).alias("mean"), F.round(x["std"], 5).alias("std")))
-    return rounded(out.withColumn("coefficients", short), *RANKED, digits=5)
+    out = probes.three_signal_ranking(rows, ["s1", "s2"]).withColumn("x", F.explode("coefficients"))
+    each = out.withColumns({"signal": F.col("x.signal"), "weight": F.col("x.mean"), "weight_std": F.col("x.std")}).drop("x", "coefficients")
+    return rounded(each, *RANKED, "weight", "weight_std", digits=5)
 
 
 PROBED = f"""hs as (select *, md5('42|' || id) as h1, md5('43|' || id) as h2 from v), pr as (select *, (row_number() over (partition by layer, y order by h1, id) - 1) % 5 as part, row_number() over (partition by layer order by h2, id) <= greatest(1, round(0.2 * count(*) over (partition by layer))) as test from hs),
 ft as (select 'all' as kind, -1 as k, * from pr union all select 'test', -1, * from pr where not test union all select 'part', k, pr.* from pr, range(0, 5) r(k) where part <> k), {newton('fit', 'ft', 'layer, kind, k', ['x'])},
-pk as (select pr.layer, k, y, {P} as p from pr join fit on fit.layer = pr.layer and kind = 'part' and k = part), {auroc_sql('ka', 'pk', 'layer, k')}, ks as (select layer, list(round(auroc, 6) order by k) as fold_auroc from ka group by layer),
+pk as (select pr.layer, k, y, {P} as p from pr join fit on fit.layer = pr.layer and kind = 'part' and k = part), {auroc_sql('ka', 'pk', 'layer, k')}, ks as (select layer, count(auroc)::int as n_parts, round(avg(auroc), 6) as part_auroc from ka group by layer),
 pt as (select pr.layer, y, {P} as p from pr join fit on fit.layer = pr.layer and kind = 'test' where test), {auroc_sql('ta', 'pt', 'layer')}, tm as (select layer, avg(pow(p - y, 2)) as brier, avg(((p > 0.5)::int = y)::int::double) as accuracy from pt group by layer),
 tq as (select layer, min(p) as threshold_at_50 from (select *, row_number() over (partition by layer order by p desc) as r, count(*) over (partition by layer) as n from pt where y = 1) where r <= ceil(0.5 * n) group by layer)"""
 
 
-@query(f"with recursive {ROWS}, {PROBED} select layer, round(fit.b0, 6) as beta, round(fit.c, 6) as bias, fit.n_train, fold_auroc, ta.n as n_test, ta.n_pos as n_test_errors, round(ta.auroc, 6) as auroc, round(ta.ap, 6) as ap, round(brier, 6) as brier, accuracy, round(threshold_at_50, 6) as threshold_at_50 from fit join ks using (layer) join ta using (layer) join tm using (layer) join tq using (layer) where kind = 'all'")
+@query(f"with recursive {ROWS}, {PROBED} select layer, round(fit.b0, 6) as beta, round(fit.c, 6) as bias, fit.n_train, n_parts, part_auroc, ta.n as n_test, ta.n_pos as n_test_errors, round(ta.auroc, 6) as auroc, round(ta.ap, 6) as ap, round(brier, 6) as brier, accuracy, round(threshold_at_50, 6) as threshold_at_50 from fit join ks using (layer) join ta using (layer) join tm using (layer) join tq using (layer) where kind = 'all'")
 def stat_probe(spark, d):
-    out = probes.train_probes(narrow(spark, d)).withColumn("beta", F.col("beta")[0]).withColumn("fold_auroc", F.transform("fold_auroc", lambda a: F.round(a, 6)))
-    return rounded(out, "beta", "bias", "auroc", "ap", "brier", "threshold_at_50", digits=6)
+    found = F.col("fold_auroc")
+    mean = F.aggregate(found, F.lit(0.0), lambda s, a: s + a) / F.size(found)
+    out = probes.train_probes(narrow(spark, d)).withColumns({"beta": F.col("beta")[0], "n_parts": F.size(found), "part_auroc": mean}).drop("fold_auroc")
+    return rounded(out, "beta", "bias", "part_auroc", "auroc", "ap", "brier", "threshold_at_50", digits=6)
 
 
 @query()

@@ -80,9 +80,9 @@ def pol_heldout(spark, d):
     return held_out(spark, d)
 
 
-@query(HELD + ", t as (select tau, count(*) as n from h group by tau) select count(*) as n_folds, sum(fixed)::bigint as fixed, sum(broke)::bigint as broke, sum(net)::bigint as net, (select list({'tau': tau, 'n': n} order by tau) from t) as taus from h")
+@query(HELD + ", t as (select tau, count(*) as n from h group by tau) select t.tau, t.n, count(*) as n_folds, sum(fixed)::bigint as fixed, sum(broke)::bigint as broke, sum(net)::bigint as net from h, t group by t.tau, t.n")
 def pol_heldout_sum(spark, d):
-    return policies.held_out_summary(held_out(spark, d))
+    return policies.held_out_summary(held_out(spark, d)).withColumn("x", F.explode("taus")).select("x.tau", "x.n", "n_folds", "fixed", "broke", "net")
 
 
 @query("""with c as (select l_orderkey as key, l_linenumber as idx, l_discount as p from lineitem), b as (select key, min((p, idx)) as b, 0.15::double as orig_p from c group by key)

@@ -49,9 +49,9 @@ def tree_strategy(spark, d):
     return trees.label_trees(leaf_pairs(spark, d)).select("path_str", F.col("comparison_strategy").alias("strategy")).distinct()
 
 
-@query(f"with {LEAVES} select distinct path_str, string_split(path_str, '.') as path from lv")
+@query(f"with {LEAVES} select distinct path_str, replace(path_str, '.', '/') as path from lv")
 def tree_path(spark, d):
-    return trees.label_trees(leaf_pairs(spark, d)).select("path_str", "path").distinct()
+    return trees.label_trees(leaf_pairs(spark, d)).select("path_str", F.array_join("path", "/").alias("path")).distinct()
 
 
 @query(f"with {LEAVES} select doc_id, count(*) as n_total, count(*) filter (error_type <> 'match') as n_errors, count(*) filter (error_type = 'hallucination') as n_hallucinations, count(*) filter (error_type = 'omission') as n_omissions, count(*) filter (error_type = 'value_mismatch') as n_value_mismatches, 0::bigint as n_type_mismatches, round(avg((error_type <> 'match')::int), 9) as error_rate from lv group by doc_id")
@@ -159,15 +159,15 @@ def key_trees(spark, d):
     return e.join(trees.key_path_arrays(rows, "tree").withColumnRenamed("keys", "got"), "doc_id")
 
 
-@query("select o_orderkey as doc_id, ['a', 'a.b', 'l', 'l[].c', 'z'] as expected, case o_orderkey % 4 when 0 then ['a', 'a.b', 'l', 'l[].c', 'z'] when 1 then ['a', 'a.b', 'l', 'l[].c', 'l[].d', 'z'] when 2 then ['a', 'a.b', 'l'] else ['A'] end as got from orders")
+@query("select o_orderkey as doc_id, 'a a.b l l[].c z' as expected, case o_orderkey % 4 when 0 then 'a a.b l l[].c z' when 1 then 'a a.b l l[].c l[].d z' when 2 then 'a a.b l' else 'A' end as got from orders")
 def tree_keytree(spark, d):
-    return key_trees(spark, d)
+    return key_trees(spark, d).select("doc_id", F.array_join("expected", " ").alias("expected"), F.array_join("got", " ").alias("got"))
 
 
-@query("""select o_orderkey as doc_id, case o_orderkey % 4 when 2 then ['l[].c', 'z'] when 3 then ['a', 'a.b', 'l', 'l[].c', 'z'] else [] end as missing, case o_orderkey % 4 when 1 then ['l[].d'] when 3 then ['A'] else [] end as extra,
+@query("""select o_orderkey as doc_id, case o_orderkey % 4 when 2 then 'l[].c z' when 3 then 'a a.b l l[].c z' else '' end as missing, case o_orderkey % 4 when 1 then 'l[].d' when 3 then 'A' else '' end as extra,
 case o_orderkey % 4 when 2 then 0.6 when 3 then 0.0 else 1.0 end::double as overlap, case o_orderkey % 4 when 0 then 'green' when 1 then 'amber' when 2 then case when o_orderkey % 3 = 0 then 'inconclusive' else 'red' end else 'red' end as verdict from orders""")
 def set_keytree(spark, d):
-    return reports.key_agreement(key_trees(spark, d), F.col("doc_id") % 3 == 0).select("doc_id", "missing", "extra", "overlap", "verdict")
+    return reports.key_agreement(key_trees(spark, d), F.col("doc_id") % 3 == 0).select("doc_id", F.array_join("missing", " ").alias("missing"), F.array_join("extra", " ").alias("extra"), "overlap", "verdict")
 
 
 @query("""with o as (select o_orderkey as doc_id, o_orderkey::varchar as a, lower(o_orderpriority) as b from orders), p as (select *, 4 + 6 as a0 from o),

@@ -32,13 +32,13 @@ def sink_extract_summary(spark, d):
     return out.withColumn("n_documents", F.size("per_document")).drop("per_document")
 
 
-@query(f"with {LABELS} select doc_id, count(*) as n_total, sum(is_error)::bigint as n_errors, list(path_str order by pos) as paths from lab group by doc_id, domain")
+@query(f"with {LABELS} select doc_id, count(*) as n_total, sum(is_error)::bigint as n_errors, string_agg(path_str, ' ' order by pos) as paths from lab group by doc_id, domain")
 def sink_labels(spark, d):
     """Labels by domain, read again a document a row."""
     path = work_folder(spark, "labels")
     tables.write_labels(base.labels(spark, d).drop("k", "score"), path)
     back = tables.label_documents(spark.read.parquet(path))
-    return back.select("doc_id", "n_total", "n_errors", F.transform("labels", lambda x: x["path_str"]).alias("paths"))
+    return back.select("doc_id", "n_total", "n_errors", F.array_join(F.transform("labels", lambda x: x["path_str"]), " ").alias("paths"))
 
 
 @query(f"with {LABELS} select doc_id, {KINDS.replace('9) as error_rate', '3) as error_rate')} from lab group by grouping sets ((doc_id), ())")
