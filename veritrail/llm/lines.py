@@ -90,8 +90,14 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
 
 
 def digests(lines: list[bytes]) -> np.ndarray:
-    """128-bit hashes as rows of two longs."""
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), ">i8").astype(np.int64).reshape(-1, 2)
+    """128-bit hashes as rows of two longs, the last five bits being those that the line's length has, so that a line's name
+    tells its size to within a half."""
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), ">i8").astype(np.int64).reshape(-1, 2)
+    h[:, 1] = h[:, 1] & -32 | np.array([min(31, len(x).bit_length()) for x in lines], np.int64)
+    return h
+
+
+SIZE = "shiftleft(1L, cast(lo & 31 as int))"
 
 
 def comparable(data: np.ndarray, at: np.ndarray, least: int = SHINGLE):
@@ -111,7 +117,7 @@ def comparable(data: np.ndarray, at: np.ndarray, least: int = SHINGLE):
 
 
 def signed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(doc_id, line_no, hi, lo, size, bands) of every comparable line; size is its bytes; bands only where the task had not met the line before.
+    """(doc_id, line_no, hi, lo, bands) of every comparable line; bands only where the task had not met the line before.
     short: also of lines of under SHINGLE bytes, which have no bands: equal ones share their digest."""
     some = docs.select("doc_id", "text")
 
@@ -134,9 +140,9 @@ def signed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)
                 h = digests(lines)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(list(map(len, lines)), pa.int32()), bands], ["doc_id", "line_no", "hi", "lo", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), bands], ["doc_id", "line_no", "hi", "lo", "bands"])
 
-    return some.mapInArrow(sign, some.select("doc_id").schema.add("line_no", "integer").add("hi", "long").add("lo", "long").add("size", "integer").add("bands", ARRAY_OF_LONG))
+    return some.mapInArrow(sign, some.select("doc_id").schema.add("line_no", "integer").add("hi", "long").add("lo", "long").add("bands", ARRAY_OF_LONG))
 
 
 def _array_of_long():
@@ -171,25 +177,25 @@ def over_runs(batches, keys: list[str], names: list[str], settle):
 
 
 def families(lines: DataFrame) -> DataFrame:
-    """(bhi, blo, hi, lo, size): each bucket's members under its smallest one, (bhi, blo), the family's pivot; buckets of the
+    """(bhi, blo, hi, lo): each bucket's members under its smallest one, (bhi, blo), the family's pivot; buckets of the
     same pivot, as one group of copies makes in many bands, are one family. Only buckets of two or more different
     lines count. A bucket's task sees hashes alone, sorted by the shuffle."""
-    rows = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("key"), "hi", "lo", "size")
+    rows = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("key"), "hi", "lo")
     rows = rows.repartition(shuffle_parts(lines.sparkSession), "key").sortWithinPartitions("key", "hi", "lo")
-    names = ["bhi", "blo", "hi", "lo", "size"]
+    names = ["bhi", "blo", "hi", "lo"]
 
     def settle(t):
-        key, hi, lo, length = (t.column(c).to_numpy() for c in ("key", "hi", "lo", "size"))
+        key, hi, lo = (t.column(c).to_numpy() for c in ("key", "hi", "lo"))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-        key, hi, lo, length = key[new], hi[new], lo[new], length[new]
+        key, hi, lo = key[new], hi[new], lo[new]
         at = runs(key)
         size = np.diff(at)
         some, pivot = np.repeat(size > 1, size), np.repeat(at[:-1], size)
         if some.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hi[pivot][some], lo[pivot][some], hi[some], lo[some], length[some])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (hi[pivot][some], lo[pivot][some], hi[some], lo[some])], names)
 
-    return rows.mapInArrow(lambda batches: over_runs(batches, ["key"], names, settle), "bhi long, blo long, hi long, lo long, size int").distinct()
+    return rows.mapInArrow(lambda batches: over_runs(batches, ["key"], names, settle), "bhi long, blo long, hi long, lo long").distinct()
 
 
 def candidate_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -331,7 +337,7 @@ def chunked(members: DataFrame, crowded: DataFrame, column: str, salt: int) -> D
 
 def crowds(members: DataFrame, name: str) -> DataFrame:
     """(pivot, name): the chunks that families of over CROWD lines or CROWD_BYTES are cut to; written."""
-    parts = F.ceil(F.greatest(F.count("*") / CROWD, F.sum("size") / CROWD_BYTES)).cast("int")
+    parts = F.ceil(F.greatest(F.count("*") / CROWD, F.sum(F.expr(SIZE)) / CROWD_BYTES)).cast("int")
     return write_out(members.groupBy(*PIVOT).agg(parts.alias(name)).where(F.col(name) > 1), "crowded")[0]
 
 
@@ -376,10 +382,10 @@ def line_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> D
     stars, _ = write_out(verified(small.unionByName(others.select(*PIVOT, "chunk", zero, "hi", "lo")).unionByName(pivots), texts, similar), "links")
     like = stars.select(F.col("ahi").alias("_h"), F.col("alo").alias("_l"), F.col("bhi").alias("hi"), F.col("blo").alias("lo")).distinct()
     apart = others.join(like, (others["bhi"] == F.col("_h")) & (others["blo"] == F.col("_l")) & (others["hi"] == like["hi"]) & (others["lo"] == like["lo"]), "left_anti")
-    apart, _ = write_out(apart.select(*PIVOT, "chunks", "hi", "lo", "size"), "apart")
+    apart, _ = write_out(apart.select(*PIVOT, "chunks", "hi", "lo"), "apart")
     if apart.isEmpty():
         return named(stars)
-    parts = F.ceil(F.greatest(F.count("*") / CROWD, F.sum("size") / CROWD_BYTES)).cast("int")
+    parts = F.ceil(F.greatest(F.count("*") / CROWD, F.sum(F.expr(SIZE)) / CROWD_BYTES)).cast("int")
     dealt, _ = write_out(apart.groupBy(*PIVOT).agg(parts.alias("parts")), "parts")
     part = F.pmod(F.xxhash64("hi", "lo", F.lit(1)), F.col("parts")).cast("int")
     mine = apart.join(dealt, PIVOT).select(*PIVOT, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), part.alias("part"), "hi", "lo")
@@ -400,14 +406,15 @@ def duplicate_lines(docs: DataFrame, similar: float = SIMILAR, short: bool = Fal
     """
     lines, _ = write_out(signed_lines(docs, short), "lines")
     comps = components(line_links(docs, lines, similar))
+    half = lambda start: F.conv(F.substring("node", start, 16), 16, -10).cast("long")
+    comps = comps.select(half(1).alias("hi"), half(17).alias("lo"), "root")
     each = lines.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"))
-    each, _ = write_out(each.withColumn("node", name()).join(comps, "node", "left"), "each")
+    each, _ = write_out(each.join(comps, ["hi", "lo"], "left"), "each")
     linked = each.where("root is not null").groupBy("root").agg(F.min("first").alias("low"), F.count("*").alias("m"))
     linked, _ = write_out(linked, "firsts")
-    alone = each.where("root is null").select("hi", "lo", "n", F.col("node").alias("component"), "first")
-    shared = join_hot(each.where("root is not null"), linked, ["root"], "m").select("hi", "lo", "n", F.col("root").alias("component"), F.col("low").alias("first"))
-    classes, _ = write_out(alone.unionByName(shared), "classes")
-    out = join_hot(lines.select("doc_id", "line_no", "hi", "lo"), classes, ["hi", "lo"], "n")
+    shared = join_hot(each.where("root is not null"), linked, ["root"], "m").select("hi", "lo", "n", F.col("low").alias("first"), "root")
+    classes, _ = write_out(each.where("root is null").select("hi", "lo", "n", "first", "root").unionByName(shared), "classes")
+    out = join_hot(lines.select("doc_id", "line_no", "hi", "lo"), classes, ["hi", "lo"], "n").withColumn("component", F.coalesce("root", name()))
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
     return out.select("doc_id", "line_no", "component", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), kept.alias("kept"))
 
