@@ -397,3 +397,16 @@ def test_short_lines_that_are_equal_are_one_component(spark, tmp_path):
     assert got == own | {(2, 0): (1, 0, False), (3, 0): (1, 0, False), (4, 0): (3, 1, False), (5, 0): (1, 2, False)}
     rest = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert rest == {1: "Home\n\nShare\na line of its own", 2: " \nReply", 3: "\u00e9\u00e9\u00e9\u00e9", 4: "x", 6: None}
+
+
+def test_line_dedup_loses_no_line_of_another_text(spark):
+    """Rows that share an id, or have none, are rows of their own; only lines that stand elsewhere go."""
+    rows = [(1, "a common line of words"), (None, "a unique line without id"), (None, "a common line of words"), (7, "only here stands this sentence"), (7, "a common line of words"), (7, "a common line of words")]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], DOCS)
+    got = sorted((str(r["doc_id"]), r["text"]) for r in lines.dedup_lines(docs).collect())
+    assert got == [("7", "only here stands this sentence"), ("None", "a common line of words"), ("None", "a unique line without id")]
+    first = docs.where("doc_id is not null")
+    assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.line_dedup(spark, first, "").collect()) == [(1, "a common line of words"), (7, "only here stands this sentence")]
+    two = spark.createDataFrame([(3, "the same line here\nand another one"), (3, "the same line here\nor something else")], "doc_id long, text string")
+    kept = lines.dedup_lines(two).collect()
+    assert sorted(x for r in kept for x in r["text"].split("\n")) == ["and another one", "or something else", "the same line here"]

@@ -116,10 +116,19 @@ def comparable(data: np.ndarray, at: np.ndarray, least: int = SHINGLE):
         yield row, number, lines
 
 
+#: What tells rows of one doc_id (or of none) apart: 128 bits of the text.
+ROW = ["doc_id", "text_a", "text_b"]
+
+
+def told_apart(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> list:
+    """The columns ROW; rows that agree in them are repeats of one row."""
+    return [F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_a"), F.xxhash64(F.lit(1), F.col(text)).alias("text_b")]
+
+
 def signed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(doc_id, line_no, hi, lo, bands) of every comparable line; bands only where the task had not met the line before.
+    """(*ROW, line_no, hi, lo, bands) of every comparable line; bands only where the task had not met the line before.
     short: also of lines of under SHINGLE bytes, which have no bands: equal ones share their digest."""
-    some = docs.select("doc_id", "text")
+    some = docs.select(*told_apart(docs), "text")
 
     def sign(batches):
         seen: set[bytes] = set()
@@ -140,9 +149,10 @@ def signed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)
                 h = digests(lines)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), bands], ["doc_id", "line_no", "hi", "lo", "bands"])
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in ROW], pa.array(number, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), bands], [*ROW, "line_no", "hi", "lo", "bands"])
 
-    return some.mapInArrow(sign, some.select("doc_id").schema.add("line_no", "integer").add("hi", "long").add("lo", "long").add("bands", ARRAY_OF_LONG))
+    return some.mapInArrow(sign, some.select(*ROW).schema.add("line_no", "integer").add("hi", "long").add("lo", "long").add("bands", ARRAY_OF_LONG))
 
 
 def _array_of_long():
@@ -283,17 +293,24 @@ def forest(lines: list[str], similar: float) -> list[tuple[int, int]]:
 
 
 def wide_forest(lines: list[str], similar: float) -> list[tuple[int, int]]:
-    """As forest: from a line to all lines like it that no tree holds yet, and on from those. A line is compared with
-    those left over only, all at once, so copies of one template cost one row of pairs."""
+    """As forest, over all lines at once."""
     sets = [packed(x) for x in lines]
     if any(x is None for x in sets):
         number: dict[str, int] = {}
         sets = [np.array([number.setdefault(g, len(number)) for g in shingles(x)]) for x in lines]
+    return set_forest(sets, lambda common, n, m: common >= similar * (n + m - common))
+
+
+def set_forest(sets: list[np.ndarray], near) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of non-empty sets for which near(common members, size, sizes) holds.
+
+    From a set to all sets like it that no tree holds yet, and on from those. A set is compared with those left over only,
+    all at once, so copies of one template cost one row of pairs."""
     sizes = np.array([len(x) for x in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     ends = np.cumsum(sizes)
     mark = np.zeros(int(ids.max()) + 1, bool)
-    left, kept = np.arange(len(lines)), []
+    left, kept = np.arange(len(sets)), []
     flat, begins, size = ids, ends - sizes, sizes  # of the lines that are left
     while len(left):
         trees = [int(left[0])]
@@ -311,10 +328,10 @@ def wide_forest(lines: list[str], similar: float) -> list[tuple[int, int]]:
             mark[own] = True
             common = np.add.reduceat(mark[flat], begins, dtype=np.int64)
             mark[own] = False
-            near = common >= similar * (sizes[x] + size - common)
-            kept += [(x, y) for y in left[near].tolist()]
-            trees += left[near].tolist()
-            keep = ~near
+            like = near(common, sizes[x], size)
+            kept += [(x, y) for y in left[like].tolist()]
+            trees += left[like].tolist()
+            keep = ~like
         if len(left) and not keep.all():
             flat = flat[np.repeat(keep, size)]
             left, size = left[keep], size[keep]
@@ -341,19 +358,20 @@ def crowds(members: DataFrame, name: str) -> DataFrame:
     return write_out(members.groupBy(*PIVOT).agg(parts.alias(name)).where(F.col(name) > 1), "crowded")[0]
 
 
-def verified(rows: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """(ahi, alo, bhi, blo): links of a spanning forest of every (pivot, chunk, part) of rows; a pivot's come from itself."""
+def verified(rows: DataFrame, contents: DataFrame, column: str, links) -> DataFrame:
+    """(ahi, alo, bhi, blo): links of a spanning forest of every (pivot, chunk, part) of rows; a pivot's come from itself.
+    contents: (hi, lo) and the column from which links(values) tells the pairs of positions."""
     keys = [*PIVOT, "chunk", "part"]
-    rows = rows.select(*keys, "hi", "lo").join(texts, ["hi", "lo"]).repartition(shuffle_parts(rows.sparkSession), *keys).sortWithinPartitions(*keys, "hi", "lo")
+    rows = rows.select(*keys, "hi", "lo").join(contents, ["hi", "lo"]).repartition(shuffle_parts(rows.sparkSession), *keys).sortWithinPartitions(*keys, "hi", "lo")
 
     def settle(t):
         at = t.column("bhi").to_numpy()[:0]
         for c in keys:
             at = np.union1d(at, runs(t.column(c).to_numpy())).astype(np.int64)
-        hi, lo, text, out = t.column("hi").to_numpy(), t.column("lo").to_numpy(), t.column("line"), []
+        hi, lo, text, out = t.column("hi").to_numpy(), t.column("lo").to_numpy(), t.column(column), []
         for s, e in zip(at.tolist(), at[1:].tolist()):
             if e - s > 1:
-                out += [(s + i, s + j) for i, j in forest(text.slice(s, e - s).to_pylist(), similar)]
+                out += [(s + i, s + j) for i, j in links(text.slice(s, e - s).to_pylist())]
         if out:
             x = np.array(out)
             yield pa.RecordBatch.from_arrays([pa.array(c[k]) for k in (x[:, 0], x[:, 1]) for c in (hi, lo)], ["ahi", "alo", "bhi", "blo"])
@@ -362,24 +380,28 @@ def verified(rows: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
 
 def line_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Edges (a, b) between names of different lines that are near copies.
+    """Edges (a, b) between names of different lines that are near copies."""
+    members, _ = write_out(families(lines), "families")
+    return family_links(members, candidate_texts(docs, members.select("hi")), "line", lambda some: forest(some, similar))
+
 
-    Of a crowded family each chunk is verified with the pivot in it. Two lines of different chunks that are both like the
-    pivot are linked through it; so only lines that are not like it remain to be verified with the chunks they are not
+def family_links(members: DataFrame, contents: DataFrame, column: str, links) -> DataFrame:
+    """Edges (a, b) between names of members of one family that links(values of column) links; as `verified` takes them.
+
+    Of a crowded family each chunk is verified with the pivot in it. Two members of different chunks that are both like the
+    pivot are linked through it; so only those that are not like it remain to be verified with the chunks they are not
     in. They are dealt to chunks themselves, and each pair of chunks is a task's work of bounded size.
     """
-    members, _ = write_out(families(lines), "families")
-    texts = candidate_texts(docs, members.select("hi"))
     crowded = crowds(members, "chunks")
     zero = F.lit(0).alias("part")
     named = lambda x: x.select(name("ahi", "alo").alias("a"), name("bhi", "blo").alias("b"))
     if crowded.isEmpty():
-        return named(verified(members.withColumn("chunk", F.lit(0)).select("*", zero), texts, similar))
-    texts, _ = write_out(texts, "texts")
+        return named(verified(members.withColumn("chunk", F.lit(0)).select("*", zero), contents, column, links))
+    contents, _ = write_out(contents, "texts")
     small = members.join(crowded, PIVOT, "left_anti").select(*PIVOT, F.lit(0).alias("chunk"), zero, "hi", "lo")
     others = chunked(members.where("hi <> bhi or lo <> blo"), crowded, "chunks", 0)
     pivots = crowded.select(*PIVOT, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), zero, F.col("bhi").alias("hi"), F.col("blo").alias("lo"))
-    stars, _ = write_out(verified(small.unionByName(others.select(*PIVOT, "chunk", zero, "hi", "lo")).unionByName(pivots), texts, similar), "links")
+    stars, _ = write_out(verified(small.unionByName(others.select(*PIVOT, "chunk", zero, "hi", "lo")).unionByName(pivots), contents, column, links), "links")
     like = stars.select(F.col("ahi").alias("_h"), F.col("alo").alias("_l"), F.col("bhi").alias("hi"), F.col("blo").alias("lo")).distinct()
     apart = others.join(like, (others["bhi"] == F.col("_h")) & (others["blo"] == F.col("_l")) & (others["hi"] == like["hi"]) & (others["lo"] == like["lo"]), "left_anti")
     apart, _ = write_out(apart.select(*PIVOT, "chunks", "hi", "lo"), "apart")
@@ -390,16 +412,11 @@ def line_links(docs: DataFrame, lines: DataFrame, similar: float = SIMILAR) -> D
     part = F.pmod(F.xxhash64("hi", "lo", F.lit(1)), F.col("parts")).cast("int")
     mine = apart.join(dealt, PIVOT).select(*PIVOT, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), part.alias("part"), "hi", "lo")
     theirs = others.join(dealt, PIVOT).select(*PIVOT, "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "hi", "lo")
-    return named(stars.unionByName(verified(mine.unionByName(theirs).distinct(), texts, similar)))
+    return named(stars.unionByName(verified(mine.unionByName(theirs).distinct(), contents, column, links)))
 
 
-def duplicate_lines(docs: DataFrame, similar: float = SIMILAR, short: bool = False) -> DataFrame:
-    """(doc_id, line_no, component, first_doc, first_line, kept) of every line of at least SHINGLE bytes, blanks collapsed.
-
-    A component is named after its smallest line hash; its line of the smallest (doc_id, line_no) is kept. Shorter
-    lines are listed with `short`, and equal ones are a component; else they stay. Blank lines are not listed: they
-    stay. Null and empty texts have no lines. Null ids come first. Rows with the same doc_id are taken for the same document.
-    Other columns are left out. An empty table gives no rows.
+def judged_lines(docs: DataFrame, similar: float = SIMILAR, short: bool = False) -> DataFrame:
+    """(*ROW, line_no, component, first, kept), first being the struct of (*ROW, line_no) that stays of the component.
 
     What is said of a line is worked out once for each different line, from counts and firsts combined before the
     shuffle; lines that are very common then get it by broadcast.
@@ -408,25 +425,42 @@ def duplicate_lines(docs: DataFrame, similar: float = SIMILAR, short: bool = Fal
     comps = components(line_links(docs, lines, similar))
     half = lambda start: F.conv(F.substring("node", start, 16), 16, -10).cast("long")
     comps = comps.select(half(1).alias("hi"), half(17).alias("lo"), "root")
-    each = lines.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"))
+    each = lines.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no", *ROW[1:])).alias("first"))
     each, _ = write_out(each.join(comps, ["hi", "lo"], "left"), "each")
     linked = each.where("root is not null").groupBy("root").agg(F.min("first").alias("low"), F.count("*").alias("m"))
     linked, _ = write_out(linked, "firsts")
     shared = join_hot(each.where("root is not null"), linked, ["root"], "m").select("hi", "lo", "n", F.col("low").alias("first"), "root")
     classes, _ = write_out(each.where("root is null").select("hi", "lo", "n", "first", "root").unionByName(shared), "classes")
-    out = join_hot(lines.select("doc_id", "line_no", "hi", "lo"), classes, ["hi", "lo"], "n").withColumn("component", F.coalesce("root", name()))
-    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
-    return out.select("doc_id", "line_no", "component", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), kept.alias("kept"))
+    out = join_hot(lines.select(*ROW, "line_no", "hi", "lo"), classes, ["hi", "lo"], "n").withColumn("component", F.coalesce("root", name()))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    for c in ("line_no", *ROW[1:]):
+        kept &= F.col(c) == F.col(f"first.{c}")
+    return out.select(*ROW, "line_no", "component", "first", kept.alias("kept"))
+
+
+def duplicate_lines(docs: DataFrame, similar: float = SIMILAR, short: bool = False) -> DataFrame:
+    """(doc_id, line_no, component, first_doc, first_line, kept) of every line of at least SHINGLE bytes, blanks collapsed.
+
+    A component is named after its smallest line hash; its line of the smallest (doc_id, line_no) is kept, of several rows
+    with that id the one whose text has the smallest hash. Rows of equal id and text are repeats and fare alike. Shorter
+    lines are listed with `short`, and equal ones are a component; else they stay. Blank lines are not listed: they
+    stay. Null and empty texts have no lines. Null ids come first. Other columns are left out. An empty table gives no rows.
+    """
+    rows = judged_lines(docs, similar, short)
+    return rows.select("doc_id", "line_no", "component", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), "kept")
 
 
 def dedup_lines(docs: DataFrame, similar: float = SIMILAR, short: bool = False) -> DataFrame:
     """docs without the lines that duplicate_lines does not keep; n_chars follows, if there. Documents that lose every
-    line that isn't blank go; documents without text stay as they are. Null ids are one document's; repeated rows lose
-    the same lines; other columns are carried along whatever their names. An empty table gives an empty one."""
-    gone = duplicate_lines(docs, similar, short).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    line that isn't blank go; documents without text stay as they are. Lines go by row, told by id and text: another text
+    with the same id, or without one, keeps what it alone has; repeated rows lose the same lines. Other columns are
+    carried along whatever their names. An empty table gives an empty one."""
+    gone = judged_lines(docs, similar, short).where("not kept").groupBy(*ROW).agg(F.collect_set("line_no").alias("gone"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name of ours meets theirs
+    rows = rows.select("row", *[c.alias(f"of_{i}") for i, c in enumerate(told_apart(rows, "row.text", "row.doc_id"))])
+    same = F.col("of_0").eqNullSafe(F.col(ROW[0])) & (F.col("of_1") == F.col(ROW[1])) & (F.col("of_2") == F.col(ROW[2]))
     rest = F.array_join(F.filter(F.split("row.text", "\n"), lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    out = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left").select("row", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(rest).alias("text"), F.col("gone").isNull().alias("whole"))
+    out = rows.join(gone, same, "left").select("row", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(rest).alias("text"), F.col("gone").isNull().alias("whole"))
     out = out.where("whole or text rlike '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]'")
     col = lambda f: F.col("text") if f.name == "text" else F.when(F.col("whole"), F.col("row.n_chars")).otherwise(F.length("text").cast(f.dataType)) if f.name == "n_chars" else F.col(f"row.`{f.name}`")
     return out.select(*[col(f).alias(f.name) for f in docs.schema])

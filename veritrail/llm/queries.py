@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritrail.llm import ctw, langid, lines, mixing, packing, quality, rollups, simhash, topk, toxicity
+from veritrail.llm import ctw, langid, lines, mixing, packing, quality, rollups, simhash, superminhash, topk, toxicity
 
 
 def pipeline(spark, sf_dir: str):
@@ -23,6 +23,7 @@ def queries() -> dict:
         "op8_topk": topk.op8_topk,
         "op9_rollup": rollups.op9_rollup,
         "op10_lines": lines.op10_lines,
+        "op11_superminhash": superminhash.op11_superminhash,
         "pipeline": pipeline,
     }
 
