@@ -61,8 +61,8 @@ class Shingles(dict):
         if len(self) > MEMORY:
             self.clear()
         n = len(words)
-        h = self.table[np.fromiter(map(self.__getitem__, words), np.int64, n)] if n else np.zeros(0, np.uint64)
-        return self.joined(h, n)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, n)  # may put a longer table in place
+        return self.joined(self.table[at], n)
 
     def joined(self, h: np.ndarray, n: int) -> np.ndarray:
         if n < self.k:
