@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritrail.llm import ctw, langid, lines, mixing, packing, quality, rollups, simhash, superminhash, topk, toxicity
+from veritrail.llm import ctw, langid, lines, mixing, packing, quality, quantiles, rollups, simhash, superminhash, topk, toxicity
 
 
 def pipeline(spark, sf_dir: str):
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op9_rollup": rollups.op9_rollup,
         "op10_lines": lines.op10_lines,
         "op11_superminhash": superminhash.op11_superminhash,
+        "op12_quantiles": quantiles.op12_quantiles,
         "pipeline": pipeline,
     }
 
