@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritrail.llm import ctw, langid, lines, mixing, packing, quality, quantiles, rollups, simhash, superminhash, topk, toxicity
+from veritrail.llm import ctw, langid, lines, mixing, packing, quality, quantiles, resampling, rollups, simhash, superminhash, topk, toxicity
 
 
 def pipeline(spark, sf_dir: str):
@@ -25,9 +25,10 @@ def queries() -> dict:
         "op10_lines": lines.op10_lines,
         "op11_superminhash": superminhash.op11_superminhash,
         "op12_quantiles": quantiles.op12_quantiles,
+        "op13_resampling": resampling.op13_resampling,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op8_topk": topk.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op8_topk": topk.ORACLE, "op13_resampling": resampling.ORACLE}
