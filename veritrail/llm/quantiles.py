@@ -104,22 +104,22 @@ def of_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> tuple[Data
 
 
 def summarise(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, x, a, b): the summary of every group of entries (keys, x, c), c rows of the value x; values of a group differ.
+    """(keys, x, a, b, cut): the summary of every group of entries (keys, x, c), c rows of the value x; values of a group differ.
 
-    Groups of up to KEPT values are their own summary, without Python. Others are dealt to blocks of about BLOCK values by
+    Groups of up to KEPT values are their own summary, without Python. Others (cut) are dealt to blocks of about BLOCK values by
     hash, whatever their size, and go up the hierarchy. Between levels points are written to the shared folder.
     """
     sizes = entries.groupBy(*keys).agg(F.count("*").alias("_m")).where(F.col("_m") > KEPT)
     large, _ = write_out(sizes.select(*keys, F.ceil(F.col("_m") / BLOCK).cast("long").alias("blocks")), "large")
     rows, small = of_groups(entries, large, keys)
-    done = [small.select(*keys, "x", F.col("c").alias("a"), F.col("c").alias("b"))]
+    done = [small.select(*keys, "x", F.col("c").alias("a"), F.col("c").alias("b"), F.lit(False).alias("cut"))]
     block = F.pmod(F.xxhash64(F.lit(12), "x"), F.col("blocks"))
     level, rows = 0, rows.select(*keys, block.alias("block"), "blocks", "x", F.col("c").alias("a"), F.col("c").alias("b"))
     while True:
         top = F.col("blocks") == 1
         cells, most = F.when(top, CELLS).otherwise(cells_of(level)), F.when(top, KEPT).otherwise(cells_of(level))
         rows, _ = write_out(pruned(rows, [*keys, "block"], cells, most), f"level-{level}")
-        done.append(rows.where(top).select(*keys, "x", "a", "b"))
+        done.append(rows.where(top).select(*keys, "x", "a", "b", F.lit(True).alias("cut")))
         rows = rows.where(~top)
         if rows.isEmpty():
             break
@@ -132,24 +132,29 @@ def summarise(entries: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge(points: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, x, a, b): the summary of each group's summaries, from their points alone; those of over WHOLE_KEPT points are pruned."""
-    rows, _ = write_out(points.groupBy(*keys, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "merged")
-    large, _ = write_out(rows.groupBy(*keys).agg(F.count("*").alias("_m")).where(F.col("_m") > WHOLE_KEPT), "large")
-    some, small = of_groups(rows, large, keys)
-    return small.unionByName(pruned(some.drop("_m"), keys, F.lit(WHOLE_CELLS), F.lit(WHOLE_KEPT)))
+    """(keys, x, a, b, cut): the summary of each group's summaries, from their points alone; those of over WHOLE_KEPT points are
+    pruned. cut says whether anything has been left out of it or of them."""
+    w = Window.partitionBy(*keys)
+    rows = points.groupBy(*keys, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("cut").alias("cut"))
+    rows = rows.select(*keys, "x", "a", "b", F.max("cut").over(w).alias("cut"), F.count("*").over(w).alias("m"))
+    some = rows.where(F.col("m") > WHOLE_KEPT).select(*keys, "x", "a", "b")
+    some = pruned(some, keys, F.lit(WHOLE_CELLS), F.lit(WHOLE_KEPT)).withColumn("cut", F.lit(True))
+    return rows.where(F.col("m") <= WHOLE_KEPT).drop("m").unionByName(some)
 
 
 def answers(points: DataFrame, keys: list[str], parts: int, least: int = 0) -> DataFrame:
-    """(keys, i, points, answer) for i in 1 .. parts - 1 of every summary of at least `least` rows: the point whose bounds are
-    nearest to rank ceil(i * n / parts), the smaller on ties."""
+    """(keys, i, n, points, answer, n_below, n_upto, cut) for i in 1 .. parts - 1 of every summary of at least `least` rows: the point
+    whose bounds are nearest to rank ceil(i * n / parts), the smaller on ties, with these bounds on the rows below it and up to it."""
     w = Window.partitionBy(*keys)
     up = w.orderBy("x")
-    rows = points.select(*keys, "x", F.sum("a").over(up).alias("low"), (F.sum("b").over(up) - F.col("b")).alias("high"), F.sum("a").over(w).alias("n"), F.count("*").over(w).alias("points"), F.lag("x").over(up).alias("left"))
-    rows = rows.select("*", F.coalesce(F.lag("low").over(up), F.lit(0)).alias("seen")).where(F.col("n") >= least)
-    rows = rows.select("*", F.explode(ranks(F.col("seen"), F.col("low"), F.col("n"), parts)).alias("i"))
+    rows = points.select(*keys, "x", "cut", F.sum("a").over(up).alias("low"), (F.sum("b").over(up) - F.col("b")).alias("high"), F.sum("a").over(w).alias("n"), F.count("*").over(w).alias("points"))
+    rows = rows.select("*", F.lag(F.struct("x", "low", "high")).over(up).alias("left")).where(F.col("n") >= least)
+    seen = F.coalesce("left.low", F.lit(0).cast("long"))
+    rows = rows.select("*", F.explode(ranks(seen, F.col("low"), F.col("n"), parts)).alias("i"))
     target = rank(F.col("i"), F.col("n"), parts)
-    nearer = F.col("left").isNotNull() & (target - F.col("seen") <= F.greatest(F.lit(0), F.col("high") + 1 - target))
-    return rows.select(*keys, "i", "points", F.when(nearer, F.col("left")).otherwise(F.col("x")).alias("answer"))
+    nearer = F.col("left").isNotNull() & (target - F.col("left.low") <= F.greatest(F.lit(0), F.col("high") + 1 - target))
+    best = F.when(nearer, F.col("left")).otherwise(F.struct("x", "low", "high"))
+    return rows.select(*keys, "i", "n", "points", "cut", best.alias("best")).select(*keys, "i", "n", "points", F.col("best.x").alias("answer"), F.col("best.high").alias("n_below"), F.col("best.low").alias("n_upto"), "cut")
 
 
 def div(a: Column, b: Column) -> Column:
@@ -168,18 +173,17 @@ def ranks(after: Column, upto: Column, n: Column, parts: int) -> Column:
     return F.when(low <= high, F.sequence(low, high))
 
 
-def exact(entries: DataFrame, asked: DataFrame, keys: list[str], parts: int, least: int) -> DataFrame:
-    """asked (keys, i, points, answer) with n, target, exact_x, n_below and n_upto, by sorting all rows: a check that uses nothing
-    of the summaries. Answers lie among the rows as marks that count nothing, one before their value and one after it."""
+def exact(entries: DataFrame, asked: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """asked (keys, i, points, answer) with n, exact_x, n_below and n_upto, by sorting all rows of its groups: a check that uses
+    nothing of the summaries. Answers lie among the rows as marks that count nothing, one before their value and one after it."""
     none = F.lit(None).cast("long")
     marks = asked.select(*keys, F.col("answer").alias("x"), F.lit(0).cast("long").alias("c"), "i", "points", F.explode(F.array(F.lit(0), F.lit(2))).alias("at"))
     rows = entries.select(*keys, "x", "c", none.alias("i"), none.alias("points"), F.lit(1).alias("at")).unionByName(marks)
-    rows = running(rows, keys, [F.col("x"), F.col("at"), F.col("i")], ["c"]).where(F.col("c_all") >= least)
+    rows = running(rows, keys, [F.col("x"), F.col("at"), F.col("i")], ["c"])
     i = F.when(F.col("at") == 1, ranks(F.col("c_to") - F.col("c"), F.col("c_to"), F.col("c_all"), parts)).otherwise(F.array("i"))
     rows = rows.select("*", F.explode(i).alias("of"))
     only = lambda at, v: F.max(F.when(F.col("at") == at, F.col(v)))
-    out = rows.groupBy(*keys, F.col("of").alias("i")).agg(F.max("c_all").alias("n"), only(1, "x").alias("exact_x"), F.max("points").alias("points"), only(0, "x").alias("answer"), only(0, "c_to").alias("n_below"), only(2, "c_to").alias("n_upto"))
-    return out.withColumn("target", rank(F.col("i"), F.col("n"), parts).cast("long"))
+    return rows.groupBy(*keys, F.col("of").alias("i")).agg(F.max("c_all").alias("n"), only(1, "x").alias("exact_x"), F.max("points").alias("points"), only(0, "x").alias("answer"), only(0, "c_to").alias("n_below"), only(2, "c_to").alias("n_upto"))
 
 
 def batch_of(id_: str) -> Column:
@@ -219,14 +223,21 @@ def batch_quantiles(entries: DataFrame, parts: int = 20, least: int = 20) -> Dat
     """Every (stream, grp, batch)'s summary and, as batch -1, that of all batches of a group merged from them, asked for
     parts - 1 evenly spaced ranks and held against exact ranks; summaries of fewer than `least` rows are not asked.
 
-    entries: (grp, stream, batch, x, c), c rows of each value. No rows give no rows. Ties are one value with a count.
+    A summary that nothing was cut from holds all its rows, so its ranks are exact; the others' rows are sorted. entries: (grp,
+    stream, batch, x, c), c rows of each value. No rows give no rows. Ties are one value with a count.
     """
     entries, _ = write_out(entries, "entries")
-    batches, _ = write_out(summarise(entries, KEYS), "batches")
-    whole = merge(batches, ["grp", "stream"]).withColumn("batch", F.lit(-1))
-    asked, _ = write_out(answers(batches.unionByName(whole), KEYS, parts, least), "answers")
-    both = entries.select("grp", "stream", F.explode(F.array("batch", F.lit(-1))).alias("batch"), "x", "c")
-    out = exact(both, asked, KEYS, parts, least)
+    group = KEYS[:2]
+    points = summarise(entries, KEYS).repartition(shuffle_parts(entries.sparkSession), *group)  # for batches and their merge alike
+    whole = merge(points, group).withColumn("batch", F.lit(-1))
+    asked = answers(points, KEYS, parts, least).unionByName(answers(whole, group, parts, least).withColumn("batch", F.lit(-1)))
+    asked, _ = write_out(asked, "answers")
+    cut, _ = write_out(asked.where("cut").select(*KEYS).distinct(), "cut")
+    batches, _ = of_groups(entries, cut.where("batch >= 0"), KEYS)
+    wholes, _ = of_groups(entries.drop("batch"), cut.where("batch < 0"), group)
+    known = asked.where("not cut").select(*KEYS, "i", "n", F.col("answer").alias("exact_x"), "points", "answer", "n_below", "n_upto")
+    out = known.unionByName(exact(batches.unionByName(wholes.select(*entries.columns)), asked.where("cut"), KEYS, parts))
+    out = out.withColumn("target", rank(F.col("i"), F.col("n"), parts).cast("long"))
     error = F.greatest(F.lit(0), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto"))
     out = out.withColumn("rank_error", error.cast("long"))
     return out.select("stream", "grp", "batch", F.col("i").cast("int").alias("i"), "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", (F.col("rank_error") * 1000 <= F.col("n") * 10).alias("within"))
