@@ -55,14 +55,13 @@ def test_runs(spark, name):
 
 
 @pytest.mark.parametrize("ranges", [1, 3, 64])
-def test_pooled_ranking_does_not_depend_on_ranges(spark, monkeypatch, ranges):
-    monkeypatch.setattr(metrics, "RANGES", ranges)
+def test_pooled_ranking_does_not_depend_on_ranges(spark, ranges):
     r = np.random.default_rng(5)
     y, p = r.integers(0, 2, 400), r.integers(0, 40, 400) / 40.0
     rows = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)], "score double, y int")
-    got = metrics.ranking(rows, []).first()
+    got = metrics.ranking(rows, [], parts=ranges).first()
     assert got["auroc"] == pytest.approx(probes.auroc(y, p)) and got["ap"] == pytest.approx(probes.measures(y, p)["ap"])
-    found = metrics.threshold_for_recall(rows, [], 0.3).first()["threshold"]
+    found = metrics.threshold_for_recall(rows, [], 0.3, parts=ranges).first()["threshold"]
     assert found == np.sort(p[y == 1])[::-1][int(np.ceil(0.3 * y.sum())) - 1]
     assert metrics.threshold_for_recall(rows.where("y = 0"), [], 0.3).count() == 0 and metrics.ranking(rows.limit(0), []).first()["auroc"] is None
 

@@ -1,6 +1,7 @@
 """Ranking and calibration metrics as grouped plans: no row leaves the JVM, no group is gathered.
 
-Rows of equal score are summed first, so a window sorts distinct scores only, and a metric costs two shuffles.
+Rows of equal score are summed first, so only distinct scores are sorted. Groups that are many and small are sorted a group a
+task; without groups, or where groups are few and large (spread), scores are dealt by ranges over all tasks (`ranges.running`).
 """
 
 from __future__ import annotations
@@ -8,56 +9,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritrail.operators.ranges import running
+
 
 def by_score(rows: DataFrame, group: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """Positives and rows of each distinct score; null and NaN scores and null labels are dropped."""
     return rows.where(F.col(score).isNotNull() & ~F.isnan(score) & F.col(y).isNotNull()).groupBy(*group, F.col(score).alias("s")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
 
 
-#: Ranges that the distinct scores of an ungrouped metric are dealt to.
-RANGES = 64
-
-
-def running(g: DataFrame, columns: list[str], descending: bool = False) -> DataFrame:
-    """g, one row a distinct s, with _<column> summed over all rows of a smaller s (larger, if descending), in no one task:
-    rows are dealt by ranges of s (between approximate quantiles, which the driver gets), summed a range, and each
-    range's window goes on from the sums of those before."""
-    cuts = g.agg(F.percentile_approx("s", [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("s"))) if cuts else F.lit(0)
-    dealt = g.withColumn("_p", -place if descending else place)
-    order = Window.partitionBy("_p").orderBy(F.desc("s") if descending else F.asc("s")).rowsBetween(Window.unboundedPreceding, -1)
-    inside = dealt.select("*", *[F.coalesce(F.sum(c).over(order), F.lit(0)).alias(f"_{c}") for c in columns])
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
-    ranges = dealt.groupBy("_p").agg(*[F.sum(c).alias(f"_r_{c}") for c in columns])
-    ranges = ranges.select("_p", *[F.coalesce(F.sum(f"_r_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in columns])
-    out = inside.join(F.broadcast(ranges), "_p")
-    return out.select(*g.columns, *[(F.col(f"_{c}") + F.col(f"_b_{c}")).alias(f"_{c}") for c in columns])
-
-
-def ranking(rows: DataFrame, group: list[str], score: str = "score", y: str = "y") -> DataFrame:
-    """group, n, n_pos, auroc (ties count half) and ap (step-wise average precision); null where a class is missing.
+def ranking(rows: DataFrame, group: list[str], score: str = "score", y: str = "y", spread: bool = False, parts: int | None = None) -> DataFrame:
+    """group, n, n_pos, auroc (ties count half) and ap (step-wise average precision); null where a class is missing. No rows give
+    no row of a group, and one of nulls without groups.
 
-    A group's distinct scores are sorted in one task; without a group they are dealt by ranges instead."""
+    Without a group, or with spread, distinct scores are dealt to `parts` ranges; else a group's are sorted in one task."""
     g = by_score(rows, group, score, y).withColumn("neg", F.col("n") - F.col("pos"))
-    if group:
+    if group and not spread:
         up = Window.partitionBy(*group).orderBy("s")
         whole = Window.partitionBy(*group)
-        g = g.withColumn("_neg", F.sum("neg").over(up) - F.col("neg")).withColumn("_pos", F.sum("pos").over(up) - F.col("pos"))
-        g = g.withColumn("all_pos", F.sum("pos").over(whole)).withColumn("all_neg", F.sum("neg").over(whole))
+        g = g.withColumns({f"{c}_to": F.sum(c).over(up) for c in ("pos", "neg")}).withColumns({f"{c}_all": F.sum(c).over(whole) for c in ("pos", "neg")})
     else:
-        whole = g.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-        g = running(g, ["pos", "neg"]).crossJoin(F.broadcast(whole))
+        g = running(g, group, [F.asc("s")], ["pos", "neg"], parts)
+    below = F.col("neg_to") - F.col("neg")
     # seen from above: what is not below
-    tp, seen = F.col("all_pos") - F.col("_pos"), F.col("all_pos") + F.col("all_neg") - F.col("_pos") - F.col("_neg")
-    wins = F.sum(F.col("pos") * (F.col("_neg") + F.col("neg") / 2))
+    tp = F.col("pos_all") - F.col("pos_to") + F.col("pos")
+    seen = tp + F.col("neg_all") - below
+    wins = F.sum(F.col("pos") * (below + F.col("neg") / 2))
     out = g.groupBy(*group).agg(F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), wins.alias("w"), F.sum(F.col("pos") * tp / seen).alias("a"))
     both = (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n"))
     return out.select(*group, "n", "n_pos", F.when(both, F.col("w") / (F.col("n_pos") * (F.col("n") - F.col("n_pos")))).alias("auroc"), F.when(F.col("n_pos") > 0, F.col("a") / F.col("n_pos")).alias("ap"))
 
 
-def baseline(rows: DataFrame, group: list[str], score: str, higher_is_error: bool, y: str = "y") -> DataFrame:
+def baseline(rows: DataFrame, group: list[str], score: str, higher_is_error: bool, y: str = "y", spread: bool = False) -> DataFrame:
     """ranking of a scalar that speaks for errors when it is high, or when it is low; auroc and ap are null with one class."""
-    out = ranking(rows.withColumn("_score", F.col(score) if higher_is_error else -F.col(score)), group, "_score", y)
+    out = ranking(rows.withColumn("_score", F.col(score) if higher_is_error else -F.col(score)), group, "_score", y, spread)
     return out.withColumn("ap", F.when(F.col("auroc").isNotNull(), F.col("ap")))
 
 
@@ -66,13 +50,14 @@ def calibration(rows: DataFrame, group: list[str], p: str = "p", y: str = "y") -
     return rows.groupBy(*group).agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier"), F.avg(((F.col(p) > 0.5).cast("int") == F.col(y)).cast("double")).alias("accuracy"))
 
 
-def threshold_for_recall(rows: DataFrame, group: list[str], recall: float, score: str = "score", y: str = "y") -> DataFrame:
-    """Score of the ceil(recall * positives)-th positive, highest first; groups without positives are left out."""
+def threshold_for_recall(rows: DataFrame, group: list[str], recall: float, score: str = "score", y: str = "y", spread: bool = False, parts: int | None = None) -> DataFrame:
+    """Score of the ceil(recall * positives)-th positive, highest first; groups without positives are left out. spread and parts
+    as in `ranking`."""
     g = by_score(rows.where(F.col(y) == 1), group, score, y)
-    if group:
+    if group and not spread:
         w = Window.partitionBy(*group)
-        g = g.withColumn("taken", F.sum("n").over(w.orderBy(F.desc("s")))).withColumn("all", F.sum("n").over(w))
+        g = g.withColumn("n_to", F.sum("n").over(w.orderBy(F.desc("s")))).withColumn("n_all", F.sum("n").over(w))
     else:
-        g = running(g, ["n"], descending=True).withColumn("taken", F.col("_n") + F.col("n")).crossJoin(F.broadcast(g.agg(F.sum("n").alias("all"))))
-    out = g.where(F.col("taken") >= F.ceil(F.col("all") * recall)).groupBy(*group).agg(F.max("s").alias("threshold"))
+        g = running(g, group, [F.desc("s")], ["n"], parts)
+    out = g.where(F.col("n_to") >= F.ceil(F.col("n_all") * recall)).groupBy(*group).agg(F.max("s").alias("threshold"))
     return out if group else out.where("threshold is not null")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions import expressions as X
+from veritrail.operators.ranges import running, written
 
 TAUS = [round(0.05 * i, 2) for i in range(20)]
 
@@ -17,13 +18,13 @@ def delta(was_error: Column, is_error: Column) -> Column:
 
 def curve(rows: DataFrame, order: list[Column], group: list[str], gain: str = "delta", origin: bool = False) -> DataFrame:
     """Cost (rows spent, in order) and running gain of each group; with origin, group, cost and net alone, from (0, 0) on.
-    order must break all ties. A group's rows are sorted in one task; groups are documents or domains."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    out = rows.withColumn("cost", F.row_number().over(w)).withColumn("net", F.sum(gain).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order must break all ties. Rows are sorted by ranges of (group, order), so a group may be the whole collection."""
+    made = running(rows.withColumns({"_one": F.lit(1).cast("long"), "_gain": F.col(gain).cast("long")}), group, order, ["_one", "_gain"])
+    out = made.select(*rows.columns, F.col("_one_to").cast("int").alias("cost"), F.col("_gain_to").alias("net"))
     if not origin:
         return out
     zero = rows.select(*group, F.lit(0).alias("cost"), F.lit(0).cast("long").alias("net")).distinct()
-    return zero.unionByName(out.select(*group, "cost", F.col("net").cast("long").alias("net")))
+    return zero.unionByName(out.select(*group, "cost", "net"))
 
 
 def orders(seed: int = 42, keys: tuple[str, ...] = ("doc_id", "path_str")) -> dict[str, list[Column]]:
@@ -33,17 +34,16 @@ def orders(seed: int = 42, keys: tuple[str, ...] = ("doc_id", "path_str")) -> di
     return {"probe": [F.desc("probe_score"), *ties], "logprob": [F.asc("min_logprob"), *ties], "random": [F.md5(F.concat_ws("|", F.lit(str(seed)), *[t.cast("string") for t in ties]).cast("binary")), *ties], "oracle": [F.desc("is_error"), *ties]}
 
 
-def curves(rows: DataFrame, group: list[str], seed: int = 42, keys: tuple[str, ...] = ("doc_id", "path_str")) -> DataFrame:
-    """(group, strategy, cost, net) of all four orders, from (0, 0) on; rows are read once and sorted four times."""
-    points = []
-    for name, order in orders(seed, keys).items():
-        w = Window.partitionBy(*group).orderBy(*order)
-        net = F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
-        points.append(F.struct(F.lit(name).alias("strategy"), F.row_number().over(w).alias("cost"), net.alias("net")))
-    first = F.row_number().over(Window.partitionBy(*group).orderBy(*[F.col(k) for k in keys])) == 1
-    zeros = F.array(*[F.struct(F.lit(n).alias("strategy"), F.lit(0).alias("cost"), F.lit(0).cast("long").alias("net")) for n in orders(seed, keys)])
-    each = rows.select(*group, F.array(*points).alias("_p"), F.when(first, zeros).otherwise(F.slice(zeros, 1, 0)).alias("_z"))
-    return each.select(*group, F.explode(F.concat("_z", "_p")).alias("x")).select(*group, "x.*")
+def curves(rows: DataFrame, group: list[str], seed: int = 42, keys: tuple[str, ...] = ("doc_id", "path_str"), which: tuple[str, ...] = ("probe", "logprob", "random", "oracle")) -> DataFrame:
+    """(group, strategy, cost, net) of the orders named, from (0, 0) on. Rows are worked out once and written; each order asked
+    for sorts what it needs."""
+    needs = {"probe": ["probe_score"], "logprob": ["min_logprob"], "random": [], "oracle": ["is_error"]}
+    used = dict.fromkeys([*group, *keys, "delta", *[c for n in which for c in needs[n]]])
+    some, out = written(rows.select(*used), "curves"), None
+    for name in which:
+        one = curve(some, orders(seed, keys)[name], group, origin=True).select(*group, F.lit(name).alias("strategy"), "cost", "net")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def budgets(curved: DataFrame, group: list[str], shares=(0.1, 0.25, 0.5, 1.0)) -> DataFrame:

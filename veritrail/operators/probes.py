@@ -1,7 +1,7 @@
 """Linear probes on feature vectors: balanced logistic fits, held-out folds, nested choice of layer, transfer, stacking.
 
-Input rows are (id, fold, layer, y, vec). Fits use at most SAMPLE rows, the lowest hashes of their ids; scores cover
-every row, through a join with the fitted weights, which are one row a fold and layer.
+Input rows are (id, fold, layer, y, vec). Fits rest on every row and any number of folds (`newton`); scores cover every row,
+through a join with the fitted weights, which are one row a fold and layer.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions.expressions import dot, l2_norm, last_or_mean, sigmoid
-from veritrail.operators.metrics import ranking
+from veritrail.operators import newton
+from veritrail.operators.metrics import calibration, ranking, threshold_for_recall
+from veritrail.operators.ranges import running, written
 
-#: Rows of a layer that a fit rests on, and folds that are fitted unless a caller allows more.
-SAMPLE, FOLDS = 20_000, 500
-WEIGHTS = "beta array<double>, bias double, n_train long"
+#: Rows that the second of two stacked models rests on, the lowest hashes of their ids.
+SAMPLE = 20_000
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 100) -> tuple[np.ndarray, float]:
@@ -53,59 +54,28 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 100)
 
 
 def training_rows(rows: DataFrame, bound: int = SAMPLE) -> DataFrame:
+    """The rows of the `bound` lowest hashes of ids, or all."""
     w = Window.partitionBy("layer").orderBy(F.xxhash64("id"), "id")
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= bound).drop("_r")
 
 
-def fit_groups(rows: DataFrame, keys: list[str], c: float, both: bool = False) -> DataFrame:
-    """keys, beta, bias, n_train for each group of at most SAMPLE rows; with `both`, of groups of both classes only."""
-
-    def fit(group: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        if both and f["y"].min() == f["y"].max():
-            return pd.DataFrame([], columns=[*keys, "beta", "bias", "n_train"])
-        beta, bias = fit_logistic(np.stack(f["vec"].to_numpy()), f["y"].to_numpy(), c)
-        return pd.DataFrame([(*group, beta.tolist(), bias, len(f))], columns=[*keys, "beta", "bias", "n_train"])
-
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.select(*keys, "y", "vec").groupBy(*keys).applyInPandas(fit, f"{kinds}, {WEIGHTS}")
+def fit_layers(rows: DataFrame, c: float = 1.0) -> DataFrame:
+    """(layer, beta, bias, n_train) fitted on all rows of a layer; one class alone gives zeros."""
+    return newton.weights(rows, 0, c)
 
 
 def scored(rows: DataFrame, weights: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(weights, on).withColumn("p", sigmoid(dot(F.col("vec"), F.col("beta")) + F.col("bias"))).drop("beta", "bias")
 
 
-def fold_list(rows: DataFrame, most: int) -> DataFrame:
-    """One row with all folds. More than `most` are an error, since every fold is a fit on (and a copy of) the bounded training
-    rows: put documents together to fewer folds, or raise `most`."""
-    folds = rows.select("fold").distinct().agg(F.array_sort(F.collect_set("fold")).alias("folds"))
-    many = F.raise_error(F.concat(F.size("folds").cast("string"), F.lit(f" folds; at most {most} are fitted"))).cast(folds.schema["folds"].dataType)
-    return F.broadcast(folds.select(F.when(F.size("folds") > most, many).otherwise(F.col("folds")).alias("folds")))
-
+def held_out_weights(rows: DataFrame, c: float = 1.0, both: bool = False) -> DataFrame:
+    """(hold, layer, weights) fitted without the rows of fold `hold`; with `both`, where the others have both classes."""
+    return newton.weights(rows, 1, c, both)
 
-def held_out_weights(rows: DataFrame, c: float = 1.0, both: bool = False, most_folds: int = FOLDS) -> DataFrame:
-    """(hold, layer, weights) fitted without the rows of fold `hold`. A training row goes to every fold but its own."""
-    train = training_rows(rows).crossJoin(fold_list(rows, most_folds)).withColumn("hold", F.explode("folds")).where("hold <> fold")
-    return fit_groups(train, ["hold", "layer"], c, both)
 
-
-def inner_weights(rows: DataFrame, c: float = 1.0, most_folds: int = FOLDS) -> DataFrame:
-    """(outer, fold, layer, weights) fitted without the rows of either fold, where what is left has both classes. A training row goes
-    to every outer fold but its own; a task has one outer fold and layer and fits its inner folds one after another."""
-    train = training_rows(rows).crossJoin(fold_list(rows, most_folds)).withColumn("outer", F.explode("folds")).where("outer <> fold")
-
-    def fit(group: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        x, y, fold = np.stack(f["vec"].to_numpy()).astype(float), f["y"].to_numpy(), f["fold"].to_numpy()
-        out = []
-        for inner in pd.unique(f["fold"]):
-            rest = fold != inner
-            if rest.any() and y[rest].min() != y[rest].max():
-                beta, bias = fit_logistic(x[rest], y[rest], c)
-                out.append((group[0], inner, group[1], beta.tolist(), bias, int(rest.sum())))
-        return pd.DataFrame(out, columns=["outer", "fold", "layer", "beta", "bias", "n_train"])
-
-    kind = lambda n: rows.schema[n].dataType.simpleString()
-    some = train.select("outer", "fold", "layer", "y", "vec")
-    return some.groupBy("outer", "layer").applyInPandas(fit, f"outer {kind('fold')}, fold {kind('fold')}, layer {kind('layer')}, {WEIGHTS}")
+def inner_weights(rows: DataFrame, c: float = 1.0) -> DataFrame:
+    """(outer, fold, layer, weights) fitted without the rows of either fold, where what is left has both classes."""
+    return newton.weights(rows, 2, c, both=True)
 
 
 def held_out_scores(rows: DataFrame, c: float = 1.0, both: bool = False) -> DataFrame:
@@ -132,7 +102,7 @@ def nested_scores(rows: DataFrame, c: float = 1.0) -> DataFrame:
 def nested_ranking(rows: DataFrame, c: float = 1.0) -> DataFrame:
     """One row: mean and population deviation of the outer folds' AUROC, AUROC and AP pooled over the rows of all outer
     folds whatever layer each chose, and how many folds chose each layer."""
-    p = nested_scores(rows, c)
+    p = written(nested_scores(rows, c).select("fold", "layer", "y", "p"), "nested")
     each = ranking(p, ["fold", "layer"], "p").groupBy("layer").agg(F.collect_list("auroc").alias("found"), F.count("*").alias("n_folds"))
     each = each.agg(F.flatten(F.collect_list("found")).alias("found"), F.array_sort(F.collect_list(F.struct("layer", "n_folds"))).alias("layers"))  # bounded: folds are few
     mean = F.aggregate("found", F.lit(0.0), lambda s, x: s + x) / F.size("found")
@@ -144,7 +114,7 @@ def nested_ranking(rows: DataFrame, c: float = 1.0) -> DataFrame:
 def transfer_scores(train: DataFrame, test: DataFrame, c: float = 1.0, normalise: bool = False) -> DataFrame:
     """test rows with p by probes fitted on train, by layer; vectors as they are or at length one."""
     unit = (lambda d: d.withColumn("vec", l2_norm(F.col("vec")))) if normalise else (lambda d: d)
-    return scored(unit(test), fit_groups(unit(training_rows(train)), ["layer"], c), ["layer"])
+    return scored(unit(test), fit_layers(unit(train), c), ["layer"])
 
 
 def conflict(p: DataFrame) -> DataFrame:
@@ -155,12 +125,12 @@ def conflict(p: DataFrame) -> DataFrame:
 def conflict_ranking(rows: DataFrame, c: float = 1.0) -> DataFrame:
     """One row: the layer of the best held-out AUROC (first on ties), and the pooled held-out AUROC of its vectors alone and with
     the conflict appended, over the rows that every layer scores. No row where no layer can be ranked."""
-    p = held_out_scores(rows, c, both=True)
+    p = written(held_out_scores(rows, c, both=True).select("id", "layer", "y", "p"), "held-out")
     found = [(-r["auroc"], r["layer"]) for r in ranking(p, ["layer"], "p").where("auroc is not null").collect()]  # one a layer
     best = min(found)[1] if found else None
     ids = p.groupBy("id").agg(F.count("p").alias("n")).join(rows.agg(F.count_distinct("layer").alias("of"))).where("n = of").select("id")
     some = rows.where(F.col("layer") == F.lit(best)).join(conflict(p).join(ids, "id"), "id")
-    some = some.withColumn("vec", F.col("vec").cast("array<double>"))
+    some = written(some.withColumn("vec", F.col("vec").cast("array<double>")), "conflicts")
     with_it = some.withColumn("vec", F.concat("vec", F.array("conflict")))
     rank = lambda r, name: ranking(held_out_scores(r, c, both=True), [], "p").select("n", "n_pos", F.col("auroc").alias(name))
     out = rank(some, "auroc_baseline").join(rank(with_it, "auroc_conflict").select("auroc_conflict"))
@@ -218,23 +188,21 @@ def stacked(rows: DataFrame, signals: list[str], c: float = 1.0) -> tuple[DataFr
     coefficient).
 
     For each held-out fold a probe is fitted on the other folds' vectors; its scores of those rows and their signals, all
-    standardised by the other folds alone, train the second model. Rows with a NaN or null signal are left out; folds
-    whose training rows have one class are not scored. A row goes to every fold once."""
+    standardised by the other folds alone, train the second model, which rests on at most SAMPLE rows. Rows with a NaN or null
+    signal are left out; folds whose training rows have one class are not scored. Scores and signals of a row go to
+    every fold, its vector to none."""
     ok = rows
     for s in signals:
         ok = ok.where(F.col(s).isNotNull() & ~F.isnan(s))
-    each = training_rows(ok).crossJoin(fold_list(ok, FOLDS)).withColumn("hold", F.explode("folds")).drop("folds")
+    ok = written(training_rows(ok).select("id", "fold", "layer", "y", "vec", *signals), "stacked")
+    probes_ = held_out_weights(ok, c, both=True).select("hold", F.col("layer").alias("_layer"), "beta", "bias")
+    each = ok.join(probes_, F.col("layer") == F.col("_layer")).withColumn("probe", sigmoid(dot(F.col("vec"), F.col("beta")) + F.col("bias")))
     names = ["probe", *signals]
 
     def run(group: tuple, f: pd.DataFrame) -> pd.DataFrame:
         train = (f["fold"] != group[0]).to_numpy()
         y = f["y"].to_numpy()
-        out = pd.DataFrame([], columns=OUT)
-        if not train.any() or y[train].min() == y[train].max():
-            return out
-        x = np.stack(f["vec"].to_numpy()).astype(float)
-        beta, bias = fit_logistic(x[train], y[train], c)
-        z = np.column_stack([1 / (1 + np.exp(-np.clip(x @ beta + bias, -500, 500))), f[signals].to_numpy(float)])
+        z = f[names].to_numpy(float)
         deviation = z[train].std(0)
         z = (z - z[train].mean(0)) / np.where(deviation < 1e-8, 1.0, deviation)
         beta, bias = fit_logistic(z[train], y[train], c)
@@ -245,7 +213,8 @@ def stacked(rows: DataFrame, signals: list[str], c: float = 1.0) -> tuple[DataFr
 
     OUT = ["hold", "id", "fold", "y", "p", "coefficients"]
     kind = lambda n: rows.schema[n].dataType.simpleString()
-    made = each.select("hold", "id", "fold", "y", "vec", *signals).groupBy("hold").applyInPandas(run, f"hold {kind('fold')}, id {kind('id')}, fold {kind('fold')}, y {kind('y')}, p double, coefficients array<double>")
+    made = each.select("hold", "id", "fold", "y", *names).groupBy("hold").applyInPandas(run, f"hold {kind('fold')}, id {kind('id')}, fold {kind('fold')}, y {kind('y')}, p double, coefficients array<double>")
+    made = written(made, "stacked-scores")
     weights = made.groupBy("hold").agg(F.first("coefficients").alias("c")).select("hold", F.posexplode("c").alias("_i", "coefficient"))
     weights = weights.withColumn("signal", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1)).select("hold", "signal", "coefficient")
     return made.select("id", "fold", "y", "p"), weights
@@ -264,40 +233,36 @@ def drawn(seed: int):
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")).cast("binary"))
 
 
+def places(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """rows with one_to, a row's place from 1 on among those of its keys in a random order, and one_all, how many they are."""
+    order = written(rows.withColumn("one", F.lit(1).cast("long")).withColumn("_h", drawn(seed)), "drawn")
+    return running(order, keys, [F.col("_h"), F.col("id")], ["one"]).drop("_h", "one")
+
+
 def shares(rows: DataFrame, parts: int, seed: int, column: str = "part") -> DataFrame:
     """rows with a part from 0 to parts - 1, of equal size a class (and layer) but for one row, in the order of a hash of the id."""
-    w = Window.partitionBy("layer", "y").orderBy(drawn(seed), "id")
-    return rows.withColumn(column, ((F.row_number().over(w) - 1) % parts).cast("int"))
+    return places(rows, ["layer", "y"], seed).withColumn(column, ((F.col("one_to") - 1) % parts).cast("int")).drop("one_to", "one_all")
 
 
 def train_probes(rows: DataFrame, c: float = 1.0, parts: int = 5, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """A probe for each layer of at most SAMPLE rows, with how well such probes do: layer, beta, bias, n_train (fitted on all);
-    fold_auroc, of `parts` stratified parts held out in turn, empty where a class has fewer rows than parts; and of one
-    test set of max(1, round(test_share * n)) rows drawn by hash: n_test, n_test_errors, auroc, ap, brier, accuracy,
-    threshold_at_50. Null where one class makes a measure undefined."""
-    some = training_rows(rows)
-    base = rows.schema["layer"].dataType.simpleString()
-
-    def run(group: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["_h", "id"], kind="stable")
-        x, y, part = np.stack(f["vec"].to_numpy()).astype(float), f["y"].to_numpy(), f["part"].to_numpy()
-        n, pos = len(y), int(y.sum())
-        score = lambda train, test: 1 / (1 + np.exp(-np.clip(x[test] @ (w := fit_logistic(x[train], y[train], c))[0] + w[1], -500, 500)))
-        found = []
-        if min(pos, n - pos) >= parts:
-            found = [auroc(y[part == k], score(part != k, part == k)) for k in range(parts)]
-        test = np.arange(n) < max(1, round(test_share * n))
-        out = {"layer": group[0], "n_test": int(test.sum()), "n_test_errors": int(y[test].sum()), "fold_auroc": [a for a in found if a is not None], "n_train": n}
-        one = not test.all() and 0 < y[~test].sum() < (~test).sum()
-        p = score(~test, test) if one else np.full(test.sum(), np.nan)
-        out |= measures(y[test], p) if one else dict.fromkeys(("auroc", "ap", "brier", "accuracy", "threshold_at_50"))
-        beta, bias = fit_logistic(x, y, c)
-        return pd.DataFrame([out | {"beta": beta.tolist(), "bias": bias}])[COLUMNS]
-
-    COLUMNS = ["layer", "beta", "bias", "n_train", "fold_auroc", "n_test", "n_test_errors", "auroc", "ap", "brier", "accuracy", "threshold_at_50"]
-    schema = f"layer {base}, {WEIGHTS}, fold_auroc array<double>, n_test long, n_test_errors long, auroc double, ap double, brier double, accuracy double, threshold_at_50 double"
-    dealt = shares(some, parts, seed).withColumn("_h", drawn(seed + 1))
-    return dealt.select("layer", "id", "y", "vec", "part", "_h").groupBy("layer").applyInPandas(run, schema)
+    """A probe for each layer, with how well such probes do: layer, beta, bias, n_train (fitted on all rows); fold_auroc, of `parts`
+    stratified parts held out in turn, empty where a class has fewer rows than parts; and of one test set of max(1,
+    round(test_share * n)) rows drawn by hash: n_test, n_test_errors, auroc, ap, brier, accuracy, threshold_at_50. Null where
+    one class makes a measure undefined."""
+    some = rows.select("id", "layer", "y", "vec")
+    share = F.greatest(F.lit(1), F.bround(F.col("one_all") * test_share))
+    dealt = places(shares(some, parts, seed), ["layer"], seed + 1).withColumn("test", (F.col("one_to") <= share).cast("int"))
+    dealt = written(dealt.select("id", "layer", "y", "vec", "part", "test"), "dealt")
+    few = dealt.groupBy("layer").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).where(F.least("pos", F.col("n") - F.col("pos")) >= parts).select("layer")
+    held = ranking(held_out_scores(dealt.withColumn("fold", F.col("part")), c), ["layer", "part"], "p").where("auroc is not null")
+    held = held.join(few, "layer").groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("part", "auroc")))["auroc"].alias("fold_auroc"))  # `parts` at most
+    tested = written(held_out_scores(dealt.withColumn("fold", F.col("test")).where("test is not null"), c, both=True).where("test = 1").select("layer", "y", "p"), "tested")
+    sizes = dealt.groupBy("layer").agg(F.sum("test").alias("n_test"), F.sum(F.col("y") * F.col("test")).alias("n_test_errors"))
+    out = fit_layers(dealt, c).join(sizes, "layer").join(held, "layer", "left")
+    out = out.join(ranking(tested, ["layer"], "p").select("layer", "auroc", "ap"), "layer", "left").join(calibration(tested, ["layer"]), "layer", "left")
+    out = out.join(threshold_for_recall(tested, ["layer"], 0.5, "p").withColumnRenamed("threshold", "threshold_at_50"), "layer", "left")
+    found = F.coalesce("fold_auroc", F.array().cast("array<double>")).alias("fold_auroc")
+    return out.select("layer", "beta", "bias", "n_train", found, "n_test", "n_test_errors", "auroc", "ap", "brier", "accuracy", "threshold_at_50")
 
 
 def auroc(y: np.ndarray, p: np.ndarray) -> float | None:

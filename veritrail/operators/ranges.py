@@ -15,6 +15,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that a core's task should have to read at least, by the plan's statistics.
+ENOUGH = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that is dear by row: dealt to all cores where its plan reads too little to be cut to as many tasks, as a small
+    file is; a large table is cut when it is read and comes back as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= cores * ENOUGH else df.repartition(cores)
+
+
 def running(rows: DataFrame, keys: list[str], order: list[Column], columns: list[str], parts: int | None = None) -> DataFrame:
     """rows with, for each of the columns, <column>_to, the sum over the rows of the same keys up to this one in order, and
     <column>_all, the sum over all of them; null keys are a group, null values count as nothing.

@@ -67,7 +67,7 @@ RANKED = ("auroc_mean", "auroc_std", "auroc", "ap")
 
 @query(f"with recursive {ROWS}, {newton('fit', 'v', 'layer', ['x'])} select layer, round(b0, 6) as beta, round(c, 6) as bias, n_train from fit")
 def stat_fit(spark, d):
-    out = probes.fit_groups(probes.training_rows(narrow(spark, d)), ["layer"], 1.0)
+    out = probes.fit_layers(narrow(spark, d))
     return rounded(out.select("layer", F.col("beta")[0].alias("beta"), "bias", "n_train"), "beta", "bias", digits=6)
 
 
