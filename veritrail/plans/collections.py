@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import expressions as X
 from veritrail.plans.base import query, table
+from veritrail.sinks.workspace import work_folder
 from veritrail.sources import artifacts, collections
+from veritrail.sources.folders import PUSHDOWN, AnnotatedFolders
 
 
 def paths(spark, d, end: str, keep: str):
@@ -36,12 +38,51 @@ def src_unpaired(spark, d):
     return collections.unpaired(*sides(spark, d))
 
 
-@query(f"with {PAIRS} select replace(domain, '/', '__') || '__' || replace(stem, ' ', '_') as doc_id, domain, source_path, gold from gd join fi using (domain, stem) where domain in ('en/src0', 'de/src1', 'fr/src2') order by domain, stem limit 30")
+def folders(spark, d):
+    """Pages as a tree of folders in the work folder, written by tasks: a domain a tenth page number, every seventh without gold."""
+    path, rows = work_folder(spark, "tree").removeprefix("file:"), table(spark, d, "pages").select("page_id", "url", "html")
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        for b in batches:
+            for page, url, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+                at = f"{root}/t{page % 2}/s{page % 10}"
+                system.create_dir(f"{at}/pdf+gold")
+                found = {f"{at}/pdf+gold/page {page}.pdf": html}
+                if page % 7:
+                    found[f"{at}/pdf+gold/page {page}.gold.json"] = '{"url": "%s"}' % url
+                if page < 10:
+                    found[f"{at}/s{page % 10}-schema.json"] = '{"schema_definition": {"type": "object", "title": "s%d"}}' % (page % 10)
+                for name, text in found.items():
+                    with system.open_output_stream(name) as f:
+                        f.write(text.encode())
+            yield b.slice(0, 0)
+
+    rows.mapInArrow(write, rows.schema).write.format("noop").mode("overwrite").save()
+    return path
+
+
+def same_text(content: bytes) -> str:
+    return content.decode()
+
+
+@query("""select 't' || (page_id % 2) || '__s' || (page_id % 10) || '__page_' || page_id as doc_id, 't' || (page_id % 2) || '/s' || (page_id % 10) as domain, md5(html) as text, '{"url": "' || url || '"}' as gold, '{"type": "object", "title": "s' || (page_id % 10) || '"}' as schema
+from pages where page_id % 7 > 0 and page_id % 10 in (1, 4)""")
 def src_extractbench(spark, d):
-    """Chosen domains, paired, with ids, the first thirty by domain and stem."""
-    rows = collections.paired(*sides(spark, d)).where(F.col("domain").isin("en/src0", "de/src1", "fr/src2"))
-    first = collections.first_documents(rows, 30, "domain", "stem")
-    return collections.validated(first.select(X.doc_id(F.col("domain"), F.col("stem")).alias("doc_id"), "domain", "source_path", "gold"))
+    """Whole pages read back from files with gold and schema, two domains of ten, by the collection's loader."""
+    docs = collections.load("extract_bench", spark, folders(spark, d), same_text, domains=["t1/s1", "t0/s4"])
+    return docs.select("doc_id", "domain", F.md5(F.col("text").cast("binary")).alias("text"), "gold", "schema")
+
+
+@query("""select 't' || (page_id % 2) || '/s' || (page_id % 10) as domain, 'page ' || page_id as stem, md5(html) as content, '{"url": "' || url || '"}' as gold from pages where page_id % 7 > 0 and page_id % 10 in (0, 3)""")
+def src_folders(spark, d):
+    """The same tree as a data source whose reader takes over the filter by domain."""
+    spark.dataSource.register(AnnotatedFolders)
+    spark.conf.set(PUSHDOWN, "true")
+    rows = spark.read.format("annotated_folders").option("path", folders(spark, d)).load().where(F.col("domain").isin("t0/s0", "t1/s3"))
+    return rows.select("domain", "stem", F.md5("content").alias("content"), "gold")
 
 
 @query("""select n_nationkey, case when n_nationkey % 4 = 3 then null else '{"type":"object","title":"' || n_name || '"}' end as schema, n_nationkey % 4 = 3 as refused from nation""")
@@ -100,7 +141,7 @@ def rows(spark, d):
     i = F.col("doc_id")
     path = F.when(i % 17 == 0, " ").when(i % 19 == 0, None).otherwise(F.concat(F.lit("x/files/h"), F.floor(i / 4), F.lit(".a.pdf")))
     split = F.element_at(F.array(*map(F.lit, ["test", "train", "val"])), (i % 3 + 1).cast("int"))
-    spans = F.transform(F.slice(F.split("text", " "), 1, 9), lambda w, n: F.struct(F.concat(F.lit("L"), n % 4).alias("label"), F.concat(w, F.lit(" \n.,")).alias("text")))
+    spans = F.transform(F.split("text", " "), lambda w, n: F.struct(F.concat(F.lit("L"), n % 4).alias("label"), F.concat(w, F.lit(" \n.,")).alias("text")))
     labels = F.when(i % 11 == 0, "no json").when(i % 11 == 1, None).otherwise(F.to_json(spans))
     return table(spark, d, "documents").select(F.when(i % 2 == 0, "nda").otherwise("lease").alias("domain"), split.alias("split"), i.alias("pos"), path.alias("document_path"), F.when(i % 5 == 0, " \n").otherwise(F.col("text")).alias("text"), labels.alias("labels"), F.col("source").alias("original_filename"))
 
@@ -122,7 +163,7 @@ def fields(spark):
 FIELDS = "fl as (select * from (values ('nda', 'L0', 'party'), ('nda', 'L1', 'date'), ('nda', 'L2', 'date'), ('lease', 'L0', 'rent'), ('lease', 'L3', 'term')) v(domain, label, field))"
 
 
-@query(f"""with {ROWS}, {FIELDS}, w as (select doc_id, domain, string_split(text, ' ')[1:9] as w from rf where pos % 11 > 1), e as (select doc_id, domain, unnest(w) as t, generate_subscripts(w, 1) - 1 as pos from w),
+@query(f"""with {ROWS}, {FIELDS}, w as (select doc_id, domain, string_split(text, ' ') as w from rf where pos % 11 > 1), e as (select doc_id, domain, unnest(w) as t, generate_subscripts(w, 1) - 1 as pos from w),
 n as (select doc_id, domain, pos, 'L' || (pos % 4) as label, regexp_replace(trim(regexp_replace(t || ' ' || chr(10) || '.,', '\\s+', ' ', 'g')), '[ .,;:]+$', '') as value from e), f as (select n.doc_id, field, pos, value from n join fl on fl.domain = n.domain and fl.label = n.label where value <> ''),
 o as (select *, row_number() over (partition by doc_id, field, lower(value) order by pos) as r from f), l as (select doc_id, field, list(value order by pos) as vs from o where r = 1 group by all)
 select g.doc_id, g.field, coalesce(array_to_string(vs, '|'), '') as found, coalesce(len(vs), 0)::int as n from (select distinct rf.doc_id, field from rf join fl using (domain)) g left join l using (doc_id, field)""")

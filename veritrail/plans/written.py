@@ -9,6 +9,7 @@ from veritrail.plans import base
 from veritrail.plans.base import LABELS, PROBE, VECTORS, query, rounded, table
 from veritrail.plans.fieldwork import CACHE, KINDS, RUNS, SUMMARY, cache, runs, two_runs
 from veritrail.sinks import tables
+from veritrail.sinks.commits import Committed
 from veritrail.sinks.workspace import work_folder
 
 
@@ -26,10 +27,10 @@ def sink_activation(spark, d):
     return spark.read.parquet(path).where("layer = 2").select("doc_id", "path_str", "layer", F.size("vec").alias("n"), F.round(F.col("vec")[0].cast("double"), 6).alias("first"))
 
 
-@query(f"with {RUNS}, p as (select doc_id, count(*) as n, count(*) filter (is_empty) as empty from xf group by doc_id), s as (select {SUMMARY} from xd left join p using (doc_id)) select s.*, (select round(sum(elapsed_seconds), 1) from xd) as total_elapsed_seconds, total_documents::int as n_documents from s")
+@query(f"with {RUNS}, p as (select doc_id, count(*) as n, count(*) filter (is_empty) as empty from xf group by doc_id), s as (select {SUMMARY} from xd left join p using (doc_id)) select xd.doc_id, xd.parse_error is null and coalesce(p.n, 0) > 0 as is_success, coalesce(p.n, 0) as fields_extracted, s.*, (select round(sum(elapsed_seconds), 1) from xd) as total_elapsed_seconds from xd left join p using (doc_id), s")
 def sink_extract_summary(spark, d):
-    out = tables.extraction_report(*runs(spark, d))
-    return out.withColumn("n_documents", F.size("per_document")).drop("per_document")
+    """A row a document, with the sums over all."""
+    return tables.extraction_report(*runs(spark, d)).drop("domain", "finish_reason", "generated_tokens", "elapsed_seconds", "parse_error")
 
 
 @query(f"with {LABELS} select doc_id, count(*) as n_total, sum(is_error)::bigint as n_errors, string_agg(path_str, ' ' order by pos) as paths from lab group by doc_id, domain")
@@ -44,7 +45,7 @@ def sink_labels(spark, d):
 @query(f"with {LABELS} select doc_id, {KINDS.replace('9) as error_rate', '3) as error_rate')} from lab group by grouping sets ((doc_id), ())")
 def sink_label_summary(spark, d):
     path = work_folder(spark, "summary")
-    tables.write_results(tables.label_summary(base.labels(spark, d)), path)
+    tables.write_results(tables.label_summary(base.labels(spark, d)), path, files=None)
     kinds = "doc_id string, n_total long, n_errors long, n_hallucinations long, n_omissions long, n_value_mismatches long, n_type_mismatches long, error_rate double"
     return spark.read.schema(kinds).json(path)
 
@@ -81,7 +82,7 @@ def sink_pool_copy(spark, d):
 def sink_cache(spark, d):
     """A cache that a second run goes on from, in three lots, and a third finds whole."""
     path = work_folder(spark, "cache")
-    fields.split_key(cache(spark, d)).select(F.lit("old").alias("made"), *fields.FIELD).write.parquet(path)
+    Committed(spark, path, fields.FIELD).append(fields.split_key(cache(spark, d)).select(F.lit("old").alias("made"), *fields.FIELD))
     todo = base.labels(spark, d).select(*fields.FIELD)
     work = lambda rows: rows.select(F.lit("new").alias("made"), *fields.FIELD)
     tables.resume(todo, path, work, lots=3)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.operators import fields, reports
+from veritrail.sinks.commits import Committed
 
 
 def write_extractions(rows: DataFrame, path: str, mode: str = "append") -> None:
@@ -46,12 +47,12 @@ def label_summary(labels: DataFrame) -> DataFrame:
 
 
 def extraction_report(docs: DataFrame, extracted: DataFrame) -> DataFrame:
-    """One row: reports.extraction_summary and a list of documents with what became of each."""
+    """What became of each document, a row a document, with the sums over all (reports.extraction_summary) beside it."""
     per = docs.join(extracted.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").withColumn("fields_extracted", F.coalesce("n", F.lit(0)))
     done = F.col("parse_error").isNull() & (F.col("fields_extracted") > 0)
-    each = F.struct("doc_id", "domain", done.alias("is_success"), "finish_reason", "generated_tokens", "fields_extracted", F.round("elapsed_seconds", 2).alias("elapsed_seconds"), "parse_error")
-    lists = per.agg(F.array_sort(F.collect_list(each)).alias("per_document"), F.round(F.coalesce(F.sum("elapsed_seconds"), F.lit(0.0)), 1).alias("total_elapsed_seconds"))
-    return reports.extraction_summary(docs, extracted).crossJoin(lists)
+    each = per.select("doc_id", "domain", done.alias("is_success"), "finish_reason", "generated_tokens", "fields_extracted", F.round("elapsed_seconds", 2).alias("elapsed_seconds"), "parse_error")
+    whole = reports.extraction_summary(docs, extracted).crossJoin(docs.agg(F.round(F.coalesce(F.sum("elapsed_seconds"), F.lit(0.0)), 1).alias("total_elapsed_seconds")))
+    return each.crossJoin(F.broadcast(whole))  # one row
 
 
 def write_probes(probes: DataFrame, path: str) -> DataFrame:
@@ -66,9 +67,10 @@ def best_probe(probes: DataFrame, metric: str = "auroc") -> DataFrame:
     return probes.orderBy(score.desc(), "layer").limit(1)
 
 
-def write_results(rows: DataFrame, path: str) -> None:
-    """A report as JSON lines in one file: reports are small."""
-    rows.coalesce(1).write.mode("overwrite").json(path)
+def write_results(rows: DataFrame, path: str, files: int | None = 1) -> None:
+    """A report as JSON lines: in one file, as reports are small; with files=None in as many as there are tasks, for one that has a
+    row a document."""
+    (rows if files is None else rows.coalesce(files)).write.mode("overwrite").json(path)
 
 
 def write_pool(sources: dict[str, dict[str, DataFrame]], dropped: DataFrame, path: str, allow: DataFrame | None = None) -> DataFrame:
@@ -90,20 +92,17 @@ def write_pool(sources: dict[str, dict[str, DataFrame]], dropped: DataFrame, pat
 
 
 def resume(todo: DataFrame, path: str, work: Callable[[DataFrame], DataFrame], lots: int = 1) -> DataFrame:
-    """The cache at path (doc_id, path_str, ...) after work(rows) has been done for what of todo it lacks, appended lot by lot, so that
-    a run which stops goes on from its last lot. Lots are by a hash of the field."""
-    spark = todo.sparkSession
-
-    def held() -> DataFrame | None:
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return spark.read.parquet(path) if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there) else None
-
+    """The cache at path (doc_id, path_str, ...) after work(rows) has been done for what of todo it lacks, committed lot by lot, so that
+    a run which stops goes on from its last lot, and runs side by side keep one result a field (`Committed`). Lots are by a
+    hash of the field. work gives a row a field, with doc_id and path_str. An empty cache of nothing to do is todo's fields."""
+    held = Committed(todo.sparkSession, path, fields.FIELD)
     for lot in range(lots):
-        rows, cache = todo.where(F.pmod(F.xxhash64(*fields.FIELD), F.lit(lots)) == lot), held()
+        seen = held.version()
+        rows, cache = todo.where(F.pmod(F.xxhash64(*fields.FIELD), F.lit(lots)) == lot), held.read(0, seen)
         if cache is not None:
             rows = rows.join(cache.select(*fields.FIELD), fields.FIELD, "left_anti")
-        work(rows).write.mode("append").parquet(path)
-    return held()
+        held.append(work(rows), seen)
+    return held.read()
 
 
 def log_to(path: str | None = None, name: str = "run", level: str = "INFO") -> logging.Logger:

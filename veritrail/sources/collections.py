@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ast
 import json
-import os
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -35,8 +34,18 @@ def checked_domains(known: Iterable[str], asked: Iterable[str] | None) -> list[s
     return sorted(asked) if asked is not None else known
 
 
+def listing(path: str) -> dict[str, bool] | None:
+    """Names in a folder, with whether each is a folder; None if there is no such folder. Of any file system that Spark knows."""
+    spark = SparkSession.active()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+        return None
+    return {s.getPath().getName(): s.isDirectory() for s in fs.listStatus(at)}
+
+
 def checked_path(path: str) -> str:
-    if not os.path.isdir(path):
+    if listing(path) is None:
         raise FileNotFoundError(path)
     return path.rstrip("/")
 
@@ -66,10 +75,10 @@ def first_documents(docs: DataFrame, most: int | None, *order: str) -> DataFrame
 def folder_domains(path: str) -> list[str]:
     """top/sub of every folder that has a schema and a folder of files."""
     out = []
-    for top in sorted(os.listdir(checked_path(path))):
-        for sub in sorted(os.listdir(f"{path}/{top}")) if os.path.isdir(f"{path}/{top}") else ():
-            at = f"{path}/{top}/{sub}"
-            if os.path.isdir(f"{at}/pdf+gold") and any(f.endswith("-schema.json") for f in os.listdir(at)):
+    for top, is_folder in sorted((listing(checked_path(path)) or {}).items()):
+        for sub in sorted(listing(f"{path}/{top}") or {}) if is_folder else ():
+            held = listing(f"{path}/{top}/{sub}") or {}
+            if held.get("pdf+gold") and any(f.endswith("-schema.json") for f in held):
                 out.append(f"{top}/{sub}")
     return out
 
@@ -90,11 +99,10 @@ def folder_schema(path: str, domain: str) -> dict:
     at = f"{path}/{domain}"
     if domain not in folder_domains(path):
         raise KeyError(domain)
-    files = sorted(f for f in os.listdir(at) if f.endswith("-schema.json"))
+    files = sorted(f for f in listing(at) or () if f.endswith("-schema.json"))
     if len(files) != 1:
         raise ValueError(f"{at} has {len(files)} schemas")
-    with open(f"{at}/{files[0]}", encoding="utf-8") as f:
-        return unwrapped_schema(f.read())
+    return unwrapped_schema(SparkSession.active().read.text(f"{at}/{files[0]}", wholetext=True).first()[0])
 
 
 def file_stem(path: Column) -> tuple[Column, Column]:
@@ -208,12 +216,13 @@ def span_documents(records: DataFrame, fields: DataFrame, schemas: DataFrame) ->
 
 def span_table(spark: SparkSession, path: str, fields: DataFrame, schemas: DataFrame, domains: Iterable[str] | None = None, max_documents: int | None = None) -> DataFrame:
     """Documents of {path}/{domain}/{train,val,test}.csv; splits that are missing are left out."""
-    known = [d for d in sorted(os.listdir(checked_path(path))) if os.path.isdir(f"{path}/{d}")]
+    known = [d for d, is_folder in sorted((listing(checked_path(path)) or {}).items()) if is_folder]
     rows = None
     for domain in checked_domains(known, domains):
+        held = listing(f"{path}/{domain}") or {}
         for split in SPLITS:
             at = f"{path}/{domain}/{split}.csv"
-            if os.path.exists(at):
+            if f"{split}.csv" in held:
                 csv = spark.read.csv(at, header=True, multiLine=True, escape='"')
                 for c in ("text", "labels", "original_filename"):
                     csv = csv if c in csv.columns else csv.withColumn(c, F.lit(None).cast("string"))
