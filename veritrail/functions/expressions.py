@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
 from veritrail.functions import values
 from veritrail.functions.values import FUZZY_THRESHOLD, NUMBER_TOLERANCE, PUNCTUATION
@@ -56,7 +59,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def same_fuzzy(g: Column, e: Column, threshold: float = FUZZY_THRESHOLD) -> Column:
-    return either_nothing(g, e, jaccard(tokens(g), tokens(e)) >= threshold)
+    a, b = tokens(g), tokens(e)
+    return either_nothing(g, e, F.size(F.array_intersect(a, b)) >= F.size(F.array_union(a, b)) * F.lit(threshold))
 
 
 def number(c: Column) -> Column:
@@ -92,16 +96,18 @@ def same_number(g: Column, e: Column, tolerance: float = NUMBER_TOLERANCE) -> Co
     return either_nothing(g, e, F.coalesce(both_numbers(g, e, tolerance), F.lit(False)))
 
 
-# The formats of values.DATE_SHAPES as the JVM writes them, by a pattern of the text.
-DATE_PATTERNS = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", ("y-M-d",)),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", ("y/M/d",)),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?Z$", ("y-M-d'T'H:m:s[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]'Z'",)),
-    (r"^[A-Za-z]+\s+\d{1,2},\s+\d{4}$", ("MMMM d, y", "MMM d, y")),
-    (r"^\d{1,2}\s+[A-Za-z]+\s+\d{4}$", ("d MMMM y", "d MMM y")),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("M/d/y", "d/M/y")),
-    (r"^[A-Za-z]+\s+\d{4}$", ("MMMM y",)),
-)
+#: Directives of Python's date formats: as the JVM writes them, and what texts have there.
+DIRECTIVES = {"%Y": ("y", r"\d{4}"), "%m": ("M", r"\d{1,2}"), "%d": ("d", r"\d{1,2}"), "%H": ("H", r"\d{1,2}"), "%M": ("m", r"\d{1,2}"), "%S": ("s", r"\d{1,2}"), ".%f": ("[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", r"\.\d{1,6}"), "%B": ("MMMM", "[A-Za-z]+"), "%b": ("MMM", "[A-Za-z]+"), " ": (" ", r"\s+"), "T": ("'T'", "T"), "Z": ("'Z'", "Z")}
+
+
+def date_patterns() -> dict[str, list[str]]:
+    """values.DATE_FORMATS as the JVM writes them, by the pattern of the texts that a format reads."""
+    out: dict[str, list[str]] = {}
+    for form in values.DATE_FORMATS:
+        parts = re.findall(r"\.%f|%[A-Za-z]|.", form)
+        pattern = "".join(DIRECTIVES[p][1] if p in DIRECTIVES else re.escape(p) for p in parts)
+        out.setdefault(f"^{pattern}$", []).append("".join(DIRECTIVES.get(p, (p,))[0] for p in parts))
+    return out
 
 
 def date(c: Column) -> Column:
@@ -110,7 +116,7 @@ def date(c: Column) -> Column:
     s = strip(c)
     flat = F.initcap(F.regexp_replace(s, r"\s+", " "))  # month names count in any case
     known = F.lit(None).cast("timestamp_ntz")
-    for pattern, forms in reversed(DATE_PATTERNS):
+    for pattern, forms in date_patterns().items():
         text = s if "T" in pattern else flat
         known = F.when(s.rlike(pattern), F.coalesce(*[F.expr("null").cast("timestamp_ntz"), *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in forms]])).otherwise(known)
     return F.when(~F.coalesce(period(s), F.lit(False)), known)
@@ -118,8 +124,6 @@ def date(c: Column) -> Column:
 
 @F.pandas_udf(BooleanType())
 def _same_loose_date(g, e):
-    import pandas as pd
-
     return pd.Series([None if a is None or b is None else values.same_date(a, b) for a, b in zip(g, e)], dtype="object")
 
 
@@ -229,18 +233,70 @@ def renderings(c: Column) -> Column:
     return F.when(n.isNotNull(), F.filter(F.array(c, as_float, whole), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
-def value_in_text(value: Column, text: Column, longest: int = LONG_TEXT, entities: bool = True) -> Column:
-    """struct(present, method): whether a gold value stands in a normal text (by norm_text), and how that was decided.
+def needles(value: Column, longest: int = LONG_TEXT, entities: bool = True) -> Column:
+    """struct(method, needles, least): what to look for in a normal text to find a gold value, how many of the needles have to
+    stand there, and the name of the way.
 
     empty_gold; for values of over `longest` characters too_long_wordmatch, by six in ten of the words of over four
     characters, or too_long_unchecked without such words; numeric, by any rendering; normalized_substr."""
-    raw, v = strip(value), norm_text(strip(value), entities)
-    words = F.filter(F.split(v, " "), lambda w: F.length(w) > 4)
-    hits = F.size(F.filter(words, lambda w: F.contains(text, w)))
-    wordless, forms = F.size(words) == 0, renderings(v)
-    method = F.when(raw.isNull() | (raw == ""), "empty_gold").when(F.length(raw) > longest, F.when(wordless, "too_long_unchecked").otherwise("too_long_wordmatch")).when(v == "", "empty_gold").when(F.size(forms) > 0, "numeric").otherwise("normalized_substr")
-    present = F.when(method == "too_long_wordmatch", hits >= 0.6 * F.size(words)).when(method == "numeric", F.exists(forms, lambda f: F.contains(text, f))).when(method == "normalized_substr", F.contains(text, v)).otherwise(F.lit(False))
-    return F.struct(F.coalesce(present, F.lit(False)).alias("present"), method.alias("method"))
+
+    def made(s):
+        raw, v = s["raw"], s["v"]
+        words, forms = F.filter(F.split(v, " "), lambda w: F.length(w) > 4), renderings(v)
+        return F.struct(
+            F.when(raw.isNull() | (raw == ""), "empty_gold").when(F.length(raw) > longest, F.when(F.size(words) == 0, "too_long_unchecked").otherwise("too_long_wordmatch")).when(v == "", "empty_gold").when(F.size(forms) > 0, "numeric").otherwise("normalized_substr").alias("method"),
+            words.alias("words"), forms.alias("forms"), v.alias("v"),
+        )
+
+    def chosen(s):
+        some = F.when(s["method"] == "too_long_wordmatch", s["words"]).when(s["method"] == "numeric", s["forms"]).when(s["method"] == "normalized_substr", F.array(s["v"])).otherwise(F.array().cast("array<string>"))
+        return F.struct(s["method"].alias("method"), some.alias("needles"), F.when(s["method"] == "too_long_wordmatch", F.size(s["words"]) * 0.6).otherwise(F.lit(1.0)).alias("least"))
+
+    bare = strip(value)
+    return let(let(F.struct(bare.alias("raw"), norm_text(bare, entities).alias("v")), made), chosen)
+
+
+def value_in_text(value: Column, text: Column, longest: int = LONG_TEXT, entities: bool = True) -> Column:
+    """struct(present, method): whether a gold value stands in a normal text (by norm_text), and how that was decided, as `needles`
+    says. Reads the text once a needle: for many values of a document take fields.gold_in_text."""
+    n = needles(value, longest, entities)
+    hits = F.size(F.filter(n["needles"], lambda w: F.contains(text, w)))
+    return F.struct(F.coalesce(hits >= n["least"], F.lit(False)).alias("present"), n["method"].alias("method"))
+
+
+def searchable(text: str) -> str:
+    """norm_text of one text, in Python."""
+    import html
+
+    t = (html.unescape(text) if "&" in text else text).lower()
+    if "\u00ad" in t:
+        t = re.sub("\u00ad\\s*", "", t)
+    for d in DASHES:
+        t = t.replace(d, "-")
+    return " ".join(t.replace(",", "").replace("$", "").split())
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def standing(text, needles):
+    """How many of each list of needles stand in a text (null: null): one automaton of all its needles reads it once."""
+    import ahocorasick
+
+    def count(t, lists):
+        if t is None:
+            return None
+        wanted = {n for some in lists for n in some}
+        tree, found = ahocorasick.Automaton(), set()
+        for n in wanted:
+            tree.add_word(n, n)
+        if wanted:
+            tree.make_automaton()
+            for _, n in tree.iter(searchable(t)):
+                found.add(n)
+                if len(found) == len(wanted):
+                    break
+        return [sum(n in found for n in some) for some in lists]
+
+    return pd.Series([count(t, lists) for t, lists in zip(text, needles)], dtype=object)
 
 
 def value_findable(value: Column, text: Column, longest: int = LONG_TEXT, entities: bool = True) -> Column:

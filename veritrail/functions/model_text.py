@@ -10,7 +10,9 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+
+from veritrail.functions.values import compare
 
 _thinking = re.compile(r"(?s)<think>.*?</think>")
 _fenced = re.compile(r"(?is)```(?:json)?\s*(\{.*?\})\s*```")
@@ -38,13 +40,17 @@ def strip_to_json(text: str) -> str:
     return fence[1].strip() if fence else (balanced(text, brace) if brace >= 0 else None) or text
 
 
+# Why there is no tree.
+NO_TEXT, NO_JSON = "model produced no text (None)", "no JSON content found in output"
+
+
 def parse_output(text: str | None) -> tuple[object, str | None, str]:
     """(tree, error, candidate): error says why there is no tree."""
     if text is None:
-        return None, "model produced no text (None)", ""
+        return None, NO_TEXT, ""
     candidate = strip_to_json(text)
     if not candidate.strip():
-        return None, "no JSON content found in output", candidate
+        return None, NO_JSON, candidate
     try:
         return json.loads(candidate), None, candidate
     except ValueError as e:
@@ -231,6 +237,34 @@ def schema_node(schema: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or p is None else json.dumps(schema_at(trees[t], p), ensure_ascii=False) for t, p in zip(schema, path)], dtype="object")
 
 
+@F.pandas_udf(ArrayType(StructType().add("same", IntegerType()).add("of", IntegerType())))
+def agreeing(samples: pd.Series, paths: pd.Series, values: pd.Series) -> pd.Series:
+    """For each of a document's values: in how many of its samples that are objects the path has the same value, and of how many."""
+    verdicts: dict = {}
+
+    def same(value, other) -> bool:
+        if isinstance(other, (dict, list)):
+            return compare(value, other, "auto", number_tolerance=0.0)
+        pair = value, type(other), other
+        if pair not in verdicts:
+            if len(verdicts) > 100_000:
+                verdicts.clear()
+            verdicts[pair] = compare(value, other, "auto", number_tolerance=0.0)
+        return verdicts[pair]
+
+    def count(texts, some, held):
+        trees = []
+        for t in () if texts is None else texts:
+            try:
+                trees.append(json.loads((t or "").strip()))
+            except ValueError:
+                pass
+        trees = [t for t in trees if isinstance(t, dict)]
+        return [(sum(same(v, at_path(t, p)) for t in trees), len(trees)) for p, v in zip(some, held)]
+
+    return pd.Series([count(*row) for row in zip(samples, paths, values)], dtype=object)
+
+
 @F.pandas_udf(texts("system", "user"))
 def correction_prompts(document: pd.Series, tree: pd.Series, schema: pd.Series, path: pd.Series) -> pd.DataFrame:
     schemas = {t: json.loads(t) for t in schema.unique()}

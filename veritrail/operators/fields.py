@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions import expressions as X
+from veritrail.functions import model_text as T
 
 FIELD = ["doc_id", "path_str"]
 
@@ -173,23 +174,42 @@ def keys(fields: DataFrame) -> DataFrame:
     return rows.select(*FIELD, "key", F.col("gold")[F.col("key")].alias("gold"), F.col("extracted")[F.col("key")].alias("extracted"))
 
 
+def gold_in_texts(fields: DataFrame, texts: dict[str, DataFrame], longest: int = X.LONG_TEXT, entities: bool = True) -> DataFrame:
+    """fields (doc_id, ..., gold_value) with present_<name> and method_<name> for each of several texts (doc_id, text) of a document:
+    whether gold stands there. Documents without text, and fields without document, say doc_text_unavailable.
+
+    What to look for is worked out once, field by field; a document's fields then meet a text as one row, and an automaton of
+    all their needles reads the text once. Texts go nowhere else."""
+    row = F.struct(*[F.col(f"`{c}`") for c in fields.columns]).alias("row")
+    wanted = fields.select(row, "doc_id", X.needles(F.col("gold_value"), longest, entities).alias("n"))
+    met = wanted.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct("row", "n")).alias("values"))  # one document's
+    for name, some in texts.items():
+        some = some.where("text is not null and text <> '' and doc_id is not null").select("doc_id", F.col("text").alias("_text"))
+        hits = F.coalesce(X.standing(F.col("_text"), F.transform("values", lambda v: v["n"]["needles"])), F.array().cast("array<int>"))
+        met = met.join(some, "doc_id", "left").withColumn(f"hits_{name}", hits).drop("_text")
+    hits = [f"hits_{name}" for name in texts]
+    met = met.select(F.explode(F.arrays_zip("values", *hits)).alias("x")).select("x.values.row", "x.values.n", *[f"x.{h}" for h in hits])
+    out = met.unionByName(wanted.where("doc_id is null").select("row", "n", *[F.lit(None).cast("int").alias(h) for h in hits]))
+    found = [c for name in texts for c in ((F.col(f"hits_{name}").isNotNull() & (F.col(f"hits_{name}") >= F.col("n.least"))).alias(f"present_{name}"), F.when(F.col(f"hits_{name}").isNull(), "doc_text_unavailable").otherwise(F.col("n.method")).alias(f"method_{name}"))]
+    return out.select(*[F.col(f"row.`{c}`") for c in fields.columns], *found)
+
+
 def gold_in_text(fields: DataFrame, texts: DataFrame, longest: int = X.LONG_TEXT, entities: bool = True) -> DataFrame:
-    """fields (doc_id, ..., gold_value) with present and method: whether gold stands in its document's text. Each text is
-    normalised once; documents without text say doc_text_unavailable."""
-    normal = texts.where("text is not null and text <> ''").select("doc_id", X.norm_text(F.col("text"), entities).alias("_text"))
-    rows = fields.join(normal, "doc_id", "left")
-    found = X.value_in_text(F.col("gold_value"), F.col("_text"), longest, entities)
-    none = F.col("_text").isNull()
-    return rows.withColumn("present", ~none & F.coalesce(found["present"], F.lit(False))).withColumn("method", F.when(none, "doc_text_unavailable").otherwise(found["method"])).drop("_text")
+    """fields (doc_id, ..., gold_value) with present and method, as gold_in_texts has them for one text."""
+    return gold_in_texts(fields, {"": texts}, longest, entities).withColumnsRenamed({"present_": "present", "method_": "method"})
 
 
 def agreement(fields: DataFrame, samples: DataFrame) -> DataFrame:
-    """fields (doc_id, path_str, value) with agreement: the share of their document's samples(doc_id, path_str, value; null
-    where a sample lacks the field) whose value is the same; NaN without samples."""
-    other = samples.select(*FIELD, F.col("value").alias("_v"), F.lit(True).alias("_there"))
-    same = X.same_auto(F.col("value"), F.col("_v"), 0.0).cast("double")
-    rows = fields.join(other, FIELD, "left").select(*FIELD, "_there", F.when(F.col("_there"), same).alias("_same"))
-    return rows.groupBy(*FIELD).agg(F.coalesce(F.avg("_same"), F.lit(float("nan"))).alias("agreement"), F.count("_there").alias("n_samples"))
+    """fields (doc_id, path_str, value) with agreement, the share of their document's samples (doc_id, text: what a model wrote) whose
+    value at the path is the same, and n_samples; NaN without samples. A sample is plain JSON of an object; others, fenced
+    ones too, are none. A sample is parsed once, whatever the number of fields; fields without document have no samples."""
+    each = fields.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct("path_str", "value")).alias("f"))  # one document's
+    texts = samples.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))  # its samples, which are few
+    both = each.join(texts, "doc_id", "left").select("doc_id", "f", T.agreeing("texts", F.transform("f", lambda x: x["path_str"]), F.transform("f", lambda x: x["value"])).alias("a"))
+    rows = both.select("doc_id", F.explode(F.arrays_zip("f", "a")).alias("x")).select("doc_id", "x.f.path_str", "x.f.value", "x.a.same", "x.a.of")
+    lost = fields.where("doc_id is null").select("doc_id", "path_str", "value", F.lit(0).alias("same"), F.lit(0).alias("of"))
+    share = F.when(F.col("of") > 0, F.col("same") / F.col("of")).otherwise(F.lit(float("nan")))
+    return rows.unionByName(lost).select("doc_id", "path_str", "value", share.alias("agreement"), F.col("of").cast("long").alias("n_samples"))
 
 
 def last_label(labels: DataFrame, order: str = "pos") -> DataFrame:

@@ -10,6 +10,7 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from veritrail.operators.ranges import spread
 from veritrail.operators.trees import JSON_TYPES, leaves
 
 LOCATION = "pos int, path_str string, kind string, value string, is_empty boolean, start int, past int, char_start int, char_end int"
@@ -63,4 +64,4 @@ def locate_fields(outputs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", *names])
 
     kind = outputs.schema["doc_id"].dataType.simpleString()
-    return outputs.select("doc_id", "parsed", "candidate", "tokens").mapInPandas(run, f"doc_id {kind}, {LOCATION}")
+    return spread(outputs.select("doc_id", "parsed", "candidate", "tokens")).mapInPandas(run, f"doc_id {kind}, {LOCATION}")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions import expressions as X
-from veritrail.operators.fields import gold_in_text
+from veritrail.operators.fields import gold_in_text, gold_in_texts
 
 ERRORS = {"hallucination": "n_hallucinations", "omission": "n_omissions", "value_mismatch": "n_value_mismatches", "type_mismatch": "n_type_mismatches"}
 
@@ -43,6 +43,12 @@ def fixability(labels: DataFrame, texts: DataFrame, longest: int = X.LONG_TEXT,
     return found.withColumnRenamed("present", "gold_in_text")
 
 
+def findable(fields: DataFrame, texts: DataFrame, longest: int = X.LONG_TEXT, entities: bool = True) -> DataFrame:
+    """As gold_in_text; no_text where a document has none."""
+    found = gold_in_text(fields, texts, longest, entities)
+    return found.withColumn("method", F.when(F.col("method") == "doc_text_unavailable", "no_text").otherwise(F.col("method")))
+
+
 def fixability_counts(found: DataFrame) -> DataFrame:
     """(method, n, n_fixable), most frequent first."""
     return found.groupBy("method").agg(F.count("*").alias("n"), F.count_if("gold_in_text").alias("n_fixable")).orderBy(F.desc("n"), "method")
@@ -58,10 +64,10 @@ def coverage(fields: DataFrame, texts: DataFrame, longest: int = X.LONG_TEXT, en
 
 def causes(labels: DataFrame, first: DataFrame, second: DataFrame, longest: int = X.LONG_TEXT, entities: bool = True) -> DataFrame:
     """Errors with methods and presence under two parsers' texts, and the bucket of their cause."""
-    errors = labels.where("is_error = 1")
-    for n, texts in (("first", first), ("second", second)):
-        errors = gold_in_text(errors, texts, longest, entities).withColumn("method", F.when(F.col("method") == "doc_text_unavailable", "no_text").otherwise(F.col("method")))
-        errors = errors.withColumnsRenamed({"present": f"in_{n}", "method": f"{n}_method"})
+    errors = gold_in_texts(labels.where("is_error = 1"), {"first": first, "second": second}, longest, entities)
+    named = lambda n: F.when(F.col(n) == "doc_text_unavailable", "no_text").otherwise(F.col(n))
+    errors = errors.withColumns({f"method_{n}": named(f"method_{n}") for n in ("first", "second")})
+    errors = errors.withColumnsRenamed({f"{a}_{n}": f"in_{n}" if a == "present" else f"{n}_method" for n in ("first", "second") for a in ("present", "method")})
     return errors.withColumn("bucket", X.classify(F.col("gold_value"), F.col("extracted_value"), F.col("in_first"), F.col("in_second")))
 
 

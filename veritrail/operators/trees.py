@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from veritrail.functions.values import FUZZY_THRESHOLD, NUMBER_TOLERANCE, compare, folded
+from veritrail.operators.ranges import spread
 
 #: Schema keys that choose a strategy.
 EVALUATION = {
@@ -203,7 +204,7 @@ def walked(pairs: DataFrame, schema, rows, fuzzy_threshold: float, number_tolera
             columns = list(zip(*out)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(who, pa.int64())), *[pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema)]], ["doc_id", *schema.names])
 
-    some = pairs.select("doc_id", "schema", "gold", "extracted")
+    some = spread(pairs.select("doc_id", "schema", "gold", "extracted"))
     whole = some.select("doc_id").schema
     for f in schema:
         whole = whole.add(f)
@@ -242,7 +243,7 @@ def tree_leaves(docs: DataFrame, column: str) -> DataFrame:
             pos, path, kind, value = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(who, pa.int64())), pa.array(pos, pa.int32()), *[pa.array(c, pa.string()) for c in (path, kind, value)]], ["doc_id", "pos", "path_str", "kind", "value"])
 
-    some = docs.select("doc_id", column)
+    some = spread(docs.select("doc_id", column))
     return some.mapInArrow(run, some.select("doc_id").schema.add("pos", "integer").add("path_str", "string").add("kind", "string").add("value", "string"))
 
 
@@ -253,4 +254,4 @@ def key_path_arrays(docs: DataFrame, column: str, schema: bool = False) -> DataF
     def paths(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sorted((schema_paths if schema else key_paths)(parsed(t))))
 
-    return docs.select("doc_id", paths(column).alias("keys"))
+    return spread(docs.select("doc_id", column)).select("doc_id", paths(column).alias("keys"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritrail.operators import audit
+from veritrail.operators.spans import starts
 from veritrail.plans.base import query, rounded, table
 
 
@@ -14,17 +15,17 @@ def docs(spark, d):
 
 
 def spans(spark, d):
-    """The first words of every document but each seventh, labelled by their lengths; a ninth of the places are off by one."""
-    words = table(spark, d, "documents").where("doc_id % 7 <> 0").select("doc_id", F.slice(F.split("text", " "), 1, 12).alias("w"))
-    each = words.select("doc_id", "w", F.posexplode("w").alias("pos", "text"))
-    start = F.aggregate(F.slice("w", F.lit(1), F.col("pos")), F.lit(0), lambda n, x: n + F.length(x) + 1) + F.when((F.col("doc_id") + F.col("pos")) % 9 == 0, 1).otherwise(0)
+    """Every word of every document but each seventh, labelled by its length; a ninth of the places are off by one."""
+    words = table(spark, d, "documents").where("doc_id % 7 <> 0").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
+    each = starts(words, ["doc_id"], "pos")
+    start = F.col("start") + F.col("pos") + F.when((F.col("doc_id") + F.col("pos")) % 9 == 0, 1).otherwise(0)
     label = F.element_at(F.array(*map(F.lit, ["issue_date", "gross_amount", "party", "note"])), (F.least(F.length("text"), F.lit(11)) / 3 + 1).cast("int"))
-    return each.select("doc_id", "pos", label.alias("label"), start.alias("start"), (start + F.length("text")).alias("end"), "text")
+    return each.select("doc_id", "pos", label.alias("label"), start.cast("int").alias("start"), (start + F.length("text")).cast("int").alias("end"), "text")
 
 
 SPANS = """dd as (select doc_id, (['train', 'val', 'test'])[doc_id % 3 + 1] as split, text from documents),
-wd as (select doc_id, string_split(text, ' ')[1:12] as w from documents where doc_id % 7 <> 0), we as (select doc_id, w, unnest(w) as text, generate_subscripts(w, 1) - 1 as pos from wd),
-sp as (select doc_id, pos, (['issue_date', 'gross_amount', 'party', 'note'])[least(length(text), 11) // 3 + 1] as label, coalesce(list_sum(list_transform(w[1:pos], lambda x: length(x) + 1)), 0)::int + case when (doc_id + pos) % 9 = 0 then 1 else 0 end as start, text from we)"""
+wd as (select doc_id, string_split(text, ' ') as w from documents where doc_id % 7 <> 0), we as (select doc_id, unnest(w) as text, generate_subscripts(w, 1) - 1 as pos from wd),
+sp as (select doc_id, pos, (['issue_date', 'gross_amount', 'party', 'note'])[least(length(text), 11) // 3 + 1] as label, (coalesce(sum(length(text) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) + case when (doc_id + pos) % 9 = 0 then 1 else 0 end)::int as start, text from we)"""
 
 
 @query(f"with {SPANS} select split, count(*) as n from dd group by rollup (split)")

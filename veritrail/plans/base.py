@@ -105,8 +105,24 @@ def gold_values(spark, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("lang").alias("domain"), F.concat(F.lit("p"), "j").alias("path_str"), gold.alias("gold_value"), F.when(i % 3 == 0, F.concat(gold, F.lit("."))).otherwise(F.concat(F.lit("x"), j)).alias("extracted_value"), ((i + j) % 2).cast("int").alias("is_error"))
 
 
+#: How a parser that writes markup spells these; the ampersand first.
+ENTITIES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")]
+
+
 def texts(spark, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("doc_id % 13 <> 0").select("doc_id", "text")
+    """Whole documents as a parser writes them that spells marks as entities; every thirteenth has no text."""
+    text = F.col("text")
+    for mark, entity in ENTITIES:
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return table(spark, d, "documents").where("doc_id % 13 <> 0").select("doc_id", text.alias("text"))
+
+
+def entities_sql(c: str, decode: bool) -> str:
+    """c with its marks spelt as entities, or with these decoded."""
+    for mark, entity in reversed(ENTITIES) if decode else ENTITIES:
+        a, b = (x.replace("'", "''") for x in ((entity, mark) if decode else (mark, entity)))
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
 
 
 def norm_sql(c: str) -> str:
@@ -117,8 +133,9 @@ NUMERAL = "'[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?'"
 GOLD = f"""gv as (select doc_id, lang as domain, 'p' || j as path_str, case j when 0 then substr(d.text, 1, 20) when 1 then n_chars::varchar when 2 then substr(b.text, 1, 200) when 3 then case when doc_id % 2 = 0 then null else '  ' end else 'zzz qqq' end as gold_value, j, (doc_id + j) % 2 as is_error
   from documents d left join benchmark b on b.item_id = d.doc_id % 40, range(0, 5) r(j)),
 gl as (select * exclude (j), case when doc_id % 3 = 0 then gold_value || '.' else 'x' || j end as extracted_value from gv),
-tx as (select doc_id, {norm_sql("text")} as t from documents where doc_id % 13 <> 0 and text is not null and text <> ''),
-gn as (select gl.*, t, trim(gold_value) as raw, {norm_sql("gold_value")} as v from gl left join tx using (doc_id)),
+pt as (select doc_id, {entities_sql("text", False)} as text from documents where doc_id % 13 <> 0 and text is not null and text <> ''),
+tx as (select doc_id, {norm_sql(entities_sql("text", True))} as t from pt),
+gn as (select gl.*, t, trim(gold_value) as raw, {norm_sql(entities_sql("gold_value", True))} as v from gl left join tx using (doc_id)),
 gw as (select *, list_filter(string_split(v, ' '), lambda w: length(w) > 4) as words from gn),
 gm as (select *, case when t is null then 'doc_text_unavailable' when raw is null or raw = '' then 'empty_gold' when length(raw) > 80 then case when len(words) = 0 then 'too_long_unchecked' else 'too_long_wordmatch' end
   when v = '' then 'empty_gold' when regexp_full_match(v, {NUMERAL}) then 'numeric' else 'normalized_substr' end as method from gw),

@@ -211,20 +211,26 @@ ORDERS = {"probe": "score desc, doc_id, path_str", "logprob": "-score / 7, doc_i
 CURVES = " union all ".join(f"select domain, '{n}' as strategy, row_number() over w::int as cost, sum(delta) over w::bigint as net from ow window w as (partition by domain order by {o} rows unbounded preceding) union all select distinct domain, '{n}', 0, 0 from ow" for n, o in ORDERS.items())
 
 
-def curves(spark, d):
+def curves(spark, d, group=("domain",), **which):
     rows = regenerated(spark, d).withColumn("probe_score", F.col("score")).withColumn("min_logprob", -F.col("score") / 7)
-    return policies.curves(rows, ["domain"])
+    return policies.curves(rows, list(group), **which)
 
 
 @query(OUTCOME + f" select * from ({CURVES})")
 def pol_curves(spark, d):
-    """A curve a domain; where labels are one collection the group is empty and its fields are sorted in one task."""
+    """A curve a domain."""
     return curves(spark, d)
 
 
+@query(OUTCOME + f" select * exclude (domain) from ({CURVES.replace('partition by domain', '').replace('distinct domain', 'distinct null as domain')})")
+def pol_curves_pooled(spark, d):
+    """One curve over all fields of all domains, by ranges of the order."""
+    return curves(spark, d, group=())
+
+
 def one_curve(name: str):
     def run(spark, d):
-        return curves(spark, d).where(F.col("strategy") == {"win_random": "random", "win_oracle": "oracle"}[name]).drop("strategy")
+        return curves(spark, d, which=(name[4:],)).drop("strategy")
 
     run.__name__ = name
     return query(OUTCOME + f" select domain, cost, net from ({CURVES}) where strategy = '{name[4:]}'")(run)
@@ -282,7 +288,7 @@ def join_keys(spark, d):
 
 
 def found(spark, d):
-    return fields.gold_in_text(base.gold_values(spark, d), base.texts(spark, d), entities=False)
+    return fields.gold_in_text(base.gold_values(spark, d), base.texts(spark, d))
 
 
 @query(f"with {GOLD} select doc_id, path_str, present, method from gf")
@@ -298,24 +304,27 @@ def fn_value_in_text(spark, d):
 
 @query(f"with {GOLD} select doc_id, path_str, present, case method when 'doc_text_unavailable' then 'no_text' else method end as method from gf")
 def pol_findable(spark, d):
-    rows = base.gold_values(spark, d).join(base.texts(spark, d).where("text <> ''").select("doc_id", X.norm_text(F.col("text"), False).alias("t")), "doc_id", "left")
-    return rows.select("doc_id", "path_str", X.value_findable(F.col("gold_value"), F.col("t"), entities=False).alias("r")).select("doc_id", "path_str", "r.*")
+    """Under the names of the survey of causes, where a document without text has no_text."""
+    return reports.findable(base.gold_values(spark, d), base.texts(spark, d)).select("doc_id", "path_str", "present", "method")
 
 
 @query(f"with {GOLD} select doc_id, path_str, present as gold_in_text, method from gf where is_error = 1")
 def pol_fixable(spark, d):
-    return reports.fixability(base.gold_values(spark, d), base.texts(spark, d), entities=False).select("doc_id", "path_str", "gold_in_text", "method")
+    return reports.fixability(base.gold_values(spark, d), base.texts(spark, d)).select("doc_id", "path_str", "gold_in_text", "method")
 
 
 @query(f"with {GOLD} select method, count(*) as n, count(*) filter (present) as n_fixable from gf where is_error = 1 group by method")
 def agg_fixability(spark, d):
-    return reports.fixability_counts(reports.fixability(base.gold_values(spark, d), base.texts(spark, d), entities=False))
+    return reports.fixability_counts(reports.fixability(base.gold_values(spark, d), base.texts(spark, d)))
 
 
 @query(f"with {GOLD}, c as (select method, count(*) as n, count(*) filter (present) as n_fixable from gf where is_error = 1 group by method) select row_number() over (order by n desc, method)::int as place, method from c")
 def srt_method(spark, d):
-    rows = reports.fixability_counts(reports.fixability(base.gold_values(spark, d), base.texts(spark, d), entities=False))
-    return spark.createDataFrame([(i + 1, r["method"]) for i, r in enumerate(rows.collect())], "place int, method string")  # one row a method
+    """The order of the counts, as a column; the methods are seven at most."""
+    from pyspark.sql import Window
+
+    counts = reports.fixability_counts(reports.fixability(base.gold_values(spark, d), base.texts(spark, d)))
+    return counts.select(F.row_number().over(Window.orderBy(F.desc("n"), "method")).alias("place"), "method")
 
 
 COVERAGE = "count(*) as total, count(*) filter (method <> 'empty_gold') as n_non_empty, count(*) filter (present) as in_text, round(count(*) filter (present)::double / count(*), 9) as rate"
@@ -323,12 +332,12 @@ COVERAGE = "count(*) as total, count(*) filter (method <> 'empty_gold') as n_non
 
 @query(f"with {GOLD} select domain, method, {COVERAGE} from gf group by grouping sets ((domain), (method), ())")
 def agg_coverage(spark, d):
-    return rounded(reports.coverage(base.gold_values(spark, d), base.texts(spark, d), entities=False), "rate")
+    return rounded(reports.coverage(base.gold_values(spark, d), base.texts(spark, d)), "rate")
 
 
 @query(f"with {GOLD} select domain, {COVERAGE} from gf group by domain")
 def pol_gold_cov(spark, d):
-    return rounded(reports.coverage(base.gold_values(spark, d), base.texts(spark, d), entities=False).where("domain is not null and method is null").drop("method"), "rate")
+    return rounded(reports.coverage(base.gold_values(spark, d), base.texts(spark, d)).where("domain is not null and method is null").drop("method"), "rate")
 
 
 CAUSES = f"""{GOLD}, t2 as (select doc_id, t from tx where doc_id % 4 > 0), g2 as (select gl.*, tx.t as t1, t2.t as t2, trim(gold_value) as raw from gl left join tx using (doc_id) left join t2 using (doc_id) where is_error = 1),
@@ -338,7 +347,7 @@ cz as (select g2.doc_id, g2.path_str, gf.present as in_first, gf.present and g2.
 
 def caused(spark, d):
     first = base.texts(spark, d)
-    return reports.causes(base.gold_values(spark, d), first, first.where("doc_id % 4 > 0"), entities=False)
+    return reports.causes(base.gold_values(spark, d), first, first.where("doc_id % 4 > 0"))
 
 
 @query(f"with {CAUSES} select * from cz")
@@ -351,20 +360,27 @@ def agg_buckets(spark, d):
     return reports.bucket_counts(caused(spark, d))
 
 
-SAMPLES = """fl as (select o_orderkey as doc_id, 'a.b' as path_str, o_orderpriority as value from orders), sa as (select o_orderkey as doc_id, 'a.b' as path_str, case j when 0 then ' ' || lower(o_orderpriority) when 1 then null else o_orderstatus end as value from orders, range(0, 3) r(j) where o_orderkey % 5 > 0),
-ag as (select fl.doc_id, fl.path_str, coalesce(avg(case when sa.doc_id is not null then coalesce(lower(trim(sa.value)) = lower(trim(fl.value)), false)::int::double end), 'nan'::double) as agreement, count(sa.doc_id) as n_samples from fl left join sa on sa.doc_id = fl.doc_id group by fl.doc_id, fl.path_str)"""
+SAMPLES = """fo as (select *, o_orderkey % 5 > 0 and o_orderkey % 11 > 0 as has from orders), fl as (select o_orderkey as doc_id, has, 'a.b' as path_str, [lower(o_orderpriority) = lower(trim(o_orderpriority)), false, lower(o_orderstatus) = lower(trim(o_orderpriority))] as same from fo
+union all select o_orderkey, has, 'c.1', [true, false, false] from fo union all select o_orderkey, has, 'd', [true, true, true] from fo),
+ag as (select doc_id, path_str, case when has then list_avg(list_transform(same, lambda x: x::int)) else 'nan'::double end as agreement, case when has then 3 else 0 end::bigint as n_samples from fl)"""
 
 
 def agreed(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("a.b").alias("path_str"), "o_orderpriority", "o_orderstatus")
-    each = F.array(F.concat(F.lit(" "), F.lower("o_orderpriority")), F.lit(None).cast("string"), F.col("o_orderstatus"))
-    samples = o.where("doc_id % 5 > 0").select("doc_id", "path_str", F.explode(each).alias("value"))
-    return fields.agreement(o.select("doc_id", "path_str", F.col("o_orderpriority").alias("value")), samples)
+    """Whole samples, three of them objects, one in a fence, one cut off, one a list; every eleventh order has only the latter."""
+    o = table(spark, d, "orders")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    key, priority, status, who = (F.col(c) for c in ("o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey"))
+    good = [text('{"a": {"b": " ', F.lower(priority), '"}, "c": [0, ', who, '], "d": ', key, ".0}"), text('{"a": {}, "c": [1, ', who + 1, '], "d": "', key, '"}'), text(' {"d": ', key, ', "a": {"b": "', status, '"}, "c": [2]}\n')]
+    bad = [text('```json\n{"a": {"b": "', priority, '"}}\n```'), F.lit('{"a": {"b": '), text('[{"a": {"b": "', priority, '"}}]')]
+    texts = F.when(key % 11 == 0, F.array(*bad)).otherwise(F.array(good[0], bad[0], good[1], *bad[1:], good[2]))
+    samples = o.where("o_orderkey % 5 > 0").select(key.alias("doc_id"), F.explode(texts).alias("text"))
+    fields_ = F.array(*[F.struct(F.lit(p).alias("path_str"), v.cast("string").alias("value")) for p, v in (("a.b", priority), ("c.1", who), ("d", key))])
+    return fields.agreement(o.select(key.alias("doc_id"), F.explode(fields_).alias("f")).select("doc_id", "f.*"), samples)
 
 
 @query(f"with {SAMPLES} select doc_id, path_str, round(agreement, 9) as agreement, n_samples from ag")
 def join_selfcons(spark, d):
-    return rounded(agreed(spark, d), "agreement")
+    return rounded(agreed(spark, d).drop("value"), "agreement")
 
 
 @query(f"with {SAMPLES} select n_samples, count(*) as n, round(avg(agreement), 9) as mean from ag group by n_samples")
@@ -567,7 +583,7 @@ def stat_baseline(spark, d):
     """A score that is low for errors."""
     from veritrail.operators import metrics
 
-    return rounded(metrics.baseline(base.labels(spark, d).withColumnRenamed("is_error", "y"), ["domain"], "score", False).drop("ap"), "auroc")
+    return rounded(metrics.baseline(base.labels(spark, d).withColumnRenamed("is_error", "y"), ["domain"], "score", False, spread=True).drop("ap"), "auroc")
 
 
 @query(LAB + BASELINE.format(_rank_sql("")))
@@ -575,14 +591,14 @@ def win_rank_auroc(spark, d):
     """By mid-ranks in SQL, by sums below each score here."""
     from veritrail.operators import metrics
 
-    return rounded(metrics.ranking(base.labels(spark, d), ["domain"], "score", "is_error").drop("ap"), "auroc")
+    return rounded(metrics.ranking(base.labels(spark, d), ["domain"], "score", "is_error", spread=True).drop("ap"), "auroc")
 
 
 @query(LAB + ", g as (select domain, score as s, sum(is_error) as pos, count(*) as n from lab group by all), w as (select *, sum(pos) over o as tp, sum(n) over o as seen, sum(pos) over (partition by domain) as p from g window o as (partition by domain order by s desc)) select domain, round(sum(pos * tp::double / seen) / max(p), 9) as ap from w group by domain")
 def stat_ap(spark, d):
     from veritrail.operators import metrics
 
-    return rounded(metrics.ranking(base.labels(spark, d), ["domain"], "score", "is_error").select("domain", "ap"), "ap")
+    return rounded(metrics.ranking(base.labels(spark, d), ["domain"], "score", "is_error", spread=True).select("domain", "ap"), "ap")
 
 
 @query(LAB + "select domain, round(avg(((score / 100 > 0.5)::int = is_error)::int::double), 9) as accuracy from lab group by domain")

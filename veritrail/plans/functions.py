@@ -8,22 +8,37 @@ from veritrail.functions import expressions as X
 from veritrail.functions import model_text as M
 from veritrail.plans.base import norm_sql, query, rounded, table
 
-#: Pairs of values with what strategies make of them: types, blanks, formats, periods, links.
-PAIRS = [
-    ("north sea oil", "North-Sea Oil."), ("Oslo", " oslo\t"), ("Oslo", "Bergen"), ("", ""), ("", "x"), ("x", ""), ("$ 1,250", "1250"), ("1_000", "1000"), ("250", "252.5"), ("250", "253"), ("0", "0.009"), ("0", "0.02"),
-    ("nan", "nan"), ("3e2", "300"), ("12d", "12"), ("inf", "inf"), ("1987-05-09", "May 9, 1987"), ("9 May 1987", "05/09/1987"), ("25/12/1999", "1999-12-25"), ("2010-06-01", "2010/6/1"), ("2010-06-01", "2010-06-02"), ("Q1 2020", "Q2 2020"), ("H1 FY24", "h1 fy24"),
-    ("true", "True"), ("https://www.a.no/x/", "http://a.no/x"), ("[site](http://a.no)", "SITE"), ("mailto:Me@A.no", "[me@a.no](mailto:me@a.no)"), ("me@a.no", "you@a.no"), ("Autumn 1987", "AUTUMN 1987"), ("Winter 1987", "Autumn 1987"), ("usd", "US Dollars"), ('"quoted text"', "quoted text"), ("a long clause", "the long clause"), ("a long clause.", "A long  clause of it"),
+#: Kinds of pairs that orders make, in SQL: blanks and case, numbers as people write them, dates in several formats, periods, links,
+#: quotes, clauses, synonyms, and what differs.
+KINDS_SQL = [
+    ("pr", "'  ' || lower(pr) || chr(9)"), ("price", "'$ ' || price"), ("price", "(o_totalprice::decimal(15,2) + 1)::varchar"), ("price", "(o_totalprice::decimal(15,2) * 2)::decimal(16,2)::varchar"),
+    ("iso", "strftime(od, '%B %-d, %Y')"), ("strftime(od, '%-d %b %Y')", "strftime(od, '%m/%d/%Y')"), ("iso", "strftime(od + interval 1 day, '%Y-%m-%d')"), ("'Q' || quarter(od) || ' ' || year(od)", "'Q' || (quarter(od) % 4 + 1) || ' ' || year(od)"),
+    ("''", "pr"), ("cust", "cust || '_000'"), ("'http://www.' || lower(st) || '.no/' || cust || '/'", "'https://' || lower(st) || '.no/' || cust"), ("'\"' || pr || '\"'", "pr"),
+    ("pr || ' clause'", "'the ' || pr || ' clause'"), ("case when st = 'O' then 'usd' else pr end", "'US Dollars'"), ("cust", "cust || '.0'"), ("st", "pr"),
 ]
 
 
 def cases(spark, d):
-    """Every pair for every fiftieth part number, which varies the numbers' texts."""
-    pairs = spark.createDataFrame([(i, g, e) for i, (g, e) in enumerate(PAIRS)], "i int, g string, e string")
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).crossJoin(F.broadcast(pairs))
-
-
-_q = lambda t: t.replace("'", "''")
-CASES = "ca as (select n_nationkey as k, i::int as i, g, e from nation, (values " + ", ".join(f"({i}, '{_q(g)}', '{_q(e)}')" for i, (g, e) in enumerate(PAIRS)) + ") v(i, g, e))"
+    """Orders as pairs of values, of sixteen kinds."""
+    o = table(spark, d, "orders")
+    pr, st, cust, od = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_custkey").cast("string"), F.col("o_orderdate")
+    money = F.col("o_totalprice").cast("decimal(15,2)")
+    price, iso, text = money.cast("string"), F.date_format(od, "yyyy-MM-dd"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    number = lambda c: c.cast("string")
+    kinds = [
+        (pr, text("  ", F.lower(pr), "\t")), (price, text("$ ", price)), (price, number((money + 1).cast("decimal(15,2)"))), (price, number((money * 2).cast("decimal(16,2)"))),
+        (iso, F.date_format(od, "MMMM d, yyyy")), (F.date_format(od, "d MMM yyyy"), F.date_format(od, "MM/dd/yyyy")), (iso, F.date_format(F.date_add(od, 1), "yyyy-MM-dd")), (text("Q", number(F.quarter(od)), " ", number(F.year(od))), text("Q", number(F.quarter(od) % 4 + 1), " ", number(F.year(od)))),
+        (F.lit(""), pr), (cust, text(cust, "_000")), (text("http://www.", F.lower(st), ".no/", cust, "/"), text("https://", F.lower(st), ".no/", cust)), (text('"', pr, '"'), pr),
+        (text(pr, " clause"), text("the ", pr, " clause")), (F.when(st == "O", "usd").otherwise(pr), F.lit("US Dollars")), (cust, text(cust, ".0")), (st, pr),
+    ]
+    at = ((F.col("o_orderkey") + F.col("o_custkey")) % len(kinds) + 1).cast("int")
+    pair = F.element_at(F.array(*[F.struct(g.alias("g"), e.alias("e")) for g, e in kinds]), at)
+    return o.select(F.col("o_orderkey").alias("k"), (at - 1).alias("i"), pair.alias("x")).select("k", "i", "x.g", "x.e")
+
+
+_side = lambda n: "case i " + " ".join(f"when {i} then {pair[n]}" for i, pair in enumerate(KINDS_SQL)) + " end"
+CASES = f"""co as (select o_orderkey as k, ((o_orderkey + o_custkey) % {len(KINDS_SQL)})::int as i, o_totalprice, o_orderpriority as pr, o_orderstatus as st, o_custkey::varchar as cust, o_orderdate as od, o_totalprice::decimal(15,2)::varchar as price, strftime(o_orderdate, '%Y-%m-%d') as iso from orders),
+ca as (select k, i, {_side(0)} as g, {_side(1)} as e from co)"""
 NONE = "case when g = '' or e = '' then g = e else {} end"
 
 
@@ -61,7 +76,7 @@ fn_auto = by_strategy("auto", AUTO)
 @query(f"with {CASES} select k, i, case k % 4 when 0 then {NONE.format('g = e')} when 1 then {NONE.format(f'''{FOLD.format('g')} = {FOLD.format('e')}''')} when 2 then {NONE.format(f'''coalesce({near_sql(number_sql('g'), number_sql('e'), 0.01)}, false)''')} else {NONE.format(AUTO)} end as same from ca")
 def fn_compare(spark, d):
     """The strategy is a column."""
-    c = cases(spark, d).withColumn("how", F.element_at(F.array(*map(F.lit, ["exact", "case_insensitive", "number", "auto"])), F.col("k") % 4 + 1))
+    c = cases(spark, d).withColumn("how", F.element_at(F.array(*map(F.lit, ["exact", "case_insensitive", "number", "auto"])), (F.col("k") % 4 + 1).cast("int")))
     return c.select("k", "i", X.compare(F.col("g"), F.col("e"), F.col("how")).alias("same"))
 
 
@@ -82,10 +97,11 @@ def fn_parse_date(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.date(text).cast("string").alias("parsed"))
 
 
-@query("select doc_id, coalesce(lower(trim(case when doc_id % 5 = 0 then null else '  ' || substr(text, 1, 30) end, ' \t\n')), '') as v from documents")
+@query("select doc_id, md5(coalesce(lower(trim(case when doc_id % 5 = 0 then null else '  ' || text end, ' \t\n')), '')) as v from documents")
 def fn_norm_set(spark, d):
-    v = F.when(F.col("doc_id") % 5 == 0, None).otherwise(F.concat(F.lit("  "), F.substring("text", 1, 30)))
-    return table(spark, d, "documents").select("doc_id", X.norm_set(v).alias("v"))
+    """Whole texts, some missing."""
+    v = F.when(F.col("doc_id") % 5 == 0, None).otherwise(F.concat(F.lit("  "), "text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.norm_set(v).cast("binary")).alias("v"))
 
 
 @query(f"""select page_id, md5({norm_sql("replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')")}) as v from pages""")

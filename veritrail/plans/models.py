@@ -21,6 +21,22 @@ def hook_generate(spark, d):
     return rounded(out.select("c_custkey", "text", F.when(F.col("text").isNotNull(), F.size("tokens")).alias("n_tokens"), F.element_at("token_logprobs", -1).alias("last"), "finish_reason"), "last", digits=6)
 
 
+@query("""with a as (select c_custkey, '{"name": "' || c_name || '", "seg": "' || c_mktsegment || '"}' as t, c_name, c_mktsegment as seg from customer where c_custkey % 9 > 0),
+f as (select c_custkey, length(t) as n, t, 'name' as path_str, 10 as s, 10 + length(c_name) as e from a union all select c_custkey, length(t), t, 'seg', 21 + length(c_name), 21 + length(c_name) + length(seg) from a),
+l as (select *, layer::int as layer, least(e, n - greatest(0, 2 * (layer - 1))) as h from f, range(1, 4) r(layer)), m as (select *, list_transform(range(s, h), lambda i: ascii(substr(t, i + 1, 1))) as codes from l where h > s)
+select c_custkey, path_str, layer, how, round(step, 4) as step, round(code, 4) as code from (select c_custkey, path_str, layer, 'last' as how, (h - 1)::double as step, codes[len(codes)]::double as code from m union all select c_custkey, path_str, layer, 'mean', (s + h - 1) / 2.0::double, list_avg(codes) from m)""")
+def extract_activations(spark, d):
+    """Documents to activation rows in one pass, by a stub whose states tell their layer, step and token; higher layers lack the last
+    steps, which cuts spans."""
+    user = F.when(F.col("c_custkey") % 9 > 0, F.concat(F.lit("name: "), "c_name", F.lit("\nseg: "), "c_mktsegment"))
+    rows, out = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("s").alias("system"), user.alias("user")), None
+    for how in ("last", "mean"):
+        found = hooks.activation_rows(hooks.extracted(rows, hooks.StubStates, [1, 2, 3], how), how)
+        one = found.select(F.col("doc_id").alias("c_custkey"), "path_str", "layer", F.lit(how).alias("how"), F.col("vec")[1].cast("double").alias("step"), F.col("vec")[2].cast("double").alias("code"))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "step", "code", digits=4)
+
+
 @query("""select o_orderkey::varchar as doc_id, o_orderpriority as value, round(1 / (1 + exp(-(0.1 * length(o_orderpriority) - 0.5 * length(regexp_replace(o_orderpriority, '[^0-9]', '', 'g')) + 0.01 * 7 - 0.2))), 9) as p from orders""")
 def pol_reembed(spark, d):
     """Candidates scored by vectors of their own, from a stub of the model."""

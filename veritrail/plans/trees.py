@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veritrail.functions import udtfs
 from veritrail.operators import locate, reports, trees
+from veritrail.operators.ranges import spread
 from veritrail.plans.base import query, rounded, table
 
+
 def pairs(spark, d, gold, extracted, schema: str, name: str = "orders"):
     """Rows of a table with gold and extracted as JSON texts."""
     return table(spark, d, name).select(F.col("o_orderkey").alias("doc_id"), F.lit(schema).alias("schema"), gold.alias("gold"), extracted.alias("extracted"))
@@ -38,6 +41,24 @@ def tree_match(spark, d):
     return out.select("doc_id", "path_str", "error_type", F.col("comparison_strategy").alias("strategy"), "gold_present", "extracted_present")
 
 
+def in_sql(spark, text: str, **tables):
+    """A query's text with the table functions, over tables that are passed as its parameters."""
+    udtfs.register(spark)
+    return spark.sql(text, **{name: spread(t) for name, t in tables.items()})
+
+
+@query(f"with {LEAVES} select doc_id, path_str, error_type, strategy from lv")
+def udtf_labels(spark, d):
+    """tree_match as a lateral call from SQL."""
+    return in_sql(spark, "select p.doc_id, l.path_str, l.error_type, l.comparison_strategy as strategy from {pairs} p, lateral tree_labels(p.schema, p.gold, p.extracted) l", pairs=leaf_pairs(spark, d))
+
+
+@query(f"with {LEAVES} select doc_id, count(*) as n_total, count(*) filter (error_type <> 'match') as n_errors from lv group by doc_id")
+def udtf_label_counts(spark, d):
+    """A table argument, a partition a document."""
+    return in_sql(spark, "select * from tree_label_counts(table(select doc_id, schema, gold, extracted from {pairs}) partition by doc_id)", pairs=leaf_pairs(spark, d))
+
+
 @query(f"with {LEAVES} select doc_id, path_str, (error_type <> 'match')::int as is_error from lv where path_str in ('n', 's')")
 def tree_leaf(spark, d):
     return trees.label_trees(leaf_pairs(spark, d)).where("path_str in ('n', 's')").select("doc_id", "path_str", "is_error")
@@ -103,27 +124,29 @@ def tree_set_member(spark, d):
     return trees.label_trees(p).select("doc_id", "path_str", "error_type").unionByName(trees.unmatched_gold(p).withColumn("error_type", F.lit("unmatched")))
 
 
-#: Gold and extracted containers and scalars, and what becomes of them.
-CELLS = [("{}", "null", "match"), ("null", "{}", None), ("{}", '"x"', "hallucination"), ('"x"', "{}", "omission"), ("[]", "null", "type_mismatch"), ("[]", '"x"', "type_mismatch"), ('"x"', "[]", "type_mismatch"), ('"x"', "[1]", "type_mismatch"), ("null", "[1]", "hallucination"), ("[1]", "null", "omission"), ("[]", '{"a": 1}', "type_mismatch"), ("{}", "[1]", "hallucination"), ("[1]", "{}", "omission"), ("[]", "{}", "match"), ("{}", "[]", "match"), ('{"a": 1}', '"x"', "type_mismatch"), ("[1, 2]", '{"a": 1}', "type_mismatch")]
+#: Gold and extracted containers and scalars, S and N standing for a text and a number of the order, and what becomes of them.
+CELLS = [("{}", "null", "match"), ("null", "{}", None), ("{}", "S", "hallucination"), ("S", "{}", "omission"), ("[]", "null", "type_mismatch"), ("[]", "S", "type_mismatch"), ("S", "[]", "type_mismatch"), ("S", "[N]", "type_mismatch"), ("null", "[N]", "hallucination"), ("[N]", "null", "omission"), ("[]", '{"a": N}', "type_mismatch"), ("{}", "[N]", "hallucination"), ("[N]", "{}", "omission"), ("[]", "{}", "match"), ("{}", "[]", "match"), ('{"a": N}', "S", "type_mismatch"), ("[N, 2]", '{"a": N}', "type_mismatch")]
 
 
 def cells(spark, d):
-    rows = spark.createDataFrame([(i, g, e) for i, (g, e, _) in enumerate(CELLS)], "i int, gold string, extracted string")
-    each = table(spark, d, "nation").select("n_nationkey").crossJoin(F.broadcast(rows))
-    wrap = lambda c: F.concat(F.lit('{"v": '), c, F.lit("}"))
-    return each.select((F.col("n_nationkey") * 100 + F.col("i")).alias("doc_id"), F.lit("{}").alias("schema"), wrap(F.col("gold")).alias("gold"), wrap(F.col("extracted")).alias("extracted"))
+    o = table(spark, d, "orders")
+    kinds = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(e).alias("e")) for g, e, _ in CELLS])
+    text, number = F.concat(F.lit('"'), "o_orderpriority", F.lit('"')), F.col("o_custkey").cast("string")
+    filled = lambda c: F.concat(F.lit('{"v": '), F.replace(F.replace(c, F.lit("N"), number), F.lit("S"), text), F.lit("}"))
+    x = F.element_at(kinds, (F.col("o_orderkey") % len(CELLS) + 1).cast("int"))
+    return o.select(F.col("o_orderkey").alias("doc_id"), F.lit("{}").alias("schema"), filled(x["g"]).alias("gold"), filled(x["e"]).alias("extracted"))
 
 
 def _cell_values(some) -> str:
     return ", ".join(f"({i}, '{w}')" for i, (_, _, w) in enumerate(CELLS) if w and some(w))
 
 
-@query(f"select n_nationkey * 100 + i as doc_id, 'n/a' as strategy from nation, (values {_cell_values(lambda w: w == 'type_mismatch')}) v(i, w)")
+@query(f"select o_orderkey as doc_id, 'n/a' as strategy from orders join (values {_cell_values(lambda w: w == 'type_mismatch')}) v(i, w) on o_orderkey % {len(CELLS)} = i")
 def tree_type_mismatch(spark, d):
     return trees.label_trees(cells(spark, d)).where("error_type = 'type_mismatch'").select("doc_id", F.col("comparison_strategy").alias("strategy"))
 
 
-@query(f"select n_nationkey * 100 + i as doc_id, w as error_type from nation, (values {_cell_values(lambda w: w != 'type_mismatch')}) v(i, w)")
+@query(f"select o_orderkey as doc_id, w as error_type from orders join (values {_cell_values(lambda w: w != 'type_mismatch')}) v(i, w) on o_orderkey % {len(CELLS)} = i")
 def tree_empty_like(spark, d):
     """An empty or missing side takes the other's shape."""
     return trees.label_trees(cells(spark, d)).where("error_type <> 'type_mismatch'").select("doc_id", "error_type")
@@ -170,17 +193,28 @@ def set_keytree(spark, d):
     return reports.key_agreement(key_trees(spark, d), F.col("doc_id") % 3 == 0).select("doc_id", F.array_join("missing", " ").alias("missing"), F.array_join("extra", " ").alias("extra"), "overlap", "verdict")
 
 
-@query("""with o as (select o_orderkey as doc_id, o_orderkey::varchar as a, lower(o_orderpriority) as b from orders), p as (select *, 4 + 6 as a0 from o),
+LOCATED = """with o as (select o_orderkey as doc_id, o_orderkey::varchar as a, lower(o_orderpriority) as b from orders), p as (select *, 4 + 6 as a0 from o),
 q as (select *, a0 + length(a) as a1, a0 + length(a) + 6 as b0, a0 + length(a) + 6 + length(b) as b1 from p), r as (select *, b1 + 15 as t0, b1 + 19 as t1, b1 + 25 as c0 from q)
 select doc_id, path_str, kind, is_empty, char_start::int as char_start, char_end::int as char_end, least(char_start // 3, n // 3)::int as start, greatest(least(char_end // 3, n // 3), least(char_start // 3 + 1, n // 3 + 1))::int as past from (
 select doc_id, 'a' as path_str, 'integer' as kind, false as is_empty, a0 as char_start, a1 as char_end, c0 + length(a) + 3 - 1 as n from r union all select doc_id, 'b', 'string', false, b0, b1, c0 + length(a) + 3 - 1 from r
-union all select doc_id, 'n', 'null', true, b1, b1, c0 + length(a) + 3 - 1 from r union all select doc_id, 't', 'boolean', false, t0, t1, c0 + length(a) + 3 - 1 from r union all select doc_id, 'c', 'string', false, c0, c0 + length(a), c0 + length(a) + 3 - 1 from r)""")
+union all select doc_id, 'n', 'null', true, b1, b1, c0 + length(a) + 3 - 1 from r union all select doc_id, 't', 'boolean', false, t0, t1, c0 + length(a) + 3 - 1 from r union all select doc_id, 'c', 'string', false, c0, c0 + length(a), c0 + length(a) + 3 - 1 from r)"""
+
+
+@query(LOCATED)
 def tree_locate(spark, d):
     """Tokens of three characters; the order's number stands twice, and is found in its turn."""
+    return locate.locate_fields(outputs(spark, d)).select("doc_id", "path_str", "kind", "is_empty", "char_start", "char_end", "start", "past")
+
+
+def outputs(spark, d):
     a, b = F.col("o_orderkey").cast("string"), F.lower("o_orderpriority")
     body = F.concat(F.lit('{"a": '), a, F.lit(',"b":"'), b, F.lit('","n":null,"t":true,"c":"'), a, F.lit('"}'))
     text = F.concat(F.lit("Ok: "), body, F.lit("."))
     parsed = F.concat(F.lit('{"a": '), a, F.lit(', "b": "'), b, F.lit('", "n": null, "t": true, "c": "'), a, F.lit('"}'))
     tokens = F.filter(F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / 3).cast("int")), lambda i: F.substring(text, i * 3 + 1, F.lit(3))), lambda x: x != "")
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), parsed.alias("parsed"), body.alias("candidate"), tokens.alias("tokens"))
-    return locate.locate_fields(rows).select("doc_id", "path_str", "kind", "is_empty", "char_start", "char_end", "start", "past")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), parsed.alias("parsed"), body.alias("candidate"), tokens.alias("tokens"))
+
+
+@query(LOCATED)
+def udtf_locations(spark, d):
+    return in_sql(spark, "select o.doc_id, l.path_str, l.kind, l.is_empty, l.char_start, l.char_end, l.start, l.past from {outputs} o, lateral tree_locations(o.parsed, o.candidate, o.tokens) l", outputs=outputs(spark, d))
