@@ -19,8 +19,8 @@ from veritrail.llm.common import SPACES, drop_paths, join_few, text_parts, write
 #: Fixed values of the base rules.
 SYMBOLS, MIN_WORDS, MAX_REPEAT_PERCENT = b"#*$%&|<>", 50, 50
 #: Share of a group that the estimate rests on, and rows below which groups are pooled. Concentration steps end when no centre
-#: moves by more than SETTLED of its floor, at the latest after STEPS.
-SHARE, STEPS, LEAST, SETTLED = 0.75, 12, 200, 0.01
+#: moves by more than SETTLED of its floor; that they haven't after STEPS is an error.
+SHARE, STEPS, LEAST, SETTLED = 0.75, 100, 200, 0.01
 #: Chance that a Gaussian document lies beyond the cutoff.
 TAIL = 1e-6
 #: Least standard deviation of each statistic, in its transformed scale: what can't matter for quality.
@@ -152,7 +152,7 @@ def fitted(moments: DataFrame, names: list[str], factor: float) -> DataFrame:
 def robust_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """(grp, mean, inv) by concentration steps from the medians and absolute deviations of each group's rows, one start a
     group: a start that half of the rows can't move. A step never raises the determinant but for the floors, so centres
-    settle; where a group's hasn't after `steps`, its last is taken. Centres are one row a group, and meet rows by
+    settle; where one hasn't after `steps`, RuntimeError is raised. Centres are one row a group, and meet rows by
     broadcast where few by count, else by salted keys."""
     names, spark = list(STATS), rows.sparkSession
     p = len(names)
@@ -178,8 +178,8 @@ def robust_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS)
         drop_paths(spark, path)
         now, path = after, new
         if settled:
-            break
-    return now
+            return now
+    raise RuntimeError(f"centres did not settle in {steps} steps")
 
 
 def judge_quality(docs: DataFrame, tail: float = TAIL, least: int = LEAST) -> DataFrame:
