@@ -16,22 +16,23 @@ from veritrail.sinks import tables
 from veritrail.sinks.commits import Committed
 from veritrail.sources.folders import PUSHDOWN, AnnotatedFolders
 
-from .test_sources import bench  # noqa: F401  a tree of folders
 
+def model():
+    class Model:
+        """Answers that are hard to read, in tokens of uneven length, with states by step and layer that stop early."""
 
-class Model:
-    """Answers that are hard to read, in tokens of uneven length, with states by step and layer that stop early."""
+        def generate(self, prompts, layers):
+            for _, user in prompts:
+                r = random.Random(user)
+                tokens, at = [], 0
+                while at < len(user):
+                    n = r.randint(1, 4)
+                    tokens.append(user[at : at + n])
+                    at += n
+                states = {k: [[float(k), float(s), float(r.random())] for s in range(1 + len(tokens) + (2 if k == 9 else -k))] for k in layers}
+                yield user, tokens, [-0.5] * len(tokens), "stop", states
 
-    def generate(self, prompts, layers):
-        for _, user in prompts:
-            r = random.Random(user)
-            tokens, at = [], 0
-            while at < len(user):
-                n = r.randint(1, 4)
-                tokens.append(user[at : at + n])
-                at += n
-            states = {k: [[float(k), float(s), float(r.random())] for s in range(1 + len(tokens) + (2 if k == 9 else -k))] for k in layers}
-            yield user, tokens, [-0.5] * len(tokens), "stop", states
+    return Model  # nested, so that executors get it by value
 
 
 ANSWERS = ['Here: ```json\n{"a": "xx", "n": [1, {"b": null, "c": ""}], "t": true}\n``` end', '{"a": "é{", "a2": "a"}', "no object", '{"cut": ', "{}", '{"x": 5}', None]
@@ -41,14 +42,14 @@ ANSWERS = ['Here: ```json\n{"a": "xx", "n": [1, {"b": null, "c": ""}], "t": true
 def test_documents_become_activation_rows(spark, position):
     layers = [1, 3, 9, 60]
     docs = spark.createDataFrame([(i, "s", t, "kept") for i, t in enumerate(ANSWERS)], "doc_id int, system string, user string, more string")
-    out = hooks.extracted(docs, Model, layers, position)
+    out = hooks.extracted(docs, model(), layers, position)
     rows = {r["doc_id"]: r for r in out.collect()}
     assert rows[6]["finish_reason"] == "error" and rows[6]["parse_error"] == "document has no text" and rows[6]["fields"] == [] and rows[0]["more"] == "kept"
     assert rows[2]["parsed_json"] is None and rows[2]["parse_error"] and rows[3]["fields"] == [] == rows[4]["fields"]
     got = {(r["doc_id"], r["path_str"], r["layer"]): r["tokens" if position == "all" else "vec"] for r in hooks.activation_rows(out, position).collect()}
     want = {}
     for i, text in enumerate(ANSWERS[:-1]):
-        ((_, tokens, _, _, states),) = Model().generate([("s", text)], layers)
+        ((_, tokens, _, _, states),) = model()().generate([("s", text)], layers)
         tree, error, candidate = M.parse_output(text)
         for path, _, _, _, start, past, _, _ in () if error else locate.locate(tree, candidate, tokens):
             for k in layers:
@@ -59,9 +60,9 @@ def test_documents_become_activation_rows(spark, position):
                 if len(span):
                     want[i, path, k] = span.tolist() if position == "all" else (span[-1] if position == "last" else span.mean(0)).tolist()
     assert got.keys() == want.keys() and len(got) > 12 and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
-    assert hooks.extracted(docs.limit(0), Model, layers).count() == 0
+    assert hooks.extracted(docs.limit(0), model(), layers).count() == 0
     with pytest.raises(ValueError):
-        hooks.extracted(docs, Model, layers, "first")
+        hooks.extracted(docs, model(), layers, "first")
 
 
 def test_agreement_of_raw_samples(spark):
@@ -131,7 +132,7 @@ def test_a_crash_at_any_step_of_a_commit(spark, tmp_path, monkeypatch, step):
     assert len(tables.resume(todo, path, lambda rows: rows).collect()) == len(out)
 
 
-def test_folders_as_a_data_source(spark, bench):  # noqa: F811
+def test_folders_as_a_data_source(spark, bench):
     spark.dataSource.register(AnnotatedFolders)
     spark.conf.set(PUSHDOWN, "true")
     read = spark.read.format("annotated_folders").option("path", str(bench)).option("files", 2)

@@ -15,23 +15,6 @@ from veritrail.sources.settings import Settings
 from veritrail.streaming import labels as streaming
 
 
-@pytest.fixture
-def bench(tmp_path):
-    """Two domains; one lone file, one lone gold, one file that can't be read."""
-    for domain, wrap in (("law/lease", True), ("sea/crew", False)):
-        at = tmp_path / domain
-        (at / "pdf+gold").mkdir(parents=True)
-        schema = {"type": "object", "properties": {"t": {"type": "string"}}}
-        (at / f"{at.name}-schema.json").write_text(json.dumps({"schema_definition": schema} if wrap else schema))
-        for stem, pdf, gold in (("a 1", b"a long enough text", {"t": "x"}), ("b", b"!broken", {"t": None}), ("c", b"short", {"t": "z"}), ("lone", b"a text alone", None), ("none", None, {"t": "y"})):
-            if pdf is not None:
-                (at / "pdf+gold" / f"{stem}.pdf").write_bytes(pdf)
-            if gold is not None:
-                (at / "pdf+gold" / f"{stem}.gold.json").write_text(json.dumps(gold))
-    (tmp_path / "law" / "notes").mkdir()
-    return tmp_path
-
-
 @pytest.fixture
 def reader():
     def read(content):  # nested, so that executors get it by value
