@@ -24,7 +24,8 @@ ORACLE_SQL = None
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from labelled documents whose crc32 mod 4 is not 2; rejects 'und', which null, empty and letterless texts are,
-    and shares of evidence below the operator's limit. Columns stay as they are, whatever their names."""
+    and shares of evidence below the operator's limit. Repeated rows and rows without an id fare as their texts do; columns stay
+    as they are, whatever their names."""
     parser = langid.learn(docs.where(fold("doc_id", 4) != 2))
     out = langid.judged_rows(docs, parser).where((F.col("lang_pred") != "und") & (F.col("score") >= langid.REJECT_BELOW))
     return from_rows(out, docs.columns)
@@ -32,7 +33,8 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One line of each component of equal or near-equal lines stays; documents that lose every line with a word go, those
-    without text stay. Rows of one id (or of none) are taken for one document."""
+    without text stay. Rows are told apart by id and text, so another text of the same id, or without one, keeps what it alone
+    has; repeated rows lose the same lines."""
     return lines.dedup_lines(docs, short=True)
 
 
@@ -43,12 +45,14 @@ def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents to shares in proportion to size ** 0.7, over one epoch; sources without text give nothing."""
+    """Repeats documents to shares in proportion to size ** 0.7, over one epoch; sources without text give nothing. Repeated rows
+    draw the same count, each for itself; rows without an id are drawn as one id."""
     return mixing.mix_sources(docs)
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every token piece of every row in sequences of 2048; null and empty texts are an end alone."""
+    """Every token piece of every row in sequences of 2048; null and empty texts are an end alone. Repeated rows, which mixing makes,
+    are packed each."""
     return packing.pack_documents(docs)
 
 

@@ -177,3 +177,26 @@ def test_table_functions_equal_their_operators(spark):
     for text, why in (("select * from tree_labels(1, '', '')", "JSON texts"), ("select * from tree_label_counts(table(select 1 as doc_id))", "lacks"), ("select * from tree_labels('', '', '', 0.5D, 0.5D, 0.5D)", "two constants")):
         with pytest.raises(Exception, match=why):
             spark.sql(text).collect()
+
+
+def test_retries_as_they_arrive(spark, tmp_path):
+    """Repeats, late attempts, a document given up when its patience is over, one that comes back, over several starts of one query."""
+    from veritrail.streaming import retries
+
+    kind = "doc_id string, attempt long, arrived timestamp, ok boolean, value double"
+    hour = lambda n: f"2024-01-0{1 + n // 24} {n % 24:02d}:00:00"
+    lots = [
+        [("a", 1, hour(1), False, 0.1), ("a", 2, hour(2), True, 0.2), ("b", 1, hour(1), False, 0.3), ("c", 5, hour(1), False, 0.4)],
+        [("a", 2, hour(2), True, 9.0), ("b", 1, hour(1), True, 9.0), ("b", 2, hour(3), False, 0.5), ("c", 4, hour(3), True, 9.0)],
+        [("b", 3, hour(5), True, 0.6), ("b", 4, hour(5), True, 9.0), ("a", 3, hour(5), True, 9.0)],
+        [("d", 1, hour(30), True, 0.7)],
+        [("c", 6, hour(40), True, 0.8), ("d", 2, hour(60), False, 0.9)],
+    ]
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    for lot in lots:
+        spark.sql("select 1").count()
+        spark.createDataFrame([(d, n, None, ok, v) for d, n, _, ok, v in lot], kind).drop("arrived").join(spark.createDataFrame([(d, n, w) for d, n, w, _, _ in lot], "doc_id string, attempt long, w string"), ["doc_id", "attempt"]).selectExpr("doc_id", "attempt", "cast(w as timestamp) as arrived", "ok", "value").coalesce(1).write.mode("append").parquet(src)
+        rows = retries.settled(spark.readStream.schema(kind).parquet(src), patience="12 hours", late="24 hours")
+        rows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    assert got == [("a", "good", 2, 0.2), ("b", "good", 3, 0.6), ("c", "given_up", 1, None), ("c", "good", 1, 0.8), ("d", "good", 1, 0.7)]

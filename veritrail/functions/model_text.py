@@ -269,3 +269,22 @@ def agreeing(samples: pd.Series, paths: pd.Series, values: pd.Series) -> pd.Seri
 def correction_prompts(document: pd.Series, tree: pd.Series, schema: pd.Series, path: pd.Series) -> pd.DataFrame:
     schemas = {t: json.loads(t) for t in schema.unique()}
     return pd.DataFrame([correction_prompt(d, json.loads(t), schemas[s], p) for d, t, s, p in zip(document, tree, schema, path)], columns=["system", "user"])
+
+
+@F.pandas_udf(texts("system", "user"))
+def extraction_prompts(document: pd.Series, schema: pd.Series) -> pd.DataFrame:
+    """Prompts for whole documents; a null schema is left out of the prompt."""
+    schemas = {t: None if t is None else json.loads(t) for t in schema.unique()}
+    return pd.DataFrame([extraction_prompt(d, schemas[s]) for d, s in zip(document, schema)], columns=["system", "user"])
+
+
+@F.pandas_udf(texts("system", "user"))
+def targeted_prompts(document: pd.Series, schema: pd.Series, path: pd.Series) -> pd.DataFrame:
+    schemas = {t: json.loads(t) for t in schema.unique()}
+    return pd.DataFrame([targeted_prompt(d, schemas[s], p) for d, s, p in zip(document, schema, path)], columns=["system", "user"])
+
+
+@F.pandas_udf(texts("system", "user"))
+def verification_prompts(document: pd.Series, schema: pd.Series, path: pd.Series, value: pd.Series) -> pd.DataFrame:
+    schemas = {t: json.loads(t) for t in schema.unique()}
+    return pd.DataFrame([verification_prompt(d, schemas[s], p, v) for d, s, p, v in zip(document, schema, path, value)], columns=["system", "user"])

@@ -3,9 +3,11 @@ pos, label, start, end, text); a span's end is exclusive."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritrail.operators.ranges import running
+
 # What looks like a date or an amount in a text; words of labels that are about either.
 DATE = r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4})\b"
 MONEY = r"\$\s?\d[\d,]*(?:\.\d{2})?"
@@ -70,9 +72,19 @@ def tabular(spans: DataFrame) -> DataFrame:
 
 
 def every_nth(docs: DataFrame, n: int) -> DataFrame:
-    """n documents spread evenly over the order of ids. Only ids are sorted and numbered, a range of them a task."""
-    total = docs.count()
-    step = max(1, total // n)
-    placed = docs.select("doc_id").orderBy("doc_id").rdd.zipWithIndex().filter(lambda x: x[1] % step == 0 and x[1] < step * n)
-    ids = docs.sparkSession.createDataFrame(placed.map(lambda x: (x[0][0],)), docs.select("doc_id").schema)
-    return docs.join(ids, "doc_id", "left_semi")
+    """n documents spread evenly over the order of ids, which is sorted and numbered by ranges."""
+    placed = running(docs.select("doc_id", F.lit(1).cast("long").alias("one")), [], [F.asc("doc_id")], ["one"])
+    step = F.greatest(F.lit(1), F.call_function("div", F.col("one_all"), F.lit(n)))
+    at = F.col("one_to") - 1
+    return docs.join(placed.where((at % step == 0) & (at < step * n)).select("doc_id"), "doc_id", "left_semi")
+
+
+def review(docs: DataFrame, spans: DataFrame, n: int | None = None, shown: int = 4, width: int = 400) -> DataFrame:
+    """(doc_id, split, length, n_spans, label, n, values, window) for reading by eye: of n documents spread over all (None: of all) a row
+    a label, with its first values in order and the beginning of the text; documents without spans have a null label."""
+    some = docs if n is None else every_nth(docs, n)
+    held = spans.where("label is not null and label <> ''").select("doc_id", "label", "pos", "text")
+    per = held.groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("pos", "text"))), 1, shown).alias("first"))  # one document's spans
+    rows = some.select("doc_id", "split", F.length("text").alias("length"), F.substring("text", 1, width).alias("window")).join(per, "doc_id", "left")
+    total = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id")), F.lit(0))
+    return rows.select("doc_id", "split", "length", total.alias("n_spans"), "label", F.coalesce("n", F.lit(0)).alias("n"), F.transform("first", lambda x: x["text"]).alias("values"), "window")

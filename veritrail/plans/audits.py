@@ -67,3 +67,10 @@ def agg_doc_coverage(spark, d):
 select label, median, round(repeated, 9) as repeated, case when median >= 5 and repeated >= 0.2 then 'tabular' when median >= 5 then 'many' else 'flat' end as verdict from l""")
 def agg_tabular(spark, d):
     return rounded(audit.tabular(spans(spark, d)), "repeated")
+
+
+@query(f"""with {SPANS}, p as (select doc_id, label, count(*) as n, string_agg(text, '|' order by pos) filter (k <= 4) as v from (select *, row_number() over (partition by doc_id, label order by pos) as k from sp) group by all)
+select dd.doc_id, split, length(dd.text) as length, coalesce(sum(n) over (partition by dd.doc_id), 0)::bigint as n_spans, label, coalesce(n, 0) as n, v as values, md5(substr(dd.text, 1, 400)) as "window" from dd left join p using (doc_id)""")
+def agg_review(spark, d):
+    """What there is to read by eye, of all documents."""
+    return audit.review(docs(spark, d), spans(spark, d)).withColumn("values", F.array_join("values", "|")).withColumn("window", F.md5(F.col("window").cast("binary")))

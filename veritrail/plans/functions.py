@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from veritrail.functions import expressions as X
@@ -236,6 +238,22 @@ def fn_prompts(spark, d):
     return p.select("c_custkey", part(r"# Blank field\n(.*)\n").alias("key"), F.contains("r.user", F.lit("of the list items")).alias("in_list"), part(r"\nType: (.*)\n").alias("type"), part(r"# Document\n\n(.*)\n").alias("document"))
 
 
+ASKED = {"properties": {"name": {"type": "string", "description": "Full name"}, "n": {"type": "integer", "enum": [1, 2]}}}
+ASKED_SQL = json.dumps(ASKED, indent=2).replace("'", "''").replace("\n", "' || chr(10) || '")
+
+
+@query(f"""with p as (select c_custkey, c_name, c_custkey % 2 = 0 as even from customer), n as (select *, case when even then 'Description: Full name' else 'Allowed values: [1, 2]' end as notes, case when even then 'name' else 'n' end as path from p), l as (select chr(10) as l)
+select c_custkey, md5(case when c_custkey % 3 > 0 then '# Schema' || l || '{ASKED_SQL}' || l || l else '' end || '# Document' || l || l || c_name || l || l || '# JSON object' || l) as whole,
+  md5('# Field' || l || path || l || 'Type: ' || case when even then 'string' else 'integer' end || l || notes || l || l || '# Document' || l || l || c_name || l || l || '# Value' || l) as one,
+  md5('# Field' || l || path || ': ' || case when even then 'Full name' else '' end || l || l || '# Value' || l || c_custkey || l || l || '# Document' || l || l || c_name || l || l || '# True or False' || l) as verified from n, l""")
+def fn_prompts_texts(spark, d):
+    """Whole prompts: for a document with and without its schema, for one field, and to verify a value."""
+    schema, path = F.lit(json.dumps(ASKED)), F.when(F.col("c_custkey") % 2 == 0, "name").otherwise("n")
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", path.alias("path"), schema.alias("schema"), F.when(F.col("c_custkey") % 3 > 0, schema).alias("shown"), F.col("c_custkey").cast("string").alias("value"))
+    of = lambda p, name: F.md5(p["user"].cast("binary")).alias(name)
+    return rows.select("c_custkey", of(M.extraction_prompts("c_name", "shown"), "whole"), of(M.targeted_prompts("c_name", "schema", "path"), "one"), of(M.verification_prompts("c_name", "schema", "path", "value"), "verified"))
+
+
 @query("""with c as (select conv_id, turn, case turn % 4 when 0 then ' TRUE.' when 1 then 'true, since' when 2 then 'False' else null end as raw from conversations) select conv_id, turn, case when raw is not null then starts_with(lower(trim(raw)), 'true')::int::double end as p from c""")
 def fn_ptrue(spark, d):
     k = F.col("turn") % 4
