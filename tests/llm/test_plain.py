@@ -410,3 +410,25 @@ def test_line_dedup_loses_no_line_of_another_text(spark):
     two = spark.createDataFrame([(3, "the same line here\nand another one"), (3, "the same line here\nor something else")], "doc_id long, text string")
     kept = lines.dedup_lines(two).collect()
     assert sorted(x for r in kept for x in r["text"].split("\n")) == ["and another one", "or something else", "the same line here"]
+
+
+def test_language_and_packing_stages(spark):
+    """The stage drops what the operator calls und or unsure, and nothing else; the last packs every token of every row."""
+    from tokenizers import Tokenizer
+
+    rows = [(i, *r[1:]) for i, r in enumerate(made(seed=4, n=80))]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = sorted(map(tuple, corpus_pipeline.language(spark, docs, "").collect()), key=str)
+    judged = {r["doc_id"]: r for r in langid.predict_languages(docs, langid.learn(docs.where(fold("doc_id", 4) != 2))).collect()}
+    assert kept == sorted((r for r in rows if judged[r[0]]["lang_pred"] != "und" and judged[r[0]]["score"] >= langid.REJECT_BELOW), key=str) and 0 < len(kept) < len(rows)
+    plain, got = Tokenizer.from_file(tokens.vocabulary_path()), defaultdict(list)
+    bins = defaultdict(list)
+    for r in corpus_pipeline.pack(spark, docs, "").collect():
+        got[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, t, *_ in rows:
+        ids = np.array(plain.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        assert sorted(got[i]) == [(k, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())) for k, s in enumerate(range(0, len(ids), 2048))]
+    for spans in bins.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(spans)]).tolist()]
+        assert [o for o, _ in sorted(spans)] == ends[:-1] and ends[-1] <= 2048
