@@ -189,8 +189,8 @@ def test_retries_as_they_arrive(spark, tmp_path):
         [("a", 1, hour(1), False, 0.1), ("a", 2, hour(2), True, 0.2), ("b", 1, hour(1), False, 0.3), ("c", 5, hour(1), False, 0.4)],
         [("a", 2, hour(2), True, 9.0), ("b", 1, hour(1), True, 9.0), ("b", 2, hour(3), False, 0.5), ("c", 4, hour(3), True, 9.0)],
         [("b", 3, hour(5), True, 0.6), ("b", 4, hour(5), True, 9.0), ("a", 3, hour(5), True, 9.0)],
-        [("d", 1, hour(30), True, 0.7)],
-        [("c", 6, hour(40), True, 0.8), ("d", 2, hour(60), False, 0.9)],
+        [("d", 1, hour(60), True, 0.7)],
+        [("c", 6, hour(70), True, 0.8), ("d", 2, hour(71), False, 0.9)],
     ]
     src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     for lot in lots:
