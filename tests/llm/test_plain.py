@@ -76,9 +76,9 @@ def test_tasks_of_crowded_families_are_bounded(spark, monkeypatch):
     sizes = []
     plain = lines.verified
 
-    def watched(rows, texts, similar):
+    def watched(rows, *rest):
         sizes.append(rows.groupBy("bhi", "blo", "chunk", "part").count().agg(F.max("count")).first()[0])
-        return plain(rows, texts, similar)
+        return plain(rows, *rest)
 
     monkeypatch.setattr(lines, "verified", watched)
     df = spark.createDataFrame([(i, f"the same template of a line that is fairly long, but for number {i:03d}") for i in range(60)], "doc_id long, text string")
