@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import functions as F
 
-from veritrail.functions import expressions as X
 from veritrail.plans.base import query, table
 from veritrail.sinks.workspace import work_folder
 from veritrail.sources import artifacts, collections
