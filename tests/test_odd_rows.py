@@ -1,8 +1,10 @@
 """Queries against their SQL on rows that the smallest tables lack."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from veritrail.operators import probes
 from veritrail.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -37,3 +39,20 @@ def test_entities_cut_off(spark, tmp_path):
     pages = "select * replace (case page_id % 4 when 0 then 'a &amp</title> &copy b' when 1 then '&am &lt; &amp;lt;' when 2 then '&amp;amp; & &#38; &quot' else html end as html) from pages_all"
     got, want = both(spark, tmp_path, "fn_norm_text", pages=pages)
     assert got == want
+
+
+def test_stacked_model_rests_on_every_row(spark):
+    r = np.random.default_rng(3)
+    n, folds = 33_000, 3
+    x, s, fold = r.normal(size=(n, 2)), r.normal(size=n), np.arange(n) % folds
+    y = (x[:, 0] + s + 2 * r.normal(size=n) > 1).astype(int)
+    rows = spark.createDataFrame([(i, int(fold[i]), 0, int(y[i]), x[i].tolist(), float(s[i])) for i in range(n)], "id int, fold int, layer int, y int, vec array<double>, s double")
+    p, weights = probes.stacked(rows, ["s"])
+    assert p.count() == n
+    found = {(w["hold"], w["signal"]): w["coefficient"] for w in weights.collect()}
+    for f in range(folds):
+        train = fold != f
+        beta, bias = probes.fit_logistic(x[train], y[train])
+        z = np.column_stack([1 / (1 + np.exp(-(x @ beta + bias))), s])
+        z = (z - z[train].mean(0)) / z[train].std(0)
+        assert [found[f, "probe"], found[f, "s"]] == pytest.approx(probes.fit_logistic(z[train], y[train])[0].tolist(), abs=1e-6)
