@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from veritrail.operators import ranges
+from veritrail.operators import hooks, ranges
 
 
 def test_a_row_group_is_dealt_to_all_cores(spark, tmp_path, monkeypatch):
@@ -11,3 +11,18 @@ def test_a_row_group_is_dealt_to_all_cores(spark, tmp_path, monkeypatch):
     df = ranges.spread(spark.read.parquet(f"{tmp_path}/one"))
     rows = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(rows) == 1000 and len(rows) >= 4 and max(rows) < 500
+
+
+def test_prompts_are_dealt_to_all_cores(spark):
+    prompts = spark.range(100).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("s").alias("system"), F.lit("a: b").alias("user"))
+    for out in (hooks.extracted(prompts, hooks.StubStates, [1]), hooks.generated(prompts, hooks.StubGenerator)):
+        assert out.groupBy(F.spark_partition_id()).count().count() >= 4
+
+
+def test_scores_of_one_layer_are_not_one_task(spark):
+    rows = spark.range(100).select(F.col("id").cast("string").alias("doc_id"), F.lit("p").alias("path_str"), F.lit("v").alias("value"))
+    weights = spark.createDataFrame([(7, [0.1, -0.5, 0.01], -0.2)], "layer int, beta array<double>, bias double")
+    out = hooks.reembedded(rows, hooks.StubEmbedder, weights, 7)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert out.groupBy(F.spark_partition_id()).count().count() >= 4

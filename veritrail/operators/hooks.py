@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 from veritrail.functions.model_text import parse_output
 from veritrail.operators.locate import locate
 from veritrail.operators.probes import scored
+from veritrail.operators.ranges import spread
 
 OUTPUT = "text string, tokens array<string>, token_logprobs array<double>, finish_reason string"
 
@@ -94,7 +95,7 @@ def generated(prompts: DataFrame, factory: Callable[[], Generator], batch: int =
 
     schema = prompts.select(*rest).schema
     whole = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in schema], OUTPUT])
-    return prompts.select("system", "user", *rest).mapInPandas(run, whole)
+    return spread(prompts.select("system", "user", *rest)).mapInPandas(run, whole)
 
 
 EXTRACTED = """text string, finish_reason string, generated_tokens int, token_logprobs array<double>, parsed_json string, parse_error string,
@@ -119,8 +120,8 @@ def extracted(prompts: DataFrame, factory: Callable[[], StateGenerator], layers:
     leaf of it with its span of tokens and, by layer, the hidden states there, reduced to `position`.
 
     The step of the prompt is skipped and states are cut to what was generated. Texts, tokens and whole states live only
-    within a batch of prompts on the executor that asked the model; reduced vectors leave it, and nothing is
-    shuffled. A null prompt is a document without text (finish_reason error); an answer that is no JSON has no fields, and
+    within a batch of prompts on the executor that asked the model; reduced vectors leave it, and only prompts are
+    shuffled, to be dealt evenly. A null prompt is a document without text (finish_reason error); an answer that is no JSON has no fields, and
     a leaf without states in any layer is left out. Write the result before using it twice: each use asks the model.
     """
     if position not in POSITIONS:
@@ -155,7 +156,7 @@ def extracted(prompts: DataFrame, factory: Callable[[], StateGenerator], layers:
     whole = prompts.select(*rest).schema
     for f in kinds:
         whole = whole.add(f)
-    return prompts.select("system", "user", *rest).mapInArrow(run, whole)
+    return spread(prompts.select("system", "user", *rest)).mapInArrow(run, whole)
 
 
 def activation_rows(documents: DataFrame, position: str = "last") -> DataFrame:
@@ -177,4 +178,4 @@ def reembedded(candidates: DataFrame, factory: Callable[[], Embedder], weights:
             yield f.assign(layer=layer, vec=vectors)
 
     whole = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema], "layer int, vec array<double>"])
-    return scored(candidates.mapInPandas(run, whole), weights.select("layer", "beta", "bias"), ["layer"]).select(*rest, "p")
+    return scored(spread(candidates).mapInPandas(run, whole), weights.select("layer", "beta", "bias"), ["layer"]).select(*rest, "p")
