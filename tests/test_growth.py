@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from veritrail.functions import values
 from veritrail.operators import hooks, ranges
 
 
@@ -26,3 +27,11 @@ def test_scores_of_one_layer_are_not_one_task(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert out.groupBy(F.spark_partition_id()).count().count() >= 4
+
+
+def test_a_date_is_read_once(monkeypatch):
+    asked, parse = [], values.dateutil_parser.parse
+    monkeypatch.setattr(values.dateutil_parser, "parse", lambda s, **k: asked.append(s) or parse(s, **k))
+    for _ in range(3):
+        assert not values.same_date("value 7123", "other 7123")
+    assert len(asked) <= 2
