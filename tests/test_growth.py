@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from veritrail.functions import values
-from veritrail.operators import hooks, ranges
+from veritrail.functions import udtfs, values
+from veritrail.operators import hooks, ranges, trees
 
 
 def test_a_row_group_is_dealt_to_all_cores(spark, tmp_path, monkeypatch):
@@ -35,3 +35,15 @@ def test_a_date_is_read_once(monkeypatch):
     for _ in range(3):
         assert not values.same_date("value 7123", "other 7123")
     assert len(asked) <= 2
+
+
+def test_partitions_of_a_table_function_share_schemas(monkeypatch):
+    asked, parsed = [], trees.parsed
+    monkeypatch.setattr(trees, "parsed", lambda t: asked.append(t) or parsed(t))
+    monkeypatch.setattr(udtfs, "parsed", trees.parsed)
+    row = {"schema": '{"properties": {"once": {}}}', "gold": '{"once": 1}', "extracted": '{"once": 2}'}
+    for doc in range(3):
+        counts = udtfs.TreeLabelCounts.func()
+        counts.eval({"doc_id": doc, **row})
+        assert list(counts.terminate()) == [(doc, 1, 1)]
+    assert asked.count(row["schema"]) == 1

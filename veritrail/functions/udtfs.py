@@ -16,7 +16,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from veritrail.functions.values import FUZZY_THRESHOLD, NUMBER_TOLERANCE
 from veritrail.operators.locate import LOCATION, locate
-from veritrail.operators.trees import JSON_TYPES, LABEL, Labeller, leaves, parsed
+from veritrail.operators.trees import JSON_TYPES, LABEL, Labeller, leaves, parsed, parsed_schema
 
 
 KINDS = {"string": StringType(), "int": IntegerType(), "boolean": BooleanType(), "array<string>": ArrayType(StringType())}
@@ -79,7 +79,7 @@ class TreeLabelCounts:
 
     def eval(self, row):
         self.doc = row["doc_id"] if self.doc is None else self.doc
-        for label in self.labeller.label(parsed(row["schema"]), parsed(row["gold"]), parsed(row["extracted"])):
+        for label in self.labeller.label(parsed_schema(row["schema"]), parsed(row["gold"]), parsed(row["extracted"])):
             self.total += 1
             self.errors += label["is_error"]
 
