@@ -432,3 +432,33 @@ def test_language_and_packing_stages(spark):
     for spans in bins.values():
         ends = [0, *np.cumsum([n for _, n in sorted(spans)]).tolist()]
         assert [o for o, _ in sorted(spans)] == ends[:-1] and ends[-1] <= 2048
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    """Long and short ones, by one task and by several: words that few rows have, wherever they lie, are all known afterwards."""
+    monkeypatch.setattr(toxicity, "SHARD", 300)
+    r = random.Random(6)
+    few = [f"vex{chr(97 + i)}lum" for i in range(20)]
+    rows = [(i, " ".join(r.choice("abcdefgh") * 3 + f"q{i % 30}" for _ in range(4500 if i % 40 == 0 else 15)) + (f" {few[i // 4 % 20]}" if i % 4 == 0 else ""), "en") for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
+    kept = toxicity.labelled(docs, labels)
+    assert kept.count() == 1600 and kept.agg(F.max(F.length("ids"))).first()[0] == 6 * 4501
+    seen = []
+    monkeypatch.setattr(toxicity, "trained", lambda model, rows, balance, shards, f=toxicity.trained: seen.append((rows.count(), shards)) or f(model, rows, balance, shards))
+    model = toxicity.fit(docs, labels)
+    assert seen[0][0] > 1100 and seen[0][1] > 1
+    new = spark.createDataFrame([(k, "aaaq1 bbbq2 " + (few[k] if k < 20 else "cccq3")) for k in range(40)], "doc_id long, text string")
+    assert sum(x["predicted"] == int(x["doc_id"] < 20) for x in toxicity.score_toxicity(new, model).collect()) >= 38
+
+
+def test_thresholds_over_ranges_against_a_plain_search(spark):
+    r = random.Random(2)
+    rows = [(i % 2, round(r.gauss(i % 3, 1), 1), int(i % 3 == 0)) for i in range(400)]
+    got = toxicity.thresholds(spark.createDataFrame(rows, "guess int, z double, toxic int"))
+    for g in (-1, 0, 1):
+        mine = [x for x in rows if g in (-1, x[0])]
+        zs, positives = sorted({z for _, z, _ in mine}, reverse=True), sum(y for *_, y in mine)
+        f1 = [2 * sum(y for _, z, y in mine if z >= c) / (sum(z >= c for _, z, _ in mine) + positives) for c in zs]
+        gaps = [(c - d, c, (c + d) / 2) for c, d, f in zip(zs, [*zs[1:], zs[-1] - 1], f1) if f >= max(f1) - 1e-9]
+        assert got[g][1] == positives and got[g][0] == pytest.approx(max(gaps)[2])
