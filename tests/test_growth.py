@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from veritrail.functions import udtfs, values
-from veritrail.operators import hooks, ranges, trees
+from veritrail.operators import audit, hooks, ranges, trees
+from veritrail.plans import audits
 
 
 def test_a_row_group_is_dealt_to_all_cores(spark, tmp_path, monkeypatch):
@@ -47,3 +48,21 @@ def test_partitions_of_a_table_function_share_schemas(monkeypatch):
         counts.eval({"doc_id": doc, **row})
         assert list(counts.terminate()) == [(doc, 1, 1)]
     assert asked.count(row["schema"]) == 1
+
+
+def test_documents_are_dealt_before_they_are_words(spark, tmp_path):
+    spark.range(20).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = audits.spans(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Generate") < plan.index("RepartitionByExpression")
+
+
+def test_places_in_a_long_text_are_looked_up_by_piece(spark):
+    text = "".join(chr(97 + i % 7) + ("😀" if i % 5 == 0 else "") for i in range(1500))
+    data = [(1, i, "x", s, s + n, text[s : s + n] + ("" if i % 3 else "!")) for i, (s, n) in enumerate((s, n) for s in (0, 1, 255, 256, 257, 700, len(text) - 3, len(text)) for n in (0, 1, 2, 256, 600))]
+    data += [(1, 90, "x", 5, 3, ""), (1, 91, "x", -3, 0, text[-3:]), (1, 92, "x", None, 3, "a"), (2, 0, "x", 0, 1, ""), (3, 0, "x", 0, 1, "a")]
+    spans = spark.createDataFrame(data, "doc_id int, pos int, label string, start int, end int, text string")
+    docs = spark.createDataFrame([(1, "train", text), (2, "val", ""), (3, "val", None)], "doc_id int, split string, text string")
+    out = audit.offsets(docs, spans, None)
+    got = out.first()
+    assert got["checked"] == len(data) - 1 and got["mismatched"] == sum(i % 3 == 0 for i in range(40)) + 1
+    assert "pieces" in out._jdf.queryExecution().optimizedPlan().toString()
