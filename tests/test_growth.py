@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from veritrail.functions import udtfs, values
 from veritrail.operators import audit, hooks, ranges, trees
 from veritrail.plans import audits
+from veritrail.sources import collections
 
 
 def test_a_row_group_is_dealt_to_all_cores(spark, tmp_path, monkeypatch):
@@ -66,3 +67,12 @@ def test_places_in_a_long_text_are_looked_up_by_piece(spark):
     got = out.first()
     assert got["checked"] == len(data) - 1 and got["mismatched"] == sum(i % 3 == 0 for i in range(40)) + 1
     assert "pieces" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_records_are_read_once_for_their_gold(spark, tmp_path):
+    rows = [(1, "nda", '[{"label": "L0", "text": " A "}, {"label": "no", "text": "b"}, null, {"label": "L0", "text": "a"}, {"label": "L1"}, {"label": "L1", "text": "c."}, {"text": "d"}]'), (2, "nda", "no json"), (3, "lease", None), (4, "other", "[]")]
+    spark.createDataFrame(rows, "doc_id int, domain string, labels string").write.parquet(f"{tmp_path}/records")
+    fields = spark.createDataFrame([("nda", "L0", "x"), ("nda", "L1", "x"), ("nda", "L1", "y"), ("lease", "L0", "z"), ("nda", None, "w"), (None, "L0", "v")], "domain string, label string, field string")
+    out = collections.gold_of_spans(spark.read.parquet(f"{tmp_path}/records"), fields)
+    assert {(r["doc_id"], r["field"]): r["values"] for r in out.collect()} == {(1, "x"): ["A", "c"], (1, "y"): ["c"], (1, "w"): [], (2, "x"): [], (2, "y"): [], (2, "w"): [], (3, "z"): []}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1

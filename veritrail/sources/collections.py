@@ -193,16 +193,20 @@ def span_records(rows: DataFrame) -> DataFrame:
 
 def gold_of_spans(records: DataFrame, fields: DataFrame) -> DataFrame:
     """(doc_id, field, values): for every record and field of its domain the spans' texts, normalised, each once without case, in
-    their order; empty arrays stay. records (doc_id, domain, labels: JSON of spans), fields (domain, label, field). Labels
-    that are no list of objects, or belong to no field, give nothing."""
-    spans = F.from_json("labels", "array<struct<label string, text string>>")
-    each = records.select("doc_id", "domain", F.posexplode(spans).alias("pos", "s")).select("doc_id", "domain", "pos", F.col("s.label").alias("label"), X.norm_span(F.col("s.text")).alias("value"))
-    named = each.where("value <> ''").join(F.broadcast(fields), ["domain", "label"])  # a line a label
-    once = named.groupBy("doc_id", "field", F.lower("value").alias("k")).agg(F.min(F.struct("pos", "value")).alias("v"))
-    lists = once.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list("v")).alias("v"))
-    grid = records.select("doc_id", "domain").join(F.broadcast(fields.select("domain", "field").distinct()), "domain")
-    values = F.coalesce(F.transform("v", lambda x: x["value"]), F.array().cast("array<string>"))
-    return grid.join(lists, ["doc_id", "field"], "left").select("doc_id", "field", values.alias("values"))
+    their order; empty arrays stay. records (doc_id, domain, labels: JSON of spans) have a row a document, fields are (domain, label,
+    field). Labels that are no list of objects, or belong to no field, give nothing.
+
+    Spans of labels that no field has are dropped before they are normalised. A record's fields go along with its spans as rows at
+    place -1, so that records are read once."""
+    named = fields.where("domain is not null").groupBy("domain").agg(F.collect_set("field").alias("_all"), F.collect_set(F.when(F.col("label").isNotNull(), F.struct("label", "field"))).alias("_fields"))  # a row a domain
+    spans = F.coalesce(F.from_json("labels", "array<struct<label string, text string>>"), F.array().cast("array<struct<label string, text string>>"))
+    blank = F.transform("_all", lambda f: F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("text"), f.alias("field")))
+    placed = F.filter(F.transform(spans, lambda s, n: F.struct(n.alias("pos"), s["text"].alias("text"), F.filter("_fields", lambda f: f["label"] == s["label"]).alias("fs"))), lambda x: F.size(x["fs"]) > 0)
+    held = F.flatten(F.transform(placed, lambda x: F.transform(x["fs"], lambda f: F.struct(x["pos"].alias("pos"), x["text"].alias("text"), f["field"].alias("field")))))
+    each = records.select("doc_id", "domain", "labels").join(F.broadcast(named), "domain").select("doc_id", F.explode(F.concat(blank, held)).alias("s")).select("doc_id", "s.field", "s.pos", X.norm_span(F.col("s.text")).alias("value"))
+    once = each.where("pos < 0 or value <> ''").groupBy("doc_id", "field", F.lower("value").alias("k")).agg(F.min(F.struct("pos", "value")).alias("v"))
+    lists = once.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(F.when(F.col("v.pos") >= 0, F.col("v")))).alias("v"))
+    return lists.select("doc_id", "field", F.transform("v", lambda x: x["value"]).alias("values"))
 
 
 def span_documents(records: DataFrame, fields: DataFrame, schemas: DataFrame) -> DataFrame:
