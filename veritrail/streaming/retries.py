@@ -8,7 +8,9 @@ good attempt settles a document; a document of which nothing has been heard for
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -31,17 +33,21 @@ def settled(attempts: DataFrame, patience: str = "1 day", late: str = "1 hour")
             if not done:
                 yield pd.DataFrame([(key[0], "given_up", n, None)], columns=["doc_id", "verdict", "attempts", "value"])
             return
-        seen, last, out = newest, 0, []
-        rows = pd.concat(list(frames)).sort_values("attempt", kind="stable")  # one document's of a batch
-        for attempt, arrived, ok, found in rows[["attempt", "arrived", "ok", "value"]].itertuples(index=False):
-            last = max(last, int(arrived.timestamp() * 1000))
-            if attempt <= newest:
-                continue
-            newest, n = int(attempt), n + (not done)
-            if ok and not done:
-                done = True
+        lots = [[f[c].array for c in ("attempt", "ok", "value", "arrived")] for f in frames]  # one document's of a batch
+        number, good = (np.concatenate([np.asarray(x[k]) for x in lots]) for k in (0, 1))
+        last = max(int(x[3].max().timestamp() * 1000) for x in lots)
+        tries, at = np.unique(number, return_index=True)  # in order, the first of those with one number
+        new = at[tries > newest]
+        out = []
+        if len(new) and not done:
+            hit = np.flatnonzero(good[new])
+            n += int(hit[0]) + 1 if len(hit) else len(new)
+            if len(hit):
+                done, k = True, int(new[hit[0]])
+                found = next(x[2][k - b] for x, b in zip(lots, accumulate((len(x[0]) for x in lots), initial=0)) if k - b < len(x[0]))
                 out.append((key[0], "good", n, found))
-        if newest > seen or not state.exists:
+        if len(new) or not state.exists:
+            newest = int(number[new[-1]]) if len(new) else newest
             state.update((newest, n, done))
         at = max(last, state.getCurrentWatermarkMs()) + wait
         state.setTimeoutTimestamp(at)
