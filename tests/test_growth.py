@@ -76,3 +76,15 @@ def test_records_are_read_once_for_their_gold(spark, tmp_path):
     out = collections.gold_of_spans(spark.read.parquet(f"{tmp_path}/records"), fields)
     assert {(r["doc_id"], r["field"]): r["values"] for r in out.collect()} == {(1, "x"): ["A", "c"], (1, "y"): ["c"], (1, "w"): [], (2, "x"): [], (2, "y"): [], (2, "w"): [], (3, "z"): []}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
+def test_files_are_read_without_a_batch_of_them_at_hand(spark):
+    def held(content):  # MB of the worker that reads, and the file's text
+        return str(int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20).rjust(5) + content.decode()
+
+    def most(n):
+        files = spark.range(0, n, 1, 1).select("id", F.repeat(F.char(97 + F.col("id") % 26), F.lit(100_000)).cast("binary").alias("content"))
+        return collections.read_files(files, held).agg(F.max(F.substring("text", 1, 5).cast("int")), F.count("text")).first()
+
+    few, many = most(10), most(3000)
+    assert few[1] == 10 and many[1] == 3000 and many[0] - few[0] < 100

@@ -132,24 +132,22 @@ def least_text(text: Column, error: Column, least: int) -> tuple[Column, Column]
 
 def read_files(rows: DataFrame, read_text: Callable[[bytes], str], read_meta: Callable[[bytes], dict] | None = None, min_chars: int = 1) -> DataFrame:
     """rows (content, ...) with text, extraction_error and metadata in place of content. What read_text raises becomes the error
-    of its document; where read_meta raises, the metadata stay empty."""
-
-    @F.pandas_udf("struct<raw string, error string, meta map<string,string>>")
-    def read(content: pd.Series) -> pd.DataFrame:
-        out = []
-        for c in content:
-            text = error = None
-            meta = {}
-            try:
-                text = read_text(bytes(c))
-            except Exception as e:  # whatever the reader raises is the document's error
-                error = f"{type(e).__name__}: {e}"
-            try:
-                meta = {k: str(v) for k, v in read_meta(bytes(c)).items()} if read_meta else {}
-            except Exception:
-                pass
-            out.append((text, error, meta))
-        return pd.DataFrame(out, columns=["raw", "error", "meta"])
+    of its document; where read_meta raises, the metadata stay empty. Files go to Python in Spark's plain batches of a
+    hundred rows, as ten thousand files of an Arrow batch may be of any size."""
+
+    @F.udf("struct<raw string, error string, meta map<string,string>>", useArrow=False)
+    def read(content):
+        text = error = None
+        meta = {}
+        try:
+            text = read_text(bytes(content))
+        except Exception as e:  # whatever the reader raises is the document's error
+            error = f"{type(e).__name__}: {e}"
+        try:
+            meta = {k: str(v) for k, v in read_meta(bytes(content)).items()} if read_meta else {}
+        except Exception:
+            pass
+        return text, error, meta
 
     done = rows.withColumn("_r", read("content"))
     text, error = least_text(F.col("_r.raw"), F.col("_r.error"), min_chars)
