@@ -1,9 +1,12 @@
 """What keeps a query's dearest task and its dear calls from growing faster than the tables."""
 
+import json
+import math
+
 from pyspark.sql import functions as F
 
-from veritrail.functions import udtfs, values
-from veritrail.operators import audit, hooks, ranges, trees
+from veritrail.functions import model_text, udtfs, values
+from veritrail.operators import audit, fields, hooks, ranges, trees
 from veritrail.plans import audits
 from veritrail.sources import collections
 
@@ -88,3 +91,30 @@ def test_files_are_read_without_a_batch_of_them_at_hand(spark):
 
     few, many = most(10), most(3000)
     assert few[1] == 10 and many[1] == 3000 and many[0] - few[0] < 100
+
+
+def test_samples_and_fields_meet_in_one_shuffle(spark):
+    blank = " \u0085\x1c\n"  # what strip takes off
+    texts = ['{"a": %d}', blank + '{"a": "%d", "l": [0, %d]}' + blank, "```json\n{}\n```", '[{"a": %d}]', "{", "\ufeff{}", "{} x", blank, '{"a": NaN}', "{\n}", '{"a": 1}}', '"{}"']
+    samples = [(i, t.replace("%d", str(i + n % 3))) for i in range(50) for n, t in enumerate(texts[: i % 13])] + [(None, "{}"), (3, None)]
+    data = [(i, p, str(i)) for i in range(60) for p in ("a", "l.1", "l.-1", "b")[: 1 + i % 4]] + [(None, "a", "1"), (7, "b", None)]
+    want = {}
+    for d, p, v in data:
+        trees_ = []
+        for who, t in samples:
+            try:
+                tree = json.loads((t or "").strip())
+            except ValueError:
+                continue
+            if who == d and d is not None and isinstance(tree, dict):
+                trees_.append(tree)
+        want[d, p, v] = (sum(values.compare(v, model_text.at_path(t, p), "auto", number_tolerance=0.0) for t in trees_) / len(trees_) if trees_ else None, len(trees_))
+    out = fields.agreement(spark.createDataFrame(data, "doc_id int, path_str string, value string"), spark.createDataFrame(samples, "doc_id int, text string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "collect_list" not in plan
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("3", before):  # a document may reach over batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = fields.agreement(spark.createDataFrame(data, "doc_id int, path_str string, value string"), spark.createDataFrame(samples, "doc_id int, text string")).collect()
+        assert len(got) == len(data) and {(r[0], r[1], r[2]): (None if math.isnan(r["agreement"]) else r["agreement"], r["n_samples"]) for r in got} == want
+    assert max(n for _, n in want.values()) > 3
